@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from bazaarspark.llm.exact_dedup import exact_dedup
+from bazaarspark.llm.line_dedup import line_dedup
 from bazaarspark.llm.minhash import near_dedup
+from bazaarspark.llm.mixing import mix
+from bazaarspark.llm.span_dedup import span_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,5 +46,42 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, d.doc_id = m.co
 FROM documents d JOIN m ON m.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
-QUERIES = {"op5_exact_dedup": op5_exact_dedup, "op6_minhash_near_dedup": op6_minhash_near_dedup}
-ORACLES = {"op5_exact_dedup": OP5_SQL, "op6_minhash_near_dedup": OP6_SQL}
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight FROM s),
+r AS (SELECT *, 3.0 * source_size / weight AS ratio, row_number() OVER (ORDER BY 3.0 * source_size / weight, source NULLS LAST) AS nth FROM w),
+l AS (SELECT *, sum(source_size) OVER () - coalesce(sum(3.0 * source_size) OVER b, 0) AS remains, sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS share
+      FROM r WINDOW b AS (ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, min(CASE WHEN remains <= ratio * share THEN nth END) OVER () AS first, min_by(remains / share, CASE WHEN remains <= ratio * share THEN nth END) OVER () AS level FROM l),
+t AS (SELECT source, source_size, CASE WHEN nth < first THEN 3.0 * source_size ELSE least(3.0 * source_size, level * weight) END AS target FROM f),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size + 1e-9) AS BIGINT) ELSE 0 END AS whole FROM t),
+q AS (SELECT *, greatest(0, CAST(round(target) AS BIGINT) - whole * source_size) AS more FROM p),
+g AS (SELECT source, k, size, count(*) AS n FROM d GROUP BY ALL),
+c AS (SELECT *, sum(size * n) OVER (PARTITION BY source ORDER BY k, size) AS upto FROM g)
+SELECT d.doc_id, d.size, q.source_size, q.target,
+       CAST(q.whole * d.size + CASE WHEN c.upto <= q.more THEN d.size WHEN c.upto - c.size * c.n < q.more THEN (q.more - c.upto + c.size * c.n) // c.n ELSE 0 END AS BIGINT) AS taken
+FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source JOIN c ON c.source IS NOT DISTINCT FROM d.source AND c.k = d.k AND c.size = d.size
+"""
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {
+    "op2_mix_sources": op2_mix_sources,
+    "op5_exact_dedup": op5_exact_dedup,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_line_dedup": op7_line_dedup,
+    "op10_sentence_span_dedup": op10_sentence_span_dedup,
+}
+ORACLES = {"op2_mix_sources": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op6_minhash_near_dedup": OP6_SQL}
