@@ -10,7 +10,8 @@ Pairs are found in two passes, as copies of copies would otherwise give all pair
    Pairs that the signatures rule out are left out; the rest is confirmed on the full shingle sets. Stars of large
    groups come out of this pass in one component.
 2. In buckets that still hold more than one component, all pairs of different components that the signatures don't
-   rule out are confirmed on the full sets. A pair inside one component could not change the result.
+   rule out are confirmed on the full sets. A pair inside one component could not change the result. A pair is taken
+   in the first bucket that it shares, and not in each.
 
 The signatures of 512 one-byte minima rule out a pair below 0.78; at a similarity of 0.85 that is 4.4 standard deviations.
 """
@@ -77,16 +78,15 @@ def _sets(k: int):
 
 
 def _groups(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each row of ``members``: keys, sizes, signatures as a matrix, and labels."""
+    """Of each row of ``members``: keys, sizes, signatures as a matrix, and members' other fields as an Arrow array."""
     lists = batch.column("members")
     flat = lists.flatten()
     keys = np.array(flat.field("key").to_pylist(), dtype=object)
     sizes = flat.field("n").to_numpy(zero_copy_only=False)
     signatures = np.frombuffer(b"".join(flat.field("sig").to_pylist()), np.uint8).reshape(-1, SIGNATURE)
-    labels = np.array(flat.field("label").to_pylist(), dtype=object)
     at = np.asarray(lists.offsets) - lists.offsets[0].as_py()
     for lo, hi in zip(at[:-1], at[1:], strict=True):
-        yield keys[lo:hi], sizes[lo:hi], signatures[lo:hi], labels[lo:hi]
+        yield keys[lo:hi], sizes[lo:hi], signatures[lo:hi], flat[lo:hi]
 
 
 def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -133,12 +133,17 @@ def _across(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for keys, sizes, signatures, labels in _groups(batch):
+            for bucket, (keys, sizes, signatures, members) in zip(batch.column("bucket").to_pylist(), _groups(batch), strict=True):
+                labels = members.field("label").to_pylist()
                 if len(set(labels)) > 1:
-                    _, label = np.unique(labels.astype("S16"), return_inverse=True)
+                    _, label = np.unique(np.array([x.hex() for x in labels]), return_inverse=True)
                     agree = np.triu(_close(sizes, signatures, percent))
                     agree[label[:, None] == label[None]] = 0
-                    found += [(keys[i], keys[j]) for i, j in zip(*np.nonzero(agree), strict=True)]
+                    i, j = np.nonzero(agree)
+                    bands = members.field("bands").flatten().to_numpy().reshape(-1, BANDS)
+                    first = (bands[i] == bands[j]).argmax(1)
+                    here = bands[i, first] == bucket
+                    found += [(keys[x], keys[y]) for x, y in zip(i[here], j[here], strict=True)]
             yield _pairs(found)
 
     return run
@@ -152,9 +157,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
+def _blocks(rows: DataFrame, *fields: str) -> DataFrame:
     """Lists of the members of each pair of blocks; with one block in a bucket, that block alone."""
-    return rows.groupBy("bucket", "i", "j").agg(F.collect_list(F.struct("key", "n", "sig", "label")).alias("members")).select("members")
+    return rows.groupBy("bucket", "i", "j").agg(F.collect_list(F.struct("key", "n", "sig", *fields)).alias("members")).select("bucket", "members")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -180,16 +185,16 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = scratch.written(base.join(wanted, "id").select("text", "key").mapInArrow(_sets(k), "key binary, n long, sh array<long>, sig binary").dropDuplicates(["key"]), "minhash-sets")
 
     signed = members.join(sets.select("key", "n", "sig"), "key")
-    near = _blocks(signed.select("bucket", F.col("block").alias("i"), F.col("block").alias("j"), "key", "n", "sig", F.lit(None).cast("binary").alias("label")))
+    near = _blocks(signed.select("bucket", F.col("block").alias("i"), F.col("block").alias("j"), "key", "n", "sig"))
     tried = scratch.written(near.mapInArrow(_nearest(percent), "a binary, b binary").distinct(), "minhash-tried")
     links = scratch.written(_confirmed(tried, sets, percent), "minhash-links")
     parts = scratch.written(connected_components(links), "minhash-parts")
 
     labelled = members.where("size > 2").join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("component", "key")).drop("component")
     mixed = labelled.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("bucket")
-    rest = labelled.join(mixed, "bucket").join(sets.select("key", "n", "sig"), "key")
+    rest = labelled.join(mixed, "bucket").join(sets.select("key", "n", "sig"), "key").join(classes.select("key", "bands"), "key")
     dealt = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    blocks = _blocks(dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "n", "sig", "label"))
+    blocks = _blocks(dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "n", "sig", "label", "bands"), "label", "bands")
     more = blocks.mapInArrow(_across(percent), "a binary, b binary").distinct().join(tried, ["a", "b"], "left_anti")
     more = scratch.written(_confirmed(more, sets, percent), "minhash-links")
     parts = scratch.written(connected_components(links.unionByName(more)), "minhash-parts") if not more.isEmpty() else parts
