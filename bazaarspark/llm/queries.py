@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from bazaarspark.llm.exact_dedup import exact_dedup
+from bazaarspark.llm.license_scan import license_scan, license_sql
 from bazaarspark.llm.line_dedup import line_dedup
 from bazaarspark.llm.minhash import near_dedup
 from bazaarspark.llm.mixing import mix
+from bazaarspark.llm.packing import pack
 from bazaarspark.llm.span_dedup import span_dedup
 
 
@@ -46,6 +48,14 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, d.doc_id = m.co
 FROM documents d JOIN m ON m.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
+def op1_pack_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
@@ -78,10 +88,12 @@ def op10_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pack_cutting_stock": op1_pack_cutting_stock,
     "op2_mix_sources": op2_mix_sources,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_line_dedup": op7_line_dedup,
+    "op8_license_scan": op8_license_scan,
     "op10_sentence_span_dedup": op10_sentence_span_dedup,
 }
-ORACLES = {"op2_mix_sources": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op6_minhash_near_dedup": OP6_SQL}
+ORACLES = {"op2_mix_sources": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op6_minhash_near_dedup": OP6_SQL, "op8_license_scan": license_sql()}
