@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from bazaarspark.llm.exact_dedup import exact_dedup
+from bazaarspark.llm.lattice import embedding_dedup
 from bazaarspark.llm.license_scan import license_scan, license_sql
 from bazaarspark.llm.line_dedup import line_dedup
 from bazaarspark.llm.minhash import near_dedup
@@ -56,6 +57,22 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_lattice_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+OP4_SQL = """
+WITH RECURSIVE
+v AS (SELECT vec_id, CAST(embedding AS DOUBLE[64]) AS x FROM embeddings),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+      WHERE array_inner_product(a.x, b.x) / (sqrt(array_inner_product(a.x, a.x)) * sqrt(array_inner_product(b.x, b.x))) >= 0.95),
+r AS (SELECT vec_id, vec_id AS c FROM v UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.vec_id),
+m AS (SELECT vec_id, min(c) AS component_id FROM r GROUP BY vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM e GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM m LEFT JOIN n USING (vec_id)
+"""
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
@@ -90,10 +107,11 @@ def op10_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pack_cutting_stock": op1_pack_cutting_stock,
     "op2_mix_sources": op2_mix_sources,
+    "op4_lattice_embedding_dedup": op4_lattice_embedding_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op8_license_scan": op8_license_scan,
     "op10_sentence_span_dedup": op10_sentence_span_dedup,
 }
-ORACLES = {"op2_mix_sources": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op6_minhash_near_dedup": OP6_SQL, "op8_license_scan": license_sql()}
+ORACLES = {"op2_mix_sources": OP2_SQL, "op4_lattice_embedding_dedup": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op6_minhash_near_dedup": OP6_SQL, "op8_license_scan": license_sql()}
