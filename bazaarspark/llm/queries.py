@@ -8,6 +8,7 @@ from bazaarspark.llm.exact_dedup import exact_dedup
 from bazaarspark.llm.lattice import embedding_dedup
 from bazaarspark.llm.license_scan import license_scan, license_sql
 from bazaarspark.llm.line_dedup import line_dedup
+from bazaarspark.llm.lm_scoring import lm_score
 from bazaarspark.llm.minhash import near_dedup
 from bazaarspark.llm.mixing import mix
 from bazaarspark.llm.packing import pack
@@ -73,6 +74,10 @@ SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component
 """
 
 
+def op9_context_mixing_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
@@ -112,6 +117,7 @@ QUERIES = {
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op8_license_scan": op8_license_scan,
+    "op9_context_mixing_lm": op9_context_mixing_lm,
     "op10_sentence_span_dedup": op10_sentence_span_dedup,
 }
 ORACLES = {"op2_mix_sources": OP2_SQL, "op4_lattice_embedding_dedup": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op6_minhash_near_dedup": OP6_SQL, "op8_license_scan": license_sql()}
