@@ -13,6 +13,7 @@ from bazaarspark.llm.minhash import near_dedup
 from bazaarspark.llm.mixing import mix
 from bazaarspark.llm.packing import pack
 from bazaarspark.llm.span_dedup import span_dedup
+from bazaarspark.llm.toxicity import toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +79,10 @@ def op9_context_mixing_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
@@ -112,6 +117,7 @@ def op10_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pack_cutting_stock": op1_pack_cutting_stock,
     "op2_mix_sources": op2_mix_sources,
+    "op3_toxicity_grammar": op3_toxicity_grammar,
     "op4_lattice_embedding_dedup": op4_lattice_embedding_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
