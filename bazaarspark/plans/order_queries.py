@@ -24,10 +24,10 @@ def _rollup(spark, d):
 
 
 def _order_requests(spark, d):
-    return table(spark, d, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("request_id"), F.col("o_custkey").cast("string").alias("customer_id"), F.col("o_orderkey").cast("string").alias("order_id"))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("request_id"), F.col("o_custkey").cast("string").alias("customer_id"), F.col("o_orderkey").cast("string").alias("order_id"))
 
 
-ORDER_REQUESTS = "asked AS (SELECT o_orderkey AS request_id, CAST(o_custkey AS VARCHAR) AS customer_id, CAST(o_orderkey AS VARCHAR) AS order_id FROM orders WHERE o_orderkey % 3 = 0)"
+ORDER_REQUESTS = "asked AS (SELECT o_orderkey AS request_id, CAST(o_custkey AS VARCHAR) AS customer_id, CAST(o_orderkey AS VARCHAR) AS order_id FROM orders)"
 
 
 def _term_requests(spark, d):
