@@ -84,3 +84,25 @@ def with_views(sql: str, *names: str) -> str:
 def load(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """All given tables and views by name. Scans are lazy: columns and filters of later steps reach them."""
     return {n: table(spark, sf_dir, n) for n in NAMES} | {n: view(spark, sf_dir, n) for n in VIEWS}
+
+
+# Two query logs made of the catalog's own words: raw texts, and read queries of three kinds. Equal ones count once.
+VIEWS["query_log"] = (
+    ["part"],
+    """SELECT p_partkey AS query_id, concat(
+              CASE p_partkey % 4 WHEN 0 THEN 'محصولات ' WHEN 1 THEN 'نشون بده ' WHEN 2 THEN 'لطفا، ' ELSE '' END,
+              CASE p_partkey % 11 WHEN 0 THEN 'شیائومی ' WHEN 1 THEN 'نایس پاپت ' WHEN 2 THEN 'سالوت ' WHEN 3 THEN 'دیفاکتو ' WHEN 4 THEN 'Note ' WHEN 5 THEN 'بدون برند مریدا ' WHEN 6 THEN 'از تریا نه ' ELSE '' END,
+              CASE p_partkey % 9 WHEN 0 THEN 'رژ لب مایع ' WHEN 1 THEN 'کرم دست ' WHEN 2 THEN 'ماسک مو ' WHEN 3 THEN 'ضدآفتاب ' WHEN 4 THEN 'رنگ مو ' ELSE '' END,
+              CASE p_partkey % 7 WHEN 0 THEN 'مشکی ' WHEN 1 THEN 'چرم ' WHEN 2 THEN 'زنانه ' ELSE '' END,
+              CASE p_partkey % 13 WHEN 0 THEN 'زیر 300هزارتومان ' WHEN 1 THEN 'زیر ۲ میلیون ' WHEN 2 THEN 'بین 1 تا ۳ میلیون ' WHEN 3 THEN 'بالای ده هزار ' WHEN 4 THEN '250 ' WHEN 5 THEN 'بین دو هزار تا سه ' ELSE '' END,
+              CASE p_partkey % 5 WHEN 0 THEN 'موجود ' WHEN 1 THEN 'ناموجود ' ELSE '' END, p_name, ' ', p_name) AS query
+       FROM {part}""",
+)
+VIEWS["search_cases"] = (
+    ["part"],
+    """SELECT DISTINCT concat(CAST(p_partkey % 3 AS STRING), '|', CASE p_partkey % 3 WHEN 0 THEN p_brand WHEN 1 THEN p_type ELSE '' END, '|', p_name) AS query_id,
+              p_name AS rank_query, CASE WHEN p_partkey % 3 = 0 THEN p_brand END AS brand, CASE WHEN p_partkey % 3 = 1 THEN p_type END AS category,
+              CAST(CASE WHEN p_partkey % 3 = 1 THEN 1200 END AS DOUBLE) AS price_max, CASE WHEN p_partkey % 3 = 2 THEN 'Brand#1' END AS excluded,
+              CAST(p_partkey % 3 AS INT) AS kind
+       FROM {part}""",
+)
