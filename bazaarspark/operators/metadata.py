@@ -48,7 +48,7 @@ def brand_keys(brand: Column) -> Column:
 def excluded_brands(c: Column | str) -> Column:
     """struct(remaining, excluded): brands that a query rules out, longest alias first, and the text without them."""
     prefix = "|".join(D.NEGATIVE_PREFIXES)
-    entries = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(rf"(?i)(^|\s)(?:{prefix})\s+{a}(\s|$)").alias("before"), F.lit(rf"(?i)(^|\s)از\s+(?:برند\s+)?{a}\s+نه(\s|$)").alias("around")) for a, n in D.longest_first(D.brand_aliases())])
+    entries = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(a).alias("alias"), F.lit(rf"(?i)(^|\s)(?:{prefix})\s+{a}(\s|$)").alias("before"), F.lit(rf"(?i)(^|\s)از\s+(?:برند\s+)?{a}\s+نه(\s|$)").alias("around")) for a, n in D.longest_first(D.brand_aliases())])
     folded = X.fold_text(c)
     start = F.struct(folded.alias("remaining"), F.array().cast("array<string>").alias("excluded"))
 
@@ -58,7 +58,7 @@ def excluded_brands(c: Column | str) -> Column:
         left = F.trim(F.regexp_replace(F.regexp_replace(acc["remaining"], F.coalesce(pattern, F.lit("(^)($)")), F.lit("$1$2")), r"(?U)\s+", " "))
         return F.struct(F.when(hit, left).otherwise(acc["remaining"]).alias("remaining"), F.when(hit, F.array_append(acc["excluded"], e["name"])).otherwise(acc["excluded"]).alias("excluded"))
 
-    return F.when(folded.rlike("بدون|به\\s+جز|غیر\\s+از|نه"), F.aggregate(entries, start, step)).otherwise(start)
+    return F.when(folded.rlike("بدون|به\\s+جز|غیر\\s+از|نه"), F.aggregate(F.filter(entries, lambda e: F.contains(F.lower(folded), e["alias"])), start, step)).otherwise(start)
 
 
 def has_positive(prefix: str = "") -> Column:

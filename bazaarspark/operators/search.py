@@ -200,7 +200,8 @@ def read_queries(raw: DataFrame, col: str = "query") -> DataFrame:
 def search_pipeline(raw: DataFrame, products: DataFrame, limit: int = 10) -> DataFrame:
     """From raw query texts to ranked products. Equal texts are searched once."""
     texts = raw.select("query").distinct().withColumn("query_id", F.sha2("query", 256))
-    found = product_search(read_queries(texts), catalog_view(products), limit)
+    asked = read_queries(texts).persist()  # several joins read it, and none should read the queries anew
+    found = product_search(asked, catalog_view(products), limit)
     best = found.select(F.col("q_query").alias("query"), "rank", "product_code", "product_name", F.col("score").cast("long").alias("score"))
     return raw.select("query_id", "query").join(best, "query")
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from bazaarspark.plans import order_queries, search_queries
+from bazaarspark.plans import order_queries, retrieval_queries, search_queries
 
-MODULES = [order_queries, search_queries]
+MODULES = [order_queries, search_queries, retrieval_queries]
 
 
 def queries() -> dict[str, Callable]:

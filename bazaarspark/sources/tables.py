@@ -91,11 +91,11 @@ VIEWS["query_log"] = (
     ["part"],
     """SELECT p_partkey AS query_id, concat(
               CASE p_partkey % 4 WHEN 0 THEN 'محصولات ' WHEN 1 THEN 'نشون بده ' WHEN 2 THEN 'لطفا، ' ELSE '' END,
-              CASE p_partkey % 11 WHEN 0 THEN 'شیائومی ' WHEN 1 THEN 'نایس پاپت ' WHEN 2 THEN 'سالوت ' WHEN 3 THEN 'دیفاکتو ' WHEN 4 THEN 'Note ' WHEN 5 THEN 'بدون برند مریدا ' WHEN 6 THEN 'از تریا نه ' ELSE '' END,
-              CASE p_partkey % 9 WHEN 0 THEN 'رژ لب مایع ' WHEN 1 THEN 'کرم دست ' WHEN 2 THEN 'ماسک مو ' WHEN 3 THEN 'ضدآفتاب ' WHEN 4 THEN 'رنگ مو ' ELSE '' END,
+              CASE WHEN p_partkey % 2 = 0 THEN '' ELSE concat(CASE p_partkey % 11 WHEN 0 THEN 'شیائومی ' WHEN 1 THEN 'نایس پاپت ' WHEN 2 THEN 'سالوت ' WHEN 3 THEN 'دیفاکتو ' WHEN 4 THEN 'Note ' WHEN 5 THEN 'بدون برند مریدا ' WHEN 6 THEN 'از تریا نه ' ELSE '' END,
+              CASE p_partkey % 9 WHEN 0 THEN 'رژ لب مایع ' WHEN 1 THEN 'کرم دست ' WHEN 2 THEN 'ماسک مو ' WHEN 3 THEN 'ضدآفتاب ' ELSE 'رنگ مو ' END,
               CASE p_partkey % 7 WHEN 0 THEN 'مشکی ' WHEN 1 THEN 'چرم ' WHEN 2 THEN 'زنانه ' ELSE '' END,
               CASE p_partkey % 13 WHEN 0 THEN 'زیر 300هزارتومان ' WHEN 1 THEN 'زیر ۲ میلیون ' WHEN 2 THEN 'بین 1 تا ۳ میلیون ' WHEN 3 THEN 'بالای ده هزار ' WHEN 4 THEN '250 ' WHEN 5 THEN 'بین دو هزار تا سه ' ELSE '' END,
-              CASE p_partkey % 5 WHEN 0 THEN 'موجود ' WHEN 1 THEN 'ناموجود ' ELSE '' END, p_name, ' ', p_name) AS query
+              CASE p_partkey % 5 WHEN 0 THEN 'موجود ' WHEN 1 THEN 'ناموجود ' ELSE '' END) END, p_name, ' ', p_name) AS query
        FROM {part}""",
 )
 VIEWS["search_cases"] = (
