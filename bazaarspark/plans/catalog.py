@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from bazaarspark.plans import order_queries, retrieval_queries, search_queries
+from bazaarspark.plans import eval_queries, order_queries, retrieval_queries, search_queries
 
-MODULES = [order_queries, search_queries, retrieval_queries]
+MODULES = [order_queries, search_queries, retrieval_queries, eval_queries]
 
 
 def queries() -> dict[str, Callable]:

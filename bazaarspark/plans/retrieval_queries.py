@@ -51,7 +51,12 @@ def _embedded(spark, d):
     return R.embedding_audit(v.select((F.col("vec_id") + (F.col("vec_id") % 9 == 0).cast("int")).alias("chunk_id")), v.select(F.col("vec_id").alias("chunk_id")), table(spark, d, "labels").select(F.col("doc_id").alias("chunk_id")))
 
 
-SECRETS = F.concat(F.lit("user="), F.col("user_id"), F.lit(" API-key: k"), F.col("event_id"), F.lit(" token=abc"))
+
+
+def _secrets():
+    return F.concat(F.lit("user="), F.col("user_id"), F.lit(" API-key: k"), F.col("event_id"), F.lit(" token=abc"))
+
+
 
 QUERIES = {
     "chunk_documents": lambda s, d: R.chunk_documents(_docs(s, d)),
@@ -60,7 +65,7 @@ QUERIES = {
     "l2_normalize": lambda s, d: _vectors(s, d).select("id", F.transform(R.l2_normalize(F.transform("v", lambda x: x * 3)), lambda x: F.round(x, 6)).alias("v")),
     "embedding_batches": lambda s, d: R.embedding_batches(_docs(s, d), "doc_id", "text").select("doc_id", "lot", "batch", "nth"),
     "cosine_topk": lambda s, d: R.cosine_topk(_asked(s, d), _vectors(s, d)),
-    "ann_topk": lambda s, d: R.ann_topk(_asked(s, d), _vectors(s, d)),
+    "ann_topk": lambda s, d: R.ann_topk(_asked(s, d), _vectors(s, d), threshold=0.4),
     "bm25": _bm25,
     "hybrid_rerank": lambda s, d: R.hybrid_rerank(_candidates(s, d)).select("query_id", "doc_id", "score", "rank"),
     "align_chunks": lambda s, d: R.align_chunks(_lines(s, d), _lines(s, d, True)),
@@ -75,7 +80,7 @@ QUERIES = {
     "latency_histogram": lambda s, d: E.latency_histogram(_events(s, d)),
     "metric_series": lambda s, d: E.metric_series(_events(s, d)),
     "parse_events": lambda s, d: E.parse_events(_events(s, d).select(F.when(F.col("event_id") % 13 == 0, "not json").otherwise(F.to_json(F.struct("event", "status", "latency_ms", "tool"))).alias("value"))).select("event", "status", "latency_ms", "tool"),
-    "enrich_events": lambda s, d: _events(s, d).select("event_id", E.cost_estimate().alias("cost"), E.query_ref("event").alias("r"), SECRETS.alias("line")).select("event_id", "cost", "r.sha", "r.chars", E.redact_secrets("line").alias("line")),
+    "enrich_events": lambda s, d: _events(s, d).select("event_id", E.cost_estimate().alias("cost"), E.query_ref("event").alias("r"), _secrets().alias("line")).select("event_id", "cost", "r.sha", "r.chars", E.redact_secrets("line").alias("line")),
     "trace_ids": lambda s, d: _events(s, d).withColumn("tp", F.when(F.col("event_id") % 4 == 0, "00-bad").otherwise(F.concat(F.lit("00-"), F.md5(F.col("event_id").cast("string")), F.lit("-00f067aa0ba902b7-01")))).select("event_id", F.coalesce(E.trace_id("tp"), F.concat(F.lit("req-"), "event_id")).alias("trace_id"), E.valid_customer(F.when(F.col("event_id") % 3 == 0, "a b").otherwise(F.col("user_id"))).alias("valid")),
     "rate_limit_verdicts": lambda s, d: E.rate_limit_verdicts(_events(s, d).select("event_id", "user_id", "ts"), max_requests=3, window_s=6 * 3600.0),
 }

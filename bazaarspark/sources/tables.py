@@ -106,3 +106,14 @@ VIEWS["search_cases"] = (
               CAST(p_partkey % 3 AS INT) AS kind
        FROM {part}""",
 )
+
+# Runs of two configurations over queries of a type and brand, and judgements of some products.
+VIEWS["runs"] = (
+    ["part"],
+    """SELECT * FROM (
+         SELECT 'a' AS config, concat(p_type, '|', p_brand) AS query_id, p_partkey AS doc_id, row_number() OVER (PARTITION BY p_type, p_brand ORDER BY p_retailprice DESC, p_partkey) AS rank FROM {part}
+         UNION ALL
+         SELECT 'b' AS config, concat(p_type, '|', p_brand) AS query_id, p_partkey AS doc_id, row_number() OVER (PARTITION BY p_type, p_brand ORDER BY p_name, p_partkey) AS rank FROM {part}) r
+       WHERE rank <= 20""",
+)
+VIEWS["qrels"] = (["part"], "SELECT concat(p_type, '|', p_brand) AS query_id, p_partkey AS doc_id, CAST(p_size % 4 AS DOUBLE) AS grade FROM {part} WHERE p_size % 5 < 3")

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 BOUNDS = [5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 500.0, 1000.0, 2500.0, 5000.0, 10000.0, 30000.0]
 OPS_PATHS = ["/health", "/ready", "/metrics"]
@@ -141,7 +142,7 @@ def rate_limit_verdicts(events: DataFrame, key: str = "user_id", ts: str = "ts",
     accepted times, never a key's events.
     """
     dealt = events.repartition(key).sortWithinPartitions(key, ts, order)
-    schema = dealt.schema.add("allowed", "boolean")
+    schema = StructType([*dealt.schema.fields, StructField("allowed", BooleanType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, held = None, deque()
