@@ -87,7 +87,7 @@ RULES: list[tuple[str, list[str]]] = [
 ]
 
 #: Every known sentence holds one of these, so that a text without any needs no sentences.
-ANCHORS = "(?i)licen|permi|copyright|warrant|software|redistribut"
+ANCHORS = r"(?i)licen|permi|copyright|warrant|software|redistribut|compliance|\bmpl\b"
 
 
 def normalised(sentence: str) -> str:

@@ -18,14 +18,10 @@ def lower_az(col: Column) -> Column:
 
 def count_words(col: Column) -> Column:
     """Number of words; null counts as 0."""
-    marks = F.regexp_replace(F.coalesce(col, F.lit("")), WORD + r"[\x20\x09-\x0D]*", "\x01")
-    return F.length(F.ltrim(marks)).cast("long")
+    marks = F.regexp_replace(F.coalesce(col, F.lit("")), WORD, "\x01")
+    return F.length(F.translate(marks, " \t\n\x0b\x0c\r", "")).cast("long")
 
 
 def words(text: str | None) -> list[bytes]:
     """The words of a text, A-Z lower-cased, in UTF-8."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
-
-
-def fold(crc: Column, modulus: int) -> Column:
-    return F.pmod(crc, F.lit(modulus))
