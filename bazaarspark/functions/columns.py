@@ -32,7 +32,7 @@ def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: Co
 
 def like_pattern(term: Column) -> Column:
     """``%term%`` for ILIKE. ``%`` and ``_`` of the term stay wildcards; a backslash before any other character is literal."""
-    return F.concat(F.lit("%"), F.regexp_replace(term, r"\\(?![%_\\])", r"\\\\\\\\"), F.lit("%"))
+    return F.concat(F.lit("%"), F.regexp_replace(term, r"\\(?![%_\\])", r"\\\\"), F.lit("%"))
 
 
 def ilike_any(columns: Sequence[str], pattern: str) -> Column:
