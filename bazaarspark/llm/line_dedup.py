@@ -6,9 +6,10 @@ lines. Suffixes whose rank is theirs alone are in place and leave the next round
 still tied. Suffixes with one rank after round k are an interval of the array with a longest common prefix of 2 ** k
 lines or more; a run of any length l is an interval of pairs of ranks, of its first and its last 2 ** k lines.
 
-A repeated run counts if it holds ``min_words`` words. From each line, the shortest such run is looked up in its
-interval: where the interval starts with another suffix (in the order of documents and lines), the run is a later copy and
-goes. A maximal repeated run is the union of the shortest ones in it, so that exactly the later copies of maximal runs go.
+A repeated run counts if it holds ``min_words`` words. The shortest such runs that start and that end at each line are
+looked up in their intervals: where an interval starts with another suffix (in the order of documents and lines), the run is
+a later copy and goes. A maximal repeated run is the union of these shortest ones in it, so that exactly the later copies of
+maximal runs go.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ FIRST = "min(struct(id is null as none, id, pos))"
 
 
 def _scan(min_words: int):
-    line = pa.list_(pa.struct([("pos", pa.int32()), ("line", pa.int64()), ("check", pa.int32()), ("need", pa.int32())]))
+    line = pa.list_(pa.struct([("pos", pa.int32()), ("line", pa.int64()), ("check", pa.int32()), ("needs", pa.list_(pa.int32()))]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -34,14 +35,27 @@ def _scan(min_words: int):
             for text in batch.column("text"):
                 lines = [x.encode("utf-8", "surrogatepass") for x in text.as_py().split("\n")]
                 sizes = [len(x.split()) for x in lines]
-                rows, end, held = [], 0, 0
-                for i, x in enumerate(lines):
+                runs: list[set[int]] = [set() for _ in lines]
+                end = held = 0
+                for i in range(len(lines)):  # the shortest from each line
                     while end < len(lines) and held < min_words:
                         held += sizes[end]
                         end += 1
-                    digest = xxhash.xxh3_128_intdigest(x)
-                    rows.append({"pos": i, "line": (digest & (2**64 - 1)) - 2**63, "check": (digest >> 96) - 2**31, "need": end - i if held >= min_words else None})
+                    if held >= min_words:
+                        runs[i].add(end - i)
                     held -= sizes[i]
+                start = held = 0
+                for i in range(len(lines)):  # and up to each line
+                    held += sizes[i]
+                    while start < i and held - sizes[start] >= min_words:
+                        held -= sizes[start]
+                        start += 1
+                    if held >= min_words:
+                        runs[start].add(i + 1 - start)
+                rows = []
+                for i, x in enumerate(lines):
+                    digest = xxhash.xxh3_128_intdigest(x)
+                    rows.append({"pos": i, "line": (digest & (2**64 - 1)) - 2**63, "check": (digest >> 96) - 2**31, "needs": sorted(runs[i])})
                 out.append(rows)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(out, line)], ["id", "key", "lines"])
 
@@ -62,25 +76,25 @@ def later_copies(docs: DataFrame, id_col: str, text_col: str, min_words: int) ->
     """The lines that later copies of repeated runs cover: (key, removed, longest_run), a row for each document that has some."""
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     id_type = base.schema["id"].dataType.simpleString()
-    scanned = base.mapInArrow(_scan(min_words), f"id {id_type}, key long, lines array<struct<pos: int, line: long, check: int, need: int>>")
+    scanned = base.mapInArrow(_scan(min_words), f"id {id_type}, key long, lines array<struct<pos: int, line: long, check: int, needs: array<int>>>")
     lines = scratch.written(scanned.dropDuplicates(["key"]).select("id", "key", F.inline("lines")), "lines")
 
     classes = _ranked(lines.groupBy("line", "check").agg(F.count("*").alias("n"), F.expr(FIRST).alias("first")), ["line", "check"])
-    tied = scratch.written(lines.join(classes, ["line", "check"]).select("id", "key", "pos", "need", "rank", "first"), "line-suffixes")
-    found = [_later(tied.where("need = 1")).select("key", "pos", F.col("need").alias("len"), F.lit(1).alias("run"))]
+    tied = scratch.written(lines.join(classes, ["line", "check"]).select("id", "key", "pos", "needs", "rank", "first"), "line-suffixes")
+    found = [_later(tied.where(F.array_contains("needs", 1))).select("key", "pos", F.lit(1).alias("len"), F.lit(1).alias("run"))]
     width = 1
     while not tied.isEmpty():
         if width > 1:
             found.append(_later(tied).select("key", "pos", F.lit(0).alias("len"), F.lit(width).alias("run")))
-        here = tied.where(F.col("need").between(width, 2 * width - 1) & (F.col("need") > 1)).alias("a")
+        here = tied.withColumn("need", F.explode("needs")).where(F.col("need").between(width, 2 * width - 1) & (F.col("need") > 1)).alias("a")
         ends = here.join(tied.select("key", F.col("pos").alias("end"), F.col("rank").alias("last")).alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("b.end") == F.col("a.pos") + F.col("a.need") - width))
         ends = ends.select("id", "a.key", "pos", "need", "rank", "last")
         firsts = ends.groupBy("need", "rank", "last").agg(F.expr(FIRST).alias("first"))
         found.append(_later(ends.join(firsts, ["need", "rank", "last"])).select("key", "pos", F.col("need").alias("len"), F.col("need").alias("run")))
         follows = tied.select("key", (F.col("pos") - width).alias("pos"), F.col("rank").alias("second"))
-        pairs = tied.select("id", "key", "pos", "need", F.col("rank").alias("head")).join(follows, ["key", "pos"])
+        pairs = tied.select("id", "key", "pos", "needs", F.col("rank").alias("head")).join(follows, ["key", "pos"])
         classes = _ranked(pairs.groupBy("head", "second").agg(F.count("*").alias("n"), F.expr(FIRST).alias("first")), ["head", "second"])
-        tied = scratch.written(pairs.join(classes, ["head", "second"]).select("id", "key", "pos", "need", "rank", "first"), "line-suffixes")
+        tied = scratch.written(pairs.join(classes, ["head", "second"]).select("id", "key", "pos", "needs", "rank", "first"), "line-suffixes")
         width *= 2
     every = found[0]
     for more in found[1:]:

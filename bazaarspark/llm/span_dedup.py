@@ -2,7 +2,8 @@
 
 From every sentence, the shortest run of consecutive sentences with at least ``span`` sentences and ``min_words`` words is
 hashed. Hashes are joined globally; of equal runs, the one in the document with the smallest identifier that comes
-first there stays. Sentences that any other run covers are removed. Every longer repeated passage is a union of such runs.
+first there stays. Sentences that any other run covers are removed. Longer repeated passages are covered by such runs, but for
+short sentences at their end that don't make up a run.
 """
 
 from __future__ import annotations
