@@ -24,6 +24,12 @@ def total(col: str) -> Column:
     return F.sum(guarded(col)).cast("double")
 
 
+def mean(c: Column | str) -> Column:
+    """The mean of numbers to six places each: their sum is exact, whatever the order."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.sum(c.cast("decimal(18,6)")).cast("double") / F.count(c)
+
+
 def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: Column | int, rank: str = "rank") -> DataFrame:
     """The first rows of each key. Spark prunes each partition to its own first rows before it shuffles."""
     ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bazaarspark.functions.columns import mean
+
 
 def _safe(a: Column, b: Column) -> Column:
     return F.when(b > 0, F.round(a / b, 6))
@@ -55,7 +57,7 @@ def rank_metrics(run: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = (3, 5,
 def retrieval_metrics(run: DataFrame, qrels: DataFrame, k: int = 3) -> DataFrame:
     """One row for each configuration: queries and mean hit, reciprocal rank, precision and recall in the first k."""
     m = rank_metrics(run.where(F.col("rank") <= k), qrels, (k,))
-    return m.groupBy("config").agg(F.count("*").alias("queries"), *[F.round(F.avg(a), 6).alias(b) for a, b in ((f"hit_{k}", "hit"), ("mrr", "mrr"), (f"precision_{k}", "precision"), (f"recall_{k}", "recall"))])
+    return m.groupBy("config").agg(F.count("*").alias("queries"), *[mean(a).alias(b) for a, b in ((f"hit_{k}", "hit"), ("mrr", "mrr"), (f"precision_{k}", "precision"), (f"recall_{k}", "recall"))])
 
 
 def relevance_grades(cases: DataFrame) -> DataFrame:
@@ -139,14 +141,13 @@ def score_cases(run: DataFrame, qrels: DataFrame, cases: DataFrame, expected: Da
 def aggregate_cases(scored: DataFrame) -> DataFrame:
     """Means by query type, by evaluation type and over all; null in a key column means all of it."""
     grouped = scored.groupingSets([["config", "query_type"], ["config", "evaluation_type"], ["config"]], "config", "query_type", "evaluation_type")
-    mean = lambda c, n: F.round(F.avg(c), 6).alias(n)
-    return grouped.agg(F.count("*").alias("cases"), mean("hit_10", "hit_10"), mean("mrr", "mrr"), mean("ndcg_10", "ndcg_10"), mean("compliance_10", "compliance_10"), mean(F.col("passed").cast("double"), "pass_rate"))
+    return grouped.agg(F.count("*").alias("cases"), *[mean(c).alias(c) for c in ("hit_10", "mrr", "ndcg_10", "compliance_10")], mean(F.col("passed").cast("double")).alias("pass_rate"))
 
 
 def operational_metrics(scored: DataFrame, price_in: float = 0.30, price_out: float = 2.50) -> DataFrame:
     """By configuration: share of model calls, mean and median latency, tokens and cost in USD."""
     cost = (F.sum("input_tokens").cast("decimal(20,0)") * F.lit(str(price_in)).cast("decimal(10,4)") + F.sum("output_tokens").cast("decimal(20,0)") * F.lit(str(price_out)).cast("decimal(10,4)")) / 1_000_000
-    return scored.groupBy("config").agg(F.round(F.avg(F.col("called").cast("double")), 6).alias("call_rate"), F.round(F.avg("latency_ms"), 6).alias("mean_ms"), F.round(F.percentile("latency_ms", 0.5), 6).alias("median_ms"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.round(cost, 6).cast("double").alias("cost_usd"))
+    return scored.groupBy("config").agg(mean(F.col("called").cast("double")).alias("call_rate"), mean("latency_ms").alias("mean_ms"), F.round(F.percentile("latency_ms", 0.5), 6).alias("median_ms"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.round(cost, 6).cast("double").alias("cost_usd"))
 
 
 def failure_counts(scored: DataFrame) -> DataFrame:
@@ -159,7 +160,7 @@ def filter_violations(scored: DataFrame) -> DataFrame:
 
 def config_comparison(scored: DataFrame, baseline: str) -> DataFrame:
     """By configuration: means, and whether any is under the baseline's."""
-    per = scored.groupBy("config").agg(*[F.round(F.avg(c), 6).alias(c) for c in ("hit_10", "mrr", "ndcg_10")])
+    per = scored.groupBy("config").agg(*[mean(c).alias(c) for c in ("hit_10", "mrr", "ndcg_10")])
     base = per.where(F.col("config") == baseline).select(*[F.col(c).alias("b_" + c) for c in ("hit_10", "mrr", "ndcg_10")])
     worse = (F.col("hit_10") < F.col("b_hit_10")) | (F.col("mrr") < F.col("b_mrr")) | (F.col("ndcg_10") < F.col("b_ndcg_10"))
     return per.crossJoin(base).select("config", "hit_10", "mrr", "ndcg_10", F.coalesce(worse, F.lit(False)).alias("regressed"))
@@ -178,7 +179,7 @@ def candidate_recall(run: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = (20
     first = run.join(qrels.where("grade > 0"), ["query_id", "doc_id"]).groupBy("config", "query_id").agg(F.min("rank").alias("first"))
     every = run.select("config").distinct().crossJoin(qrels.where("grade > 0").select("query_id").distinct())
     rows = every.join(first, ["config", "query_id"], "left")
-    return rows.groupBy("config").agg(F.count("*").alias("queries"), *[F.round(F.avg(F.coalesce(F.col("first") <= k, F.lit(False)).cast("double")), 6).alias(f"recall_{k}") for k in ks])
+    return rows.groupBy("config").agg(F.count("*").alias("queries"), *[mean(F.coalesce(F.col("first") <= k, F.lit(False)).cast("double")).alias(f"recall_{k}") for k in ks])
 
 
 def classify_narrow(facts: DataFrame) -> DataFrame:
@@ -197,7 +198,7 @@ def diagnostic_rollup(diag: DataFrame) -> DataFrame:
     """By query type: cases, mean best rank and the most frequent failure; ties go to the first in order of name."""
     counts = diag.where("failure_class is not null").groupBy("query_type", "failure_class").agg(F.count("*").alias("n"))
     top = counts.groupBy("query_type").agg(F.min(F.struct((-F.col("n")).alias("n"), "failure_class")).alias("t")).select("query_type", F.col("t.failure_class").alias("top_failure"), (-F.col("t.n")).alias("top_n"))
-    return diag.groupBy("query_type").agg(F.count("*").alias("cases"), F.round(F.avg("best_rank"), 6).alias("mean_best_rank")).join(top, "query_type", "left")
+    return diag.groupBy("query_type").agg(F.count("*").alias("cases"), mean("best_rank").alias("mean_best_rank")).join(top, "query_type", "left")
 
 
 def rank_shift(base: DataFrame, other: DataFrame) -> DataFrame:

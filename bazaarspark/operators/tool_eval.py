@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazaarspark.functions import text as X
-from bazaarspark.functions.columns import is_blank
+from bazaarspark.functions.columns import is_blank, mean
 
 # Argument names that a search may not get, marks of SQL, what a clarification asks with, behaviours that call no
 # tool, and marks of connection errors.
@@ -76,7 +76,7 @@ def set_rates(df: DataFrame, retrieved: str = "retrieved", relevant: str = "rele
 
 
 def summarize_scores(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.agg(F.count("*").alias("rows"), *[F.round(F.avg(c), 6).alias(c) for c in columns])
+    return df.agg(F.count("*").alias("rows"), *[mean(c).alias(c) for c in columns])
 
 
 def tool_selection_micro(results: DataFrame) -> DataFrame:
@@ -99,7 +99,7 @@ def confusion_matrix(results: DataFrame) -> DataFrame:
 
 def guardrail_accuracy(results: DataFrame) -> DataFrame:
     """By behaviour that should call no tool: cases and share without one."""
-    return results.where(F.col("expected_behavior").isin(*NO_TOOL)).groupBy("expected_behavior").agg(F.count("*").alias("cases"), F.round(F.avg((F.size("actual") == 0).cast("double")), 6).alias("accuracy"))
+    return results.where(F.col("expected_behavior").isin(*NO_TOOL)).groupBy("expected_behavior").agg(F.count("*").alias("cases"), mean((F.size("actual") == 0).cast("double")).alias("accuracy"))
 
 
 def latency_percentiles(results: DataFrame, key: str = "suite", col: str = "latency_ms") -> DataFrame:
@@ -112,7 +112,7 @@ def latency_percentiles(results: DataFrame, key: str = "suite", col: str = "late
 
 
 def suite_report(results: DataFrame) -> DataFrame:
-    return results.groupBy("suite").agg(F.count("*").alias("cases"), F.count_if(~F.col("passed")).alias("failed"), F.round(F.avg(F.col("passed").cast("double")), 6).alias("pass_rate"))
+    return results.groupBy("suite").agg(F.count("*").alias("cases"), F.count_if(~F.col("passed")).alias("failed"), mean(F.col("passed").cast("double")).alias("pass_rate"))
 
 
 def ordered_verdicts(cases: DataFrame) -> DataFrame:
@@ -160,7 +160,7 @@ def per_tool_prf(cases: DataFrame) -> DataFrame:
 
 def tool_eval_rollup(scored: DataFrame) -> DataFrame:
     """Rates by category and over all (category null)."""
-    rate = lambda c, n: F.round(F.avg(c.cast("double")), 6).alias(n)
+    rate = lambda c, n: mean(c.cast("double")).alias(n)
     return scored.rollup("category").agg(
         F.count("*").alias("cases"), rate(F.col("passed"), "pass_rate"), rate(F.col("selection_ok"), "selection_rate"), rate(F.col("arguments_ok"), "argument_rate"), rate(F.col("security_ok"), "security_rate"), rate(F.col("ordered"), "ordered_rate"), rate(F.size("expected") == F.size("actual"), "count_rate"), F.count_if(F.size("expected") > 1).alias("multi_tool"), rate(F.col("clarification_ok"), "clarification_rate"), rate(F.when(F.size("expected") > 1, F.col("correct")), "multi_tool_rate"), rate(F.when(F.size("expected") == 0, F.size("actual") == 0), "no_tool_rate")
     )

@@ -182,39 +182,39 @@ s AS (SELECT *, len(missing) = 0 AND len(extra) = 0 AS correct, len(issues) = 0
 z AS (SELECT *, correct AS selection_ok, correct AND arguments_ok AND security_ok AND clarification_ok AS passed,
  array_to_string(list_filter([CASE WHEN NOT correct THEN 'selection' END, CASE WHEN NOT arguments_ok THEN 'arguments' END, CASE WHEN NOT security_ok THEN 'security' END, CASE WHEN NOT clarification_ok THEN 'clarification' END], lambda x: x IS NOT NULL), ',') AS reason FROM s),
 o AS (SELECT *, (CASE WHEN expected_behavior = 'refuse' THEN len(actual) = 0 ELSE expected = actual END) AND error IS NULL AS ordered_ok FROM z)"""
-RATES = """count(*) AS cases, round(avg(passed::INT), 6) AS pass_rate, round(avg(selection_ok::INT), 6) AS selection_rate, round(avg(arguments_ok::INT), 6) AS argument_rate, round(avg(security_ok::INT), 6) AS security_rate, round(avg(ordered::INT), 6) AS ordered_rate,
- round(avg((len(expected) = len(actual))::INT), 6) AS count_rate, count(*) FILTER (len(expected) > 1) AS multi_tool, round(avg(clarification_ok::INT), 6) AS clarification_rate, round(avg(CASE WHEN len(expected) > 1 THEN correct::INT END), 6) AS multi_tool_rate, round(avg(CASE WHEN len(expected) = 0 THEN (len(actual) = 0)::INT END), 6) AS no_tool_rate"""
+RATES = """count(*) AS cases, CAST(sum(CAST(passed::INT AS DECIMAL(18, 6))) AS DOUBLE) / count(passed::INT) AS pass_rate, CAST(sum(CAST(selection_ok::INT AS DECIMAL(18, 6))) AS DOUBLE) / count(selection_ok::INT) AS selection_rate, CAST(sum(CAST(arguments_ok::INT AS DECIMAL(18, 6))) AS DOUBLE) / count(arguments_ok::INT) AS argument_rate, CAST(sum(CAST(security_ok::INT AS DECIMAL(18, 6))) AS DOUBLE) / count(security_ok::INT) AS security_rate, CAST(sum(CAST(ordered::INT AS DECIMAL(18, 6))) AS DOUBLE) / count(ordered::INT) AS ordered_rate,
+ CAST(sum(CAST((len(expected) = len(actual))::INT AS DECIMAL(18, 6))) AS DOUBLE) / count((len(expected) = len(actual))::INT) AS count_rate, count(*) FILTER (len(expected) > 1) AS multi_tool, CAST(sum(CAST(clarification_ok::INT AS DECIMAL(18, 6))) AS DOUBLE) / count(clarification_ok::INT) AS clarification_rate, CAST(sum(CAST(CASE WHEN len(expected) > 1 THEN correct::INT END AS DECIMAL(18, 6))) AS DOUBLE) / count(CASE WHEN len(expected) > 1 THEN correct::INT END) AS multi_tool_rate, CAST(sum(CAST(CASE WHEN len(expected) = 0 THEN (len(actual) = 0)::INT END AS DECIMAL(18, 6))) AS DOUBLE) / count(CASE WHEN len(expected) = 0 THEN (len(actual) = 0)::INT END) AS no_tool_rate"""
 DIV = "CASE WHEN {b} > 0 THEN round({a} / ({b}), {n}) ELSE 0.0::DOUBLE END"
 PAIRS = """pr AS (SELECT p_partkey, concat_ws(' ', p_name, p_type, p_brand, p_name) AS prediction, CASE WHEN p_partkey % 10 = 0 THEN '' WHEN p_partkey % 3 = 0 THEN concat_ws(' ', p_name, lower(p_type), p_brand, p_name) ELSE concat_ws(' ', p_type, p_name, 'of', p_brand) END AS ground_truth, CASE WHEN p_partkey % 8 = 0 THEN 'failed' END AS error FROM part)"""
 
 RUNS = ("runs", "qrels")
 ORACLES = {
     "rank_metrics": with_views(f"WITH {_per((3, 5, 10))} SELECT * FROM m", *RUNS),
-    "retrieval_metrics": with_views(f"WITH {_per((3,), 'rank <= 3')} SELECT config, count(*) AS queries, round(avg(hit_3), 6) AS hit, round(avg(mrr), 6) AS mrr, round(avg(precision_3), 6) AS precision, round(avg(recall_3), 6) AS recall FROM m GROUP BY config", *RUNS),
+    "retrieval_metrics": with_views(f"WITH {_per((3,), 'rank <= 3')} SELECT config, count(*) AS queries, CAST(sum(CAST(hit_3 AS DECIMAL(18, 6))) AS DOUBLE) / count(hit_3) AS hit, CAST(sum(CAST(mrr AS DECIMAL(18, 6))) AS DOUBLE) / count(mrr) AS mrr, CAST(sum(CAST(precision_3 AS DECIMAL(18, 6))) AS DOUBLE) / count(precision_3) AS precision, CAST(sum(CAST(recall_3 AS DECIMAL(18, 6))) AS DOUBLE) / count(recall_3) AS recall FROM m GROUP BY config", *RUNS),
     "relevance_grades": with_views("SELECT query_id, doc_id, grade FROM qrels WHERE grade > 0", "qrels"),
     "annotate_cases": with_views(f"WITH {CASES} SELECT query_id, query_type, evaluation_type, mismatch FROM ann", *RUNS),
     "filter_compliance": with_views("WITH " + COMPLY.replace("{c}", ", ".join(f"round(count(*) FILTER ({MEETS} AND rank <= {k}) / {k}, 6) AS compliance_{k}" for k in (3, 5, 10))) + " SELECT * FROM cm", *RUNS),
     "metadata_accuracy": with_views(f"WITH {EXPECTED} SELECT 'brand' AS field, count(*) AS checked, count(*) FILTER (length(query_id) % 3 <> 0) AS correct FROM e UNION ALL SELECT 'category', 0, 0 UNION ALL SELECT 'price_max', count(price_max), count(price_max) FROM e", "runs"),
     "family_hit": with_views("WITH " + FAMILY.replace("{c}", "CAST(coalesce(first <= 3, false) AS INT)::DOUBLE AS family_hit_3, CAST(coalesce(first <= 10, false) AS INT)::DOUBLE AS family_hit_10") + " SELECT * FROM fam", *RUNS),
     "score_cases": with_views(f"WITH {SCORED} SELECT * FROM sc", *RUNS),
-    "aggregate_cases": with_views(f"WITH {SCORED} SELECT config, query_type, evaluation_type, count(*) AS cases, round(avg(hit_10), 6) AS hit_10, round(avg(mrr), 6) AS mrr, round(avg(ndcg_10), 6) AS ndcg_10, round(avg(compliance_10), 6) AS compliance_10, round(avg(passed::INT), 6) AS pass_rate FROM sc GROUP BY GROUPING SETS ((config, query_type), (config, evaluation_type), (config))", *RUNS),
-    "operational_metrics": with_views("SELECT event AS config, round(avg((event_id % 3 = 0)::INT), 6) AS call_rate, round(avg(latency_ms), 6) AS mean_ms, round(median(latency_ms), 6) AS median_ms, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, round((sum(input_tokens) * 30 + sum(output_tokens) * 250) / 100000000, 6) AS cost_usd FROM log_events GROUP BY event", "log_events"),
+    "aggregate_cases": with_views(f"WITH {SCORED} SELECT config, query_type, evaluation_type, count(*) AS cases, CAST(sum(CAST(hit_10 AS DECIMAL(18, 6))) AS DOUBLE) / count(hit_10) AS hit_10, CAST(sum(CAST(mrr AS DECIMAL(18, 6))) AS DOUBLE) / count(mrr) AS mrr, CAST(sum(CAST(ndcg_10 AS DECIMAL(18, 6))) AS DOUBLE) / count(ndcg_10) AS ndcg_10, CAST(sum(CAST(compliance_10 AS DECIMAL(18, 6))) AS DOUBLE) / count(compliance_10) AS compliance_10, CAST(sum(CAST(passed::INT AS DECIMAL(18, 6))) AS DOUBLE) / count(passed::INT) AS pass_rate FROM sc GROUP BY GROUPING SETS ((config, query_type), (config, evaluation_type), (config))", *RUNS),
+    "operational_metrics": with_views("SELECT event AS config, CAST(sum(CAST((event_id % 3 = 0)::INT AS DECIMAL(18, 6))) AS DOUBLE) / count((event_id % 3 = 0)::INT) AS call_rate, CAST(sum(CAST(latency_ms AS DECIMAL(18, 6))) AS DOUBLE) / count(latency_ms) AS mean_ms, round(median(latency_ms), 6) AS median_ms, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, round((sum(input_tokens) * 30 + sum(output_tokens) * 250) / 100000000, 6) AS cost_usd FROM log_events GROUP BY event", "log_events"),
     "failure_counts": with_views(f"WITH {SCORED} SELECT config, failure_reason, count(*) AS n FROM sc WHERE failure_reason IS NOT NULL GROUP BY 1, 2", *RUNS),
     "filter_violations": with_views(f"WITH {SCORED} SELECT config, count(*) FILTER (compliance_10 < 1) AS violations FROM sc GROUP BY 1", *RUNS),
-    "config_comparison": with_views(f"WITH {SCORED}, a AS (SELECT config, round(avg(hit_10), 6) AS hit_10, round(avg(mrr), 6) AS mrr, round(avg(ndcg_10), 6) AS ndcg_10 FROM sc GROUP BY 1) SELECT a.*, a.hit_10 < b.hit_10 OR a.mrr < b.mrr OR a.ndcg_10 < b.ndcg_10 AS regressed FROM a, a b WHERE b.config = 'a'", *RUNS),
+    "config_comparison": with_views(f"WITH {SCORED}, a AS (SELECT config, CAST(sum(CAST(hit_10 AS DECIMAL(18, 6))) AS DOUBLE) / count(hit_10) AS hit_10, CAST(sum(CAST(mrr AS DECIMAL(18, 6))) AS DOUBLE) / count(mrr) AS mrr, CAST(sum(CAST(ndcg_10 AS DECIMAL(18, 6))) AS DOUBLE) / count(ndcg_10) AS ndcg_10 FROM sc GROUP BY 1) SELECT a.*, a.hit_10 < b.hit_10 OR a.mrr < b.mrr OR a.ndcg_10 < b.ndcg_10 AS regressed FROM a, a b WHERE b.config = 'a'", *RUNS),
     "run_diff": with_views(f"WITH {SCORED} SELECT query_id, x.mrr AS m0, y.mrr AS m1, CASE WHEN y.hit_10 > x.hit_10 OR y.hit_10 = x.hit_10 AND y.mrr > x.mrr THEN 'improved' WHEN y.hit_10 < x.hit_10 OR y.mrr < x.mrr THEN 'regressed' ELSE 'unchanged' END AS change FROM (SELECT * FROM sc WHERE config = 'a') x JOIN (SELECT * FROM sc WHERE config = 'b') y USING (query_id)", *RUNS),
-    "candidate_recall": with_views(f"WITH {BEST}, q AS (SELECT DISTINCT query_id FROM qrels WHERE grade > 0), x AS (SELECT DISTINCT config FROM runs) SELECT config, count(*) AS queries, " + ", ".join(f"round(avg(coalesce(best_rank <= {k}, false)::INT), 6) AS recall_{k}" for k in (20, 50, 100, 500)) + " FROM x CROSS JOIN q LEFT JOIN best USING (config, query_id) GROUP BY config", *RUNS),
+    "candidate_recall": with_views(f"WITH {BEST}, q AS (SELECT DISTINCT query_id FROM qrels WHERE grade > 0), x AS (SELECT DISTINCT config FROM runs) SELECT config, count(*) AS queries, " + ", ".join(f"CAST(sum(CAST(coalesce(best_rank <= {k}, false)::INT AS DECIMAL(18, 6))) AS DOUBLE) / count(coalesce(best_rank <= {k}, false)::INT) AS recall_{k}" for k in (20, 50, 100, 500)) + " FROM x CROSS JOIN q LEFT JOIN best USING (config, query_id) GROUP BY config", *RUNS),
     "classify_narrow": with_views(f"WITH {FACTS} SELECT * FROM k", *RUNS),
-    "diagnostic_rollup": with_views(f"WITH {FACTS}, n AS (SELECT query_type, failure_class, count(*) AS n FROM k WHERE failure_class IS NOT NULL GROUP BY 1, 2), t AS (SELECT query_type, failure_class AS top_failure, n AS top_n FROM n QUALIFY row_number() OVER (PARTITION BY query_type ORDER BY n DESC, failure_class) = 1) SELECT query_type, cases, mean_best_rank, top_failure, top_n FROM (SELECT query_type, count(*) AS cases, round(avg(best_rank), 6) AS mean_best_rank FROM k GROUP BY 1) LEFT JOIN t USING (query_type)", *RUNS),
+    "diagnostic_rollup": with_views(f"WITH {FACTS}, n AS (SELECT query_type, failure_class, count(*) AS n FROM k WHERE failure_class IS NOT NULL GROUP BY 1, 2), t AS (SELECT query_type, failure_class AS top_failure, n AS top_n FROM n QUALIFY row_number() OVER (PARTITION BY query_type ORDER BY n DESC, failure_class) = 1) SELECT query_type, cases, mean_best_rank, top_failure, top_n FROM (SELECT query_type, count(*) AS cases, CAST(sum(CAST(best_rank AS DECIMAL(18, 6))) AS DOUBLE) / count(best_rank) AS mean_best_rank FROM k GROUP BY 1) LEFT JOIN t USING (query_type)", *RUNS),
     "rank_shift": with_views(f"WITH {BEST} SELECT query_id, a.best_rank, b.best_rank AS new_rank, CASE WHEN b.best_rank > a.best_rank THEN 'pushed_down' WHEN b.best_rank < a.best_rank THEN 'improved' ELSE 'unchanged' END AS shift FROM (SELECT * FROM best WHERE config = 'a') a JOIN (SELECT * FROM best WHERE config = 'b') b USING (query_id)", *RUNS),
     "valid_predictions": f"WITH {PAIRS} SELECT * FROM pr WHERE ground_truth <> '' AND error IS NULL",
     "set_rates": f"WITH {TOOLS} SELECT case_id, (len(list_intersect(actual, expected)) > 0)::INT::DOUBLE AS hit, CASE WHEN len(expected) > 0 THEN round(len(list_intersect(actual, expected)) / len(expected), 6) END AS recall, CASE WHEN len(actual) > 0 THEN round(len(list_intersect(actual, expected)) / len(actual), 6) ELSE 0.0::DOUBLE END AS precision FROM o",
     "tool_selection_micro": f"WITH {TOOLS}, u AS (SELECT count(*) AS cases, count(*) FILTER (expected = actual) AS exact, CAST(sum(len(list_intersect(actual, expected))) AS BIGINT) AS tp, CAST(sum(len(actual) - len(list_intersect(actual, expected))) AS BIGINT) AS fp, CAST(sum(len(expected) - len(list_intersect(actual, expected))) AS BIGINT) AS fn FROM o) SELECT *, {DIV.format(a='tp', b='tp + fp', n=6)} AS precision, {DIV.format(a='tp', b='tp + fn', n=6)} AS recall, {DIV.format(a='2 * tp', b='2 * tp + fp + fn', n=6)} AS f1 FROM u",
     "argument_match": "SELECT o_orderkey AS case_id, CASE WHEN o_orderkey % 5 = 0 THEN false WHEN o_orderkey % 3 = 0 THEN true ELSE o_orderkey % 7 <> 0 END AS matched FROM orders",
     "confusion_matrix": f"WITH {TOOLS} SELECT expected[1] AS expected_intent, coalesce(actual[1], 'NONE') AS tool, count(*) AS n FROM o GROUP BY 1, 2",
-    "guardrail_accuracy": f"WITH {TOOLS} SELECT expected_behavior, count(*) AS cases, round(avg((len(actual) = 0)::INT), 6) AS accuracy FROM o WHERE expected_behavior = 'OUT_OF_SCOPE' GROUP BY 1",
+    "guardrail_accuracy": f"WITH {TOOLS} SELECT expected_behavior, count(*) AS cases, CAST(sum(CAST((len(actual) = 0)::INT AS DECIMAL(18, 6))) AS DOUBLE) / count((len(actual) = 0)::INT) AS accuracy FROM o WHERE expected_behavior = 'OUT_OF_SCOPE' GROUP BY 1",
     "latency_percentiles": f"WITH {TOOLS}, l AS (SELECT suite, list_sort(list(latency_ms)) AS x FROM o GROUP BY 1) SELECT suite, len(x) AS n, round(list_avg(x), 2) AS mean, x[CAST(floor((len(x) - 1) * 0.5) AS INT) + 1] AS p50, x[CAST(floor((len(x) - 1) * 0.95) AS INT) + 1] AS p95, x[CAST(floor((len(x) - 1) * 0.99) AS INT) + 1] AS p99, list_min(x) AS least, list_max(x) AS most FROM l",
-    "suite_report": f"WITH {TOOLS} SELECT suite, count(*) AS cases, count(*) FILTER (NOT ordered_ok) AS failed, round(avg(ordered_ok::INT), 6) AS pass_rate FROM o GROUP BY 1",
+    "suite_report": f"WITH {TOOLS} SELECT suite, count(*) AS cases, count(*) FILTER (NOT ordered_ok) AS failed, CAST(sum(CAST(ordered_ok::INT AS DECIMAL(18, 6))) AS DOUBLE) / count(ordered_ok::INT) AS pass_rate FROM o GROUP BY 1",
     "ordered_verdicts": f"WITH {TOOLS} SELECT case_id, ordered_ok AS passed FROM o",
     "tool_set_compare": f"WITH {TOOLS} SELECT case_id, missing, extra, ordered, correct FROM o",
     "argument_issues": f"WITH {TOOLS} SELECT case_id, issues FROM o",
