@@ -158,20 +158,25 @@ def rate_limit_verdicts(events: DataFrame, key: str = "user_id", ts: str = "ts",
     return dealt.mapInPandas(run, schema)
 
 
-def rate_limit_stream(events: DataFrame, key: str = "user_id", ts: str = "ts", max_requests: int = 20, window_s: float = 60.0) -> DataFrame:
-    """The limiter on a stream: the accepted times of one window are each key's state, dropped when it has passed."""
+def rate_limit_stream(events: DataFrame, key: str = "user_id", ts: str = "ts", max_requests: int = 20, window_s: float = 60.0, expire: bool = True) -> DataFrame:
+    """The limiter on a stream: the accepted times of one window are each key's state.
+
+    With ``expire`` it is dropped when the window has passed; leave that off for runs that end with the available data, as
+    they would wait for it.
+    """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def run(k, batches, state):
-        held = deque(state.get[0] if state.exists else [])
         if state.hasTimedOut:
             state.remove()
             return
+        held = deque(state.get[0] if state.exists else [])
         rows = pd.concat(list(batches)).sort_values(ts)
         allowed = _verdicts((rows[ts].astype("datetime64[us]").astype("int64") / 1e6).tolist(), held, max_requests, window_s)
         state.update((list(held),))
-        state.setTimeoutDuration(int(window_s * 1000))
+        if expire:
+            state.setTimeoutDuration(int(window_s * 1000))
         yield pd.DataFrame({key: [k[0]] * len(rows), ts: rows[ts].to_numpy(), "allowed": allowed})
 
     fields = {f.name: f.dataType.simpleString() for f in events.schema}
-    return events.groupBy(key).applyInPandasWithState(run, f"{key} {fields[key]}, {ts} timestamp, allowed boolean", "held array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy(key).applyInPandasWithState(run, f"{key} {fields[key]}, {ts} timestamp, allowed boolean", "held array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout)

@@ -126,3 +126,24 @@ def test_trace_and_secrets(spark):
     row = spark.createDataFrame([("00-4bf92f3577b34da6a3ce929d0e0e4736-00f067aa0ba902b7-01", "api_key=abc Token: x", "bad")], "t string, s string, b string")
     got = row.select(E.trace_id("t"), E.redact_secrets("s"), E.trace_id("b")).first()
     assert tuple(got) == ("4bf92f3577b34da6a3ce929d0e0e4736", "api_key=[REDACTED] Token: [REDACTED]", None)
+
+
+def test_limiter_on_a_stream(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(k, i, t0 + dt.timedelta(seconds=s)) for k in ("a", "b") for i, s in enumerate([0, 1, 2, 9, 10, 11, 12])]
+    batch = spark.createDataFrame(rows, "user_id string, event_id long, ts timestamp")
+    batch.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = E.rate_limit_stream(spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in")), max_requests=2, window_s=10.0, expire=False)
+    q = stream.writeStream.format("memory").queryName("verdicts").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    want = E.rate_limit_verdicts(batch, max_requests=2, window_s=10.0).select("user_id", "ts", "allowed")
+    assert sorted(map(tuple, spark.table("verdicts").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_cases_and_reports(spark, tmp_path):
+    path = tmp_path / "cases.json"
+    path.write_text('[{"id": 1, "tools": ["a"]}, {"id": 2, "tools": []}]')
+    cases = ingest.read_cases(spark, str(path), "id long, tools array<string>")
+    assert cases.count() == 2
+    ingest.write_report(cases.withColumn("passed", F.col("id") == 1), cases.agg(F.count("*").alias("n")), str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report/failed")).first()["id"] == 2
