@@ -1,6 +1,7 @@
 """Packing, mixing, toxicity, licences and language-model scoring on small tables."""
 
 import math
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -10,7 +11,7 @@ import pytest
 
 from bazaarspark.llm import license_scan as L
 from bazaarspark.llm import toxicity as X
-from bazaarspark.llm.lm_scoring import SLOTS, TABLES, Bits, Mixer, lm_score, packed
+from bazaarspark.llm.lm_scoring import SLOTS, TABLES, Bits, Mixer, fit, lm_score, packed, sizes
 from bazaarspark.llm.mixing import mix, mixed_documents
 from bazaarspark.llm.packing import CAPACITY, _cost, pack, solve
 
@@ -175,6 +176,34 @@ def test_mixer_is_a_distribution():
     assert sum(2.0**x for x in [*logit, *missing]) == pytest.approx(1, abs=1e-6)
 
 
+def test_predictors_keep_ratios_and_grow(spark):
+    counts = np.array([[3, 70, 300, 100_000, 9_000_000], [60, 2, 3_000, 1_000, 4_500_000]])
+    got = Mixer().logit.take(packed(counts))
+    assert got == pytest.approx(np.log((counts[1] + 0.4) / (counts[0] + 0.4)), abs=0.11)
+    for own in (0, 1):  # small counts without the word itself are exact
+        less = counts[:, :1] - np.array([[1 - own], [own]])
+        at = packed(counts[:, :1]).astype(int) + (own + 1) * 65536
+        assert Mixer().logit.take(at)[0] == pytest.approx(np.log((less[1] + 0.4) / (less[0] + 0.4))[0], abs=1e-5)
+    assert sizes(100) == (18,) * TABLES and sizes(400_000)[3:5] == (20, 22)
+    words = [f"w{i:x}".encode() for i in range(80_000)]
+    vocabulary = spark.createDataFrame([(bytearray(w), 1) for w in words], "word binary, c long")
+    whole, mixer = fit(vocabulary)
+    sharded, same = fit(vocabulary, shard_bits=18)
+    bits = Bits(words, sizes(len(words)))
+    assert bits.size[4] == 20 and [len(s) for s in sharded.shards] == [1, 1, 1, 1, 4, 1] and mixer.value == same.value
+    want = [np.zeros((2, 1 << b), np.int64) for b in bits.size]
+    for bit, slots, _ in bits:
+        for t, s in enumerate(slots):
+            np.add.at(want[t], (bit, s), 1)
+    for t, w in enumerate(want):
+        for got in (whole, sharded):
+            assert (np.concatenate([s.value for s in got.shards[t]]) == packed(w)).all()
+    fitted = pickle.loads(mixer.value)
+    part, at = bits.part(100, 300)
+    costs = fitted.cost(whole, part, 200)
+    assert (costs == fitted.cost(sharded, part, 200)).all() and costs == pytest.approx(fitted.cost(whole, bits, len(words))[100:300])
+
+
 def test_lm(spark):
     rng = np.random.default_rng(4)
     vocabulary = ["".join(rng.choice(["th", "an", "er", "in", "on"], rng.integers(1, 5))) for _ in range(400)]
