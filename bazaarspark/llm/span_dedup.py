@@ -1,9 +1,9 @@
 """Substring dedup by sliding sentence spans.
 
-From every sentence, the shortest run of consecutive sentences with at least ``span`` sentences and ``min_words`` words is
-hashed. Hashes are joined globally; of equal runs, the one in the document with the smallest identifier that comes
-first there stays. Sentences that any other run covers are removed. Longer repeated passages are covered by such runs, but for
-short sentences at their end that don't make up a run.
+The shortest runs of consecutive sentences with at least ``span`` sentences and ``min_words`` words that start and that end at each
+sentence are hashed, and each sentence of ``LONG`` words or more by itself. Hashes are joined globally; of equal runs, the one in the document with the smallest identifier that comes
+first there stays. Sentences that any other run covers are removed. Longer repeated passages are the union of the
+shortest runs in them.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from bazaarspark.llm import scratch
 
 #: One sentence with its end marks and the white space after it. Matches follow each other without a gap.
 SENTENCE = r"[^.!?\n]*[.!?\n][.!?\x20\x09-\x0D]*|[^.!?\n]+"
+#: Words of a sentence that counts as a run alone.
+LONG = 50
 _sentence = re.compile(SENTENCE)
 
 
@@ -28,20 +30,29 @@ def runs(text: str, span: int, min_words: int) -> tuple[list[int], list[int], li
     """Start, number of sentences and hash of each run; words are compared, not white space or A-Z case."""
     parts = [s.encode("utf-8", "surrogatepass").lower().split() for s in _sentence.findall(text)]
     digests = np.array([xxhash.xxh3_64_intdigest(b" ".join(p)) for p in parts], np.uint64)
-    starts, sizes, hashes = [], [], []
+    words = [len(p) for p in parts]
+    found: set[tuple[int, int]] = {(i, 1) for i, n in enumerate(words) if n >= LONG}
     end = held = 0
-    for i, p in enumerate(parts):
+    for i, n in enumerate(words):  # the shortest from each sentence
         while end < len(parts) and (end - i < span or held < min_words):
-            held += len(parts[end])
+            held += words[end]
             end += 1
         if end - i < span or held < min_words:
             break
-        if p:  # a run starts with a word
-            starts.append(i)
-            sizes.append(end - i)
-            hashes.append(xxhash.xxh3_64_intdigest(digests[i:end].tobytes()) - 2**63)
-        held -= len(p)
-    return starts, sizes, hashes
+        if n:  # a run starts with a word
+            found.add((i, end - i))
+        held -= n
+    start = held = 0
+    for i, n in enumerate(words):  # and up to each sentence
+        held += n
+        while start < i and (not words[start] or (i - start >= span and held - words[start] >= min_words)):
+            held -= words[start]
+            start += 1
+        if n and i + 1 - start >= span and held >= min_words:
+            found.add((start, i + 1 - start))
+    order = sorted(found)
+    hashes = [xxhash.xxh3_64_intdigest(digests[i : i + n].tobytes()) - 2**63 for i, n in order]
+    return [i for i, _ in order], [n for _, n in order], hashes
 
 
 def _scan(span: int, min_words: int):

@@ -158,6 +158,14 @@ def test_spans(spark):
     assert span_dedup(frame(spark, [])).count() == 0
 
 
+def test_spans_cover_the_end_of_a_passage_and_long_sentences(spark):
+    passage = "One two three four five six seven eight. Nine ten eleven twelve thirteen fourteen. A short end."
+    long = " ".join(f"w{i}" for i in range(55)) + "."
+    rows = [(1, f"{passage} Only here. {long} Tail of one."), (2, f"Another start of words. {passage} Different words follow in this text. {long} Tail of two.")]
+    got = {r["doc_id"]: r["text"] for r in span_dedup(frame(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: "Another start of words. Different words follow in this text. Tail of two."}
+
+
 def test_e8():
     v = neighbours()
     assert len(v) == 240 and (np.sum(v * v, 1) == 8).all() and len({tuple(x) for x in v}) == 240
