@@ -1,7 +1,9 @@
 """Licence scans by sentence rules. Column expressions only: no join, no exchange, no Python on the executors.
 
-A text is cut into sentences (at line feeds, and where an end mark precedes white space) and each is normalised (runs of
-anything but ASCII letters and digits become a space; lower case). Known sentences have identifiers; a document is then its
+A text is cut into sentences (at lines without letters and digits, and where an end mark precedes white space) and each is
+normalised (runs of anything but ASCII letters and digits, line feeds and comment signs too, become a space; lower case).
+Each line of a sentence is also tried alone, and the lines from any one to the sentence's end or from its start, so that
+notices next to other lines are found. Known sentences have identifiers; a document is then its
 sequence of identifiers, others left out, and a rule matches where its identifiers stand in it one after the other.
 """
 
@@ -86,6 +88,37 @@ RULES: list[tuple[str, list[str]]] = [
     ("CC0-1.0", ["cc0-short"]),
 ]
 
+# Notices that license_sql() does not have. Pieces end at semicolons and colons, as texts are cut there.
+MORE_SENTENCES: dict[str, str] = {
+    "fsf-library": "This library is free software:",
+    "fsf-terms-gpl": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation;",
+    "fsf-terms-lgpl": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation;",
+    "fsf-later-2": "either version 2 of the License, or (at your option) any later version.",
+    "fsf-later-2.1": "either version 2.1 of the License, or (at your option) any later version.",
+    "fsf-later-3": "either version 3 of the License, or (at your option) any later version.",
+    "fsf-only-2": "version 2 of the License.",
+    "lgpl-terms": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl-terms": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "fsf-library-warranty": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;",
+    "lgpl-details": "See the GNU Lesser General Public License for more details.",
+    "agpl-details": "See the GNU Affero General Public License for more details.",
+}
+MORE_RULES: list[tuple[str, list[str]]] = [
+    (name, [start, *terms, warranty])
+    for start, warranty in (("gpl-free-1", "gpl-warranty-1"), ("fsf-library", "fsf-library-warranty"))
+    for name, terms in (
+        ("GPL-2.0-or-later", ["fsf-terms-gpl", "fsf-later-2"]),
+        ("GPL-2.0", ["fsf-terms-gpl", "fsf-only-2"]),
+        ("GPL-3.0-or-later", ["fsf-terms-gpl", "fsf-later-3"]),
+        ("LGPL-2.1-or-later", ["fsf-terms-lgpl", "fsf-later-2.1"]),
+        ("LGPL-3.0-or-later", ["fsf-terms-lgpl", "fsf-later-3"]),
+        ("LGPL-3.0-or-later", ["lgpl-terms"]),
+        ("AGPL-3.0-or-later", ["agpl-terms"]),
+    )
+]
+#: A tag and its expression; identifiers stand between operators, and an exception follows WITH.
+SPDX = r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+() \t-]+)"
+
 #: Every known sentence holds one of these, so that a text without any needs no sentences.
 ANCHORS = r"(?i)licen|permi|copyright|warrant|software|redistribut|compliance|\bmpl\b"
 
@@ -94,25 +127,46 @@ def normalised(sentence: str) -> str:
     return re.sub("[^A-Za-z0-9]+", " ", sentence).strip(" ").lower()
 
 
-def _sentences(text: Column) -> Column:
-    marked = F.regexp_replace(text, r"([.!?;:])[\x20\x09-\x0D]+", "$1\n")
-    return F.transform(F.split(marked, "\n"), lambda s: F.lower(F.trim(F.regexp_replace(s, "[^A-Za-z0-9]+", " "))))
+def _known_in(text: Column, known: Column) -> Column:
+    """The known sentences of a text in their order."""
+    marked = F.regexp_replace(text, r"([.!?;:])[\x20\x09-\x0D]+", "$1\n\n")
+    pieces = F.split(marked, r"\n(?:[^A-Za-z0-9\n]*\n)+")
+    lines = F.transform(pieces, lambda p: F.filter(F.transform(F.split(p, "\n"), lambda x: F.lower(F.trim(F.regexp_replace(x, "[^A-Za-z0-9]+", " ")))), lambda x: x != ""))
+    longest = max(len(normalised(s).split()) for s in (SENTENCES | MORE_SENTENCES).values())  # a longer run of lines has too many words
+
+    def found(ls: Column) -> Column:
+        n = F.size(ls)
+        hit = lambda i, m: F.struct(i.alias("from"), m.alias("lines"), F.try_element_at(known, F.array_join(F.slice(ls, i, m), " ")).alias("name"))
+        alone = F.transform(ls, lambda x, i: F.struct((i + 1).alias("from"), F.lit(1).alias("lines"), F.try_element_at(known, x).alias("name")))
+        most = F.least(n, F.lit(longest))
+        to_end = F.transform(F.sequence(F.lit(2), most), lambda m: hit(n - m + 1, m))
+        from_start = F.transform(F.sequence(F.lit(2), most), lambda m: hit(F.lit(1), m))
+        every = F.when(n > 1, F.concat(alone, to_end, from_start)).otherwise(alone)
+        return F.transform(F.array_sort(F.array_distinct(F.filter(every, lambda h: h["name"].isNotNull()))), lambda h: h["name"])
+
+    return F.flatten(F.transform(lines, found))
+
+
+def _tagged(text: Column) -> Column:
+    """Licences of SPDX tags."""
+    plain = F.transform(F.regexp_extract_all(text, F.lit(SPDX), 1), lambda x: F.regexp_replace(x, r"[ \t]WITH[ \t]+[A-Za-z0-9.-]+", ""))
+    return F.filter(F.flatten(F.transform(plain, lambda x: F.split(x, r"[()\s]+(?:(?:OR|AND)[()\s]+)*"))), lambda x: x.rlike("[A-Za-z0-9]"))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``id_col``, ``n_matched`` (known sentences), ``sentence_ids`` in their order, ``licenses`` in order of name.
 
     A null or empty text, and one without known sentences, has none and empty lists. Sentences that repeat count each
-    time. Known sentences that complete no rule give no licence. Other columns are not read. An empty table gives an empty one.
+    time. Known sentences that complete no rule give no licence. SPDX tags give the licences they name and no sentence. Other columns are not read. An empty table gives an empty one.
     """
-    known = F.create_map(*[F.lit(x) for name, s in SENTENCES.items() for x in (normalised(s), name)])
+    known = F.create_map(*[F.lit(x) for name, s in (SENTENCES | MORE_SENTENCES).items() for x in (normalised(s), name)])
     text = F.col(text_col).cast("string")
-    ids = F.array_compact(F.transform(_sentences(text), lambda s: F.try_element_at(known, s)))
-    found = docs.select(F.col(id_col), F.when(text.rlike(ANCHORS), ids).otherwise(F.array().cast("array<string>")).alias("sentence_ids"))
-    found = found.withColumn("sentence_ids", F.coalesce("sentence_ids", F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+    found = docs.select(F.col(id_col), F.when(text.rlike(ANCHORS), _known_in(text, known)).otherwise(none).alias("sentence_ids"), F.when(text.contains("SPDX-License-Identifier:"), _tagged(text)).otherwise(none).alias("_tagged"))
+    found = found.withColumns({"sentence_ids": F.coalesce("sentence_ids", none), "_tagged": F.coalesce("_tagged", none)})
     sequence = F.concat(F.lit(","), F.array_join("sentence_ids", ","), F.lit(","))
-    matches = F.array(*[F.when(sequence.contains("," + ",".join(ids) + ","), F.lit(name)) for name, ids in RULES])
-    licences = F.when(F.size("sentence_ids") > 0, F.array_sort(F.array_distinct(F.array_compact(matches)))).otherwise(F.array().cast("array<string>"))
+    matches = F.array(*[F.when(sequence.contains("," + ",".join(ids) + ","), F.lit(name)) for name, ids in RULES + MORE_RULES])
+    licences = F.when(F.size("sentence_ids") + F.size("_tagged") > 0, F.array_sort(F.array_distinct(F.concat(F.array_compact(matches), "_tagged")))).otherwise(none)
     return found.select(id_col, F.size("sentence_ids").cast("long").alias("n_matched"), "sentence_ids", licences.alias("licenses"))
 
 

@@ -3,6 +3,7 @@
 import math
 import pickle
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -152,6 +153,25 @@ def test_licences(spark):
     assert L.license_scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_wrapped_licences_and_tags(spark):
+    wrap = lambda keys, width, sign="": "\n".join(sign + x for x in textwrap.wrap(" ".join((L.SENTENCES | L.MORE_SENTENCES)[k] for k in keys), width))
+    apache = "Copyright 2020 Someone\n" + wrap(["apache-header", "apache-use", "apache-copy"], 70) + "\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\n" + wrap(["apache-basis", "apache-limits"], 70)
+    gpl = "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even"
+    want = {
+        1: (wrap(["mit-grant", "mit-notice", "mit-warranty"], 72, " * "), ["MIT"]),
+        2: (apache, ["Apache-2.0"]),
+        3: ("\n".join("# " + x for x in apache.split("\n")), ["Apache-2.0"]),
+        4: (gpl, ["GPL-2.0-or-later"]),
+        5: (wrap(["fsf-library", "fsf-terms-lgpl", "fsf-later-2.1", "fsf-library-warranty"], 60, "// "), ["LGPL-2.1-or-later"]),
+        6: (wrap(["gpl-free-1", "agpl-terms", "gpl-warranty-1"], 75), ["AGPL-3.0-or-later"]),
+        7: ("// SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-2.0-only WITH Linux-syscall-note\nint x;", ["Apache-2.0", "GPL-2.0-only", "MIT"]),
+        8: ("Title\nLicensed under CC BY 4.0.\nmore lines\nwithout marks", ["CC-BY-4.0"]),
+        9: (wrap(["bsd-grant"], 70) + "\n\n" + "\n".join(wrap([k], 70, "  ") for k in ("bsd-source", "bsd-binary", "bsd-endorse")) + "\n\n" + wrap(["bsd-warranty"], 70), ["BSD-3-Clause"]),
+    }
+    got = L.license_scan(spark.createDataFrame([(i, t) for i, (t, _) in want.items()], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["licenses"] for r in got} == {i: w for i, (_, w) in want.items()}
+
+
 def test_mixer_is_a_distribution():
     """The probabilities of all first bytes sum to one."""
     counts = np.zeros((TABLES, 2, SLOTS), np.int32)
