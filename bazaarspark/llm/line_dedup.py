@@ -7,7 +7,7 @@ still tied. Suffixes with one rank after round k are an interval of the array wi
 lines or more; a run of any length l is an interval of pairs of ranks, of its first and its last 2 ** k lines.
 
 A repeated run counts if it holds ``min_words`` words. The shortest such runs that start and that end at each line are
-looked up in their intervals: where an interval starts with another suffix (in the order of documents and lines), the run is
+looked up in their intervals (doubling ends with the longest of them): where an interval starts with another suffix (in the order of documents and lines), the run is
 a later copy and goes. A maximal repeated run is the union of these shortest ones in it, so that exactly the later copies of
 maximal runs go.
 """
@@ -126,7 +126,8 @@ def later_copies(docs: DataFrame, id_col: str, text_col: str, min_words: int) ->
     tied = scratch.written(_classed(lines, classes, ["line", "check"], most).select("id", "digest", "pos", "needs", "rank", "first"), "line-suffixes")
     found = [_later(tied.where(F.array_contains("needs", 1))).select("id", "digest", "pos", F.lit(1).alias("len"))]
     width = 1
-    while not classes.isEmpty():
+    # Doubling ends with the last suffix that starts a run as long as this round's prefix: no other lookup is left.
+    while (tied.agg(F.max(F.array_max("needs"))).first()[0] or 0) >= max(width, 2):
         here = tied.withColumn("need", F.explode("needs")).where(F.col("need").between(width, 2 * width - 1) & (F.col("need") > 1)).alias("a")
         last = tied.select("id", "digest", F.col("pos").alias("end"), F.col("rank").alias("last")).alias("b")
         ends = here.join(last, _same_row("a", "b") & (F.col("b.end") == F.col("a.pos") + F.col("a.need") - width))
