@@ -26,18 +26,21 @@ CAPACITY = 1024
 GRAIN = 32
 #: The linear program ends when padding is under this share of all ids, or no pattern improves it.
 GAP = 0.001
+#: Fixed value: the special token of the vocabulary. Its string in a text is this one id.
+SPECIAL = {"<|endoftext|>": 50256}
 #: Pieces of one length that a task ranks, about.
 RANKED = 100_000
 
 
 def _encoder(ranks_path: str | None):
-    """The encoder whose ids are those of ``byte_bpe_50k.json``: the same vocabulary as ranks, which is several times faster."""
+    """The encoder whose ids are those of ``byte_bpe_50k.json``: the same vocabulary as ranks, which is several times faster, and
+    its special token."""
     import public_tokenizers
     import tiktoken
 
     with open(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
 
 def _pieces(ranks_path: str | None):
@@ -46,7 +49,7 @@ def _pieces(ranks_path: str | None):
         for batch in batches:
             at, starts, lengths, crcs, totals = [], [], [], [], []
             for i, text in enumerate(batch.column("text")):
-                ids = np.append(np.asarray(encoder.encode_to_numpy(text.as_py() or "", allowed_special=set(), disallowed_special=()), "<u4"), np.uint32(0))
+                ids = np.append(np.asarray(encoder.encode_to_numpy(text.as_py() or "", allowed_special="all", disallowed_special=()), "<u4"), np.uint32(0))
                 for start, end in cuts(len(ids)):
                     piece = ids[start:end]
                     at.append(i)
@@ -161,7 +164,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_
     """One row per piece: ``id_col``, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset``.
 
     A document is its ids and then id 0; a null or empty text is id 0 alone. Each id lies in exactly one piece and the
-    pieces of a sequence follow each other from offset 0. Rows repeated whole are packed each time. Other columns are not
+    pieces of a sequence follow each other from offset 0. Very long texts are cut into many pieces, each placed by itself. Rows repeated whole are packed each time. Other columns are not
     read. An empty table gives an empty one. ``ranks_path``: the vocabulary, on every executor.
     """
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
