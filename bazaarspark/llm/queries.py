@@ -88,21 +88,36 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = r"""
-WITH d AS (SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
-s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+WITH RECURSIVE
+d AS (SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+h AS (SELECT source, size, count(*) AS n FROM d GROUP BY ALL),
+s AS (SELECT source, CAST(sum(size * n) AS BIGINT) AS source_size, greatest(1.0, CAST(sum(size * n) AS DOUBLE) / sum(n)) AS scale FROM h GROUP BY source),
 w AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight FROM s),
 r AS (SELECT *, 3.0 * source_size / weight AS ratio, row_number() OVER (ORDER BY 3.0 * source_size / weight, source NULLS LAST) AS nth FROM w),
 l AS (SELECT *, sum(source_size) OVER () - coalesce(sum(3.0 * source_size) OVER b, 0) AS remains, sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS share
       FROM r WINDOW b AS (ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 f AS (SELECT *, min(CASE WHEN remains <= ratio * share THEN nth END) OVER () AS first, min_by(remains / share, CASE WHEN remains <= ratio * share THEN nth END) OVER () AS level FROM l),
-t AS (SELECT source, source_size, CASE WHEN nth < first THEN 3.0 * source_size ELSE least(3.0 * source_size, level * weight) END AS target FROM f),
-p AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size + 1e-9) AS BIGINT) ELSE 0 END AS whole FROM t),
-q AS (SELECT *, greatest(0, CAST(round(target) AS BIGINT) - whole * source_size) AS more FROM p),
-g AS (SELECT source, k, size, count(*) AS n FROM d GROUP BY ALL),
-c AS (SELECT *, sum(size * n) OVER (PARTITION BY source ORDER BY k, size) AS upto FROM g)
-SELECT d.doc_id, d.size, q.source_size, q.target,
-       CAST(q.whole * d.size + CASE WHEN c.upto <= q.more THEN d.size WHEN c.upto - c.size * c.n < q.more THEN (q.more - c.upto + c.size * c.n) // c.n ELSE 0 END AS BIGINT) AS taken
-FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source JOIN c ON c.source IS NOT DISTINCT FROM d.source AND c.k = d.k AND c.size = d.size
+t AS (SELECT source, source_size, scale, CAST(CASE WHEN nth < first THEN 3.0 * source_size ELSE least(3.0 * source_size, level * weight) END AS DOUBLE) AS target FROM f),
+-- The dual's multiplier of each source, by halving a bracket: the sum of size * rate rises with it.
+b AS (SELECT source, scale, target, CAST(-1e5 AS DOUBLE) AS lo, CAST(1e5 AS DOUBLE) AS hi, 0 AS step FROM t
+      UNION ALL
+      SELECT source, scale, target, CASE WHEN total < target THEN (lo + hi) / 2 ELSE lo END, CASE WHEN total < target THEN hi ELSE (lo + hi) / 2 END, step + 1
+      FROM (SELECT b.source, any_value(b.scale) AS scale, any_value(b.target) AS target, any_value(lo) AS lo, any_value(hi) AS hi, any_value(step) AS step,
+                   sum(h.n * h.size * least(3.0, exp(least((lo + hi) / 2 * h.size / b.scale, 50.0)))) AS total
+            FROM b JOIN h ON b.source IS NOT DISTINCT FROM h.source WHERE step < 75 GROUP BY b.source)),
+m AS (SELECT source, CASE WHEN target >= 3.0 * source_size * (1 - 1e-12) AND target > 0 THEN 1e12 WHEN target = source_size THEN 0.0 ELSE (lo + hi) / 2 END AS lam, t.scale, t.target, source_size
+      FROM t JOIN (SELECT source AS o, lo, hi FROM b WHERE step = 75) ON source IS NOT DISTINCT FROM o),
+g AS (SELECT d.source, k, size, count(*) AS n, any_value(target) AS target, any_value(source_size) AS source_size,
+             any_value(least(3.0, exp(least(lam * size / scale, 50.0)))) AS rate
+      FROM d JOIN m ON d.source IS NOT DISTINCT FROM m.source GROUP BY d.source, k, size),
+q AS (SELECT *, CASE WHEN target > 0 THEN CAST(floor(rate + 1e-9) AS BIGINT) WHEN size > 0 THEN 0 ELSE 1 END AS whole,
+             CASE WHEN rate - floor(rate + 1e-9) > 1e-9 AND target > 0 AND size > 0
+                  THEN (CAST(CAST('0x' || substr(k, 1, 13) AS BIGINT) AS DOUBLE) + 1) / 4503599627370496.0 / (rate - floor(rate + 1e-9)) END AS place FROM g),
+c AS (SELECT *, greatest(0, CAST(round(target) AS BIGINT) - CAST(sum(whole * size * n) OVER (PARTITION BY source) AS BIGINT)) AS more,
+             CASE WHEN place IS NOT NULL THEN CAST(sum(CASE WHEN place IS NOT NULL THEN size * n ELSE 0 END) OVER (PARTITION BY source ORDER BY place NULLS LAST, k, size) AS BIGINT) END AS upto FROM q)
+SELECT d.doc_id, d.size, c.source_size, c.target,
+       CAST(c.whole * d.size + CASE WHEN c.place IS NULL THEN 0 WHEN c.upto <= c.more THEN d.size WHEN c.upto - c.size * c.n < c.more THEN (c.more - c.upto + c.size * c.n) // c.n ELSE 0 END AS BIGINT) AS taken
+FROM d JOIN c ON c.source IS NOT DISTINCT FROM d.source AND c.k = d.k AND c.size = d.size
 """
 
 

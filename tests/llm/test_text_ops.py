@@ -47,8 +47,7 @@ def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    rows = ROWS + [(600, "<|endoftext|> é日本語 🙂   tabs\t\tand\n\nlines 12345 can't", "a")]
+    rows = ROWS + [(601, "<|endoftext|>", "a"), (602, "a  <|endoftext|><|endoftext|>\n b <|endoftext", "a"), (600, "<|endoftext|> é日本語 🙂   tabs\t\tand\n\nlines 12345 can't", "a")]
     got = pack(frame(spark, rows).repartition(3)).collect()
     ids = Counter((i, tuple(tokenizer.encode(t or "", add_special_tokens=False).ids) + (0,)) for i, t, _ in rows)
     for (doc, tokens), times in ids.items():
@@ -103,7 +102,26 @@ def test_mixing(spark):
         taken[s] += r["taken"]
     assert all(abs(taken[s] - target[s]) <= max(2, 0.001 * target[s]) for s in order)
     assert sorted(map(tuple, mix(frame(spark, ROWS).repartition(2)).collect()), key=repr) == sorted(map(tuple, got), key=repr)
+    cut = Counter()
+    for s in order:  # the same dual, solved by halving
+        docs = [size(t) for _, t, x in ROWS if x == s]
+        scale = max(1.0, sum(docs) / len(docs))
+        rates = lambda lam: [min(3.0, math.exp(min(lam * n / scale, 50))) for n in docs]  # noqa: E731, B023
+        lo, hi = -1e4, 1e4
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if sum(n * r for n, r in zip(docs, rates(mid))) < target[s] else (lo, mid)
+        for r in got:
+            if source[r["doc_id"], r["size"]] == s and r["size"]:
+                rate = min(3.0, math.exp(min((lo + hi) / 2 * r["size"] / scale, 50)))
+                assert math.floor(rate + 1e-6) * r["size"] <= r["taken"] <= math.ceil(rate - 1e-6) * r["size"]
+                cut[s] += r["taken"] % r["size"] != 0
+    assert all(cut[s] <= 1 for s in order if s != "hot") and cut["hot"] <= 2  # one identifier is repeated there
     copies = mixed_documents(frame(spark, ROWS)).collect()
+    blank = sorted((r["doc_id"], r["text"]) for r in copies if size(r["text"]) == 0 and (r["doc_id"] or 0) >= 500)
+    assert blank == [(500, None), (501, ""), (502, " \n\t")]
+    longest = next(r["text"] for r in copies if r["doc_id"] == 119)
+    assert longest and ROWS[119][1].startswith(longest)
     assert sum(size(r["text"]) for r in copies) == sum(taken.values()) and copies[0].asDict().keys() == {c.split()[0] for c in SCHEMA.split(", ")}
     assert mix(frame(spark, [])).count() == 0 and mixed_documents(frame(spark, [])).count() == 0
 
