@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bazaarspark.llm import scratch
@@ -55,7 +55,7 @@ def _scan(k: int):
                 sizes.append(len(s))
                 keys.append(_key(s) if len(s) else None)
                 bands.append(_band_keys(minima.of(s)) if len(s) else [])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["id", "n", "key", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["id", "digest", "n", "key", "bands"])
 
     return run
 
@@ -162,18 +162,17 @@ def _blocks(rows: DataFrame, *fields: str) -> DataFrame:
     return rows.groupBy("bucket", "i", "j").agg(F.collect_list(F.struct("key", "n", "sig", *fields)).alias("members")).select("bucket", "members")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: ``id_col``, ``n_shingles``, ``component_id``, ``kept``.
+def _digest(text_col: str) -> Column:
+    return F.xxhash64(F.col(text_col).cast("string"))
 
-    Documents are linked when 100 * intersection >= ``percent`` * union of their sets of ``k``-word shingles (A-Z
-    lower-cased). ``component_id`` is the smallest identifier reachable by links, itself included, and ``kept`` says
-    that it is the row's own. A text with fewer words has one shingle; null and empty texts, and texts of white space,
-    have none and are linked with nothing. A row with a null identifier is linked with nothing and kept. Rows that share
-    an identifier are one document each by its own text. Other columns are not read. An empty table gives an empty one.
-    """
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+
+def near_rows(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+    """One row per document: (id, digest, n, key, group, component_id). ``digest`` is of the text, ``key`` of the set, and ``group``
+    is one for all rows of a component; a row without a set or identifier has no group."""
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), _digest(text_col).alias("digest"))
     id_type = base.schema["id"].dataType.simpleString()
-    scanned = scratch.written(base.mapInArrow(_scan(k), f"id {id_type}, n long, key binary, bands array<long>"), "minhash-scan")
+    scanned = scratch.written(base.mapInArrow(_scan(k), f"id {id_type}, digest long, n long, key binary, bands array<long>"), "minhash-scan")
+    base = base.drop("digest")
     classes = scratch.written(scanned.where("id is not null and n > 0").groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.any_value("bands").alias("bands")), "minhash-classes")
 
     banded = classes.select("key", F.explode("bands").alias("bucket"))
@@ -200,7 +199,43 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     parts = scratch.written(connected_components(links.unionByName(more)), "minhash-parts") if not more.isEmpty() else parts
 
     least = parts.join(classes.select(F.col("key").alias("node"), "first"), "node").groupBy("component").agg(F.min("first").alias("component_id"))
-    linked = parts.join(least, "component").select(F.col("node").alias("key"), "component_id")
-    ids = classes.where("copies > 1").select("key", "first").join(linked, "key", "full").select("key", F.coalesce("component_id", "first").alias("component_id"))
-    of = F.coalesce(F.when(F.col("id").isNotNull(), F.col("component_id")), F.col("id"))
-    return scanned.select("id", "n", "key").join(ids, "key", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), of.alias("component_id"), of.eqNullSafe(F.col("id")).alias("kept"))
+    linked = parts.join(least, "component").select(F.col("node").alias("key"), "component", "component_id")
+    ids = classes.where("copies > 1").select("key", "first").join(linked, "key", "full").select("key", "component", F.coalesce("component_id", "first").alias("component_id"))
+    named = F.col("id").isNotNull()
+    of = F.coalesce(F.when(named, F.col("component_id")), F.col("id"))
+    return scanned.select("id", "digest", "n", "key").join(ids, "key", "left").select("id", "digest", "n", F.when(named, F.coalesce("component", "key")).alias("group"), of.alias("component_id"))
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """One row per document: ``id_col``, ``n_shingles``, ``component_id``, ``kept``.
+
+    Documents are linked when 100 * intersection >= ``percent`` * union of their sets of ``k``-word shingles (A-Z
+    lower-cased). ``component_id`` is the smallest identifier reachable by links, itself included, and ``kept`` says
+    that it is the row's own. A text with fewer words has one shingle; null and empty texts, and texts of white space,
+    have none and are linked with nothing. A row with a null identifier is linked with nothing and kept. Rows that share
+    an identifier are one document each by its own text. Very long texts enter whole. Other columns are not read. An empty
+    table gives an empty one.
+    """
+    found = near_rows(docs, id_col, text_col, k, percent)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("component_id").eqNullSafe(F.col("id")).alias("kept"))
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each group of near copies, with all columns: the one with the smallest identifier (of one identifier, with
+    the smallest digest of its text; of rows with both, one).
+
+    Decisions are taken by row and not by identifier: a row goes only if its own text has a copy that stays. Rows without words or
+    without an identifier stay. An empty table gives an empty one.
+    """
+    found = scratch.written(near_rows(docs, id_col, text_col, k, percent).where("group is not null").select("id", "digest", "group"), "minhash-groups")
+    least = found.groupBy("group").agg(F.min(F.struct("id", "digest")).alias("least"), F.count("*").alias("n")).where("n > 1")
+    members = found.join(least, "group").select("id", "digest", (F.struct("id", "digest") == F.col("least")).alias("stays"))
+    rows = members.groupBy("id", "digest").agg(F.max("stays").alias("stays"), F.count("*").alias("n"))
+    rows = scratch.written(rows.select(F.col("id").alias("_near_id"), F.col("digest").alias("_near_digest"), "stays", "n"), "minhash-decisions")
+    marked = docs.withColumn("_near_text", _digest(text_col))
+    same = (marked[id_col] == F.col("_near_id")) & (F.col("_near_text") == F.col("_near_digest"))
+    again = rows.where("stays and n > 1").select("_near_id", "_near_digest")
+    kept = marked.join(rows.where("not stays or n > 1").select("_near_id", "_near_digest"), same, "left_anti")
+    if not again.isEmpty():
+        kept = kept.unionByName(marked.join(again, same, "left_semi").dropDuplicates([id_col, "_near_text"]))
+    return kept.drop("_near_text")
