@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,6 +46,37 @@ def ilike_any(columns: Sequence[str], pattern: str) -> Column:
     return F.expr(" OR ".join(f"coalesce({c} ILIKE {pattern}, false)" for c in columns))
 
 
+def any_holds(columns: Sequence[str], term: str, pattern: str) -> Column:
+    """Whether any of the columns holds the term, whatever its case. Only terms with wildcards are matched as patterns, as
+    a pattern column is compiled anew for every row."""
+    plain = ~F.col(term).rlike(r"[%_\\]")
+    held = F.contains(F.lower(F.concat_ws("\x01", *columns)), F.lower(F.col(term)))
+    return F.when(plain, held).otherwise(ilike_any(columns, pattern))
+
+
+def values_at(rows: DataFrame, key: str, col: str, places: dict[str, Callable[[Column], Column]], ranges: int = 1 << 14) -> DataFrame:
+    """(key, place name, x): the values at places (from 0, as columns of the count) of each key's sorted values.
+
+    Values are counted in ``ranges`` of equal width for each key; only the range that holds a place is then sorted, its equal values
+    as one row, so that no task holds a key.
+    """
+    x = rows.where(F.col(col).isNotNull()).select(F.col(key).alias("k"), F.col(col).cast("double").alias("x"))
+    stats = x.groupBy("k").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    s = stats.alias("s")
+    share = (F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo"))
+    binned = x.alias("x").join(s, F.col("x.k").eqNullSafe(F.col("s.k"))).select("x.k", "x", F.when(F.col("hi") > F.col("lo"), F.least(F.floor(share * ranges), F.lit(ranges - 1))).otherwise(F.lit(0)).alias("bin"))
+    counts = binned.groupBy("k", "bin").agg(F.count("*").alias("c"))
+    upto = counts.withColumn("upto", F.sum("c").over(Window.partitionBy("k").orderBy("bin"))).alias("b")
+    wanted = stats.select("k", F.inline(F.array(*[F.struct(F.lit(name).alias("name"), place(F.col("n")).cast("long").alias("place")) for name, place in places.items()]))).alias("w")
+    held = (F.col("place") >= F.col("upto") - F.col("c")) & (F.col("place") < F.col("upto"))
+    here = upto.join(wanted, F.col("b.k").eqNullSafe(F.col("w.k"))).where(held).select("w.k", "w.name", "b.bin", (F.col("place") - F.col("upto") + F.col("c")).alias("inside")).alias("h")
+    within = binned.alias("x").join(here, F.col("x.k").eqNullSafe(F.col("h.k")) & (F.col("x.bin") == F.col("h.bin")))
+    equal = within.groupBy("h.k", "h.name", "h.inside", "x.x").agg(F.count("*").alias("c"))
+    last = F.sum("c").over(Window.partitionBy("k", "name").orderBy("x"))
+    found = equal.withColumn("upto", last).where((F.col("inside") >= F.col("upto") - F.col("c")) & (F.col("inside") < F.col("upto")))
+    return found.select(F.col("k").alias(key), "name", "x")
+
+
 def is_blank(col: Column) -> Column:
     return F.length(F.trim(F.coalesce(col.cast("string"), F.lit("")))) == 0
 

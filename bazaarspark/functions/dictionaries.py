@@ -84,7 +84,7 @@ NEGATIVE_PREFIXES = [r"بدون\s+برند", r"به\s+جز\s+برند", r"غیر
 COLLOQUIAL = "یه چیزی|یه دونه|یه مدل|نمیخوام خیلی|گرون نباشه|خوب باشه|چی پیشنهاد|پیشنهاد میدی|نمی دونم|نمیدونم"
 IMPLICIT_USE = r"برای\s+\S+|مناسب\s+\S+|موهای|گردن|صورت|خشک|چرب|حساس"
 IMPLICIT_PRICE = "گرون|گران|ارزان|ارزون|بودجه|قیمت مناسب"
-QUALITY = "خوب|بهترین|بهتر"
+QUALITY = r"خوب|بهترین|بهتر(?![\p{L}\p{N}_])"
 COMPLEX_INTENT = r"ولی|اما|همچنین|هم\s+|نه خیلی|ترجیح"
 
 # End of the fixed values.

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bazaarspark.functions.columns import mean
+from bazaarspark.functions.columns import mean, values_at
+from bazaarspark.operators import metadata as M
 
 
 def _safe(a: Column, b: Column) -> Column:
@@ -83,16 +84,53 @@ def annotate_cases(cases: DataFrame) -> DataFrame:
     return cases.withColumns({"evaluation_type": kind, "mismatch": F.coalesce(differ, F.lit(False))})
 
 
+#: Expected filters of a case; columns that a table of expectations lacks set none.
+FILTERS = {"brand": "string", "category": "string", "color": "string", "gender": "string", "price_max": "double", "price_min": "double", "available": "boolean", "exclude_brand": "string", "product_name_contains": "string"}
+
+
+def expected_filters(expected: DataFrame, prefix: str = "_") -> DataFrame:
+    """(query_id, filters): all nine filters under prefixed names; blank texts set none."""
+    cols = {f: (F.col(f).cast(t) if f in expected.columns else F.lit(None).cast(t)) for f, t in FILTERS.items()}
+    return expected.select("query_id", *[(F.when(F.length(c) > 0, c) if FILTERS[f] == "string" else c).alias(prefix + f) for f, c in cols.items()])
+
+
+def _part_of(text: str, part: Column) -> Column:
+    return F.contains(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), F.lower(part))
+
+
+def item_matches_filters(prefix: str = "_") -> Column:
+    """Whether a product meets the expected filters of its row. Products have product_name, brand, type, category_level1,
+    category_level2, color, gender, price and last_status."""
+    want = lambda f: F.col(prefix + f)
+    meets = lambda f, cond: want(f).isNull() | F.coalesce(cond, F.lit(False))
+    category = _part_of("type", want("category")) | _part_of("category_level1", want("category")) | _part_of("category_level2", want("category")) | _part_of("product_name", want("category"))
+    return (
+        meets("brand", M.same_brand(F.col("brand"), want("brand")))
+        & meets("category", category)
+        & meets("color", _part_of("color", want("color")))
+        & meets("gender", _part_of("gender", want("gender")))
+        & meets("price_max", F.col("price") <= want("price_max"))
+        & meets("price_min", F.col("price") >= want("price_min"))
+        & (~F.coalesce(want("available"), F.lit(False)) | F.coalesce(F.col("last_status") == "Enable", F.lit(False)))
+        & (want("exclude_brand").isNull() | ~F.coalesce(M.same_brand(F.col("brand"), want("exclude_brand")), F.lit(False)))
+        & meets("product_name_contains", _part_of("product_name", want("product_name_contains")))
+    )
+
+
+def has_filters(prefix: str = "_") -> Column:
+    found = F.lit(False)
+    for f in FILTERS:
+        found = found | F.col(prefix + f).isNotNull()
+    return found
+
+
 def filter_compliance(run: DataFrame, expected: DataFrame, items: DataFrame, ks: tuple[int, ...] = (3, 5, 10)) -> DataFrame:
-    """Share of the first k places held by products that meet the expected filters (query_id, brand, category, price_max).
+    """Share of the first k places held by products that meet the expected filters (see ``FILTERS``).
 
     It divides by k and not by the length of the list; a query without filters has null, an empty list 0.
     """
-    rows = run.join(items, "doc_id").join(expected.select("query_id", F.col("brand").alias("_b"), F.col("category").alias("_c"), F.col("price_max").alias("_p")), "query_id")
-    meets = lambda want, cond: F.col(want).isNull() | F.coalesce(cond, F.lit(False))
-    ok = meets("_b", F.lower("brand") == F.lower("_b")) & meets("_c", F.lower("type") == F.lower("_c")) & meets("_p", F.col("price") <= F.col("_p"))
-    filtered = F.max(F.col("_b").isNotNull() | F.col("_c").isNotNull() | F.col("_p").isNotNull())
-    per = rows.groupBy("config", "query_id").agg(filtered.alias("f"), *[F.count_if(ok & (F.col("rank") <= k)).alias(f"n{k}") for k in ks])
+    rows = run.join(items, "doc_id").join(expected_filters(expected), "query_id")
+    per = rows.groupBy("config", "query_id").agg(F.max(has_filters()).alias("f"), *[F.count_if(item_matches_filters() & (F.col("rank") <= k)).alias(f"n{k}") for k in ks])
     return per.select("config", "query_id", *[F.when(F.col("f"), F.round(F.col(f"n{k}") / k, 6)).alias(f"compliance_{k}") for k in ks])
 
 
@@ -147,7 +185,10 @@ def aggregate_cases(scored: DataFrame) -> DataFrame:
 def operational_metrics(scored: DataFrame, price_in: float = 0.30, price_out: float = 2.50) -> DataFrame:
     """By configuration: share of model calls, mean and median latency, tokens and cost in USD."""
     cost = (F.sum("input_tokens").cast("decimal(20,0)") * F.lit(str(price_in)).cast("decimal(10,4)") + F.sum("output_tokens").cast("decimal(20,0)") * F.lit(str(price_out)).cast("decimal(10,4)")) / 1_000_000
-    return scored.groupBy("config").agg(mean(F.col("called").cast("double")).alias("call_rate"), mean("latency_ms").alias("mean_ms"), F.round(F.percentile("latency_ms", 0.5), 6).alias("median_ms"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.round(cost, 6).cast("double").alias("cost_usd"))
+    sums = scored.groupBy("config").agg(mean(F.col("called").cast("double")).alias("call_rate"), mean("latency_ms").alias("mean_ms"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.round(cost, 6).cast("double").alias("cost_usd"))
+    middle = values_at(scored, "config", "latency_ms", {"lower": lambda n: F.floor((n - 1) / 2), "upper": lambda n: F.ceil((n - 1) / 2)})
+    median = middle.groupBy(F.col("config").alias("_config")).agg(F.round(F.avg("x"), 6).alias("median_ms"))
+    return sums.join(median, F.col("config").eqNullSafe(F.col("_config")), "left").select("config", "call_rate", "mean_ms", "median_ms", "input_tokens", "output_tokens", "cost_usd")
 
 
 def failure_counts(scored: DataFrame) -> DataFrame:
@@ -182,8 +223,53 @@ def candidate_recall(run: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = (20
     return rows.groupBy("config").agg(F.count("*").alias("queries"), *[mean(F.coalesce(F.col("first") <= k, F.lit(False)).cast("double")).alias(f"recall_{k}") for k in ks])
 
 
+def filter_exclusions(pairs: DataFrame) -> DataFrame:
+    """Adds ``exclusions``: which of a query's extracted filters a gold product fails, in a fixed order.
+
+    Rows hold a product (as in :func:`item_matches_filters`) and the query's metadata under the prefix ``q_``, with
+    ``q_exclude_brands`` as an array.
+    """
+    q = lambda c: F.col("q_" + c)
+    fails = lambda f, cond: F.when(q(f).isNotNull() & ~F.coalesce(cond, F.lit(False)), F.lit(f))
+    category = _part_of("type", q("category")) | _part_of("category_level1", q("category")) | _part_of("category_level2", q("category"))
+    excluded = F.exists(F.coalesce(q("exclude_brands"), F.array().cast("array<string>")), lambda b: F.coalesce(M.same_brand(F.col("brand"), b), F.lit(False)))
+    reasons = [
+        fails("brand", M.same_brand(F.col("brand"), q("brand"))),
+        fails("category", category),
+        fails("color", _part_of("color", q("color"))),
+        fails("gender", _part_of("gender", q("gender"))),
+        fails("price_min", F.col("price") >= q("price_min")),
+        fails("price_max", F.col("price") <= q("price_max")),
+        F.when(F.coalesce(q("availability"), F.lit(False)) & ~F.coalesce(F.col("last_status") == "Enable", F.lit(False)), F.lit("availability")),
+        F.when(excluded, F.lit("exclude_brand")),
+    ]
+    return pairs.withColumn("exclusions", F.array_compact(F.array(*reasons)))
+
+
+def narrow_facts(cases: DataFrame, gold: DataFrame, catalog: DataFrame, filtered: DataFrame) -> DataFrame:
+    """What :func:`classify_narrow` asks of each case: gold products in the catalog, meeting the expected filters, found by the
+    query's conditions, and failing its extracted filters, with the best rank of a gold product.
+
+    ``cases`` hold query_id, the extracted metadata (prefix ``q_``) and the expected filters (prefix ``_``); ``gold`` is (query_id,
+    product_code); ``filtered`` is (query_id, product_code, rank) of what passes a query's conditions, rank null beyond the list.
+    """
+    pairs = gold.join(catalog, "product_code", "left").withColumn("known", F.col("enabled").isNotNull()).join(cases, "query_id")
+    found = filtered.select("query_id", "product_code", "rank", F.lit(True).alias("passes"))
+    rows = filter_exclusions(pairs).join(found, ["query_id", "product_code"], "left")
+    meets = ~has_filters() | item_matches_filters()
+    sums = rows.groupBy("query_id").agg(
+        F.count_if("known").alias("gold_in_catalog"),
+        F.count_if(F.col("known") & meets).alias("gold_meets_filters"),
+        F.count_if(F.coalesce("passes", F.lit(False))).alias("gold_filtered"),
+        F.count_if(F.col("known") & meets & (F.size("exclusions") > 0)).alias("gold_excluded"),
+        F.min("rank").alias("best_rank"),
+    )
+    zeros = {c: F.coalesce(c, F.lit(0)) for c in ("gold_in_catalog", "gold_meets_filters", "gold_filtered", "gold_excluded")}
+    return cases.select("query_id").join(sums, "query_id", "left").withColumns(zeros)
+
+
 def classify_narrow(facts: DataFrame) -> DataFrame:
-    """Facts of a case (gold_in_catalog, gold_meets_filters, gold_filtered, gold_excluded, best_rank) as the first cause of its failure."""
+    """Facts of a case (:func:`narrow_facts`) as the first cause of its failure; null if a gold product is among the first ten."""
     cause = (
         F.when(F.col("gold_in_catalog") == 0, "NO_CATALOG_MATCH")
         .when(F.col("gold_meets_filters") == 0, "DATA/GOLD_ISSUE")

@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaarspark.functions.columns import clamp, ilike_any, like_pattern, top_n, total
+from bazaarspark.functions.columns import any_holds, clamp, like_pattern, top_n, total
 
 #: Fields that a profile may show.
-PROFILE = ["customer_code", "customer_group", "customer_name", "city", "email", "phone"]
+PROFILE = ["customer_code", "customer_group", "customer_type", "city", "customer_name", "gender", "mobile", "email", "created_date_persian", "first_purchase", "last_purchase", "success_ordered_cnt", "success_order_price", "item_cnt"]
 COMPLETED = ("complete", "completed", "delivered")
 CANCELLED = ("cancelled", "canceled")
 SEARCHED = ["order_id", "order_items_name", "order_items_sku", "brand_name", "category_level1", "category_level2", "status", "city"]
@@ -20,7 +20,8 @@ SEARCHED = ["order_id", "order_items_name", "order_items_sku", "brand_name", "ca
 
 def customer_profile(users: DataFrame, fields: list[str] | None = None) -> DataFrame:
     """Allowed fields only; unknown ones are left out and an empty choice means all. One row for each customer."""
-    chosen = [f for f in (fields or []) if f in PROFILE] or PROFILE
+    allowed = [f for f in PROFILE if f in users.columns]
+    chosen = [f for f in (fields or []) if f in allowed] or allowed
     chosen = ["customer_code", *[f for f in chosen if f != "customer_code"]]
     return users.groupBy("customer_code").agg(*[F.min(f).alias(f) for f in chosen if f != "customer_code"]) if len(chosen) > 1 else users.select("customer_code").distinct()
 
@@ -79,7 +80,7 @@ def search_orders(items: DataFrame, requests: DataFrame, limit: int = 20) -> Dat
     Requests are (request_id, customer_id, term). ``%`` and ``_`` in a term are wildcards.
     """
     asked = requests.withColumn("pattern", like_pattern(F.col("term")))
-    rows = items.join(asked, "customer_id").where(ilike_any(SEARCHED, "pattern"))
+    rows = items.join(asked, "customer_id").where(any_holds(SEARCHED, "term", "pattern"))
     names = F.expr("listagg(DISTINCT order_items_name, ', ') WITHIN GROUP (ORDER BY order_items_name)")
     found = rows.groupBy("request_id", "customer_id", "order_id").agg(F.min("created_at").alias("created_at"), F.max("status").alias("status"), F.count("*").alias("item_count"), names.alias("products"), total("final_price").alias("total_amount"))
     return top_n(found, ["request_id"], [F.desc_nulls_last("created_at"), F.asc("order_id")], clamp(limit, 1, 50))
@@ -94,7 +95,7 @@ def purchased_products(items: DataFrame, limit: int = 50) -> DataFrame:
 def product_purchase_history(items: DataFrame, requests: DataFrame, limit: int = 20) -> DataFrame:
     """Products that match a term: orders, quantity, last purchase; newest first."""
     asked = requests.withColumn("pattern", like_pattern(F.col("term")))
-    rows = items.join(asked, "customer_id").where(ilike_any(["order_items_name", "order_items_sku", "product_id", "brand_name"], "pattern"))
+    rows = items.join(asked, "customer_id").where(any_holds(["order_items_name", "order_items_sku", "product_id", "brand_name"], "term", "pattern"))
     keys = ["request_id", "customer_id", "order_items_name", "order_items_sku", "product_id", "brand_name"]
     found = rows.groupBy(*keys).agg(F.count_distinct("order_id").alias("order_count"), total("ordered_qty").alias("total_qty"), F.max("created_at").alias("last_purchased_at"))
     return top_n(found, ["request_id"], [F.desc_nulls_last("last_purchased_at"), F.asc("product_id")], clamp(limit, 1, 50))

@@ -1,17 +1,22 @@
 """Evaluation of generated answers and of tool calls, as columns over a table of cases."""
 
-from __future__ import annotations
+import math
+import re
+from collections import Counter
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bazaarspark.functions import text as X
-from bazaarspark.functions.columns import is_blank, mean
+from bazaarspark.functions.columns import is_blank, mean, values_at
 
 # Argument names that a search may not get, marks of SQL, what a clarification asks with, behaviours that call no
 # tool, and marks of connection errors.
 FORBIDDEN = ["customer_id", "sql", "filters", "filter", "metadata", "config", "llm_config", "database", "schema", "name_matching", "candidate_limit"]
 SQL_MARKS = ["select ", " from ", " where ", " insert ", " update ", " delete ", " drop ", " union "]
+RESOLVED = "<resolved_from_step_"
+ALIASES = ["xiaomi", "شیائومی"]
 CLARIFY = ["؟", "?", "کدوم", "کدام", "منظورت", "منظور شما", "بیشتر بگو", "واضح", "مشخص", "دقیق‌تر", "دقیق تر"]
 NO_TOOL = ["OUT_OF_SCOPE", "ABSTAIN", "DENY_UNAUTHORIZED", "BLOCK"]
 CONNECTION = ["10061", "10053", "10054", "actively refused", "Connection refused", "ConnectError", "ReadError", "ConnectTimeout", "TimeoutException", "RemoteProtocolError"]
@@ -22,46 +27,58 @@ def valid_predictions(df: DataFrame, prediction: str = "prediction", reference:
     return df.where(~is_blank(F.col(prediction)) & ~is_blank(F.col(reference)) & is_blank(F.col(error)))
 
 
-def _ngrams(words: Column, n: int) -> Column:
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+def _folded_words(text: str) -> list[str]:
+    return [w for w in text.lower().split() if w]
 
 
-def _clipped(a: Column, b: Column) -> Column:
-    """How many items of ``a`` find a partner in ``b``, each once: for every item, the least of its counts."""
-    count = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda s, x: s + F.least(count(a, x), count(b, x)))
+def _sentence_bleu(p: list[str], r: list[str]) -> float:
+    if not set(p) & set(r):
+        return 0.0
+    logs = 0.0
+    for n in range(1, 5):
+        a, b = (Counter(zip(*(w[i:] for i in range(n)), strict=False)) for w in (p, r))
+        logs += math.log(max(float((a & b).total()), 0.1) / max(a.total(), 1)) / 4
+    brevity = 0.0 if len(p) >= len(r) else 1 - len(r) / len(p)
+    return math.exp(brevity + logs)
 
 
-def bleu(prediction: str, reference: str) -> Column:
-    """Sentence BLEU-4 with uniform weights; a precision without a match counts 0.1 of one. 0 if a side is blank."""
-    p, r = (F.filter(F.split(F.lower(X.text(c)), r"\s+"), lambda w: F.length(w) > 0) for c in (prediction, reference))
-    logs = F.lit(0.0)
-    for n in range(1, 5):
-        a, b = _ngrams(p, n), _ngrams(r, n)
-        total = F.greatest(F.size(a), F.lit(1))
-        logs = logs + F.log(F.greatest(_clipped(a, b).cast("double"), F.lit(0.1)) / total) / 4
-    brevity = F.when(F.size(p) >= F.size(r), 0.0).otherwise(1 - F.size(r) / F.size(p))
-    none = (F.size(p) == 0) | (F.size(r) == 0) | (F.size(F.array_intersect(p, r)) == 0)
-    return F.when(none, 0.0).otherwise(F.round(F.exp(brevity + logs), 6))
+def _common_length(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence: bits of ``b`` whose column of the table rises, for all of ``b`` at once."""
+    places: dict[str, int] = {}
+    for i, w in enumerate(b):
+        places[w] = places.get(w, 0) | (1 << i)
+    every = (1 << len(b)) - 1
+    flat = every
+    for w in a:
+        hit = flat & places.get(w, 0)
+        flat = ((flat + hit) | (flat - hit)) & every
+    return len(b) - flat.bit_count()
 
 
-def rouge_l(prediction: str, reference: str) -> Column:
-    """F-measure of the longest common subsequence of unstemmed words; 0 if a side is blank."""
-    p, r = (F.regexp_extract_all(F.lower(X.text(c)), F.lit(r"[\p{L}\p{N}]+"), 0) for c in (prediction, reference))
-    start = F.transform(r, lambda _: F.lit(0))
+def _bleu(prediction: pd.Series, reference: pd.Series) -> pd.Series:
+    return pd.Series([round(_sentence_bleu(_folded_words(p), _folded_words(r)), 6) for p, r in zip(prediction, reference, strict=True)], dtype="float64")
+
 
-    def row(prev: Column, w: Column) -> Column:
-        """The next line of the table: each cell from the left one, the one above and the one before that."""
+def _rouge(prediction: pd.Series, reference: pd.Series) -> pd.Series:
+    out = []
+    for p, r in zip(prediction, reference, strict=True):
+        a, b = _letters.findall(p.lower()), _letters.findall(r.lower())
+        n = _common_length(a, b)
+        out.append(round(2 * n / (len(a) + len(b)), 6) if n else 0.0)
+    return pd.Series(out, dtype="float64")
 
-        def cell(acc: Column, i: Column) -> Column:
-            left = F.coalesce(F.element_at(F.concat(F.array(F.lit(0)), acc), -1), F.lit(0))
-            above, before = F.get(prev, i), F.coalesce(F.when(i > 0, F.get(prev, i - 1)), F.lit(0))
-            return F.array_append(acc, F.when(F.get(r, i) == w, before + 1).otherwise(F.greatest(left, above)))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(r) - 1), F.array().cast("array<int>"), cell)
+_letters = re.compile(r"[^\W_]+")
 
-    lcs = F.when((F.size(p) > 0) & (F.size(r) > 0), F.element_at(F.aggregate(p, start, row), -1)).otherwise(0)
-    return F.when(lcs > 0, F.round(2.0 * lcs / (F.size(p) + F.size(r)), 6)).otherwise(0.0)
+
+def bleu(prediction: str, reference: str) -> Column:
+    """Sentence BLEU-4 with uniform weights; a precision without a match counts 0.1 of one. 0 if no word is shared."""
+    return F.pandas_udf(_bleu, "double")(X.text(prediction), X.text(reference))
+
+
+def rouge_l(prediction: str, reference: str) -> Column:
+    """F-measure of the longest common subsequence of unstemmed words; 0 if a side is blank."""
+    return F.pandas_udf(_rouge, "double")(X.text(prediction), X.text(reference))
 
 
 def text_scores(df: DataFrame, prediction: str = "prediction", reference: str = "ground_truth") -> DataFrame:
@@ -87,10 +104,24 @@ def tool_selection_micro(results: DataFrame) -> DataFrame:
     return s.select("cases", "exact", "tp", "fp", "fn", div(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), div(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"), div(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"))
 
 
+def _same_map(a: Column, b: Column) -> Column:
+    return F.array_sort(F.map_entries(a)) == F.array_sort(F.map_entries(b))
+
+
+def _holds_all(actual: Column, expected: Column) -> Column:
+    """Every expected argument with its value, or with any value where an earlier step gives it."""
+    later = lambda v: F.startswith(v, F.lit(RESOLVED))
+    fits = lambda e: F.when(later(e["value"]), F.map_contains_key(actual, e["key"])).otherwise(F.try_element_at(actual, e["key"]).eqNullSafe(e["value"]))
+    return F.forall(F.map_entries(expected), fits)
+
+
 def argument_match(results: DataFrame) -> DataFrame:
-    """Adds ``matched``: every expected argument is there with its value, or any value where it comes from an earlier step."""
-    wanted = F.forall(F.map_entries("expected_args"), lambda e: F.map_contains_key(F.col("actual_args"), e["key"]) & (e["value"].startswith("<resolved_from_step_") | (F.try_element_at(F.col("actual_args"), e["key"]) == e["value"])))
-    return results.withColumn("matched", F.coalesce(wanted, F.lit(False)))
+    """Adds ``matched``. One expected object (``expected_args``) wants a single call with exactly these arguments; a list
+    (``expected_calls``) wants as many calls, each holding what is expected of it. Without either it is null: not evaluated."""
+    one = (F.size("actual_calls") == 1) & _same_map(F.get("actual_calls", F.lit(0)), F.col("expected_args"))
+    pairs = F.arrays_zip(F.col("actual_calls").alias("a"), F.col("expected_calls").alias("e"))
+    many = (F.size("actual_calls") == F.size("expected_calls")) & F.forall(pairs, lambda p: _holds_all(p["a"], p["e"]))
+    return results.withColumn("matched", F.when(F.col("expected_args").isNotNull(), F.coalesce(one, F.lit(False))).when(F.col("expected_calls").isNotNull(), F.coalesce(many, F.lit(False))))
 
 
 def confusion_matrix(results: DataFrame) -> DataFrame:
@@ -103,12 +134,12 @@ def guardrail_accuracy(results: DataFrame) -> DataFrame:
 
 
 def latency_percentiles(results: DataFrame, key: str = "suite", col: str = "latency_ms") -> DataFrame:
-    """Mean, least, most, and the values at places int((n - 1) p) of the sorted ones: ranks are numbered, not collected."""
-    w = Window.partitionBy(key)
-    n = F.count(col).over(w)
-    rows = results.where(F.col(col).isNotNull()).select(key, F.col(col).alias("x"), F.row_number().over(w.orderBy(col)).alias("i"), n.alias("n"))
-    at = lambda p: F.max(F.when(F.col("i") == F.floor((F.col("n") - 1) * F.lit(p)) + 1, F.col("x")))
-    return rows.groupBy(key).agg(F.count("*").alias("n"), F.round(F.avg("x"), 2).alias("mean"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"), F.min("x").alias("least"), F.max("x").alias("most"))
+    """Mean, least, most, and the values at places int((n - 1) p) of the sorted ones."""
+    place = lambda p: lambda n: F.floor((n - 1) * F.lit(p))
+    at = values_at(results, key, col, {"p50": place(0.5), "p95": place(0.95), "p99": place(0.99)}).alias("a")
+    wide = at.groupBy(F.col(f"a.{key}").alias("_key")).agg(*[F.max(F.when(F.col("name") == p, F.col("x"))).alias(p) for p in ("p50", "p95", "p99")])
+    sums = results.where(F.col(col).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.round(F.avg(col), 2).alias("mean"), F.min(col).alias("least"), F.max(col).alias("most"))
+    return sums.join(wide, F.col(key).eqNullSafe(F.col("_key"))).select(key, "n", "mean", "p50", "p95", "p99", "least", "most")
 
 
 def suite_report(results: DataFrame) -> DataFrame:
@@ -121,31 +152,71 @@ def ordered_verdicts(cases: DataFrame) -> DataFrame:
     return cases.withColumn("passed", (want == F.col("actual")) & is_blank(F.col("error")))
 
 
+def tool_accuracy(verdicts: DataFrame) -> DataFrame:
+    """(kind, name, passed, total, accuracy in percent): cases that pass by category, and expected tools that are called by tool."""
+    category = verdicts.select(F.lit("category").alias("kind"), F.coalesce(F.nullif("category", F.lit("")), F.lit("unknown")).alias("name"), F.col("passed").alias("ok"))
+    tools = verdicts.select(F.explode(F.array_distinct("expected")).alias("name"), "actual").select(F.lit("tool").alias("kind"), "name", F.array_contains("actual", F.col("name")).alias("ok"))
+    sums = category.unionByName(tools).groupBy("kind", "name").agg(F.count_if("ok").alias("passed"), F.count("*").alias("total"))
+    return sums.withColumn("accuracy", F.round(100 * F.col("passed") / F.col("total"), 2))
+
+
 def tool_set_compare(cases: DataFrame) -> DataFrame:
-    """Adds missing, extra, ordered and correct; optional extras are allowed."""
-    out = cases.withColumns({"missing": F.array_except("expected", "actual"), "extra": F.array_except(F.array_except("actual", "expected"), "optional"), "ordered": F.col("expected") == F.col("actual")})
+    """Adds missing and extra tools in order of name, ordered and correct; optional extras are allowed."""
+    out = cases.withColumns({"missing": F.array_sort(F.array_except("expected", "actual")), "extra": F.array_sort(F.array_except(F.array_except("actual", "expected"), "optional")), "ordered": F.col("expected") == F.col("actual")})
     return out.withColumn("correct", (F.size("missing") == 0) & (F.size("extra") == 0))
 
 
+def _folded(c: Column) -> Column:
+    return F.lower(F.translate(F.coalesce(c, F.lit("")), "يك", "یک"))
+
+
+def _call_issues(args: Column, wanted: Column) -> Column:
+    query = _folded(F.try_element_at(args, F.lit("query")))
+    padded = F.concat(F.lit(" "), query, F.lit(" "))
+    none = F.array().cast("array<string>")
+    names = F.array_sort(F.array_distinct(F.filter(F.transform(F.map_keys(args), lambda k: F.lower(k)), lambda k: k.isin(*FORBIDDEN))))
+    forbidden = F.when(F.size(names) > 0, F.array(F.concat(F.lit("forbidden_keys:"), F.array_join(names, ",")))).otherwise(none)
+    sql = F.when(F.exists(F.array(*map(F.lit, SQL_MARKS)), lambda m: F.contains(padded, m)), F.array(F.lit("sql_in_query"))).otherwise(none)
+    aliases = F.create_map(*[x for k in ALIASES for x in (F.lit(k), F.array(*map(F.lit, ALIASES)))])
+    variants = lambda w: F.coalesce(F.try_element_at(aliases, _folded(w)), F.array(w))
+    missing = F.filter(wanted, lambda w: ~F.exists(variants(w), lambda v: F.contains(query, _folded(v))))
+    return F.concat(forbidden, sql, F.transform(missing, lambda w: F.concat(F.lit("missing_substring:"), w)))
+
+
 def argument_issues(cases: DataFrame) -> DataFrame:
-    """Adds ``issues`` of a search's arguments: forbidden names, SQL in the query, missing words (``wanted`` array)."""
-    query = F.concat(F.lit(" "), F.lower(X.fold_text(F.try_element_at(F.col("args"), F.lit("query")))), F.lit(" "))
-    raw = F.concat(F.lit(" "), F.lower(F.coalesce(F.try_element_at(F.col("args"), F.lit("query")), F.lit(""))), F.lit(" "))
-    names = F.transform(F.filter(F.array_sort(F.map_keys("args")), lambda k: k.isin(*FORBIDDEN)), lambda k: F.concat(F.lit("forbidden:"), k))
-    sql = F.when(F.exists(F.array(*map(F.lit, SQL_MARKS)), lambda m: F.contains(raw, m)), F.array(F.lit("sql"))).otherwise(F.array().cast("array<string>"))
-    missing = F.transform(F.filter("wanted", lambda w: ~F.contains(query, F.lower(w))), lambda w: F.concat(F.lit("missing:"), w))
-    return cases.withColumn("issues", F.concat(names, sql, missing))
+    """Adds ``issues`` of the product searches among ``calls`` (array of name and args): forbidden names, SQL in the query, missing
+    words (``wanted`` array, null: none) or their other spellings."""
+    wanted = F.coalesce(F.col("wanted"), F.array().cast("array<string>"))
+    searches = F.filter("calls", lambda c: c["name"] == "search_products")
+    return cases.withColumn("issues", F.flatten(F.transform(searches, lambda c: _call_issues(F.coalesce(c["args"], F.create_map().cast("map<string,string>")), wanted))))
 
 
 def score_tool_cases(cases: DataFrame) -> DataFrame:
-    """Adds selection_ok, arguments_ok, security_ok, clarification_ok, passed and reason."""
+    """Adds selection_ok, arguments_ok, violations, security_ok, context_ok, clarification_ok (null where none is asked for),
+    no_tool_ok (null where tools are expected), passed and reason (null for passed cases)."""
     c = argument_issues(tool_set_compare(cases))
-    asks = F.exists(F.array(*map(F.lit, CLARIFY)), lambda m: F.contains(F.lower(X.text("answer")), m))
-    clarify = F.when(F.col("expected_behavior") == "clarify", asks).otherwise(True)
-    c = c.withColumns({"selection_ok": F.col("correct"), "arguments_ok": F.size("issues") == 0, "security_ok": F.forall("scoped_ids", lambda i: i == F.col("customer_id")), "clarification_ok": clarify})
-    flags = ["selection_ok", "arguments_ok", "security_ok", "clarification_ok"]
-    passed = F.col(flags[0]) & F.col(flags[1]) & F.col(flags[2]) & F.col(flags[3])
-    return c.withColumns({"passed": passed, "reason": F.concat_ws(",", *[F.when(~F.col(f), F.lit(f.removesuffix("_ok"))) for f in flags])})
+    none = F.array().cast("array<string>")
+    asked = F.col("expected_behavior") == "ask_clarification"
+    asks = F.exists(F.array(*map(F.lit, CLARIFY)), lambda m: F.contains(X.text("answer"), m))
+    context = F.when(F.col("customer_id").isNotNull() & (F.coalesce(F.size("scoped_ids"), F.lit(0)) > 0), F.forall("scoped_ids", lambda i: i.eqNullSafe(F.col("customer_id")))).otherwise(True)
+    in_issues = F.filter("issues", lambda i: F.startswith(i, F.lit("forbidden_keys:")) | (i == "sql_in_query"))
+    in_calls = F.transform(F.filter("calls", lambda k: F.coalesce(F.map_contains_key(k["args"], "customer_id"), F.lit(False))), lambda k: F.concat(k["name"], F.lit(":customer_id_argument")))
+    c = c.withColumn("context_ok", context)
+    c = c.withColumn("violations", F.array_distinct(F.concat(in_issues, in_calls, F.when(F.col("context_ok"), none).otherwise(F.array(F.lit("request_context_mismatch"))))))
+    c = c.withColumn("clarification_ok", F.when(asked, F.col("correct") & ((F.size("actual") == 0) | asks)))
+    c = c.withColumns(
+        {
+            "no_tool_ok": F.when(F.col("expected_behavior").isin("no_tool", "refuse"), F.col("correct")),
+            "selection_ok": F.coalesce("clarification_ok", "correct"),
+            "arguments_ok": F.size("issues") == 0,
+            "security_ok": F.size("violations") == 0,
+        }
+    )
+    c = c.withColumn("passed", F.col("selection_ok") & F.col("arguments_ok") & F.col("security_ok") & F.col("context_ok"))
+    listed = lambda name, col, sep: F.when(F.size(col) > 0, F.concat(F.lit(name + "="), F.array_join(col, sep)))
+    unclear = F.when(asked & ~asks, F.when(F.size("actual") > 0, "guessed_instead_of_clarifying").otherwise("answer_not_clarifying"))
+    reason = F.concat_ws("; ", listed("missing", "missing", ","), listed("extra", "extra", ","), listed("args", "issues", ";"), listed("security", "violations", ";"), unclear)
+    return c.withColumn("reason", F.when(~F.col("passed"), F.coalesce(F.nullif(reason, F.lit("")), F.lit("unspecified_failure"))))
 
 
 def per_tool_prf(cases: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bazaarspark.operators import ir_eval as I
+from bazaarspark.operators import search
 from bazaarspark.operators import tool_eval as T
 from bazaarspark.sources.tables import table, view, with_views
 
@@ -18,14 +19,18 @@ def _qrels(s, d):
 
 
 def _items(s, d):
-    return table(s, d, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_brand").alias("brand"), F.col("p_type").alias("type"), F.col("p_retailprice").alias("price"))
+    return search.catalog_view(view(s, d, "products")).withColumn("doc_id", F.col("product_code").cast("long")).withColumn("price", F.col("price").cast("double"))
 
 
 def _expected(s, d):
-    """Filters of a query: its brand always, a price for every second type."""
+    """Filters of a query: its brand always, others by the length of its text."""
     q = _run(s, d).select("query_id").distinct()
-    kind = F.split_part("query_id", F.lit("|"), F.lit(1))
-    return q.select("query_id", F.split_part("query_id", F.lit("|"), F.lit(2)).alias("brand"), F.lit(None).cast("string").alias("category"), F.when(F.length(kind) % 2 == 0, 1500.0).alias("price_max"))
+    kind, n = F.split_part("query_id", F.lit("|"), F.lit(1)), F.length("query_id")
+    some = lambda cond, v: F.when(cond, F.lit(v))
+    return q.select(
+        "query_id", F.split_part("query_id", F.lit("|"), F.lit(2)).alias("brand"), F.when(n % 3 == 0, F.lower(kind)).alias("category"), some(n % 11 == 0, "a").alias("color"), some(n % 4 == 1, "MEN").alias("gender"), some(F.length(kind) % 2 == 0, 1500.0).alias("price_max"),
+        some(F.length(kind) % 5 == 0, 950.0).alias("price_min"), (n % 7 == 0).alias("available"), some(n % 5 == 0, "Brand#13").alias("exclude_brand"), some(n % 6 == 0, "E").alias("product_name_contains"),
+    )
 
 
 def _extracted(s, d):
@@ -56,39 +61,44 @@ def _best(s, d, config):
     return _run(s, d).where(F.col("config") == config).join(_qrels(s, d).where("grade > 0"), ["query_id", "doc_id"]).groupBy("query_id").agg(F.min("rank").alias("best_rank"))
 
 
-def _facts(s, d):
-    n = F.length("query_id")
-    b = _run(s, d).select("query_id").distinct().join(_best(s, d, "a"), "query_id", "left")
-    return I.classify_narrow(b.select("query_id", F.split_part("query_id", F.lit("|"), F.lit(1)).alias("query_type"), (n % 7).alias("gold_in_catalog"), (n % 5).alias("gold_meets_filters"), (n % 3).alias("gold_filtered"), (n % 2).alias("gold_excluded"), F.when(F.col("best_rank") > 1, F.col("best_rank") * 6).otherwise(F.col("best_rank")).alias("best_rank")))
-
-
 def _tool_cases(s, d):
     """A case for each order: tools are kinds of products."""
     rows = table(s, d, "lineitem").join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey")).join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     kinds = lambda cond: F.array_sort(F.collect_set(F.when(cond, F.col("p_type"))))
     n = F.col("o_orderkey")
     c = rows.groupBy("o_orderkey", "o_custkey", "o_orderpriority").agg(kinds(F.col("l_tax") < 0.04).alias("expected"), kinds(F.col("l_discount") < 0.05).alias("actual"), kinds(F.col("l_tax") > 0.06).alias("optional"), F.max("l_partkey").alias("k"), F.min("p_name").alias("name"))
-    behaviour = F.when(n % 6 == 0, "clarify").when(n % 6 == 1, "OUT_OF_SCOPE").when(n % 6 == 2, "refuse").otherwise("answer")
-    query = F.when(n % 5 == 0, F.concat(F.lit("x; SELECT a FROM "), "name")).otherwise(F.col("name"))
-    args = F.when(n % 4 == 0, F.create_map(F.lit("query"), query, F.lit("filters"), F.lit("1"))).otherwise(F.create_map(F.lit("query"), query))
+    behaviour = F.when(n % 6 == 0, "ask_clarification").when(n % 6 == 1, "OUT_OF_SCOPE").when(n % 6 == 2, "refuse").otherwise("call_tools")
+    query = F.when(n % 5 == 0, F.concat(F.lit("Mi: SELECT a FROM "), "name")).when(n % 7 == 0, F.concat(F.lit("شيائومی "), "name")).otherwise(F.col("name"))
+    args = F.when(n % 4 == 0, F.create_map(F.lit("query"), query, F.lit("Filters"), F.lit("1"), F.lit("SQL"), F.lit("x"))).otherwise(F.create_map(F.lit("query"), query))
+    call = lambda name, a: F.struct(F.lit(name).alias("name"), a.alias("args"))
+    calls = F.when(n % 8 == 0, F.array(call("get_order", F.create_map(F.lit("customer_id"), F.lit("7"))), call("search_products", args))).otherwise(F.array(call("search_products", args)))
     return c.select(
-        n.alias("case_id"), F.col("o_orderpriority").alias("category"), "expected", "actual", "optional", behaviour.alias("expected_behavior"), args.alias("args"), F.when(n % 3 == 0, F.array(F.lit("zz"))).otherwise(F.array().cast("array<string>")).alias("wanted"),
+        n.alias("case_id"), F.col("o_orderpriority").alias("category"), "expected", "actual", "optional", behaviour.alias("expected_behavior"), calls.alias("calls"), F.when(n % 3 == 0, F.array(F.lit("Xiaomi"), F.lit("zz"))).otherwise(F.array().cast("array<string>")).alias("wanted"),
         F.when(n % 2 == 0, "which one?").otherwise("done").alias("answer"), F.array(F.col("o_custkey"), F.when(n % 50 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey"))).alias("scoped_ids"), F.col("o_custkey").alias("customer_id"),
         F.when(n % 9 == 0, "ConnectTimeout: x").when(n % 9 == 1, "bad value").alias("error"), F.when(n % 2 == 0, "stress").otherwise("basic").alias("suite"), (F.col("k") * 1.5).alias("latency_ms"), F.get("expected", F.lit(0)).alias("expected_intent"),
     )
 
 
+PREDICTED = ["actual", "calls", "answer", "scoped_ids", "customer_id"]
+
+
 def _pairs(s, d):
     p = table(s, d, "part")
     return p.select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand", "p_name").alias("prediction"), F.when(F.col("p_partkey") % 10 == 0, "").when(F.col("p_partkey") % 3 == 0, F.concat_ws(" ", "p_name", F.lower("p_type"), "p_brand", "p_name")).otherwise(F.concat_ws(" ", "p_type", "p_name", F.lit("of"), "p_brand")).alias("ground_truth"), F.when(F.col("p_partkey") % 8 == 0, "failed").alias("error"))
 
 
 def _args(s, d):
-    n = F.col("o_orderkey")
-    return table(s, d, "orders").select(n.alias("case_id"), F.create_map(F.lit("order"), F.when(n % 3 == 0, "<resolved_from_step_1>").otherwise(n.cast("string")), F.lit("status"), F.col("o_orderstatus")).alias("expected_args"), F.when(n % 5 == 0, F.create_map(F.lit("status"), F.col("o_orderstatus"))).otherwise(F.create_map(F.lit("order"), F.when(n % 7 == 0, "none").otherwise(n.cast("string")), F.lit("status"), F.col("o_orderstatus"), F.lit("more"), F.lit("1"))).alias("actual_args"))
+    """Expected arguments of an order's call: one object for even keys, a list of one or two for odd ones, none for every eleventh."""
+    n, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    key = n.cast("string")
+    order = lambda v: F.create_map(F.lit("order"), v, F.lit("status"), status)
+    want = order(F.when(n % 3 == 0, "<resolved_from_step_1>").otherwise(key))
+    got = F.when(n % 5 == 0, F.create_map(F.lit("status"), status)).when(n % 7 == 0, order(F.lit("none"))).when(n % 4 == 0, F.create_map(F.lit("status"), status, F.lit("order"), key)).otherwise(F.map_concat(order(key), F.create_map(F.lit("more"), F.lit("1"))))
+    calls = F.when(n % 13 == 0, F.array(got, got)).otherwise(F.array(got))
+    return table(s, d, "orders").select(n.alias("case_id"), F.when((n % 2 == 0) & (n % 11 != 0), order(key)).alias("expected_args"), F.when((n % 2 == 1) & (n % 11 != 0), F.when(n % 13 == 0, F.array(want, F.create_map(F.lit("status"), status))).otherwise(F.array(want))).alias("expected_calls"), calls.alias("actual_calls"))
 
 
-FLAGS = ["case_id", "selection_ok", "arguments_ok", "security_ok", "clarification_ok", "passed", "reason"]
+FLAGS = ["case_id", "selection_ok", "arguments_ok", "security_ok", "context_ok", "clarification_ok", "no_tool_ok", "violations", "passed", "reason"]
 
 QUERIES = {
     "rank_metrics": lambda s, d: I.rank_metrics(_run(s, d), _qrels(s, d)),
@@ -106,8 +116,6 @@ QUERIES = {
     "config_comparison": lambda s, d: I.config_comparison(_scored(s, d), "a"),
     "run_diff": lambda s, d: I.run_diff(_scored(s, d).where("config = 'a'"), _scored(s, d).where("config = 'b'")),
     "candidate_recall": lambda s, d: I.candidate_recall(_run(s, d), _qrels(s, d)),
-    "classify_narrow": _facts,
-    "diagnostic_rollup": lambda s, d: I.diagnostic_rollup(_facts(s, d)),
     "rank_shift": lambda s, d: I.rank_shift(_best(s, d, "a"), _best(s, d, "b")),
     "text_scores": lambda s, d: T.text_scores(_pairs(s, d)),
     "summarize_scores": lambda s, d: T.summarize_scores(T.text_scores(T.valid_predictions(_pairs(s, d))), ["exact_match", "rouge_l"]),
@@ -120,6 +128,8 @@ QUERIES = {
     "latency_percentiles": lambda s, d: T.latency_percentiles(_tool_cases(s, d)),
     "suite_report": lambda s, d: T.suite_report(T.ordered_verdicts(_tool_cases(s, d))),
     "ordered_verdicts": lambda s, d: T.ordered_verdicts(_tool_cases(s, d)).select("case_id", "passed"),
+    "tool_accuracy": lambda s, d: T.tool_accuracy(T.ordered_verdicts(_tool_cases(s, d))),
+    "rescore": lambda s, d: T.rescore(_tool_cases(s, d).drop(*PREDICTED), _tool_cases(s, d).where("case_id % 4 <> 1").select("case_id", *PREDICTED)).select(*FLAGS),
     "tool_set_compare": lambda s, d: T.tool_set_compare(_tool_cases(s, d)).select("case_id", "missing", "extra", "ordered", "correct"),
     "argument_issues": lambda s, d: T.argument_issues(_tool_cases(s, d)).select("case_id", "issues"),
     "score_tool_cases": lambda s, d: T.score_tool_cases(_tool_cases(s, d)).select(*FLAGS),
@@ -145,12 +155,16 @@ def _per(ks, where="true"):
 m AS (SELECT config, query_id, retrieved, coalesce(relevant, 0) AS relevant, coalesce(round(1 / first, 6), 0.0::DOUBLE) AS mrr, {out} FROM p LEFT JOIN rel USING (query_id) LEFT JOIN b USING (query_id))"""
 
 
-EXPECTED = "e AS (SELECT DISTINCT query_id, split_part(query_id, '|', 2) AS brand, CASE WHEN length(split_part(query_id, '|', 1)) % 2 = 0 THEN 1500.0 END AS price_max FROM runs)"
+EXPECTED = """e AS (SELECT query_id, split_part(query_id, '|', 2) AS brand, CASE WHEN n % 3 = 0 THEN lower(kind) END AS category, CASE WHEN n % 11 = 0 THEN 'a' END AS color, CASE WHEN n % 4 = 1 THEN 'MEN' END AS gender, CASE WHEN length(kind) % 2 = 0 THEN 1500.0 END AS price_max,
+ CASE WHEN length(kind) % 5 = 0 THEN 950.0 END AS price_min, n % 7 = 0 AS available, CASE WHEN n % 5 = 0 THEN 'Brand#13' END AS exclude_brand, CASE WHEN n % 6 = 0 THEN 'E' END AS name_part FROM (SELECT DISTINCT query_id, split_part(query_id, '|', 1) AS kind, length(query_id) AS n FROM runs)),
+it AS (SELECT CAST(product_code AS BIGINT) AS doc_id, product_name, brand, type, category_level1, category_level2, color, gender, last_status, TRY_CAST(nullif(regexp_replace(coalesce(sum_of_price, ''), '[^0-9.]+', '', 'g'), '') AS DOUBLE) AS price FROM products)"""
 CASES = """c AS (SELECT query_id, CASE length(query_id) % 4 WHEN 0 THEN 'BRAND' WHEN 1 THEN 'DIRECT_PRODUCT' WHEN 2 THEN 'NO_RESULT' ELSE 'ATTRIBUTE' END AS query_type, CASE WHEN length(query_id) % 4 = 2 THEN 'NO_RESULTS' ELSE 'RETURN_RESULTS' END AS expected_behavior,
  coalesce(gold, 0) AS gold, coalesce(graded, 0) AS graded FROM (SELECT DISTINCT query_id FROM runs) LEFT JOIN (SELECT query_id, count(*) FILTER (grade = 3) AS gold, count(*) FILTER (grade > 0) AS graded FROM qrels GROUP BY 1) USING (query_id)),
 ann AS (SELECT query_id, query_type, expected_behavior, CASE WHEN query_type = 'NO_RESULT' THEN 'special' WHEN query_type = 'BRAND' OR gold >= 20 THEN 'broad' ELSE 'narrow' END AS evaluation_type, graded > 0 AND gold <> graded AS mismatch FROM c)"""
-COMPLY = f"""{EXPECTED}, cm AS (SELECT config, query_id, {{c}} FROM runs JOIN part ON p_partkey = doc_id JOIN e USING (query_id) GROUP BY 1, 2)"""
-MEETS = "lower(p_brand) = lower(e.brand) AND (e.price_max IS NULL OR p_retailprice <= e.price_max)"
+COMPLY = f"""{EXPECTED}, cm AS (SELECT config, query_id, {{c}} FROM runs JOIN it USING (doc_id) JOIN e USING (query_id) GROUP BY 1, 2)"""
+MEETS = """lower(it.brand) = lower(e.brand) AND (e.category IS NULL OR contains(lower(concat_ws('|', it.type, it.category_level1, it.category_level2, it.product_name)), lower(e.category))) AND (e.color IS NULL OR coalesce(contains(lower(it.color), lower(e.color)), false))
+ AND (e.gender IS NULL OR coalesce(contains(lower(it.gender), lower(e.gender)), false)) AND (e.price_max IS NULL OR coalesce(it.price <= e.price_max, false)) AND (e.price_min IS NULL OR coalesce(it.price >= e.price_min, false)) AND (NOT e.available OR it.last_status = 'Enable')
+ AND (e.exclude_brand IS NULL OR lower(it.brand) <> lower(e.exclude_brand)) AND (e.name_part IS NULL OR contains(lower(it.product_name), lower(e.name_part)))"""
 FAMILY = "fam AS (SELECT config, query_id, {c} FROM (SELECT DISTINCT config, query_id FROM runs) LEFT JOIN (SELECT config, query_id, min(rank) AS first FROM runs JOIN part p ON p.p_partkey = doc_id WHERE EXISTS (SELECT 1 FROM qrels g JOIN part q ON q.p_partkey = g.doc_id WHERE g.query_id = runs.query_id AND g.grade > 0 AND q.p_brand = p.p_brand AND q.p_type = p.p_type) GROUP BY 1, 2) USING (config, query_id))"
 SCORED = (
     _per((3, 10))
@@ -164,37 +178,61 @@ SCORED = (
 sc AS (SELECT *, CASE WHEN passed THEN NULL WHEN query_type = 'NO_RESULT' THEN 'NO_CATALOG_MATCH' WHEN compliance_10 < 1 THEN 'FILTER_MISS' WHEN evaluation_type = 'narrow' OR relevant > 0 THEN 'RANKING_MISS' ELSE 'METADATA_MISS' END AS failure_reason FROM v)"""
 )
 BEST = "best AS (SELECT config, query_id, min(rank) AS best_rank FROM runs JOIN qrels USING (query_id, doc_id) WHERE grade > 0 GROUP BY 1, 2)"
-FACTS = f"""{BEST}, f AS (SELECT query_id, split_part(query_id, '|', 1) AS query_type, length(query_id) % 7 AS gold_in_catalog, length(query_id) % 5 AS gold_meets_filters, length(query_id) % 3 AS gold_filtered, length(query_id) % 2 AS gold_excluded,
- CASE WHEN best_rank > 1 THEN best_rank * 6 ELSE best_rank END AS best_rank FROM (SELECT DISTINCT query_id FROM runs) LEFT JOIN best ON best.query_id = runs.query_id AND config = 'a'),
-k AS (SELECT *, CASE WHEN gold_in_catalog = 0 THEN 'NO_CATALOG_MATCH' WHEN gold_meets_filters = 0 THEN 'DATA/GOLD_ISSUE' WHEN gold_filtered = 0 AND gold_excluded > 0 THEN 'FILTER_FAILURE' WHEN gold_filtered = 0 THEN 'CANDIDATE_GENERATION_FAILURE' WHEN best_rank IS NULL OR best_rank > 10 THEN 'RANKING_FAILURE' END AS failure_class FROM f)""".replace("FROM (SELECT DISTINCT query_id FROM runs) LEFT JOIN best ON best.query_id = runs.query_id AND config = 'a')", "FROM (SELECT DISTINCT query_id FROM runs) LEFT JOIN (SELECT query_id, best_rank FROM best WHERE config = 'a') USING (query_id))")
-
 
 def _kinds(cond):
     return f"coalesce(list_sort(list_distinct(list(p_type) FILTER ({cond}))), CAST([] AS VARCHAR[]))"
 
 
+FOLDED = "lower(translate(c.args['query'], 'يك', 'یک'))"
+SQL_MARKS = " OR ".join(f"contains(' ' || {FOLDED} || ' ', '{m}')" for m in T.SQL_MARKS)
 TOOLS = f"""g AS (SELECT o_orderkey AS n, o_custkey AS customer_id, o_orderpriority AS category, {_kinds('l_tax < 0.04')} AS expected, {_kinds('l_discount < 0.05')} AS actual, {_kinds('l_tax > 0.06')} AS optional, max(l_partkey) AS k, min(p_name) AS name
  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
-t AS (SELECT n AS case_id, *, CASE n % 6 WHEN 0 THEN 'clarify' WHEN 1 THEN 'OUT_OF_SCOPE' WHEN 2 THEN 'refuse' ELSE 'answer' END AS expected_behavior, CASE n % 9 WHEN 0 THEN 'ConnectTimeout: x' WHEN 1 THEN 'bad value' END AS error, CASE WHEN n % 2 = 0 THEN 'stress' ELSE 'basic' END AS suite, k * 1.5::DOUBLE AS latency_ms,
- list_filter(expected, lambda x: NOT list_contains(actual, x)) AS missing, list_filter(actual, lambda x: NOT list_contains(expected, x) AND NOT list_contains(optional, x)) AS extra, expected = actual AS ordered,
- list_concat(CASE WHEN n % 4 = 0 THEN ['forbidden:filters'] ELSE [] END, CASE WHEN n % 5 = 0 THEN ['sql'] ELSE [] END, CASE WHEN n % 3 = 0 THEN ['missing:zz'] ELSE [] END) AS issues FROM g),
-s AS (SELECT *, len(missing) = 0 AND len(extra) = 0 AS correct, len(issues) = 0 AS arguments_ok, n % 50 <> 0 AS security_ok, expected_behavior <> 'clarify' OR n % 2 = 0 AS clarification_ok FROM t),
-z AS (SELECT *, correct AS selection_ok, correct AND arguments_ok AND security_ok AND clarification_ok AS passed,
- array_to_string(list_filter([CASE WHEN NOT correct THEN 'selection' END, CASE WHEN NOT arguments_ok THEN 'arguments' END, CASE WHEN NOT security_ok THEN 'security' END, CASE WHEN NOT clarification_ok THEN 'clarification' END], lambda x: x IS NOT NULL), ',') AS reason FROM s),
-o AS (SELECT *, (CASE WHEN expected_behavior = 'refuse' THEN len(actual) = 0 ELSE expected = actual END) AND error IS NULL AS ordered_ok FROM z)"""
+h AS (SELECT n AS case_id, *, CASE n % 6 WHEN 0 THEN 'ask_clarification' WHEN 1 THEN 'OUT_OF_SCOPE' WHEN 2 THEN 'refuse' ELSE 'call_tools' END AS expected_behavior, CASE n % 9 WHEN 0 THEN 'ConnectTimeout: x' WHEN 1 THEN 'bad value' END AS error, CASE WHEN n % 2 = 0 THEN 'stress' ELSE 'basic' END AS suite, k * 1.5::DOUBLE AS latency_ms,
+ CASE WHEN n % 2 = 0 THEN 'which one?' ELSE 'done' END AS answer, CASE WHEN n % 3 = 0 THEN ['Xiaomi', 'zz'] ELSE CAST([] AS VARCHAR[]) END AS wanted, [customer_id, CASE WHEN n % 50 = 0 THEN customer_id + 1 ELSE customer_id END] AS scoped_ids,
+ CASE WHEN n % 5 = 0 THEN 'Mi: SELECT a FROM ' || name WHEN n % 7 = 0 THEN 'شيائومی ' || name ELSE name END AS query FROM g),
+ca AS (SELECT case_id, n, unnest(CASE WHEN n % 8 = 0 THEN [1, 2] ELSE [2] END) AS i, query, wanted FROM h),
+cb AS (SELECT *, CASE WHEN i = 1 THEN {{'name': 'get_order', 'args': MAP {{'customer_id': '7'}}}} WHEN n % 4 = 0 THEN {{'name': 'search_products', 'args': MAP {{'query': query, 'Filters': '1', 'SQL': 'x'}}}} ELSE {{'name': 'search_products', 'args': MAP {{'query': query}}}} END AS c FROM ca),
+cc AS (SELECT case_id, i, c.name AS name, list_contains(map_keys(c.args), 'customer_id') AS own_id, list_sort(list_filter(list_transform(map_keys(c.args), lambda k: lower(k)), lambda k: list_contains({T.FORBIDDEN}, k))) AS bad, {SQL_MARKS} AS has_sql,
+ list_filter(wanted, lambda w: NOT CASE WHEN list_contains({T.ALIASES}, lower(w)) THEN {' OR '.join(f"contains({FOLDED}, '{a}')" for a in T.ALIASES)} ELSE contains({FOLDED}, lower(w)) END) AS lacking FROM cb),
+ci AS (SELECT case_id, coalesce(flatten(list(list_concat(CASE WHEN len(bad) > 0 THEN ['forbidden_keys:' || array_to_string(bad, ',')] ELSE [] END, CASE WHEN has_sql THEN ['sql_in_query'] ELSE [] END, list_transform(lacking, lambda w: 'missing_substring:' || w)) ORDER BY i) FILTER (name = 'search_products')), []) AS issues,
+ list(name || ':customer_id_argument' ORDER BY i) FILTER (own_id) AS own FROM cc GROUP BY case_id),
+t AS (SELECT h.*, issues, own, list_sort(list_filter(expected, lambda x: NOT list_contains(actual, x))) AS missing, list_sort(list_filter(actual, lambda x: NOT list_contains(expected, x) AND NOT list_contains(optional, x))) AS extra, expected = actual AS ordered, len(list_filter(scoped_ids, lambda x: x <> customer_id)) = 0 AS context_ok FROM h JOIN ci USING (case_id)),
+v AS (SELECT *, len(missing) = 0 AND len(extra) = 0 AS correct, list_concat(list_concat(list_filter(issues, lambda x: x LIKE 'forbidden_keys:%' OR x = 'sql_in_query'), coalesce(own, [])), CASE WHEN context_ok THEN [] ELSE ['request_context_mismatch'] END) AS violations FROM t),
+s AS (SELECT *, len(issues) = 0 AS arguments_ok, len(violations) = 0 AS security_ok, CASE WHEN expected_behavior = 'ask_clarification' THEN correct AND (len(actual) = 0 OR contains(answer, '?')) END AS clarification_ok, CASE WHEN expected_behavior IN ('no_tool', 'refuse') THEN correct END AS no_tool_ok FROM v),
+z AS (SELECT *, coalesce(clarification_ok, correct) AS selection_ok, coalesce(clarification_ok, correct) AND arguments_ok AND security_ok AND context_ok AS passed, CASE WHEN expected_behavior = 'ask_clarification' AND NOT contains(answer, '?') THEN CASE WHEN len(actual) > 0 THEN 'guessed_instead_of_clarifying' ELSE 'answer_not_clarifying' END END AS unclear FROM s),
+o AS (SELECT * , CASE WHEN NOT passed THEN array_to_string(list_filter([CASE WHEN len(missing) > 0 THEN 'missing=' || array_to_string(missing, ',') END, CASE WHEN len(extra) > 0 THEN 'extra=' || array_to_string(extra, ',') END, CASE WHEN len(issues) > 0 THEN 'args=' || array_to_string(issues, ';') END,
+ CASE WHEN len(violations) > 0 THEN 'security=' || array_to_string(violations, ';') END, unclear], lambda x: x IS NOT NULL), '; ') END AS reason, (CASE WHEN expected_behavior = 'refuse' THEN len(actual) = 0 ELSE expected = actual END) AND error IS NULL AS ordered_ok FROM z)"""
 RATES = """count(*) AS cases, CAST(sum(CAST(passed::INT AS DECIMAL(18, 6))) AS DOUBLE) / count(passed::INT) AS pass_rate, CAST(sum(CAST(selection_ok::INT AS DECIMAL(18, 6))) AS DOUBLE) / count(selection_ok::INT) AS selection_rate, CAST(sum(CAST(arguments_ok::INT AS DECIMAL(18, 6))) AS DOUBLE) / count(arguments_ok::INT) AS argument_rate, CAST(sum(CAST(security_ok::INT AS DECIMAL(18, 6))) AS DOUBLE) / count(security_ok::INT) AS security_rate, CAST(sum(CAST(ordered::INT AS DECIMAL(18, 6))) AS DOUBLE) / count(ordered::INT) AS ordered_rate,
  CAST(sum(CAST((len(expected) = len(actual))::INT AS DECIMAL(18, 6))) AS DOUBLE) / count((len(expected) = len(actual))::INT) AS count_rate, count(*) FILTER (len(expected) > 1) AS multi_tool, CAST(sum(CAST(clarification_ok::INT AS DECIMAL(18, 6))) AS DOUBLE) / count(clarification_ok::INT) AS clarification_rate, CAST(sum(CAST(CASE WHEN len(expected) > 1 THEN correct::INT END AS DECIMAL(18, 6))) AS DOUBLE) / count(CASE WHEN len(expected) > 1 THEN correct::INT END) AS multi_tool_rate, CAST(sum(CAST(CASE WHEN len(expected) = 0 THEN (len(actual) = 0)::INT END AS DECIMAL(18, 6))) AS DOUBLE) / count(CASE WHEN len(expected) = 0 THEN (len(actual) = 0)::INT END) AS no_tool_rate"""
 DIV = "CASE WHEN {b} > 0 THEN round({a} / ({b}), {n}) ELSE 0.0::DOUBLE END"
 PAIRS = """pr AS (SELECT p_partkey, concat_ws(' ', p_name, p_type, p_brand, p_name) AS prediction, CASE WHEN p_partkey % 10 = 0 THEN '' WHEN p_partkey % 3 = 0 THEN concat_ws(' ', p_name, lower(p_type), p_brand, p_name) ELSE concat_ws(' ', p_type, p_name, 'of', p_brand) END AS ground_truth, CASE WHEN p_partkey % 8 = 0 THEN 'failed' END AS error FROM part)"""
 
-RUNS = ("runs", "qrels")
+
+
+def _precision(n):
+    """log of the share of the prediction's runs of n words that the reference holds, each once."""
+    runs = lambda w: f"list_transform(range(1, greatest(len({w}) - {n - 2}, 1)), lambda i: array_to_string({w}[i:i + {n - 1}], ' '))"
+    return f"coalesce(list_sum(list_transform(list_distinct({runs('pw')}), lambda x: least(len(list_filter({runs('pw')}, lambda y: y = x)), len(list_filter({runs('gw')}, lambda y: y = x))))), 0) AS hits{n}, greatest(len(pw) - {n - 1}, 0) AS total{n}"
+
+
+# The longest common subsequence, a word of the prediction a step: each cell is the largest of what the line above allows up to it.
+SCORES = f"""wd AS (SELECT *, list_filter(regexp_split_to_array(lower(prediction), '\\s+'), lambda w: w <> '') AS pw, list_filter(regexp_split_to_array(lower(ground_truth), '\\s+'), lambda w: w <> '') AS gw,
+ regexp_extract_all(lower(prediction), '[\\p{{L}}\\p{{N}}]+') AS pl, regexp_extract_all(lower(ground_truth), '[\\p{{L}}\\p{{N}}]+') AS gl FROM pr),
+lc AS (SELECT p_partkey, pl, gl, 0 AS i, list_transform(gl, lambda w: 0) AS line FROM wd
+ UNION ALL SELECT p_partkey, pl, gl, i + 1, list_transform(range(1, len(gl) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: greatest(line[k], CASE WHEN gl[k] = pl[i + 1] THEN CASE WHEN k > 1 THEN line[k - 1] ELSE 0 END + 1 ELSE 0 END)))) FROM lc WHERE i < len(pl) AND len(gl) > 0),
+ll AS (SELECT p_partkey, max(line[len(gl)]) AS n FROM lc GROUP BY 1),
+bl AS (SELECT wd.*, n, {_precision(1)}, {_precision(2)}, {_precision(3)}, {_precision(4)} FROM wd JOIN ll USING (p_partkey)),
+ts AS (SELECT *, (replace(replace(lower(trim(prediction)), chr(10), ' '), '  ', ' ') = replace(replace(lower(trim(ground_truth)), chr(10), ' '), '  ', ' '))::INT::DOUBLE AS exact_match,
+ CASE WHEN hits1 = 0 THEN 0.0::DOUBLE ELSE round(exp((CASE WHEN len(pw) >= len(gw) THEN 0 ELSE 1 - len(gw) / len(pw) END) + ({' + '.join(f'ln(greatest(hits{n}::DOUBLE, 0.1) / greatest(total{n}, 1))' for n in range(1, 5))}) / 4), 6) END AS bleu,
+ CASE WHEN coalesce(n, 0) > 0 THEN round(2.0 * n / (len(pl) + len(gl)), 6) ELSE 0.0 END::DOUBLE AS rouge_l FROM bl)"""
+RUNS = ("runs", "qrels", "products")
 ORACLES = {
     "rank_metrics": with_views(f"WITH {_per((3, 5, 10))} SELECT * FROM m", *RUNS),
     "retrieval_metrics": with_views(f"WITH {_per((3,), 'rank <= 3')} SELECT config, count(*) AS queries, CAST(sum(CAST(hit_3 AS DECIMAL(18, 6))) AS DOUBLE) / count(hit_3) AS hit, CAST(sum(CAST(mrr AS DECIMAL(18, 6))) AS DOUBLE) / count(mrr) AS mrr, CAST(sum(CAST(precision_3 AS DECIMAL(18, 6))) AS DOUBLE) / count(precision_3) AS precision, CAST(sum(CAST(recall_3 AS DECIMAL(18, 6))) AS DOUBLE) / count(recall_3) AS recall FROM m GROUP BY config", *RUNS),
     "relevance_grades": with_views("SELECT query_id, doc_id, grade FROM qrels WHERE grade > 0", "qrels"),
     "annotate_cases": with_views(f"WITH {CASES} SELECT query_id, query_type, evaluation_type, mismatch FROM ann", *RUNS),
     "filter_compliance": with_views("WITH " + COMPLY.replace("{c}", ", ".join(f"round(count(*) FILTER ({MEETS} AND rank <= {k}) / {k}, 6) AS compliance_{k}" for k in (3, 5, 10))) + " SELECT * FROM cm", *RUNS),
-    "metadata_accuracy": with_views(f"WITH {EXPECTED} SELECT 'brand' AS field, count(*) AS checked, count(*) FILTER (length(query_id) % 3 <> 0) AS correct FROM e UNION ALL SELECT 'category', 0, 0 UNION ALL SELECT 'price_max', count(price_max), count(price_max) FROM e", "runs"),
+    "metadata_accuracy": with_views(f"WITH {EXPECTED} SELECT 'brand' AS field, count(*) AS checked, count(*) FILTER (length(query_id) % 3 <> 0) AS correct FROM e UNION ALL SELECT 'category', count(category), 0 FROM e UNION ALL SELECT 'price_max', count(price_max), count(price_max) FROM e", "runs", "products"),
     "family_hit": with_views("WITH " + FAMILY.replace("{c}", "CAST(coalesce(first <= 3, false) AS INT)::DOUBLE AS family_hit_3, CAST(coalesce(first <= 10, false) AS INT)::DOUBLE AS family_hit_10") + " SELECT * FROM fam", *RUNS),
     "score_cases": with_views(f"WITH {SCORED} SELECT * FROM sc", *RUNS),
     "aggregate_cases": with_views(f"WITH {SCORED} SELECT config, query_type, evaluation_type, count(*) AS cases, CAST(sum(CAST(hit_10 AS DECIMAL(18, 6))) AS DOUBLE) / count(hit_10) AS hit_10, CAST(sum(CAST(mrr AS DECIMAL(18, 6))) AS DOUBLE) / count(mrr) AS mrr, CAST(sum(CAST(ndcg_10 AS DECIMAL(18, 6))) AS DOUBLE) / count(ndcg_10) AS ndcg_10, CAST(sum(CAST(compliance_10 AS DECIMAL(18, 6))) AS DOUBLE) / count(compliance_10) AS compliance_10, CAST(sum(CAST(passed::INT AS DECIMAL(18, 6))) AS DOUBLE) / count(passed::INT) AS pass_rate FROM sc GROUP BY GROUPING SETS ((config, query_type), (config, evaluation_type), (config))", *RUNS),
@@ -204,24 +242,31 @@ ORACLES = {
     "config_comparison": with_views(f"WITH {SCORED}, a AS (SELECT config, CAST(sum(CAST(hit_10 AS DECIMAL(18, 6))) AS DOUBLE) / count(hit_10) AS hit_10, CAST(sum(CAST(mrr AS DECIMAL(18, 6))) AS DOUBLE) / count(mrr) AS mrr, CAST(sum(CAST(ndcg_10 AS DECIMAL(18, 6))) AS DOUBLE) / count(ndcg_10) AS ndcg_10 FROM sc GROUP BY 1) SELECT a.*, a.hit_10 < b.hit_10 OR a.mrr < b.mrr OR a.ndcg_10 < b.ndcg_10 AS regressed FROM a, a b WHERE b.config = 'a'", *RUNS),
     "run_diff": with_views(f"WITH {SCORED} SELECT query_id, x.mrr AS m0, y.mrr AS m1, CASE WHEN y.hit_10 > x.hit_10 OR y.hit_10 = x.hit_10 AND y.mrr > x.mrr THEN 'improved' WHEN y.hit_10 < x.hit_10 OR y.mrr < x.mrr THEN 'regressed' ELSE 'unchanged' END AS change FROM (SELECT * FROM sc WHERE config = 'a') x JOIN (SELECT * FROM sc WHERE config = 'b') y USING (query_id)", *RUNS),
     "candidate_recall": with_views(f"WITH {BEST}, q AS (SELECT DISTINCT query_id FROM qrels WHERE grade > 0), x AS (SELECT DISTINCT config FROM runs) SELECT config, count(*) AS queries, " + ", ".join(f"CAST(sum(CAST(coalesce(best_rank <= {k}, false)::INT AS DECIMAL(18, 6))) AS DOUBLE) / count(coalesce(best_rank <= {k}, false)::INT) AS recall_{k}" for k in (20, 50, 100, 500)) + " FROM x CROSS JOIN q LEFT JOIN best USING (config, query_id) GROUP BY config", *RUNS),
-    "classify_narrow": with_views(f"WITH {FACTS} SELECT * FROM k", *RUNS),
-    "diagnostic_rollup": with_views(f"WITH {FACTS}, n AS (SELECT query_type, failure_class, count(*) AS n FROM k WHERE failure_class IS NOT NULL GROUP BY 1, 2), t AS (SELECT query_type, failure_class AS top_failure, n AS top_n FROM n QUALIFY row_number() OVER (PARTITION BY query_type ORDER BY n DESC, failure_class) = 1) SELECT query_type, cases, mean_best_rank, top_failure, top_n FROM (SELECT query_type, count(*) AS cases, CAST(sum(CAST(best_rank AS DECIMAL(18, 6))) AS DOUBLE) / count(best_rank) AS mean_best_rank FROM k GROUP BY 1) LEFT JOIN t USING (query_type)", *RUNS),
     "rank_shift": with_views(f"WITH {BEST} SELECT query_id, a.best_rank, b.best_rank AS new_rank, CASE WHEN b.best_rank > a.best_rank THEN 'pushed_down' WHEN b.best_rank < a.best_rank THEN 'improved' ELSE 'unchanged' END AS shift FROM (SELECT * FROM best WHERE config = 'a') a JOIN (SELECT * FROM best WHERE config = 'b') b USING (query_id)", *RUNS),
+    "text_scores": f"WITH RECURSIVE {PAIRS}, {SCORES} SELECT p_partkey, prediction, ground_truth, error, exact_match, bleu, rouge_l FROM ts",
+    "summarize_scores": f"WITH RECURSIVE {PAIRS}, {SCORES} SELECT count(*) AS rows, CAST(sum(CAST(exact_match AS DECIMAL(18, 6))) AS DOUBLE) / count(exact_match) AS exact_match, CAST(sum(CAST(rouge_l AS DECIMAL(18, 6))) AS DOUBLE) / count(rouge_l) AS rouge_l FROM ts WHERE ground_truth <> '' AND error IS NULL",
     "valid_predictions": f"WITH {PAIRS} SELECT * FROM pr WHERE ground_truth <> '' AND error IS NULL",
     "set_rates": f"WITH {TOOLS} SELECT case_id, (len(list_intersect(actual, expected)) > 0)::INT::DOUBLE AS hit, CASE WHEN len(expected) > 0 THEN round(len(list_intersect(actual, expected)) / len(expected), 6) END AS recall, CASE WHEN len(actual) > 0 THEN round(len(list_intersect(actual, expected)) / len(actual), 6) ELSE 0.0::DOUBLE END AS precision FROM o",
     "tool_selection_micro": f"WITH {TOOLS}, u AS (SELECT count(*) AS cases, count(*) FILTER (expected = actual) AS exact, CAST(sum(len(list_intersect(actual, expected))) AS BIGINT) AS tp, CAST(sum(len(actual) - len(list_intersect(actual, expected))) AS BIGINT) AS fp, CAST(sum(len(expected) - len(list_intersect(actual, expected))) AS BIGINT) AS fn FROM o) SELECT *, {DIV.format(a='tp', b='tp + fp', n=6)} AS precision, {DIV.format(a='tp', b='tp + fn', n=6)} AS recall, {DIV.format(a='2 * tp', b='2 * tp + fp + fn', n=6)} AS f1 FROM u",
-    "argument_match": "SELECT o_orderkey AS case_id, CASE WHEN o_orderkey % 5 = 0 THEN false WHEN o_orderkey % 3 = 0 THEN true ELSE o_orderkey % 7 <> 0 END AS matched FROM orders",
+    "argument_match": """WITH m AS (SELECT o_orderkey AS n, CAST(o_orderkey AS VARCHAR) AS key, o_orderstatus AS status FROM orders),
+        w AS (SELECT *, CASE WHEN n % 2 = 0 AND n % 11 <> 0 THEN MAP {'order': key, 'status': status} END AS want_one, MAP {'order': CASE WHEN n % 3 = 0 THEN '<resolved_from_step_1>' ELSE key END, 'status': status} AS want,
+              CASE WHEN n % 5 = 0 THEN MAP {'status': status} WHEN n % 7 = 0 THEN MAP {'order': 'none', 'status': status} WHEN n % 4 = 0 THEN MAP {'status': status, 'order': key} ELSE MAP {'order': key, 'status': status, 'more': '1'} END AS got FROM m),
+        l AS (SELECT *, CASE WHEN n % 13 = 0 THEN [got, got] ELSE [got] END AS calls, CASE WHEN n % 2 = 1 AND n % 11 <> 0 THEN CASE WHEN n % 13 = 0 THEN [want, MAP {'status': status}] ELSE [want] END END AS wants FROM w)
+        SELECT n AS case_id, CASE WHEN want_one IS NOT NULL THEN len(calls) = 1 AND list_sort(map_entries(calls[1])) = list_sort(map_entries(want_one))
+               WHEN wants IS NOT NULL THEN len(calls) = len(wants) AND len(list_filter(range(1, len(wants) + 1), lambda i: len(list_filter(map_entries(wants[i]), lambda e: NOT CASE WHEN e.value LIKE '<resolved_from_step_%' THEN list_contains(map_keys(calls[i]), e.key) ELSE coalesce(calls[i][e.key] = e.value, false) END)) > 0)) = 0 END AS matched FROM l""",
     "confusion_matrix": f"WITH {TOOLS} SELECT expected[1] AS expected_intent, coalesce(actual[1], 'NONE') AS tool, count(*) AS n FROM o GROUP BY 1, 2",
     "guardrail_accuracy": f"WITH {TOOLS} SELECT expected_behavior, count(*) AS cases, CAST(sum(CAST((len(actual) = 0)::INT AS DECIMAL(18, 6))) AS DOUBLE) / count((len(actual) = 0)::INT) AS accuracy FROM o WHERE expected_behavior = 'OUT_OF_SCOPE' GROUP BY 1",
     "latency_percentiles": f"WITH {TOOLS}, l AS (SELECT suite, list_sort(list(latency_ms)) AS x FROM o GROUP BY 1) SELECT suite, len(x) AS n, round(list_avg(x), 2) AS mean, x[CAST(floor((len(x) - 1) * 0.5) AS INT) + 1] AS p50, x[CAST(floor((len(x) - 1) * 0.95) AS INT) + 1] AS p95, x[CAST(floor((len(x) - 1) * 0.99) AS INT) + 1] AS p99, list_min(x) AS least, list_max(x) AS most FROM l",
     "suite_report": f"WITH {TOOLS} SELECT suite, count(*) AS cases, count(*) FILTER (NOT ordered_ok) AS failed, CAST(sum(CAST(ordered_ok::INT AS DECIMAL(18, 6))) AS DOUBLE) / count(ordered_ok::INT) AS pass_rate FROM o GROUP BY 1",
     "ordered_verdicts": f"WITH {TOOLS} SELECT case_id, ordered_ok AS passed FROM o",
+    "tool_accuracy": f"WITH {TOOLS}, x AS (SELECT 'category' AS kind, coalesce(nullif(category, ''), 'unknown') AS name, ordered_ok AS ok FROM o UNION ALL SELECT 'tool', tool, list_contains(actual, tool) FROM (SELECT unnest(list_distinct(expected)) AS tool, actual FROM o)) SELECT kind, name, count(*) FILTER (ok) AS passed, count(*) AS total, round(100 * count(*) FILTER (ok) / count(*), 2) AS accuracy FROM x GROUP BY 1, 2",
+    "rescore": f"WITH {TOOLS} SELECT {', '.join(FLAGS)} FROM o WHERE case_id % 4 <> 1",
     "tool_set_compare": f"WITH {TOOLS} SELECT case_id, missing, extra, ordered, correct FROM o",
     "argument_issues": f"WITH {TOOLS} SELECT case_id, issues FROM o",
     "score_tool_cases": f"WITH {TOOLS} SELECT {', '.join(FLAGS)} FROM o",
     "per_tool_prf": f"WITH {TOOLS}, x AS (SELECT expected, list_filter(actual, lambda x: list_contains(expected, x) OR NOT list_contains(optional, x)) AS acted FROM o), y AS (SELECT unnest(list_distinct(list_concat(expected, acted))) AS tool, expected, acted FROM x), w AS (SELECT tool, count(*) FILTER (list_contains(expected, tool) AND list_contains(acted, tool)) AS tp, count(*) FILTER (NOT list_contains(expected, tool)) AS fp, count(*) FILTER (NOT list_contains(acted, tool)) AS fn FROM y GROUP BY 1) SELECT *, {DIV.format(a='tp', b='tp + fp', n=4)} AS precision, {DIV.format(a='tp', b='tp + fn', n=4)} AS recall, {DIV.format(a='2 * tp', b='2 * tp + fp + fn', n=4)} AS f1 FROM w",
     "tool_eval_rollup": f"WITH {TOOLS} SELECT category, {RATES} FROM o GROUP BY ROLLUP (category)",
     "readiness_verdict": f"WITH {TOOLS}, r AS (SELECT {RATES} FROM o) SELECT cases, pass_rate, CASE WHEN security_rate < 1 THEN 'NEEDS ARCHITECTURE FIX' WHEN selection_rate >= 0.8 AND argument_rate >= 0.85 AND clarification_rate >= 0.6 AND coalesce(multi_tool_rate, 1) >= 0.5 AND coalesce(no_tool_rate, 1) >= 0.75 THEN 'READY' ELSE 'NEEDS PROMPT FIX' END AS verdict FROM r",
-    "scope_audit": f"WITH {TOOLS} SELECT category AS tool, 2 * count(*) AS calls, count(*) FILTER (NOT security_ok) AS violations FROM o GROUP BY 1",
+    "scope_audit": f"WITH {TOOLS} SELECT category AS tool, 2 * count(*) AS calls, count(*) FILTER (NOT context_ok) AS violations FROM o GROUP BY 1",
     "error_class": f"WITH {TOOLS} SELECT case_id, CASE WHEN error LIKE 'Connect%' THEN 'connection' WHEN error IS NOT NULL THEN 'other' END AS class FROM o",
 }
