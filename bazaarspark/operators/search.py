@@ -1,13 +1,13 @@
 """Product search: a log of read queries against a catalog, all at once.
 
-Queries meet products by a hash join wherever that is possible: on the brand's key, or on a three-letter piece of a text that a
-product must hold. Of such pieces the one that fewest products hold is taken, so that frequent words never make the join. Only
-queries that hold neither (a price range, say) meet every product, which is what they ask for.
+Queries meet products by a hash join: on the brand's key, or on a three-letter piece of a text that a product must hold. Of such
+pieces the one that fewest products hold is taken, so that frequent words never make the join. Queries that hold neither (a
+price range, say) are asked of every product, block by block.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazaarspark.functions import dictionaries as D
@@ -16,12 +16,16 @@ from bazaarspark.functions.columns import clamp, is_blank, top_n
 from bazaarspark.operators import metadata as M
 
 FILTERS = [*M.POSITIVE, "exclude_brands"]
+#: Products of a block that queries without brand or text meet.
+CATALOG_BLOCK = 20_000
+# Products that hybrid search scores classically, the weights of its two scores, and those of BM25.
+CANDIDATES, DENSE, LEXICAL, K1, B = 50, 0.6, 0.4, 1.5, 0.75
 
 
 def catalog_view(products: DataFrame) -> DataFrame:
     """The catalog with the columns that a search reads; products without a code are left out."""
     return products.where("product_code is not null").withColumns(
-        {"brand_key": F.lower(F.trim("brand")), "searchable": F.lower(X.searchable_text()), "norm_name": X.normalized_name("product_name"), "price": X.parse_price("sum_of_price"), "enabled": F.coalesce(F.col("last_status") == "Enable", F.lit(False))}
+        {"brand_key": F.lower(F.trim("brand")), "searchable": F.lower(X.searchable_text()), "norm_name": X.normalized_name("product_name"), "low_name": F.lower(F.coalesce("product_name", F.lit(""))), "low_sku": F.lower(F.coalesce("sku", F.lit(""))), "price": X.parse_price("sum_of_price"), "enabled": F.coalesce(F.col("last_status") == "Enable", F.lit(False))}
     )
 
 
@@ -84,7 +88,9 @@ def hard_filters(queries: DataFrame, catalog: DataFrame) -> DataFrame:
     wanted = pieces.groupBy("q_query_id").agg(F.count("*").alias("all"))
     rarest = rarest.join(wanted, "q_query_id").where("found = all").select("q_query_id", "piece")  # else no product holds it
     by_text = rest.drop("_held").join(rarest, "q_query_id").join(postings, "piece").join(catalog, F.col("_code") == F.col("product_code")).drop("piece", "_code")
-    bare = rest.where("size(_held) = 0").drop("_held").join(catalog, F.lit(True))
+    blocks = max(1, -(-catalog.count() // CATALOG_BLOCK))
+    bare = rest.where("size(_held) = 0").drop("_held").withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    bare = bare.join(catalog.withColumn("_block", F.pmod(F.xxhash64("product_code"), F.lit(blocks)).cast("int")), "_block").drop("_block")
     return by_brand.unionByName(by_text).unionByName(bare).where(_matches())
 
 
@@ -101,7 +107,7 @@ def _each(tokens: Column, points: list[tuple[int, object]]) -> Column:
 
 def relevance_score() -> Column:
     """Points of a product for a query, over the columns that :func:`hard_filters` gives."""
-    name, sku = F.lower(F.coalesce("product_name", F.lit(""))), F.lower(F.coalesce("sku", F.lit("")))
+    name, sku = F.col("low_name"), F.col("low_sku")
     query, tokens = F.lower(F.trim("q_rank_query")), F.slice(F.col("q_tokens"), 1, 12)
     low = lambda t: F.lower(t)
     points = lambda n, cond: F.when(F.coalesce(cond, F.lit(False)), n).otherwise(0)
@@ -140,7 +146,7 @@ def name_variants(queries: DataFrame) -> DataFrame:
 
 def name_match_score() -> Column:
     """Points of a product's name, over q_rank_query, q_phrases, q_name_tokens and q_token_variants. Rounded half up."""
-    name, raw = F.col("norm_name"), F.lower(F.coalesce("product_name", F.lit("")))
+    name, raw = F.col("norm_name"), F.col("low_name")
     phrases = F.col("q_phrases")
     inside = F.exists(phrases, lambda p: F.contains(name, p))
     share = F.length(F.get(phrases, F.lit(0))).cast("decimal(20,6)") / F.greatest(F.length(F.trim(F.coalesce("product_name", F.lit("")))), F.lit(1))
@@ -180,42 +186,118 @@ def two_stage_topk(queries: DataFrame, catalog: DataFrame, candidate_limit: int
     return top_n(pool.withColumn("score", relevance_score() + F.col("name_score")), ["q_query_id"], _best("score"), clamp(limit, 1, 50))
 
 
-def read_queries(raw: DataFrame, col: str = "query") -> DataFrame:
-    """Raw queries as :func:`hard_filters` wants them: cut to 200 characters, tokens, filters and keys."""
-    q = M.metadata_extract(raw.withColumn(col, F.substring(X.text(col), 1, 200)), col)
+def restricts_pool() -> Column:
+    """Whether a query ranks only the products whose names fit best: it has name words, a filter, and words left to search for."""
+    return (F.size("q_name_tokens") > 0) & F.col("q_positive") & (F.size("q_terms") > 0)
+
+
+def named_search(queries: DataFrame, catalog: DataFrame, limit: int = 10, candidate_limit: int = 80) -> DataFrame:
+    """The most relevant products of each query by both scores. Queries that restrict their pool (:func:`restricts_pool`) rank the
+    ``candidate_limit`` best by name only."""
+    pool = hard_filters(queries, catalog).withColumn("name_score", name_match_score())
+    nth = F.row_number().over(Window.partitionBy("q_query_id").orderBy(*_best("name_score")))
+    pool = pool.withColumn("pool_rank", nth.cast("long")).where(~restricts_pool() | (F.col("pool_rank") <= clamp(candidate_limit, 10, 200)))
+    return top_n(pool.withColumn("score", relevance_score() + F.col("name_score")), ["q_query_id"], _best("score"), clamp(limit, 1, 20))
+
+
+def classical_score() -> Column:
+    """Points of a product in the evaluation's own ranking, over folded texts."""
+    fold = lambda c: F.lower(X.fold_text(c))
+    name, query = fold("product_name"), fold("q_rank_query")
+    tokens = F.filter(F.transform("q_tokens", lambda t: F.lower(X.fold_text(t))), lambda t: F.length(t) > 0)
+    haystack = fold("searchable")
+    hits = F.size(F.filter(tokens, lambda t: F.contains(haystack, t)))
+    points = lambda n, cond: F.when(F.coalesce(cond, F.lit(False)), n).otherwise(0)
+    return (
+        points(100, (F.length(name) > 0) & (name == query))
+        + points(50, F.col("q_brand").isNotNull() & F.array_contains("q_brand_keys", fold("brand")))
+        + points(40, F.col("q_category").isNotNull() & F.contains(F.lower(F.coalesce("type", F.lit(""))), F.lower("q_category")))
+        + points(25, (F.length(query) > 0) & F.contains(name, query))
+        + 8 * hits
+        + points(20, (F.size(tokens) > 0) & (hits == F.size(tokens)))
+    ).cast("double")
+
+
+def _with_idf(queries: DataFrame, words: DataFrame) -> DataFrame:
+    """Queries with ``idf``: their tokens (repeats stay) with the weight of each over the whole catalog, and ``avgdl``."""
+    docs = words.agg(F.count("*").alias("n"), F.greatest(F.avg(F.size("words")), F.lit(1.0)).alias("avgdl"))
+    asked = queries.select("query_id", F.explode(F.transform("tokens", lambda t: F.lower(t))).alias("term"))
+    held = words.select(F.explode(F.array_distinct("words")).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    df = held.groupBy("term").agg(F.count("*").alias("df")).crossJoin(docs)  # one row of totals
+    weighed = asked.join(df, "term").groupBy("query_id").agg(F.collect_list(F.struct("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))).alias("idf"), F.first("avgdl").alias("avgdl"))
+    return queries.join(weighed, "query_id", "left")
+
+
+def hybrid_search(queries: DataFrame, catalog: DataFrame, query_vectors: DataFrame, vectors: DataFrame, limit: int = 10) -> DataFrame:
+    """Products that meet a query's conditions, by vectors and words: the best ``CANDIDATES`` of both scores together, each scaled
+    to 0..1 among what passes, are ranked by :func:`classical_score`; ties keep the order of both scores.
+
+    Vectors are (query_id, v) and (product_code, v), of one length and length 1.
+    """
+    stock = catalog.withColumn("words", X.fold_tokens("searchable"))
+    asked = _with_idf(queries, stock.select("words")).join(query_vectors.withColumnRenamed("v", "vector"), "query_id")
+    pool = hard_filters(asked, stock).join(vectors, "product_code")
+    dense = F.aggregate(F.zip_with("q_vector", "v", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    tf = lambda t: F.size(F.filter("words", lambda w: w == t)).cast("double")
+    norm = K1 * (1 - B + B * F.greatest(F.size("words"), F.lit(1)) / F.col("q_avgdl"))
+    gain = lambda e: F.when(F.array_contains("words", e["term"]), e["idf"] * tf(e["term"]) * (K1 + 1) / (tf(e["term"]) + norm)).otherwise(0.0)
+    lexical = F.coalesce(F.aggregate("q_idf", F.lit(0.0), lambda a, e: a + gain(e)), F.lit(0.0))
+    scored = pool.withColumns({"dense": F.round(dense, 6), "lexical": F.round(lexical, 6)})
+    every = Window.partitionBy("q_query_id")
+    scaled = lambda c: F.when(F.max(c).over(every) > F.min(c).over(every), (F.col(c) - F.min(c).over(every)) / (F.max(c).over(every) - F.min(c).over(every))).otherwise(1.0)
+    fused = scored.withColumn("fused", F.round(DENSE * scaled("dense") + LEXICAL * scaled("lexical"), 6))
+    best = top_n(fused, ["q_query_id"], [F.desc("fused"), F.asc("product_code")], CANDIDATES, "fused_rank")
+    return top_n(best.withColumn("score", classical_score()), ["q_query_id"], [F.desc("score"), F.asc("fused_rank")], clamp(limit, 1, 50))
+
+
+def read_queries(raw: DataFrame, col: str = "query", payloads: DataFrame | None = None) -> DataFrame:
+    """Raw queries as :func:`hard_filters` wants them: cut to 200 characters, tokens, filters, keys and how sure their reading is.
+
+    With ``payloads`` (query_id, payload) of a model, those that the dictionaries are not sure of take what it adds.
+    """
+    q = M.metadata_extract(raw.withColumn(col, F.substring(F.trim(X.text(col)), 1, 200)), col)
+    q = M.metadata_confidence(q, col).withColumnRenamed("score", "confidence")
+    if payloads is not None:
+        wanted = q.where("needs_llm").select("query_id")
+        q = M.merge_model_metadata(q, payloads.join(wanted, "query_id", "left_semi"), "query_id", col).drop("price_intent", "model_confidence")
+        q = q.withColumn("leftover", M.leftover_tokens(X.catalog_tokens(X.search_tokens(col))))
     empty = F.array().cast("array<string>")
     q = q.withColumns(
         {
             "tokens": F.slice(X.search_tokens(col), 1, 12),
             "terms": X.hard_tokens(F.col("leftover")),
-            "rank_query": F.array_join(X.search_tokens(col), " "),
             "brand_keys": F.coalesce(M.brand_keys(F.col("brand")), empty),
             "exclude_keys": F.flatten(F.transform("exclude_brands", lambda b: F.coalesce(M.brand_keys(b), empty))),
             "name_tokens": M.name_tokens(col),
         }
     )
-    return name_variants(q.withColumn("name_phrase", F.array_join("name_tokens", " ")))
+    q = q.withColumn("name_phrase", F.array_join("name_tokens", " "))
+    return name_variants(q.withColumn("rank_query", F.coalesce(F.nullif("name_phrase", F.lit("")), F.array_join("tokens", " "))))
 
 
-def search_pipeline(raw: DataFrame, products: DataFrame, limit: int = 10) -> DataFrame:
-    """From raw query texts to ranked products. Equal texts are searched once."""
+def search_pipeline(raw: DataFrame, products: DataFrame, limit: int = 10, payloads: DataFrame | None = None) -> DataFrame:
+    """From raw query texts to ranked products. Equal texts are searched once; ``payloads`` are (query, payload) of a model."""
     texts = raw.select("query").distinct().withColumn("query_id", F.sha2("query", 256))
-    asked = read_queries(texts).persist()  # several joins read it, and none should read the queries anew
-    found = product_search(asked, catalog_view(products), limit)
-    best = found.select(F.col("q_query").alias("query"), "rank", "product_code", "product_name", F.col("score").cast("long").alias("score"))
-    return raw.select("query_id", "query").join(best, "query")
+    answers = None if payloads is None else payloads.groupBy(F.sha2("query", 256).alias("query_id")).agg(F.min("payload").alias("payload"))
+    found = named_search(read_queries(texts, payloads=answers), catalog_view(products), limit)
+    best = found.select("q_query_id", "rank", "product_code", "product_name", "score", F.col("q_confidence").alias("confidence"))
+    return raw.select("query_id", "query").join(best, F.sha2("query", 256) == F.col("q_query_id")).drop("q_query_id")
 
 
 def search_diag(queries: DataFrame, catalog: DataFrame, qrels: DataFrame, ranked_limit: int = 500) -> DataFrame:
-    """For each query: products that pass its conditions, gold products that pass, and the first gold's rank within the limit."""
+    """For each query: products that pass its conditions, the gold products that pass, the first gold's rank within the limit, and
+    what comes first: the codes of the best ten and a preview of the best three."""
     scored = hard_filters(queries, catalog).withColumn("score", relevance_score())
     counts = scored.groupBy("q_query_id").agg(F.count("*").alias("filtered"))
     ranked = top_n(scored, ["q_query_id"], _best("score"), ranked_limit)
-    gold = qrels.withColumnRenamed("query_id", "q_query_id").join(scored.select("q_query_id", "product_code"), ["q_query_id", "product_code"]).groupBy("q_query_id").agg(F.count("*").alias("gold_filtered"))
+    gold = qrels.withColumnRenamed("query_id", "q_query_id").join(scored.select("q_query_id", "product_code"), ["q_query_id", "product_code"]).groupBy("q_query_id").agg(F.count("*").alias("gold_filtered"), F.array_sort(F.collect_set("product_code")).alias("gold_codes"))
+    shown = ranked.where("rank <= 10").groupBy("q_query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "product_code", "product_name"))).alias("s"))
+    shown = shown.select("q_query_id", F.transform("s", lambda x: x["product_code"]).alias("top_codes"), F.array_join(F.transform(F.slice("s", 1, 3), lambda x: x["product_name"]), " | ").alias("preview"))
     first = qrels.withColumnRenamed("query_id", "q_query_id").join(ranked.select("q_query_id", "product_code", "rank"), ["q_query_id", "product_code"]).groupBy("q_query_id").agg(F.min("rank").alias("best_rank"))
     every = queries.select(F.col("query_id").alias("q_query_id"))
-    out = every.join(counts, "q_query_id", "left").join(gold, "q_query_id", "left").join(first, "q_query_id", "left")
-    return out.select(F.col("q_query_id").alias("query_id"), F.coalesce("filtered", F.lit(0)).alias("filtered"), F.coalesce("gold_filtered", F.lit(0)).alias("gold_filtered"), "best_rank")
+    out = every.join(counts, "q_query_id", "left").join(gold, "q_query_id", "left").join(first, "q_query_id", "left").join(shown, "q_query_id", "left")
+    none = F.array().cast("array<string>")
+    return out.select(F.col("q_query_id").alias("query_id"), F.coalesce("filtered", F.lit(0)).alias("filtered"), F.coalesce("gold_filtered", F.lit(0)).alias("gold_filtered"), F.coalesce("gold_codes", none).alias("gold_codes"), "best_rank", F.coalesce("top_codes", none).alias("top_codes"), F.coalesce("preview", F.lit("")).alias("preview"))
 
 
 def apply_model_order(candidates: DataFrame, order: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from bazaarspark.functions import dictionaries as D
 from bazaarspark.functions import text as X
-from bazaarspark.operators import metadata, search
+from bazaarspark.operators import ir_eval, metadata, retrieval, search
 from bazaarspark.sources.tables import table, view, with_views
 
 
@@ -48,6 +48,44 @@ def _qrels(spark, d):
     return view(spark, d, "search_cases").select("query_id", "rank_query").join(view(spark, d, "products").where("CAST(product_code AS BIGINT) % 2 = 0").select("product_code", F.col("product_name").alias("rank_query")), "rank_query").select("query_id", "product_code")
 
 
+def _diag_gold(spark, d):
+    """The gold products, and a code that the catalog lacks for some cases; every eighth case has only that."""
+    gold, n = _qrels(spark, d), F.length("query_id") + F.length(F.substring_index("query_id", " ", -1))
+    return gold.where(n % 8 != 3).unionByName(view(spark, d, "search_cases").where(n % 4 == 3).select("query_id", F.lit("none").alias("product_code")))
+
+
+def _facts(spark, d):
+    """The facts of each case: its own conditions are the extracted metadata, a brand and a price the expected ones."""
+    cases, catalog = _cases(spark, d), _catalog(spark, d)
+    q = cases.select("query_id", *[F.col(c).alias("q_" + c) for c in metadata.POSITIVE if c != "availability"], F.col("availability").alias("q_availability"), F.array_compact(F.array("excluded")).alias("q_exclude_brands"))
+    n = F.length("query_id")
+    want = ir_eval.expected_filters(cases.select("query_id", F.when(n % 5 == 0, "Brand#1").alias("brand"), F.when(n % 3 == 0, 1100.0).alias("price_max")))
+    scored = search.hard_filters(cases, catalog).withColumn("score", search.relevance_score())
+    ranked = search.top_n(scored, ["q_query_id"], search._best("score"), 2**31 - 1).select(F.col("q_query_id").alias("query_id"), "product_code", F.when(F.col("rank") <= 500, F.col("rank")).alias("rank"))
+    facts = ir_eval.narrow_facts(q.join(want, "query_id"), _diag_gold(spark, d), catalog, ranked)
+    return ir_eval.classify_narrow(facts).withColumn("query_type", F.split_part("query_id", F.lit("|"), F.lit(1)))
+
+
+def _exclusions(spark, d):
+    """Every gold product of a case against the case's conditions."""
+    q = _cases(spark, d).select("query_id", *[F.col(c).alias("q_" + c) for c in metadata.POSITIVE], F.array_compact(F.array("excluded")).alias("q_exclude_brands"))
+    return ir_eval.filter_exclusions(_qrels(spark, d).join(_catalog(spark, d), "product_code").join(q, "query_id")).select("query_id", "product_code", "exclusions")
+
+
+def _vectors(spark, d):
+    """Vectors of products and of cases, of length 1."""
+    v = table(spark, d, "embeddings").select("vec_id", retrieval.l2_normalize(F.col("embedding").cast("array<double>")).alias("v"))
+    key = lambda c: F.pmod(c, F.lit(500)) == F.col("vec_id")
+    products = view(spark, d, "products").select("product_code").join(v, key(F.col("product_code").cast("long"))).select("product_code", "v")
+    cases = view(spark, d, "search_cases").select("query_id").join(v, key(F.length("query_id") * 7)).select("query_id", "v")
+    return cases, products
+
+
+def _hybrid(spark, d):
+    cases, products = _vectors(spark, d)
+    return search.hybrid_search(_cases(spark, d), _catalog(spark, d), cases, products)
+
+
 def _top(spark, d):
     return search.product_search(_cases(spark, d), _catalog(spark, d))
 
@@ -83,8 +121,13 @@ QUERIES = {
     "product_search": lambda s, d: _ranked(_top(s, d)),
     "two_stage_topk": lambda s, d: _ranked(search.two_stage_topk(search.name_variants(_cases(s, d)), _catalog(s, d))),
     "search_pipeline": lambda s, d: search.search_pipeline(_log(s, d), view(s, d, "products")),
+    "hybrid_search": lambda s, d: _ranked(_hybrid(s, d)),
+    "classical_score": lambda s, d: search.hard_filters(_cases(s, d), _catalog(s, d)).select(F.col("q_query_id").alias("query_id"), "product_code", search.classical_score().alias("score")),
+    "filter_exclusions": lambda s, d: _exclusions(s, d),
+    "classify_narrow": _facts,
+    "diagnostic_rollup": lambda s, d: ir_eval.diagnostic_rollup(_facts(s, d)),
     "search_diag": lambda s, d: search.search_diag(_cases(s, d), _catalog(s, d), _qrels(s, d)),
-    "apply_model_order": lambda s, d: search.apply_model_order(_ranked(_top(s, d)).drop("score"), _qrels(s, d).withColumn("pos", F.crc32("product_code"))),
+    "apply_model_order": lambda s, d: search.apply_model_order(_ranked(_top(s, d)).drop("score"), _qrels(s, d).withColumn("pos", F.md5("product_code"))),
     "candidate_payload": lambda s, d: search.candidate_payload(_top(s, d).withColumnRenamed("q_query_id", "query_id")),
     "search_log_facts": lambda s, d: search.search_log_facts(_read(s, d).select("query_id", *metadata.POSITIVE, (F.col("query_id") % 5 == 0).alias("fallback_triggered"), (F.col("query_id") % 10 == 0).alias("fallback_failed"), (F.col("query_id") % 4).alias("result_count"))),
 }
@@ -155,6 +198,20 @@ NAME_SCORE = """CAST(CASE WHEN contains(product_name, rank_query) THEN 80 ELSE 0
  + 8 * list_sum(list_transform(toks, lambda t: CASE WHEN contains(product_name, t) THEN 1 ELSE 0 END)) + 4 * list_sum(list_transform(toks, lambda t: CASE WHEN length(t) >= 4 AND NOT contains(product_name, t) AND contains(product_name, t[:-2]) THEN 1 ELSE 0 END))
  + CASE WHEN contains(product_name, toks[1]) AND contains(product_name, toks[2]) THEN 50 ELSE 0 END + 20 * list_sum(list_transform(toks, lambda t: CASE WHEN contains(product_name, t) THEN 1 ELSE 0 END)) AS DOUBLE)"""
 
+# Words of these names are their tokens; brands have one spelling.
+CLASSICAL = """(CASE WHEN lower(product_name) = lower(rank_query) THEN 100 ELSE 0 END + CASE WHEN q_brand IS NOT NULL AND lower(brand) = lower(q_brand) THEN 50 ELSE 0 END + CASE WHEN q_category IS NOT NULL AND contains(lower(type), lower(q_category)) THEN 40 ELSE 0 END
+ + CASE WHEN contains(lower(product_name), lower(rank_query)) THEN 25 ELSE 0 END + 8 * len(list_filter(list_distinct(toks), lambda t: contains(searchable, t))) + CASE WHEN len(list_filter(toks, lambda t: NOT contains(searchable, t))) = 0 THEN 20 ELSE 0 END)"""
+EXCLUDED = """list_filter([CASE WHEN q.brand IS NOT NULL AND lower(c.brand) <> lower(q.brand) THEN 'brand' END, CASE WHEN q.category IS NOT NULL AND NOT contains(lower(concat_ws('|', c.type, c.category_level1, c.category_level2)), lower(q.category)) THEN 'category' END,
+ CASE WHEN q.price_max IS NOT NULL AND NOT coalesce(c.price <= q.price_max, false) THEN 'price_max' END, CASE WHEN q.excluded IS NOT NULL AND lower(c.brand) = lower(q.excluded) THEN 'exclude_brand' END], lambda x: x IS NOT NULL)"""
+DIAG = f"""gd AS (SELECT query_id, product_code FROM qrels WHERE (length(query_id) + length(split_part(query_id, ' ', -1))) % 8 <> 3 UNION ALL SELECT query_id, 'none' FROM search_cases WHERE (length(query_id) + length(split_part(query_id, ' ', -1))) % 4 = 3),
+rk AS (SELECT query_id, product_code, row_number() OVER ({BEST.format(s='score')}) AS rank FROM scored),
+fx AS (SELECT q.query_id, c.product_code IS NOT NULL AS known, (length(q.query_id) % 5 <> 0 OR lower(c.brand) = 'brand#1') AND (length(q.query_id) % 3 <> 0 OR coalesce(c.price <= 1100, false)) AS meets, rk.rank, {EXCLUDED} AS ex
+ FROM gd JOIN search_cases q USING (query_id) LEFT JOIN catalog c ON c.product_code = gd.product_code LEFT JOIN rk ON rk.query_id = gd.query_id AND rk.product_code = gd.product_code),
+fa AS (SELECT query_id, count(*) FILTER (known) AS gold_in_catalog, count(*) FILTER (known AND meets) AS gold_meets_filters, count(rank) AS gold_filtered, count(*) FILTER (known AND meets AND len(ex) > 0) AS gold_excluded, min(CASE WHEN rank <= 500 THEN rank END) AS best_rank FROM fx GROUP BY 1),
+f AS (SELECT query_id, coalesce(gold_in_catalog, 0) AS gold_in_catalog, coalesce(gold_meets_filters, 0) AS gold_meets_filters, coalesce(gold_filtered, 0) AS gold_filtered, coalesce(gold_excluded, 0) AS gold_excluded, best_rank FROM search_cases LEFT JOIN fa USING (query_id)),
+k AS (SELECT *, CASE WHEN gold_in_catalog = 0 THEN 'NO_CATALOG_MATCH' WHEN gold_meets_filters = 0 THEN 'DATA/GOLD_ISSUE' WHEN gold_filtered = 0 AND gold_excluded > 0 THEN 'FILTER_FAILURE' WHEN gold_filtered = 0 THEN 'CANDIDATE_GENERATION_FAILURE' WHEN best_rank IS NULL OR best_rank > 10 THEN 'RANKING_FAILURE' END AS failure_class,
+ split_part(query_id, '|', 1) AS query_type FROM f)"""
+
 ORACLES = {
     "normalize_queries": with_views(f"WITH {TOKENS} SELECT query_id, query, tokens, catalog, list_filter(catalog, lambda t: t <> '' AND NOT {IS_CONSTRAINT.format(t='t')} AND NOT list_contains({_list(D.SOFT_TOKENS)}, lower(t)))[1:12] AS hard, array_to_string(tokens, ' ') AS normalized FROM cat2", "query_log"),
     "query_text_norms": f"""SELECT doc_id, {FOLD.replace('@', 'text')} AS folded, regexp_replace(translate(lower(trim(regexp_replace(coalesce(text, ''), '[‌!-/:-@\\[-`{{-~]+', ' ', 'g'), ' ')), 'يىك', 'ییک'), '\\s+', ' ', 'g') AS named,
@@ -187,11 +244,29 @@ ORACLES = {
         "search_cases",
     ),
     "search_diag": with_views(
-        f"""WITH {SCORED}, {QRELS}, ranked AS (SELECT query_id, product_code, row_number() OVER ({BEST.format(s='score')}) AS rank FROM scored),
-        c AS (SELECT query_id, count(*) AS filtered FROM scored GROUP BY 1), g AS (SELECT query_id, count(*) AS gold, min(CASE WHEN rank <= 500 THEN rank END) AS best_rank FROM ranked JOIN qrels USING (query_id, product_code) GROUP BY 1)
-        SELECT q.query_id, coalesce(filtered, 0) AS filtered, coalesce(gold, 0) AS gold_filtered, best_rank FROM search_cases q LEFT JOIN c USING (query_id) LEFT JOIN g USING (query_id)""",
+        f"""WITH {SCORED}, {QRELS}, ranked AS (SELECT query_id, product_code, product_name, row_number() OVER ({BEST.format(s='score')}) AS rank FROM scored),
+        c AS (SELECT query_id, count(*) AS filtered, list(product_code ORDER BY rank) FILTER (rank <= 10) AS top_codes, string_agg(product_name, ' | ' ORDER BY rank) FILTER (rank <= 3) AS preview FROM ranked GROUP BY 1),
+        g AS (SELECT query_id, count(*) AS gold, list_sort(list(product_code)) AS gold_codes, min(CASE WHEN rank <= 500 THEN rank END) AS best_rank FROM ranked JOIN qrels USING (query_id, product_code) GROUP BY 1)
+        SELECT q.query_id, coalesce(filtered, 0) AS filtered, coalesce(gold, 0) AS gold_filtered, coalesce(gold_codes, []) AS gold_codes, best_rank, coalesce(top_codes, []) AS top_codes, coalesce(preview, '') AS preview FROM search_cases q LEFT JOIN c USING (query_id) LEFT JOIN g USING (query_id)""",
+        "products",
+        "search_cases",
+    ),
+    "classical_score": with_views(f"WITH {PAIRS} SELECT query_id, product_code, CAST({CLASSICAL} AS DOUBLE) AS score FROM pairs", "products", "search_cases"),
+    "hybrid_search": with_views(
+        f"""WITH {PAIRS}, wd AS (SELECT product_code, list_filter(string_split({FOLD.replace('@', 'searchable')}, ' '), lambda t: t <> '') AS words FROM catalog), tot AS (SELECT count(*) AS n, greatest(avg(len(words)), 1.0) AS avgdl FROM wd),
+        df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(words)) AS term FROM wd) GROUP BY 1),
+        qt AS (SELECT query_id, unnest({_dedupe("string_split(rank_query, ' ')")}) AS term FROM search_cases), tf AS (SELECT product_code, term, count(*) AS tf FROM (SELECT product_code, unnest(words) AS term FROM wd) GROUP BY ALL),
+        lex AS (SELECT query_id, product_code, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * greatest(len(words), 1) / avgdl))) AS lexical FROM qt JOIN tf USING (term) JOIN df USING (term) JOIN wd USING (product_code), tot GROUP BY 1, 2),
+        pool AS (SELECT pairs.*, round(coalesce(lexical, 0), 6) AS lexical, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS dense FROM pairs LEFT JOIN lex USING (query_id, product_code) JOIN embeddings a ON a.vec_id = length(query_id) * 7 % 500 JOIN embeddings b ON b.vec_id = CAST(product_code AS BIGINT) % 500),
+        fu AS (SELECT *, round(0.6 * CASE WHEN max(dense) OVER w > min(dense) OVER w THEN (dense - min(dense) OVER w) / (max(dense) OVER w - min(dense) OVER w) ELSE 1 END + 0.4 * CASE WHEN max(lexical) OVER w > min(lexical) OVER w THEN (lexical - min(lexical) OVER w) / (max(lexical) OVER w - min(lexical) OVER w) ELSE 1 END, 6) AS fused FROM pool WINDOW w AS (PARTITION BY query_id)),
+        best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, product_code) AS fused_rank FROM fu QUALIFY fused_rank <= 50)
+        SELECT query_id, product_code, CAST({CLASSICAL} AS DOUBLE) AS score, row_number() OVER (PARTITION BY query_id ORDER BY {CLASSICAL} DESC, fused_rank) AS rank FROM best QUALIFY rank <= 10""",
         "products",
         "search_cases",
     ),
+    "filter_exclusions": with_views(f"WITH {CATALOG}, {QRELS} SELECT query_id, product_code, {EXCLUDED} AS exclusions FROM qrels JOIN catalog c USING (product_code) JOIN search_cases q USING (query_id)", "products", "search_cases"),
+    "classify_narrow": with_views(f"WITH {SCORED}, {QRELS}, {DIAG} SELECT * FROM k", "products", "search_cases"),
+    "diagnostic_rollup": with_views(f"WITH {SCORED}, {QRELS}, {DIAG}, n AS (SELECT query_type, failure_class, count(*) AS n FROM k WHERE failure_class IS NOT NULL GROUP BY 1, 2), t AS (SELECT query_type, failure_class AS top_failure, n AS top_n FROM n QUALIFY row_number() OVER (PARTITION BY query_type ORDER BY n DESC, failure_class) = 1) SELECT query_type, cases, mean_best_rank, top_failure, top_n FROM (SELECT query_type, count(*) AS cases, CAST(sum(CAST(best_rank AS DECIMAL(18, 6))) AS DOUBLE) / count(best_rank) AS mean_best_rank FROM k GROUP BY 1) LEFT JOIN t USING (query_type)", "products", "search_cases"),
+    "apply_model_order": with_views(f"WITH {TOP}, {QRELS} SELECT query_id, product_code, rank, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN q.product_code IS NOT NULL THEN md5(best.product_code) END NULLS LAST, rank) AS new_rank FROM best LEFT JOIN (SELECT DISTINCT * FROM qrels) q USING (query_id, product_code)", "products", "search_cases"),
     "candidate_payload": with_views(f"WITH {TOP} SELECT query_id, rank, product_code, product_name, brand, type AS category, coalesce(special_price, sum_of_price) AS price FROM best", "products", "search_cases"),
 }
