@@ -14,6 +14,7 @@ from bazaarspark.functions import dictionaries as D
 from bazaarspark.functions import text as X
 from bazaarspark.functions.columns import clamp, is_blank, top_n
 from bazaarspark.operators import metadata as M
+from bazaarspark.sources import scratch
 
 FILTERS = [*M.POSITIVE, "exclude_brands"]
 #: Products of a block that queries without brand or text meet.
@@ -255,12 +256,13 @@ def read_queries(raw: DataFrame, col: str = "query", payloads: DataFrame | None
 
     With ``payloads`` (query_id, payload) of a model, those that the dictionaries are not sure of take what it adds.
     """
-    q = M.metadata_extract(raw.withColumn(col, F.substring(F.trim(X.text(col)), 1, 200)), col)
-    q = M.metadata_confidence(q, col).withColumnRenamed("score", "confidence")
+    # Written after each part, as the expressions of one would be repeated in those of the next.
+    q = scratch.written(M.metadata_extract(raw.withColumn(col, F.substring(F.trim(X.text(col)), 1, 200)), col), "query-metadata")
+    q = scratch.written(M.metadata_confidence(q, col).withColumnRenamed("score", "confidence"), "query-confidence")
     if payloads is not None:
         wanted = q.where("needs_llm").select("query_id")
         q = M.merge_model_metadata(q, payloads.join(wanted, "query_id", "left_semi"), "query_id", col).drop("price_intent", "model_confidence")
-        q = q.withColumn("leftover", M.leftover_tokens(X.catalog_tokens(X.search_tokens(col))))
+        q = scratch.written(q, "query-answers").withColumn("leftover", M.leftover_tokens(X.catalog_tokens(X.search_tokens(col))))
     empty = F.array().cast("array<string>")
     q = q.withColumns(
         {
@@ -272,6 +274,7 @@ def read_queries(raw: DataFrame, col: str = "query", payloads: DataFrame | None
         }
     )
     q = q.withColumn("name_phrase", F.array_join("name_tokens", " "))
+    q = scratch.written(q, "query-tokens")
     return name_variants(q.withColumn("rank_query", F.coalesce(F.nullif("name_phrase", F.lit("")), F.array_join("tokens", " "))))
 
 
@@ -279,7 +282,8 @@ def search_pipeline(raw: DataFrame, products: DataFrame, limit: int = 10, payloa
     """From raw query texts to ranked products. Equal texts are searched once; ``payloads`` are (query, payload) of a model."""
     texts = raw.select("query").distinct().withColumn("query_id", F.sha2("query", 256))
     answers = None if payloads is None else payloads.groupBy(F.sha2("query", 256).alias("query_id")).agg(F.min("payload").alias("payload"))
-    found = named_search(read_queries(texts, payloads=answers), catalog_view(products), limit)
+    asked = scratch.written(read_queries(texts, payloads=answers), "queries")  # several joins read it
+    found = named_search(asked, catalog_view(products), limit)
     best = found.select("q_query_id", "rank", "product_code", "product_name", "score", F.col("q_confidence").alias("confidence"))
     return raw.select("query_id", "query").join(best, F.sha2("query", 256) == F.col("q_query_id")).drop("q_query_id")
 

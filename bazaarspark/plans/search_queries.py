@@ -212,7 +212,158 @@ f AS (SELECT query_id, coalesce(gold_in_catalog, 0) AS gold_in_catalog, coalesce
 k AS (SELECT *, CASE WHEN gold_in_catalog = 0 THEN 'NO_CATALOG_MATCH' WHEN gold_meets_filters = 0 THEN 'DATA/GOLD_ISSUE' WHEN gold_filtered = 0 AND gold_excluded > 0 THEN 'FILTER_FAILURE' WHEN gold_filtered = 0 THEN 'CANDIDATE_GENERATION_FAILURE' WHEN best_rank IS NULL OR best_rank > 10 THEN 'RANKING_FAILURE' END AS failure_class,
  split_part(query_id, '|', 1) AS query_type FROM f)"""
 
+
+def _map(entries):
+    return "MAP {" + ", ".join(f"'{k}': {_list(ws)}" for k, ws in entries.items()) + "}"
+
+
+def _words(pairs):
+    """canonical -> the words that it accounts for, its own and those of its spellings."""
+    out = {}
+    for alias, canonical in pairs:
+        out.setdefault(canonical, {}).update(dict.fromkeys([*alias.lower().split(), alias.lower(), *canonical.lower().split()]))
+    return out
+
+
+def _soft(t):
+    return f"list_contains({_list(D.SOFT_TOKENS)}, lower({FOLD.replace('@', t)}))"
+
+
+def _price_token(t):
+    compact = f"replace(translate(replace({t}, '{X.ZWNJ}', ''), '{X.FOREIGN_DIGITS}', '{X.ASCII_DIGITS}'), ' ', '')"
+    return f"(list_contains({_list(D.PRICE_TOKENS)}, {compact}) OR regexp_full_match({compact}, '[0-9]+(هزارتومان|هزارتومن|هزار|میلیون|تومان|تومن)?'))"
+
+
+def _left_over(tokens, category):
+    plain = " ".join(f", list_append(string_split(lower(coalesce({c}, '')), ' '), lower({c}))" for c in ("color", "material", "gender"))
+    used = f"flatten([coalesce({_map(_words(D.brand_aliases()))}[brand], []), coalesce({_map(_words(D.CATEGORIES))}[{category}], []){plain}])"
+    return f"list_filter({tokens}, lambda t: NOT list_contains({used}, lower(t)) AND NOT ((price_min IS NOT NULL OR price_max IS NOT NULL) AND {_price_token('t')}))"
+
+
+def _part_of_a_name(text, category, left):
+    name, folded = FOLD.replace("@", category), FOLD.replace("@", text)
+    return f"""({category} IS NOT NULL AND (len(list_filter({left}, lambda t: list_contains({_list(D.PHRASE_EXTENDERS)}, lower({FOLD.replace('@', 't')})))) > 0
+ OR regexp_matches({folded}, {name} || '\\s+و\\s+\\S+') OR ({name} = 'رنگ مو' AND contains(' ' || {folded} || ' ', ' ماسک '))))"""
+
+
+def _catalog_part(tokens):
+    kept = f"list_filter({tokens}, lambda t: NOT {IS_CONSTRAINT.format(t='t')})"
+    return f"CASE WHEN len({kept}) > 0 THEN {kept} ELSE {tokens} END"
+
+
+def _one_edit(a, b):
+    """At most one letter is put in, left out or changed: beyond an equal beginning, one letter is passed over on either side or both."""
+    rest = lambda x, n: f"substr({x}, i + {n})"
+    return f"len(list_filter(range(0, length({b}) + 2), lambda i: left({a}, i) = left({b}, i) AND ({rest(a, 2)} = {rest(b, 2)} OR {rest(a, 2)} = {rest(b, 1)} OR {rest(a, 1)} = {rest(b, 2)}))) > 0"
+
+
+BRANDS = ", ".join(f"({i}, '{n}', '{a}')" for i, (a, n) in enumerate(D.longest_first(D.brand_aliases()), 1))
+BEFORE = f"'(?i)(^|\\s)(?:{'|'.join(D.NEGATIVE_PREFIXES)})\\s+' || alias || '(\\s|$)'"
+AROUND = "'(?i)(^|\\s)از\\s+(?:برند\\s+)?' || alias || '\\s+نه(\\s|$)'"
+SPACED_TEXT = lambda c: f"translate({NORM.replace('query', c)}, '{X.FOREIGN_DIGITS}', '{X.ASCII_DIGITS}')"
+FILLED = "b1 <> '' AND lo IS NOT NULL AND hi IS NOT NULL"
+
+
+def _prices(source, text):
+    """Price bounds of a text, as further columns of a table expression."""
+    return f"""g_{text} AS (SELECT *, {SPACED_TEXT(text)} AS sp FROM {source}),
+h_{text} AS (SELECT *, regexp_extract(sp, '{BETWEEN}', 1) AS b1, regexp_extract(sp, '{BETWEEN}', 2) AS b2, regexp_extract(sp, '{BETWEEN}', 3) AS b3, regexp_extract(sp, '{BETWEEN}', 4) AS b4, regexp_extract(sp, '{SPACED}', 1) <> '' AS apart FROM g_{text}),
+i_{text} AS (SELECT *, CASE WHEN apart THEN regexp_extract(sp, '{SPACED}', 1) ELSE regexp_extract(replace(sp, ' ', ''), '{COMPACT}', 1) END AS bound, CASE WHEN apart THEN regexp_extract(sp, '{SPACED}', 2) ELSE regexp_extract(replace(sp, ' ', ''), '{COMPACT}', 2) END AS num, CASE WHEN apart THEN regexp_extract(sp, '{SPACED}', 3) ELSE regexp_extract(replace(sp, ' ', ''), '{COMPACT}', 3) END AS scale FROM h_{text}),
+j_{text} AS (SELECT *, {_amount('b1', "(CASE WHEN b2 <> '' THEN b2 ELSE b4 END)")} AS lo, {_amount('b3', "(CASE WHEN b4 <> '' THEN b4 ELSE b2 END)")} AS hi, {_amount('num', 'scale')} AS amount FROM i_{text}),
+p_{text} AS (SELECT * EXCLUDE (sp, b1, b2, b3, b4, apart, bound, num, scale, lo, hi, amount), CASE WHEN {FILLED} THEN lo WHEN bound IN ('بالای', 'بالا') THEN amount END AS price_min, CASE WHEN {FILLED} THEN hi WHEN bound = 'زیر' THEN amount END AS price_max FROM j_{text})"""
+
+
+PRESENT = lambda c: f"CASE WHEN regexp_matches({c}, 'ناموجود|موجود نیست') THEN false WHEN regexp_matches({c}, 'موجوده|موجود([^\\p{{L}}\\p{{N}}_]|$)') THEN true END"
+META = f"""WITH RECURSIVE ent(i, name, alias) AS (VALUES {BRANDS}),
+ng AS (SELECT query_id, query, 0 AS i, {FOLD.replace('@', 'query')} AS remaining, CAST([] AS VARCHAR[]) AS excluded FROM query_log
+ UNION ALL SELECT query_id, query, i, CASE WHEN pattern IS NOT NULL THEN {_squeeze("regexp_replace(remaining, pattern, '\\1\\2', 'g')")} ELSE remaining END, CASE WHEN pattern IS NOT NULL THEN list_append(excluded, name) ELSE excluded END
+ FROM (SELECT query_id, query, e.i, name, remaining, excluded, CASE WHEN list_contains(excluded, name) THEN NULL WHEN regexp_matches(remaining, {BEFORE}) THEN {BEFORE} WHEN regexp_matches(remaining, {AROUND}) THEN {AROUND} END AS pattern FROM ng JOIN ent e ON e.i = ng.i + 1)),
+nx AS (SELECT query_id, query, remaining, excluded, CASE WHEN len(excluded) > 0 THEN remaining ELSE coalesce(query, '') END AS working FROM ng WHERE i = (SELECT max(i) FROM ent)),
+ws AS (SELECT *, {SPLIT.replace('query', 'working')} AS s0, {SPLIT} AS s1 FROM nx), wt AS (SELECT * EXCLUDE (s0, s1), {_dedupe('s0')} AS t0, {_dedupe('s1')} AS tokens FROM ws),
+wc AS (SELECT *, {_catalog_part('t0')} AS tw, {_catalog_part('tokens')} AS ta, ' ' || lower({NORM.replace('query', 'working')}) || ' ' AS t, {NORM.replace('query', 'working')} AS wn FROM wt),
+wp AS (SELECT * EXCLUDE (t), {_first(D.brand_aliases())} AS brand0, {_first(D.CATEGORIES)} AS category0, {_first(D.same(D.COLORS))} AS color, {_first(D.same(D.MATERIALS))} AS material, {_first(D.same(D.GENDERS))} AS gender, {PRESENT('wn')} AS availability FROM wc),
+wb AS (SELECT *, CASE WHEN NOT list_contains(excluded, brand0) THEN brand0 END AS brand FROM wp), {_prices('wb', 'working')},
+we AS (SELECT *, CASE WHEN NOT {_part_of_a_name('working', 'category0', _left_over('tw', 'category0'))} THEN category0 END AS category FROM p_working),
+md AS (SELECT *, {_left_over('ta', 'category')} AS leftover, ' ' || lower({NORM}) || ' ' AS t FROM we)"""
+KEEP = "query_id, query, excluded AS exclude_brands, brand, color, material, gender, availability, price_min, price_max, category, leftover"
+LOCKED = "list_filter([" + ", ".join(f"CASE WHEN {f} IS NOT NULL THEN '{f}' END" for f in metadata.POSITIVE) + ", CASE WHEN len(excluded) > 0 THEN 'exclude_brands' END], lambda x: x IS NOT NULL)"
+NOTHING = " AND ".join(f"{f} IS NULL" for f in metadata.POSITIVE)
+KEYS = [a for a, _ in D.brand_aliases()]
+NEAR = f"list_filter(kept, lambda t: length(lower({FOLD.replace('@', 't')})) >= 4 AND NOT {_soft('t')} AND NOT list_contains({_list(KEYS)}, lower(t)) AND len(list_filter({_list([k for k in KEYS if len(k) >= 4])}, lambda a: {_one_edit("lower(" + FOLD.replace('@', 't') + ")", 'a')})) > 0)[1]"
+CONFIDENT = f"""ra AS (SELECT *, list_filter(leftover, lambda t: length(t) > 0 AND NOT {_soft('t')}) AS kept, {_first(D.CATEGORIES)} AS raw, {_all(D.CATEGORIES)} AS mentioned FROM md),
+rb AS (SELECT *, CASE WHEN brand IS NULL THEN {NEAR} END AS near_miss, {_part_of_a_name('query', 'raw', _left_over('ta', 'raw'))} AS aside FROM ra),
+rc AS (SELECT *, list_filter([CASE WHEN raw IS NOT NULL AND category IS NULL AND aside THEN 'ambiguous_category' END, CASE WHEN len(list_distinct(mentioned)) > 1 THEN 'conflicting_metadata' END, CASE WHEN near_miss IS NOT NULL THEN 'unknown_or_near_miss_brand' END,
+ CASE WHEN category IS NULL AND len(list_filter(kept, lambda t: list_contains({_list(D.PHRASE_EXTENDERS)}, lower({FOLD.replace('@', 't')})))) > 0 THEN 'partial_product_phrase' END,
+ CASE WHEN {NOTHING} THEN CASE WHEN regexp_matches(query, '{D.COLLOQUIAL}') THEN 'colloquial_without_reliable_metadata' WHEN regexp_matches(query, '{D.IMPLICIT_USE}|مرطوب') THEN 'implicit_use_without_category' END END], lambda x: x IS NOT NULL) AS reasons FROM rb),
+cf AS (SELECT *, greatest(0.0, round(1 - 0.35 * len(reasons), 6))::DOUBLE AS confidence, {LOCKED} AS locked_fields FROM rc)"""
+BETTER = D.QUALITY.replace("(?![\\p{L}\\p{N}_])", "([^\\p{L}\\p{N}_]|$)")
+VAGUE = "len(leftover) > 0 AND brand IS NULL AND category IS NULL"
+GATE = f"""(regexp_matches(query, '{D.IMPLICIT_PRICE}') AND price_min IS NULL AND price_max IS NULL) OR (regexp_matches(query, '{D.IMPLICIT_USE}') AND category IS NULL) OR regexp_matches(query, '{D.COLLOQUIAL}')
+ OR (({NOTHING}) AND len(leftover) <= 1 AND regexp_matches(query, '{'|'.join((D.COLLOQUIAL, D.IMPLICIT_USE, D.IMPLICIT_PRICE, BETTER, D.COMPLEX_INTENT))}'))"""
+RERANK = f"query_id % 3 > 1 AND (regexp_matches(query, '{'|'.join((D.COLLOQUIAL, BETTER, D.IMPLICIT_USE, D.COMPLEX_INTENT))}') OR ({VAGUE}))"
+NAMES = f"nt AS (SELECT query_id, {_dedupe('f0')}[1:12] AS name_tokens FROM (SELECT query_id, list_filter(list_transform(list_filter({_dedupe('s1')}, lambda t: NOT {_price_token('t')}), lambda t: {FOLD.replace('@', 't')}), lambda t: t <> '') AS f0 FROM (SELECT query_id, {SPLIT} AS s1 FROM query_log)))"
+SPELLINGS = {}
+for _alias, _name in D.brand_aliases():
+    SPELLINGS.setdefault(_name, []).append(_alias)
+# By alias: the brand's own name and its spellings in order, three at most; and by alias all its spellings.
+SWAPS = "[" + ", ".join(f"{{'a': ' {a} ', 'r': {_list(list(dict.fromkeys([n.lower(), *sorted(SPELLINGS[n])]))[:3])}}}" for a, n in D.longest_first(D.brand_aliases())) + "]"
+BY_ALIAS = _map({a: sorted(SPELLINGS[n]) for a, n in D.brand_aliases()})
+VARIANTS = f"""{NAMES}, np AS (SELECT *, array_to_string(name_tokens, ' ') AS name_phrase FROM nt), nf AS (SELECT *, {FOLD.replace('@', 'name_phrase')} AS folded, ' ' || lower({FOLD.replace('@', 'name_phrase')}) || ' ' AS low FROM np),
+nl AS (SELECT *, list_filter(list_transform(list_concat([folded], flatten(list_transform(list_filter({SWAPS}, lambda e: contains(low, e.a)), lambda e: list_transform(e.r, lambda r: trim(replace(low, e.a, ' ' || r || ' ')))))), lambda x: {FOLD.replace('@', 'x')}), lambda x: x <> '') AS ph,
+ list_transform(name_tokens, lambda t: list_filter(list_transform(list_concat([t], coalesce({BY_ALIAS}[lower(t)], [])), lambda x: {FOLD.replace('@', 'x')}), lambda x: x <> '')) AS tv FROM nf),
+nv AS (SELECT query_id, name_tokens, name_phrase, {_dedupe('ph')}[1:6] AS phrases, list_transform(tv, lambda v: list_filter(v, lambda t, i: list_position(list_transform(v, lambda u: lower(u)), lower(t)) = i)[1:6]) AS token_variants FROM nl)"""
+
+
+def _map_text(pairs):
+    return "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in pairs.items()) + "}"
+
+
+KEYS_OF = _map({n: sorted(a) for n, a in SPELLINGS.items()})
+_NAMES = {}
+for _alias, _name in D.longest_first(D.CATEGORIES):
+    _NAMES.setdefault(_alias, _name)
+    _NAMES.setdefault(_name, _name)
+CANON = _map_text(_NAMES)
+PRICED = f"WITH {_prices('query_log', 'query')} SELECT * FROM p_query"
+
 ORACLES = {
+    "extract_excluded_brands": with_views(f"{META} SELECT query_id, excluded, remaining FROM nx", "query_log"),
+    "metadata_extract": with_views(f"{META} SELECT {KEEP} FROM md", "query_log"),
+    "metadata_confidence": with_views(f"{META}, {CONFIDENT} SELECT {KEEP}, near_miss, reasons, confidence AS score, locked_fields, confidence < 0.75 AND len(reasons) > 0 AS needs_llm FROM cf", "query_log"),
+    "gate_columns": with_views(f"{META} SELECT query_id, {GATE} AS needs_understanding, {RERANK} AS needs_rerank FROM md", "query_log"),
+    "name_tokens": with_views(f"WITH {VARIANTS} SELECT * FROM nv", "query_log"),
+    # The answers name one brand and color, a category by parity, and prices; none is given back for what the dictionaries know.
+    "merge_model_metadata": with_views(
+        f"""{META}, {CONFIDENT}, mm AS (SELECT *, query_id % 10 / 10 AS model_confidence, query_id % 10 / 10 >= 0.7 AS sure, CASE WHEN query_id % 2 = 0 THEN 'کرم ضد آفتاب' ELSE 'رنگ مو' END AS said FROM cf),
+        mc AS (SELECT *, {CANON}[said] AS canonical FROM mm)
+        SELECT query_id, query, exclude_brands, coalesce(brand, CASE WHEN sure THEN {_map_text({a: n for a, n in reversed(D.brand_aliases())})}['merida'] END) AS brand, coalesce(color, CASE WHEN sure THEN 'قرمز' END) AS color, material, gender, availability,
+          coalesce(price_min, CASE WHEN sure AND (asked_min IS NOT NULL OR asked_max IS NOT NULL) THEN 5000.0 END)::DOUBLE AS price_min, price_max, coalesce(category, CASE WHEN sure AND NOT coalesce(canonical = raw AND aside, false) THEN canonical END) AS category, leftover, model_confidence::DOUBLE AS model_confidence, 'budget' AS price_intent
+        FROM (SELECT * EXCLUDE (excluded), excluded AS exclude_brands FROM mc) JOIN (SELECT query_id, price_min AS asked_min, price_max AS asked_max FROM ({PRICED})) USING (query_id)""",
+        "query_log",
+    ),
+    "search_pipeline": with_views(
+        f"""{META}, {CONFIDENT}, {VARIANTS}, {CATALOG},
+        qr AS (SELECT cf.*, tokens[1:12] AS toks, name_tokens, phrases, token_variants, coalesce(nullif(name_phrase, ''), array_to_string(tokens[1:12], ' ')) AS rank_query, NOT ({NOTHING}) AS positive,
+          list_filter(leftover, lambda t: t <> '' AND NOT {IS_CONSTRAINT.format(t='t')} AND NOT {_soft('t')})[1:12] AS terms, coalesce({KEYS_OF}[cf.brand], []) AS keys, flatten(list_transform(excluded, lambda b: coalesce({KEYS_OF}[b], []))) AS no_keys FROM cf JOIN nv USING (query_id)),
+        pairs AS (SELECT q.query_id, q.query, q.confidence, q.toks, q.name_tokens, q.phrases, q.token_variants, q.rank_query, q.positive, q.terms, q.keys, q.brand AS q_brand, q.category AS q_category, c.* FROM qr q JOIN catalog c ON (q.positive OR len(q.terms) > 0 OR (len(q.no_keys) > 0 AND q.rank_query <> ''))
+          AND (q.brand IS NULL OR list_contains(q.keys, c.brand_key)) AND NOT list_contains(q.no_keys, c.brand_key) AND (q.category IS NULL OR contains(lower(concat_ws('|', c.type, c.category_level1, c.category_level2)), lower(q.category))) AND (q.color IS NULL OR contains(lower(c.color), q.color))
+          AND (q.material IS NULL OR contains(c.searchable, q.material)) AND (q.gender IS NULL OR coalesce(contains(c.gender, q.gender), false)) AND (q.price_min IS NULL OR coalesce(c.price >= q.price_min, false)) AND (q.price_max IS NULL OR coalesce(c.price <= q.price_max, false))
+          AND (q.availability IS NULL OR c.enabled = q.availability) AND (q.positive OR len(list_filter(q.terms, lambda t: NOT contains(c.searchable, lower(t)))) = 0)),
+        nm AS (SELECT *, len(list_filter(token_variants, lambda v: len(list_filter(v, lambda x: contains(lower(product_name), lower(x)))) > 0)) AS hits, len(list_filter(phrases, lambda p: contains(lower(product_name), p))) > 0 AS inside FROM pairs),
+        ns AS (SELECT *, CAST(CASE WHEN inside THEN 80 ELSE 0 END + CASE WHEN len(list_filter(phrases, lambda p: starts_with(lower(product_name), p))) > 0 THEN 35 ELSE 0 END + CASE WHEN inside THEN least(40, round(CAST(length(phrases[1]) AS DECIMAL(20, 6)) / length(product_name) * 55, 2)) ELSE 0 END
+          + CASE WHEN lower(product_name) = lower(rank_query) THEN 20 ELSE 0 END + 8 * hits + 4 * len(list_filter(range(1, len(name_tokens) + 1), lambda i: length(name_tokens[i]) >= 4 AND len(list_filter(token_variants[i], lambda x: contains(lower(product_name), lower(x)))) = 0 AND contains(lower(product_name), name_tokens[i][:-2])))
+          + CASE WHEN len(token_variants) > 0 AND hits = len(token_variants) THEN 50 ELSE 0 END + CASE WHEN len(token_variants) > 0 THEN round(CAST(hits AS DECIMAL(20, 6)) / len(token_variants) * 40, 2) ELSE 0 END AS DOUBLE) AS name_score FROM nm),
+        pl AS (SELECT * FROM ns QUALIFY NOT (len(name_tokens) > 0 AND positive AND len(terms) > 0) OR row_number() OVER ({BEST.format(s='name_score')}) <= 80),
+        sc AS (SELECT *, name_score + (CASE WHEN lower(product_name) = lower(rank_query) THEN 100 ELSE 0 END + CASE WHEN q_brand IS NOT NULL AND list_contains(keys, brand_key) THEN 50 ELSE 0 END + CASE WHEN lower(type) = lower(q_category) THEN 40 ELSE 0 END
+          + CASE WHEN starts_with(lower(product_name), lower(rank_query)) THEN 18 ELSE 0 END + CASE WHEN contains(lower(product_name), lower(rank_query)) THEN 12 ELSE 0 END + 25 * len(list_filter(list_filter(toks, lambda t: regexp_matches(t, '[0-9۰-۹]'))[1:4], lambda t: contains(lower(product_name), lower(t)) OR contains(lower(sku), lower(t))))
+          + CASE WHEN len(toks) > 0 AND len(list_filter(toks, lambda t: NOT contains(searchable, lower(t)))) = 0 THEN 30 ELSE 0 END + CASE WHEN len(toks) > 0 AND len(list_filter(toks, lambda t: NOT contains(lower(product_name), lower(t)))) = 0 THEN 20 ELSE 0 END
+          + coalesce(list_sum(list_transform(toks, lambda t: CASE WHEN contains(lower(product_name), lower(t)) THEN 6 ELSE 0 END + CASE WHEN contains(lower(brand), lower(t)) THEN 5 ELSE 0 END + CASE WHEN contains(lower(concat_ws('|', type, category_level1, category_level2)), lower(t)) THEN 4 ELSE 0 END + CASE WHEN contains(searchable, lower(t)) THEN 1 ELSE 0 END)), 0)) AS score FROM pl)
+        SELECT query_id, query, CAST(row_number() OVER ({BEST.format(s='score')}) AS BIGINT) AS rank, product_code, product_name, score, confidence FROM sc QUALIFY rank <= 10""",
+        "query_log",
+        "products",
+    ),
+    "search_log_facts": with_views(f"{META} SELECT query_id, {', '.join(metadata.POSITIVE)}, query_id % 5 = 0 AS fallback_triggered, query_id % 10 = 0 AS fallback_failed, query_id % 4 AS result_count, CASE WHEN query_id % 10 = 0 THEN 'fallback_failed' WHEN query_id % 5 = 0 THEN 'llm_fallback' ELSE 'deterministic' END AS metadata_source,"
+        f" list_filter([{', '.join(f'CASE WHEN {f} IS NOT NULL THEN {chr(39)}{f}{chr(39)} END' for f in metadata.POSITIVE)}], lambda x: x IS NOT NULL) AS applied_filters, query_id % 4 = 0 AS empty FROM md", "query_log"),
     "normalize_queries": with_views(f"WITH {TOKENS} SELECT query_id, query, tokens, catalog, list_filter(catalog, lambda t: t <> '' AND NOT {IS_CONSTRAINT.format(t='t')} AND NOT list_contains({_list(D.SOFT_TOKENS)}, lower(t)))[1:12] AS hard, array_to_string(tokens, ' ') AS normalized FROM cat2", "query_log"),
     "query_text_norms": f"""SELECT doc_id, {FOLD.replace('@', 'text')} AS folded, regexp_replace(translate(lower(trim(regexp_replace(coalesce(text, ''), '[‌!-/:-@\\[-`{{-~]+', ' ', 'g'), ' ')), 'يىك', 'ییک'), '\\s+', ' ', 'g') AS named,
         replace(replace(lower(trim(coalesce(text, ''), ' ')), chr(10), ' '), '  ', ' ') AS evaluated, {_squeeze("replace(coalesce(text, ''), '‌', ' ')")} AS chunked,
