@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 BOUNDS = [5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 500.0, 1000.0, 2500.0, 5000.0, 10000.0, 30000.0]
+# Argument names that a caller may not set.
+UNSAFE = ["customer_id", "sql", "filters"]
 OPS_PATHS = ["/health", "/ready", "/metrics"]
 SCHEMA = "event string, ts timestamp, trace_id string, request_id string, endpoint string, method string, status int, latency_ms double, tool string, purpose string, timeout boolean, input_tokens long, output_tokens long, estimated_cost_usd double, empty boolean, llm_fallback_triggered boolean, llm_failure boolean, rating string"
 
@@ -53,6 +56,18 @@ def valid_customer(col: Column) -> Column:
     return F.coalesce(col.rlike(r"^[A-Za-z0-9._-]{1,64}\z"), F.lit(False))
 
 
+def short_id(col: Column, maximum: int = 64) -> Column:
+    """The first ``maximum`` characters of an identifier without white space around it; empty where that is null or holds a quote,
+    backslash, semicolon, line end or zero byte."""
+    text = F.substring(F.trim(F.coalesce(col.cast("string"), F.lit(""))), 1, maximum)
+    return F.when(text.rlike("[;'\"\\\\\n\r\x00]"), "").otherwise(text)
+
+
+def safe_arguments(args: Column) -> Column:
+    """A tool's arguments without the names that a caller may not set."""
+    return F.map_filter(args, lambda k, _: ~F.lower(F.trim(k)).isin(*UNSAFE))
+
+
 def enrich_events(events: DataFrame) -> DataFrame:
     """Adds the estimated cost."""
     return events.withColumn("estimated_cost_usd", F.when(F.col("event") == "llm_call", cost_estimate()))
@@ -68,17 +83,30 @@ def api_metrics(events: DataFrame, window: str | None = None) -> DataFrame:
     return _grouped(rows, window, "endpoint", "method", "status").agg(F.count("*").alias("requests"), F.count_if(F.col("status") >= 400).alias("errors"))
 
 
+def agent_metrics(events: DataFrame, window: str | None = None) -> DataFrame:
+    """Completed agent runs, those with a latency, and its sum."""
+    rows = events.where("event = 'agent_completed'")
+    return _grouped(rows, window).agg(F.count("*").alias("runs"), F.count("latency_ms").alias("timed"), F.sum(F.col("latency_ms").cast("decimal(28,6)")).cast("double").alias("total_ms"))
+
+
+def selection_errors(events: DataFrame, window: str | None = None) -> DataFrame:
+    """Wrong choices of a tool, by tool."""
+    rows = events.where("event = 'agent_tool_selection_error'").withColumn("tool", F.coalesce("tool", F.lit("unknown")))
+    return _grouped(rows, window, "tool").agg(F.count("*").alias("errors"))
+
+
 def tool_metrics(events: DataFrame, window: str | None = None) -> DataFrame:
-    rows = events.where("event = 'tool_execution'")
-    return _grouped(rows, window, "tool").agg(F.count("*").alias("calls"), F.count_if(F.col("status") < 400).alias("succeeded"), F.count_if(F.col("status") >= 400).alias("selection_errors"))
+    """Tool calls by tool and status."""
+    rows = events.where("event = 'tool_execution'").withColumns({"tool": F.coalesce("tool", F.lit("unknown")), "status": F.coalesce(F.col("status").cast("string"), F.lit("unknown"))})
+    return _grouped(rows, window, "tool", "status").agg(F.count("*").alias("calls"))
 
 
 def llm_metrics(events: DataFrame, window: str | None = None) -> DataFrame:
-    """Calls, failures, timeouts, tokens and cost by purpose."""
-    rows = enrich_events(events).where("event = 'llm_call'")
-    return _grouped(rows, window, "purpose").agg(
+    """Calls, failures, timeouts, tokens and cost by purpose and status; a status that isn't there is a success."""
+    rows = enrich_events(events).where("event = 'llm_call'").withColumns({"purpose": F.coalesce("purpose", F.lit("unknown")), "failed": F.coalesce(F.col("status") >= 400, F.lit(False)), "status": F.coalesce(F.col("status").cast("string"), F.lit("success"))})
+    return _grouped(rows, window, "purpose", "status").agg(
         F.count("*").alias("calls"),
-        F.count_if(F.col("status") >= 400).alias("failures"),
+        F.count_if("failed").alias("failures"),
         F.count_if("timeout").alias("timeouts"),
         F.sum("input_tokens").alias("input_tokens"),
         F.sum("output_tokens").alias("output_tokens"),
@@ -107,20 +135,46 @@ def latency_histogram(events: DataFrame, by: str = "event", value: str = "latenc
 
 
 def metric_series(events: DataFrame) -> DataFrame:
-    """All counters as (metric, labels, value); labels are sorted pairs in one text."""
+    """All counters and histograms as (metric, labels, value); labels are pairs in order of name, in one text."""
     label = lambda *cs: F.array_join(F.array(*[F.concat(F.lit(c + "="), F.col(c).cast("string")) for c in sorted(cs)]), ",")
-    api = api_metrics(events)
+    llm, search, agent = llm_metrics(events), search_metrics(events), agent_metrics(events)
+
+    def series(df: DataFrame, name: str, value: str, *keys: str) -> DataFrame:
+        sums = df.groupBy(*keys).agg(F.sum(value).cast("double").alias("value"))
+        return sums.select(F.lit(name).alias("metric"), (label(*keys) if keys else F.lit("")).alias("labels"), "value")
+
     parts = [
-        api.groupBy("endpoint", "method", "status").agg(F.sum("requests").alias("value")).select(F.lit("requests_total").alias("metric"), label("endpoint", "method", "status").alias("labels"), "value"),
-        api.where("errors > 0").groupBy("endpoint").agg(F.sum("errors").alias("value")).select(F.lit("errors_total").alias("metric"), label("endpoint").alias("labels"), "value"),
-        tool_metrics(events).select(F.lit("tool_calls_total").alias("metric"), label("tool").alias("labels"), F.col("calls").alias("value")),
-        llm_metrics(events).select(F.lit("llm_calls_total").alias("metric"), label("purpose").alias("labels"), F.col("calls").alias("value")),
-        rating_metrics(events).select(F.lit("feedback_total").alias("metric"), label("rating").alias("labels"), F.col("n").alias("value")),
+        series(api_metrics(events), "requests_total", "requests", "endpoint", "method", "status"),
+        series(api_metrics(events).where("errors > 0"), "errors_total", "errors", "endpoint", "status"),
+        series(agent, "agent_requests_total", "runs"),
+        series(selection_errors(events), "agent_tool_selection_errors_total", "errors", "tool"),
+        series(tool_metrics(events), "tool_calls_total", "calls", "tool", "status"),
+        series(llm, "llm_calls_total", "calls", "purpose", "status"),
+        series(llm.where("failures > 0"), "llm_failures_total", "failures", "purpose"),
+        series(llm.where("timeouts > 0"), "llm_timeouts_total", "timeouts", "purpose"),
+        series(llm.select("input_tokens", F.lit("input").alias("direction")), "llm_tokens_total", "input_tokens", "direction"),
+        series(llm.select("output_tokens", F.lit("output").alias("direction")), "llm_tokens_total", "output_tokens", "direction"),
+        series(llm.select(F.col("cost_usd").cast("decimal(20,8)").alias("cost")), "llm_estimated_cost_usd_total", "cost"),
+        series(search, "product_search_total", "searches"),
+        series(search, "product_search_empty_total", "empty_results"),
+        series(search, "product_search_llm_fallback_total", "fallbacks"),
+        series(search, "product_search_llm_fallback_failures_total", "fallback_failures"),
+        series(rating_metrics(events), "feedback_total", "n", "rating"),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    requests = events.where((F.col("event") == "request_completed") & ~F.col("endpoint").isin(*OPS_PATHS))
+    timed = [("api_request", requests, "endpoint"), ("agent", events.where("event = 'agent_completed'"), None), ("product_search", events.where("event = 'product_search_completed'"), None), ("llm", events.where("event = 'llm_call'"), "purpose")]
+    for name, rows, key in timed:
+        own = F.concat(F.lit(f"{key}="), F.col(key)) if key else F.lit("")
+        h = latency_histogram(rows.withColumn("labels", own), "labels")
+        metric = f"{name}_latency_milliseconds"
+        every = h.where("le = '+Inf'")
+        bucket = F.concat(F.when(F.col("labels") != "", F.concat("labels", F.lit(","))).otherwise(""), F.lit("le="), F.col("le"))
+        parts += [
+            every.select(F.lit(metric + "_count").alias("metric"), "labels", F.col("n").cast("double").alias("value")),
+            every.select(F.lit(metric + "_sum").alias("metric"), "labels", F.col("total").alias("value")),
+            h.select(F.lit(metric + "_bucket").alias("metric"), bucket.alias("labels"), F.col("cumulative").cast("double").alias("value")),
+        ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _verdicts(times: list[float], held: deque, max_requests: int, window_s: float) -> list[bool]:
