@@ -4,6 +4,7 @@ In each of several tables a vector is projected at random to eight dimensions an
 lattice, which is its cell. A vector lies in its own cell and probes the neighbouring cells that its projection leans
 to. Two vectors meet where one's own cell is the other's own or probed cell, and every pair that meets is verified by its
 cosine in double precision. Large cells are cut into random blocks that meet in pairs, so that a task holds two blocks at most.
+A pair counts in the first cell in which it meets; blocks give each node's number of links and the least node reached there.
 """
 
 from __future__ import annotations
@@ -84,6 +85,7 @@ def _matrix(vectors: pa.ListArray) -> np.ndarray:
 
 
 def _hashed(tables: int, probes: int):
+    """(node, width, cells): for each table the own cell and then the probed ones."""
     around = neighbours()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +94,7 @@ def _hashed(tables: int, probes: int):
             for width in np.unique(lengths):
                 rows = np.flatnonzero(lengths == width)
                 x = _matrix(batch.column("v").take(pa.array(rows)))
-                node, cell, own = [], [], []
+                cells = np.empty((len(x), tables * (probes + 1)), np.int64)
                 for t, p in enumerate(_projections(int(width), tables)):
                     y = x @ p
                     home = decode_e8(y)
@@ -101,34 +103,78 @@ def _hashed(tables: int, probes: int):
                         if k:
                             best = lean.argmax(1)
                             lean[np.arange(len(x)), best] = -np.inf
-                        node.append(nodes[rows])
-                        cell += _cells(home + around[best] if k else home, t)
-                        own.append(np.full(len(x), k == 0))
-                node = np.concatenate(node)
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(cell, pa.int64()), pa.array(np.concatenate(own)), pa.array(np.full(len(node), width, np.int32))], ["node", "cell", "own", "width"])
+                        cells[:, t * (probes + 1) + k] = _cells(home + around[best] if k else home, t)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, cells.size + 1, cells.shape[1]), pa.int32()), pa.array(cells.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[rows]), pa.array(np.full(len(x), width, np.int32)), lists], ["node", "width", "cells"])
 
     return run
 
 
-def _verified(threshold: float):
+def _first_met(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first cell in which pairs meet, by tables; of one table, the own cell of ``a`` before that of ``b``. Both are
+    (pairs, tables, 1 + probes)."""
+    met = np.stack([(a[:, :, :1] == b).any(2), (b[:, :, :1] == a).any(2)], 2).reshape(len(a), -1)
+    own = np.stack([a[:, :, 0], b[:, :, 0]], 2).reshape(len(a), -1)
+    return own[np.arange(len(a)), met.argmax(1)]
+
+
+def _least_reached(n: int, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """For each of ``n`` places the least one that links reach."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[r], label[c])
+        new = label.copy()
+        np.minimum.at(new, r, low)
+        np.minimum.at(new, c, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _verified(threshold: float, tables: int):
+    """For each node of two blocks that has links there, their number and the least node they reach. Every pair of the corpus is
+    taken in the first cell in which it meets, so that counts add up and no table of pairs is made."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("members")
             flat = lists.flatten()
-            nodes, own, block = flat.field("node").to_numpy(), flat.field("own").to_numpy(zero_copy_only=False), flat.field("block").to_numpy()
-            vectors = flat.field("v")
+            nodes, own, block, copies = flat.field("node").to_numpy(), flat.field("own").to_numpy(zero_copy_only=False), flat.field("block").to_numpy(), flat.field("copies").to_numpy()
+            vectors, cells = flat.field("v"), flat.field("cells")
             at = np.asarray(lists.offsets) - lists.offsets[0].as_py()
-            out: set[tuple[int, int]] = set()
-            for lo, hi, i, j in zip(at[:-1], at[1:], batch.column("i").to_pylist(), batch.column("j").to_pylist(), strict=True):
-                n, o, b = nodes[lo:hi], own[lo:hi], block[lo:hi]
+            out: tuple[list, list, list] = ([], [], [])
+            for lo, hi, i, j, cell in zip(at[:-1], at[1:], batch.column("i").to_pylist(), batch.column("j").to_pylist(), batch.column("cell").to_pylist(), strict=True):
+                n, o, b, weight = nodes[lo:hi], own[lo:hi], block[lo:hi], copies[lo:hi]
                 left, right = np.flatnonzero(o & (b == i)), np.flatnonzero(b == j)
-                if len(left) and len(right):
-                    v = _matrix(vectors[lo:hi])
-                    r, c = np.nonzero(v[left] @ v[right].T >= threshold - 1e-9)
-                    r, c = left[r], right[c]
-                    exact = (v[r] * v[c]).sum(1) >= threshold
-                    out.update((min(p), max(p)) for p in zip(n[r[exact]].tolist(), n[c[exact]].tolist(), strict=True) if p[0] != p[1])
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
+                if not len(left) or not len(right):
+                    continue
+                v = _matrix(vectors[lo:hi])
+                r, c = np.nonzero(v[left] @ v[right].T >= threshold - 1e-9)
+                r, c = left[r], right[c]
+                swap = n[r] > n[c]
+                r, c = np.where(swap, c, r), np.where(swap, r, c)
+                exact = (n[r] != n[c]) & ((v[r] * v[c]).sum(1) >= threshold)
+                if not exact.any():
+                    continue
+                r, c = np.unique(np.stack([r[exact], c[exact]]), axis=1)  # own members of one block meet from both sides
+                lists_of = cells[lo:hi].flatten().to_numpy().reshape(hi - lo, tables, -1)
+                here = _first_met(lists_of[r], lists_of[c]) == cell
+                # Two own members of different blocks meet in (i, j) and in (j, i).
+                here &= ~(o[r] & o[c]) | (b[r] <= b[c]) & (b[r] == i) | (b[r] > b[c]) & (b[c] == i)
+                r, c = r[here], c[here]
+                if len(r):
+                    count = np.bincount(r, weight[c], len(n)).astype(np.int64) + np.bincount(c, weight[r], len(n)).astype(np.int64)
+                    order = np.argsort(n, kind="stable")
+                    place = np.empty(len(n), np.int64)
+                    place[order] = np.arange(len(n))
+                    least = n[order][_least_reached(len(n), place[r], place[c])][place]
+                    some = np.flatnonzero(count)
+                    out[0].append(n[some])
+                    out[1].append(count[some])
+                    out[2].append(least[some])
+            columns = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in out]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "links", "least"])
 
     return run
 
@@ -147,20 +193,21 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     usable = F.col("id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("v", F.when(F.coalesce(usable, F.lit(False)), F.transform("v", lambda x: x + 0.0)))
     nodes = scratch.written(rows.where("v is not null").groupBy("v").agg(F.min("id").cast("long").alias("node"), F.count("*").alias("copies")), "lattice-nodes")
-    hashed = scratch.written(nodes.select("node", "v").mapInArrow(_hashed(tables, probes), "node long, cell long, own boolean, width int"), "lattice-cells")
-    sizes = hashed.groupBy("cell", "width").agg(F.count("*").alias("n"), F.count_if("own").alias("owned")).where("owned > 0 and n > 1")
-    members = hashed.join(sizes, ["cell", "width"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node", "cell"), F.col("blocks")).cast("int"))
+    hashed = scratch.written(nodes.select("node", "v").mapInArrow(_hashed(tables, probes), "node long, width int, cells array<long>"), "lattice-cells")
+    placed = hashed.select("node", "width", F.posexplode("cells").alias("pos", "cell")).select("node", "width", "cell", (F.col("pos") % (probes + 1) == 0).alias("own"))
+    sizes = placed.groupBy("cell", "width").agg(F.count("*").alias("n"), F.count_if("own").alias("owned")).where("owned > 0 and n > 1")
+    members = placed.join(sizes, ["cell", "width"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node", "cell"), F.col("blocks")).cast("int"))
     # An own member meets the members of every block; a probing member meets the own members of every block.
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     as_left = members.where("own").select("node", "cell", "width", "own", "block", F.col("block").alias("i"), F.explode(every).alias("j"))
     as_right = members.select("node", "cell", "width", "own", "block", F.explode(every).alias("i"), F.col("block").alias("j"))
-    dealt = as_left.unionByName(as_right).distinct().join(nodes.select("node", "v"), "node")
-    groups = dealt.groupBy("cell", "width", "i", "j").agg(F.collect_list(F.struct("node", "own", "block", "v")).alias("members")).select("i", "j", "members")
-    links = scratch.written(groups.mapInArrow(_verified(threshold), "a long, b long").distinct(), "lattice-links")
+    dealt = as_left.unionByName(as_right).distinct().join(nodes.select("node", "v", "copies"), "node").join(hashed.select("node", "cells"), "node")
+    groups = dealt.groupBy("cell", "width", "i", "j").agg(F.collect_list(F.struct("node", "own", "block", "copies", "v", "cells")).alias("members")).select("cell", "i", "j", "members")
+    found_links = groups.mapInArrow(_verified(threshold, tables), "node long, links long, least long")
+    links = scratch.written(found_links.groupBy("node", "least").agg(F.sum("links").alias("links")), "lattice-links")
 
-    parts = connected_components(links)
-    ends = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
-    more = ends.join(nodes.select(F.col("node").alias("other"), "copies"), "other").groupBy("node").agg(F.sum("copies").alias("more"))
+    parts = connected_components(links.select(F.col("node").alias("a"), F.col("least").alias("b")))
+    more = links.groupBy("node").agg(F.sum("links").alias("more"))
     known = nodes.join(more, "node", "left").join(parts, "node", "left")
     known = known.select("v", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n"), F.coalesce("component", "node").alias("component"))
     found = rows.join(known, "v", "left")
