@@ -18,15 +18,14 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bazaarspark.llm import scratch
+from bazaarspark.llm.hot import SHARES, classed, merged
 
 #: The first member of a class, in the order of documents and lines.
 FIRST = "min(struct(id is null as none, id, digest, pos))"
-#: Classes with more than this share of all lines are broadcast: there are fewer than twice its inverse, whatever the input.
-SHARES = 1 << 14
 #: Lines that the scan hands over at once.
 CHUNK = 10_000
 
@@ -87,14 +86,6 @@ def _ranked(classes: DataFrame, by: list[str]) -> DataFrame:
     return scratch.written(classes.where("n > 1").orderBy(*by).withColumn("rank", F.monotonically_increasing_id()), "line-classes")
 
 
-def _classed(rows: DataFrame, classes: DataFrame, by: list[str], most: int) -> DataFrame:
-    """``rows`` joined to their classes. Classes of more than ``most`` rows are few and are broadcast, so that their rows stay
-    where they are; no task of the join of the others holds more than ``most`` rows of one class."""
-    large = F.broadcast(classes.where(F.col("n") > most))
-    rest = rows.join(large.select(*by), by, "left_anti").join(classes.where(F.col("n") <= most), by)
-    return rows.join(large, by).unionByName(rest).drop("n")
-
-
 def _later(suffixes: DataFrame) -> DataFrame:
     is_first = F.col("first").eqNullSafe(F.struct(F.col("id").isNull().alias("none"), "id", "digest", "pos"))
     return suffixes.where(~is_first)
@@ -123,7 +114,7 @@ def later_copies(docs: DataFrame, id_col: str, text_col: str, min_words: int) ->
     lines = _once(lines, base)
 
     classes = _ranked(lines.groupBy("line", "check").agg(F.count("*").alias("n"), F.expr(FIRST).alias("first")), ["line", "check"])
-    tied = scratch.written(_classed(lines, classes, ["line", "check"], most).select("id", "digest", "pos", "needs", "rank", "first"), "line-suffixes")
+    tied = scratch.written(classed(lines, classes, ["line", "check"], most).select("id", "digest", "pos", "needs", "rank", "first"), "line-suffixes")
     found = [_later(tied.where(F.array_contains("needs", 1))).select("id", "digest", "pos", F.lit(1).alias("len"))]
     width = 1
     # Doubling ends with the last suffix that starts a run as long as this round's prefix: no other lookup is left.
@@ -133,27 +124,17 @@ def later_copies(docs: DataFrame, id_col: str, text_col: str, min_words: int) ->
         ends = here.join(last, _same_row("a", "b") & (F.col("b.end") == F.col("a.pos") + F.col("a.need") - width))
         ends = scratch.written(ends.select("a.id", "a.digest", "pos", "need", "rank", "last"), "line-runs")
         firsts = ends.groupBy("need", "rank", "last").agg(F.count("*").alias("n"), F.expr(FIRST).alias("first")).where("n > 1")
-        found.append(_later(_classed(ends, firsts, ["need", "rank", "last"], most)).select("id", "digest", "pos", F.col("need").alias("len")))
+        found.append(_later(classed(ends, firsts, ["need", "rank", "last"], most)).select("id", "digest", "pos", F.col("need").alias("len")))
         follows = tied.select("id", "digest", (F.col("pos") - width).alias("pos"), F.col("rank").alias("second")).alias("b")
         pairs = tied.withColumnRenamed("rank", "head").alias("a").join(follows, _same_row("a", "b") & (F.col("a.pos") == F.col("b.pos")))
         pairs = scratch.written(pairs.select("a.id", "a.digest", "a.pos", "needs", "head", "second"), "line-pairs")
         classes = _ranked(pairs.groupBy("head", "second").agg(F.count("*").alias("n"), F.expr(FIRST).alias("first")), ["head", "second"])
-        tied = scratch.written(_classed(pairs, classes, ["head", "second"], most).select("id", "digest", "pos", "needs", "rank", "first"), "line-suffixes")
+        tied = scratch.written(classed(pairs, classes, ["head", "second"], most).select("id", "digest", "pos", "needs", "rank", "first"), "line-suffixes")
         width *= 2
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
-    return _merged(every.groupBy("id", "digest", "pos").agg(F.max("len").alias("len")))
-
-
-def _merged(runs: DataFrame) -> DataFrame:
-    """Runs of one document joined to intervals that don't touch, by a scan in the order of lines."""
-    row = Window.partitionBy("id", "digest").orderBy("pos")
-    reach = F.max(F.col("pos") + F.col("len")).over(row.rowsBetween(Window.unboundedPreceding, -1))
-    runs = runs.withColumn("opens", F.when(F.col("pos") <= reach, 0).otherwise(1))
-    runs = runs.withColumn("island", F.sum("opens").over(row.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = runs.groupBy("id", "digest", "island").agg(F.min("pos").alias("start"), F.max(F.col("pos") + F.col("len")).alias("end"))
-    return spans.groupBy("id", "digest").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    return merged(every.groupBy("id", "digest", "pos").agg(F.max("len").alias("len")))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5) -> DataFrame:

@@ -167,6 +167,41 @@ def test_spans(spark):
     assert span_dedup(frame(spark, [])).count() == 0
 
 
+def span_brute(rows, span, min_words):
+    """All runs of sentences that start and end with words, found by taking texts apart letter by letter."""
+    def sentences(text):
+        out, now, ended = [], "", False
+        for ch in text:
+            if ended and ch not in ".!? \t\n\x0b\x0c\r":
+                out.append(now)
+                now, ended = "", False
+            now += ch
+            ended = ended or ch in ".!?\n"
+        return out + [now] if now else out
+
+    first, gone = {}, {}
+    for d, text in sorted(((d is None, d or 0), t) for d, t in rows if t):
+        parts = [tuple(w.lower() for w in p.split()) for p in sentences(text)]
+        for i in range(len(parts)):
+            for j in range(i + 1, min(len(parts), i + 30) + 1):
+                words = sum(map(len, parts[i:j]))
+                if parts[i] and parts[j - 1] and ((j - i >= span and words >= min_words) or (j - i == 1 and words >= 50)):
+                    if first.setdefault(tuple(parts[i:j]), (d, i)) != (d, i):
+                        gone.setdefault(d, set()).update(range(i, j))
+    return gone
+
+
+def test_spans_against_all_runs(spark):
+    rng = random.Random(11)
+    passages = [" ".join(sentence(rng, rng.randrange(1, 9)) for _ in range(rng.randrange(2, 7))) for _ in range(8)] + [" ".join(f"L{i}" for i in range(60)) + "!"]
+    rows = [(i, "\n".join(rng.choice(passages) if rng.random() < 0.5 else sentence(rng, rng.randrange(1, 12)) for _ in range(rng.randrange(1, 7)))) for i in range(60)]
+    rows += [(100, None), (101, ""), (102, "\n\nA b. . ? c"), (None, rows[3][1])]
+    gone = span_brute(rows, 2, 12)
+    assert any(gone.values())
+    for r in span_dedup(frame(spark, rows)).collect():
+        assert r["removed"] == sorted(gone.get((r["doc_id"] is None, r["doc_id"] or 0), ())), r["doc_id"]
+
+
 def test_spans_cover_the_end_of_a_passage_and_long_sentences(spark):
     passage = "One two three four five six seven eight. Nine ten eleven twelve thirteen fourteen. A short end."
     long = " ".join(f"w{i}" for i in range(55)) + "."
