@@ -85,7 +85,8 @@ def _matrix(vectors: pa.ListArray) -> np.ndarray:
 
 
 def _hashed(tables: int, probes: int):
-    """(node, width, cells): for each table the own cell and then the probed ones."""
+    """(node, width, cells, home, probed): for each table the own cell and then the probed ones, the own point, and which of its
+    neighbours are probed. The last two are what tells where two vectors meet, in a fourth of the cells' room."""
     around = neighbours()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,27 +96,40 @@ def _hashed(tables: int, probes: int):
                 rows = np.flatnonzero(lengths == width)
                 x = _matrix(batch.column("v").take(pa.array(rows)))
                 cells = np.empty((len(x), tables * (probes + 1)), np.int64)
+                homes, probed = np.empty((len(x), tables, 8), np.int16), np.empty((len(x), tables, probes), np.uint8)
                 for t, p in enumerate(_projections(int(width), tables)):
                     y = x @ p
-                    home = decode_e8(y)
+                    homes[:, t] = home = decode_e8(y)
                     lean = (y - home / 2) @ around.T
                     for k in range(probes + 1):
                         if k:
-                            best = lean.argmax(1)
+                            probed[:, t, k - 1] = best = lean.argmax(1)
                             lean[np.arange(len(x)), best] = -np.inf
                         cells[:, t * (probes + 1) + k] = _cells(home + around[best] if k else home, t)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, cells.size + 1, cells.shape[1]), pa.int32()), pa.array(cells.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[rows]), pa.array(np.full(len(x), width, np.int32)), lists], ["node", "width", "cells"])
+                raw = [pa.array([r.tobytes() for r in a], pa.binary()) for a in (homes, probed)]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[rows]), pa.array(np.full(len(x), width, np.int32)), lists, *raw], ["node", "width", "cells", "home", "probed"])
 
     return run
 
 
-def _first_met(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The first cell in which pairs meet, by tables; of one table, the own cell of ``a`` before that of ``b``. Both are
-    (pairs, tables, 1 + probes)."""
-    met = np.stack([(a[:, :, :1] == b).any(2), (b[:, :, :1] == a).any(2)], 2).reshape(len(a), -1)
-    own = np.stack([a[:, :, 0], b[:, :, 0]], 2).reshape(len(a), -1)
-    return own[np.arange(len(a)), met.argmax(1)]
+def _steps() -> np.ndarray:
+    """By the difference of two points, as digits to the base of five: the neighbour it leads to, 240 for none at all, -1 for others."""
+    table = np.full(5**8, -1, np.int16)
+    table[(neighbours() + 2) @ 5 ** np.arange(8)] = np.arange(240)
+    table[np.full(8, 2) @ 5 ** np.arange(8)] = 240
+    return table
+
+
+def _first_met(home: np.ndarray, probed: np.ndarray, r: np.ndarray, c: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """For pairs (r, c), twice the first table in which they meet, plus one where only the own cell of ``c`` is met there."""
+    apart = home[c].astype(np.int64) - home[r]
+    near = np.abs(apart).max(2) <= 2
+    met = []
+    for there, other in ((-apart, c), (apart, r)):
+        step = np.where(near, steps[np.where(near[:, :, None], there + 2, 0) @ 5 ** np.arange(8)], -1)
+        met.append((step == 240) | (probed[other] == step[:, :, None]).any(2))
+    return np.stack(met, 2).reshape(len(r), -1).argmax(1)
 
 
 def _least_reached(n: int, r: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -136,15 +150,17 @@ def _verified(threshold: float, tables: int):
     """For each node of two blocks that has links there, their number and the least node they reach. Every pair of the corpus is
     taken in the first cell in which it meets, so that counts add up and no table of pairs is made."""
 
+    steps = _steps()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("members")
             flat = lists.flatten()
             nodes, own, block, copies = flat.field("node").to_numpy(), flat.field("own").to_numpy(zero_copy_only=False), flat.field("block").to_numpy(), flat.field("copies").to_numpy()
-            vectors, cells = flat.field("v"), flat.field("cells")
+            vectors, homes, probes = flat.field("v"), flat.field("home"), flat.field("probed")
             at = np.asarray(lists.offsets) - lists.offsets[0].as_py()
             out: tuple[list, list, list] = ([], [], [])
-            for lo, hi, i, j, cell in zip(at[:-1], at[1:], batch.column("i").to_pylist(), batch.column("j").to_pylist(), batch.column("cell").to_pylist(), strict=True):
+            for lo, hi, i, j, table in zip(at[:-1], at[1:], batch.column("i").to_pylist(), batch.column("j").to_pylist(), batch.column("table").to_pylist(), strict=True):
                 n, o, b, weight = nodes[lo:hi], own[lo:hi], block[lo:hi], copies[lo:hi]
                 left, right = np.flatnonzero(o & (b == i)), np.flatnonzero(b == j)
                 if not len(left) or not len(right):
@@ -158,8 +174,11 @@ def _verified(threshold: float, tables: int):
                 if not exact.any():
                     continue
                 r, c = np.unique(np.stack([r[exact], c[exact]]), axis=1)  # own members of one block meet from both sides
-                lists_of = cells[lo:hi].flatten().to_numpy().reshape(hi - lo, tables, -1)
-                here = _first_met(lists_of[r], lists_of[c]) == cell
+                home = np.frombuffer(b"".join(homes[lo:hi].to_pylist()), np.int16).reshape(hi - lo, tables, 8)
+                probed = np.frombuffer(b"".join(probes[lo:hi].to_pylist()), np.uint8).reshape(hi - lo, tables, -1)
+                first = _first_met(home, probed, r, c, steps)
+                # A node is an own member of one cell of a table, so that this tells whether the pair meets first in this cell.
+                here = (first >> 1 == table) & np.where(first & 1, o[c], o[r])
                 # Two own members of different blocks meet in (i, j) and in (j, i).
                 here &= ~(o[r] & o[c]) | (b[r] <= b[c]) & (b[r] == i) | (b[r] > b[c]) & (b[c] == i)
                 r, c = r[here], c[here]
@@ -193,16 +212,19 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     usable = F.col("id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("v", F.when(F.coalesce(usable, F.lit(False)), F.transform("v", lambda x: x + 0.0)))
     nodes = scratch.written(rows.where("v is not null").groupBy("v").agg(F.min("id").cast("long").alias("node"), F.count("*").alias("copies")), "lattice-nodes")
-    hashed = scratch.written(nodes.select("node", "v").mapInArrow(_hashed(tables, probes), "node long, width int, cells array<long>"), "lattice-cells")
-    placed = hashed.select("node", "width", F.posexplode("cells").alias("pos", "cell")).select("node", "width", "cell", (F.col("pos") % (probes + 1) == 0).alias("own"))
-    sizes = placed.groupBy("cell", "width").agg(F.count("*").alias("n"), F.count_if("own").alias("owned")).where("owned > 0 and n > 1")
-    members = placed.join(sizes, ["cell", "width"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node", "cell"), F.col("blocks")).cast("int"))
+    hashed = scratch.written(nodes.select("node", "v").mapInArrow(_hashed(tables, probes), "node long, width int, cells array<long>, home binary, probed binary"), "lattice-cells")
+    placed = hashed.select("node", "width", F.posexplode("cells").alias("pos", "cell"))
+    placed = placed.select("node", "width", F.expr(f"pos div {probes + 1}").cast("int").alias("table"), "cell", (F.col("pos") % (probes + 1) == 0).alias("own"))
+    key = ["table", "cell", "width"]
+    sizes = placed.groupBy(*key).agg(F.count("*").alias("n"), F.count_if("own").alias("owned")).where("owned > 0 and n > 1")
+    members = placed.join(sizes, key).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node", "cell"), F.col("blocks")).cast("int"))
     # An own member meets the members of every block; a probing member meets the own members of every block.
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    as_left = members.where("own").select("node", "cell", "width", "own", "block", F.col("block").alias("i"), F.explode(every).alias("j"))
-    as_right = members.select("node", "cell", "width", "own", "block", F.explode(every).alias("i"), F.col("block").alias("j"))
-    dealt = as_left.unionByName(as_right).distinct().join(nodes.select("node", "v", "copies"), "node").join(hashed.select("node", "cells"), "node")
-    groups = dealt.groupBy("cell", "width", "i", "j").agg(F.collect_list(F.struct("node", "own", "block", "copies", "v", "cells")).alias("members")).select("cell", "i", "j", "members")
+    as_left = members.where("own").select("node", *key, "own", "block", F.col("block").alias("i"), F.explode(every).alias("j"))
+    as_right = members.select("node", *key, "own", "block", F.explode(every).alias("i"), F.col("block").alias("j"))
+    carried = nodes.select("node", "v", "copies").join(hashed.select("node", "home", "probed"), "node")
+    dealt = as_left.unionByName(as_right).distinct().join(carried, "node")
+    groups = dealt.groupBy(*key, "i", "j").agg(F.collect_list(F.struct("node", "own", "block", "copies", "v", "home", "probed")).alias("members")).select("table", "i", "j", "members")
     found_links = groups.mapInArrow(_verified(threshold, tables), "node long, links long, least long")
     links = scratch.written(found_links.groupBy("node", "least").agg(F.sum("links").alias("links")), "lattice-links")
 
