@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from bazaarspark.llm import scratch
 from bazaarspark.llm.components import connected_components
@@ -26,6 +27,8 @@ PROBES = 12
 #: Lattice points per unit of a projected vector. Larger: smaller cells.
 SCALE = 2.4
 BLOCK = 256
+#: Up to this length of vectors, coordinates of lattice points (times two) fit into one byte.
+SMALL = 4096
 
 
 def decode_e8(x: np.ndarray) -> np.ndarray:
@@ -96,7 +99,7 @@ def _hashed(tables: int, probes: int):
                 rows = np.flatnonzero(lengths == width)
                 x = _matrix(batch.column("v").take(pa.array(rows)))
                 cells = np.empty((len(x), tables * (probes + 1)), np.int64)
-                homes, probed = np.empty((len(x), tables, 8), np.int16), np.empty((len(x), tables, probes), np.uint8)
+                homes, probed = np.empty((len(x), tables, 8), np.int8 if width <= SMALL else np.int16), np.empty((len(x), tables, probes), np.uint8)
                 for t, p in enumerate(_projections(int(width), tables)):
                     y = x @ p
                     homes[:, t] = home = decode_e8(y)
@@ -174,7 +177,8 @@ def _verified(threshold: float, tables: int):
                 if not exact.any():
                     continue
                 r, c = np.unique(np.stack([r[exact], c[exact]]), axis=1)  # own members of one block meet from both sides
-                home = np.frombuffer(b"".join(homes[lo:hi].to_pylist()), np.int16).reshape(hi - lo, tables, 8)
+                home = homes[lo:hi].to_pylist()
+                home = np.frombuffer(b"".join(home), np.int8 if len(home[0]) == 8 * tables else np.int16).reshape(hi - lo, tables, 8)
                 probed = np.frombuffer(b"".join(probes[lo:hi].to_pylist()), np.uint8).reshape(hi - lo, tables, -1)
                 first = _first_met(home, probed, r, c, steps)
                 # A node is an own member of one cell of a table, so that this tells whether the pair meets first in this cell.
@@ -207,10 +211,11 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows with a null identifier. Equal vectors are one node, whatever their number. Other columns are not read. An empty
     table gives an empty one. Rows with one identifier and several vectors are one node. Recall is measured against brute force in the tests.
     """
+    single = vectors.schema[vector_col].dataType == ArrayType(FloatType(), vectors.schema[vector_col].dataType.containsNull)
     v = F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).alias("id"), v.alias("v"))
     usable = F.col("id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = rows.withColumn("v", F.when(F.coalesce(usable, F.lit(False)), F.transform("v", lambda x: x + 0.0)))
+    rows = rows.withColumn("v", F.when(F.coalesce(usable, F.lit(False)), F.transform("v", lambda x: x + 0.0)).cast("array<float>" if single else "array<double>"))  # floats are carried as such, which loses nothing
     nodes = scratch.written(rows.where("v is not null").groupBy("v").agg(F.min("id").cast("long").alias("node"), F.count("*").alias("copies")), "lattice-nodes")
     hashed = scratch.written(nodes.select("node", "v").mapInArrow(_hashed(tables, probes), "node long, width int, cells array<long>, home binary, probed binary"), "lattice-cells")
     placed = hashed.select("node", "width", F.posexplode("cells").alias("pos", "cell"))
