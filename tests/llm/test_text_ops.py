@@ -8,11 +8,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from bazaarspark.llm import license_scan as L
 from bazaarspark.llm import toxicity as X
-from bazaarspark.llm.lm_scoring import SLOTS, TABLES, Bits, Mixer, fit, lm_score, packed, sizes
+from bazaarspark.llm.lm_context import END, UNSEEN, Decisions, Tokens, Tree
+from bazaarspark.llm.lm_scoring import DEPTHS, SLOTS, TABLES, Bits, Mixer, fit, fit_contexts, lm_score, packed, sizes
 from bazaarspark.llm.mixing import mix, mixed_documents
 from bazaarspark.llm.packing import CAPACITY, _cost, pack, solve
 
@@ -190,6 +192,16 @@ def test_wrapped_licences_and_tags(spark):
     assert {r["doc_id"]: r["licenses"] for r in got} == {i: w for i, (_, w) in want.items()}
 
 
+class Local:
+    """Counts of one process."""
+
+    def __init__(self, tables):
+        self.tables = tables
+
+    def looked_up(self, bits):
+        return [np.stack([c.take(bits.slots(b, t)) for t, c in enumerate(self.tables)]) for b in range(bits.COUNT)]
+
+
 def test_mixer_is_a_distribution():
     """The probabilities of all first bytes sum to one."""
     counts = np.zeros((TABLES, 2, SLOTS), np.int32)
@@ -198,7 +210,7 @@ def test_mixer_is_a_distribution():
     for bit, slots, _ in Bits([b"the", b"cat", b""]):
         for t, s in enumerate(slots):
             counts[t, bit.astype(int), s] += 3
-    counts = packed(counts)
+    counts = Local(packed(counts))
     logit = []
     for token in [*firsts, b""]:
         bits = Bits([token])
@@ -242,6 +254,77 @@ def test_predictors_keep_ratios_and_grow(spark):
     assert (costs == fitted.cost(sharded, part, 200)).all() and costs == pytest.approx(fitted.cost(whole, bits, len(words))[100:300])
 
 
+def plain_tokens(text):
+    """(beginning, one before, two before, word before) of each token, by a loop."""
+    out, last, last2, word = [], UNSEEN, UNSEEN, b""
+    for w in [*(text or "").encode().lower().split(), None]:
+        b = END if w is None else (w + b" ")[0] * 256 + (w + b" ")[1]
+        out.append((b, last, last2, word))
+        last2, last, word = last, b, w
+    return out
+
+
+def test_beginnings_of_running_text(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join("".join(rng.choice(["th", "an", "é", "X", "z"], rng.integers(1, 4))) for _ in range(rng.integers(0, 90))) for _ in range(60)] + [None, "", " \t\n", "A", "x" * 9_000 + "\x0b\x0cb c"]
+    tokens = Tokens(pa.array(texts, pa.string()))
+    want = [(k, *row) for k, t in enumerate(texts) for row in plain_tokens(t)]
+    assert list(zip(tokens.text.tolist(), tokens.begin.tolist())) == [(k, b) for k, b, *_ in want]
+    for hashes, key in zip(tokens.contexts, (lambda r: r[2], lambda r: r[2:4], lambda r: r[4]), strict=True):
+        by = {}
+        for h, r in zip(hashes.tolist(), want, strict=True):
+            by.setdefault(key(r), set()).add(h)
+        assert all(len(v) == 1 for v in by.values()) and len({min(v) for v in by.values()}) == len(by)
+
+    seen = Counter(r[1] for r in want)
+    tree = Tree(seen)
+    assert sum(2.0 ** -tree.length[k] for k in [*seen, UNSEEN]) == 1 and tree.unseen[0] and not tree.unseen[END]
+    shared = spark.sparkContext.broadcast(pickle.dumps(tree))
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    counts, fitted = fit_contexts(docs, shared, 1000, len(want), len(texts))
+    mixer = pickle.loads(fitted.value)
+    assert counts.size == (18, 20, 20)
+
+    plain = [Counter() for _ in counts.size]  # every step down the tree, counted one by one
+    steps = []
+    for i, r in enumerate(want):
+        at = tree.first[r[1]]
+        for depth in range(tree.length[r[1]]):
+            one = Decisions(tokens, slice(i, i + 1), tree, counts.size)
+            slots = [int(one.slots(0, t)[depth]) for t in range(len(plain))]
+            bit = int(tree.bit[at + depth])
+            steps.append((i, depth, bit, slots))
+            for t, s in enumerate(slots):
+                plain[t][s, bit] += 1
+    for t, shards in enumerate(counts.shards):
+        table = np.concatenate([s.value for s in shards])
+        used = {s for s, _ in plain[t]}
+        assert set(np.flatnonzero(table).tolist()) == used
+        pairs = sorted(used)[:300]
+        assert (table[pairs] == packed(np.array([[plain[t][s, 0] for s in pairs], [plain[t][s, 1] for s in pairs]]))).all()
+
+    cost = mixer.cost(counts, Decisions(tokens, slice(0, len(want)), tree, counts.size), len(want))
+    slow = np.zeros(len(want))  # logistic mixing of one bit after the other
+    refined = np.log(mixer.hits[..., 1] / mixer.hits[..., 0])
+    for i, depth, bit, slots in steps:
+        gate, z = min(depth, DEPTHS - 1), 0.0
+        for t, s in enumerate(slots):
+            code = int(counts.shards[t][0].value[s])
+            z += mixer.w[gate, t, mixer.seen[code]] * mixer.logit[code]
+        z = min(max(z, -8.0), 8.0)
+        lo = min(int((z + 8) * 2), 31)
+        part = (z + 8) * 2 - lo
+        z = min(max((z + (1 - part) * refined[gate, lo] + part * refined[gate, lo + 1]) / 2, -12.0), 12.0)
+        slow[i] += math.log2(1 + math.exp(-z if bit else z))
+    assert cost == pytest.approx(slow, abs=1e-5)
+    total = 0.0  # all beginnings after one word sum to one
+    for k in [*seen, UNSEEN]:
+        probe = Tokens(pa.array(["th"]))
+        probe.begin[:] = k
+        total += 2.0 ** -mixer.cost(counts, Decisions(probe, slice(1, 2), tree, counts.size), 1)[0]
+    assert total == pytest.approx(1, abs=1e-6)
+
+
 def test_lm(spark):
     rng = np.random.default_rng(4)
     vocabulary = ["".join(rng.choice(["th", "an", "er", "in", "on"], rng.integers(1, 5))) for _ in range(400)]
