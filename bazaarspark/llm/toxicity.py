@@ -1,13 +1,14 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 A text is cut into clauses and a clause into words. A lexical transducer maps words to symbols: insults and threats with
-their weights, targets, negations, verbs of reported speech, others. Three more transducers read its output, one after the
-other: negation marks what follows it closely, reported speech marks the rest of the clause, and a target marks insults and
-threats near it, before or after. What the composition writes for a clause is a pattern; patterns are counted and weighed.
-
-The lexicon's insults are word beginnings whose documents are labelled toxic far more often than others, besides a few fixed
-words. Pattern weights are a logistic regression. Both are fitted on a bounded sample of labelled rows and are small; scoring
-is one pass over the texts, without an exchange.
+their weights, targets, negations, verbs of reported speech, modal words, copulas, others. More transducers read its output, one
+after the other: negation marks what follows it closely, reported speech marks the rest of the clause, a modal word leads a threat
+("will ... hurt") and a copula or an address leads an insult ("you are ... a"), and a target marks insults and threats near it, before
+or after. What the composition writes for a match is a pattern of several words: bare, aimed, led, led and aimed, negated, reported.
+
+Patterns are counted over the clauses and weighed; a bare word is only the weakest of them. The lexicon's insults are word beginnings
+whose documents are labelled toxic far more often than others, besides a few fixed words. Pattern weights are a logistic regression.
+Both are fitted on a bounded sample of labelled rows and are small; scoring is one pass over the texts, without an exchange.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ from pyspark.sql import functions as F
 
 from bazaarspark.llm import scratch
 
-#: Labelled rows of either label that are learned from at most: those with the smallest hash of their identifier.
+#: Labelled rows of either label that are learned from, about: all up to so many, beyond that a share of them by a hash of their identifier.
 SAMPLE = 10_000
-#: Entries of the learned lexicon at most, and lengths of word beginnings.
-LEXICON, SHORTEST, LONGEST = 4_000, 3, 12
+#: Lengths of word beginnings.
+SHORTEST, LONGEST = 3, 12
 #: A word beginning is learned if so many toxic texts, and this share of them, hold it and its odds are raised this much.
 SUPPORT, SHARE, LIFT = 4, 0.01, 20.0
 
@@ -39,15 +40,20 @@ TARGETS = "you your yours they them their he him his she her this these those tu
 NEGATIONS = "not no never none nobody isn aren wasn don doesn didn without pas jamais aucun nicht kein keine nie nunca ningún tampoco".split()
 REPORTS = "said says say wrote writes claimed called quoted quote reported according dit écrit sagte schrieb laut dijo escribió según".split()
 
+MODALS = "will gonna going shall should must ll would werde werden wirst vais vas va allons voy vas vamos deberían".split()
+COPULAS = "are is re am were was such absolute total bist ist sind seid es est sont eres son".split()
+
 _clause = re.compile(r"[.!?;:,\n\"()]+")
 _word = re.compile(r"[^\W\d_]+")
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
-NEGATED, REPORTED, AIMED = 8, 16, 32
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, MODAL, COPULA = range(8)
+NEGATED, REPORTED, AIMED, LED = 8, 16, 32, 64
 #: Patterns that the grammar writes, in the order of their weights.
-PATTERNS = [INSULT, INSULT | AIMED, INSULT | NEGATED, INSULT | REPORTED, THREAT, THREAT | AIMED, THREAT | NEGATED, THREAT | REPORTED]
-#: Besides: whether any, the sum and the largest of the clauses' weights, and matches per word.
-FEATURES = len(PATTERNS) + 4
+PATTERNS = [kind | mark for kind in (INSULT, THREAT) for mark in (0, AIMED, LED, LED | AIMED, NEGATED, REPORTED)]
+#: Besides: the sum and the largest of the clauses' weights, and their sum by words.
+FEATURES = len(PATTERNS) + 3
+#: What a pattern adds to its clause's weight, times the word's own.
+STRENGTH = {0: 1.0, AIMED: 1.25, LED: 1.25, LED | AIMED: 1.5, NEGATED: 0.0, REPORTED: 0.0}
 
 
 @dataclass(frozen=True)
@@ -70,35 +76,37 @@ class Transducer:
         return out
 
 
-def _window(opener: int, mark: int, reach: int | None) -> Transducer:
-    """Marks insults and threats in the ``reach`` words after an opener; without a reach, in all the rest."""
+def _window(opener: int, mark: int, reach: int | None, kinds: tuple[int, ...] = (INSULT, THREAT)) -> Transducer:
+    """Marks matches of some kinds in the ``reach`` words after an opener; without a reach, in all the rest."""
     states = range(1, (reach or 1) + 1)
-    arcs = {(s, opener): (1, 0) for s in (0, *states)}
     following = (lambda s: s) if reach is None else (lambda s: s + 1 if s < reach else 0)
-    arcs |= {(s, x): (following(s), mark) for s in states for x in (INSULT, THREAT)}
+    arcs = {(s, x): (following(s), mark) for s in states for x in kinds}
+    arcs |= {(s, opener): (1, 0) for s in (0, *states)}
     return Transducer(arcs, {s: following(s) for s in states})
 
 
 NEGATE, QUOTE, AIM = _window(NEGATION, NEGATED, 3), _window(REPORT, REPORTED, None), _window(TARGET, AIMED, 4)
+LEAD = [_window(MODAL, LED, 3, (THREAT,)), _window(COPULA, LED, 3, (INSULT,)), _window(TARGET, LED, 1, (INSULT,))]
 
 
 def compose(symbols: list[int]) -> list[int]:
-    """The patterns of a clause: negation, then reported speech, then targets from the left and from the right."""
+    """The marked symbols of a clause: negation, then reported speech, what leads, and targets from the left and from the right."""
     marked = QUOTE.run(NEGATE.run(symbols))
+    for lead in LEAD:
+        marked = lead.run(marked)
     return AIM.run(AIM.run(marked)[::-1])[::-1]
 
 
-def _pattern(s: int) -> int:
-    """A negated match is not reported or aimed, a reported one is not aimed."""
-    mark = next((m for m in (NEGATED, REPORTED, AIMED) if s & m), 0)
-    return (s & 7) | mark
+def _mark(s: int) -> int:
+    """A negated match is not reported; what is either is not led or aimed."""
+    return NEGATED if s & NEGATED else REPORTED if s & REPORTED else s & (LED | AIMED)
 
 
 class Grammar:
     def __init__(self, stems: dict[str, float], weights: np.ndarray | None = None):
         self.stems = stems
         self.short = {s[:SHORTEST] for s in stems}
-        self.fixed = {w: k for k, ws in ((REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS), (THREAT, THREATS)) for w in ws}
+        self.fixed = {w: k for k, ws in ((COPULA, COPULAS), (MODAL, MODALS), (REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS), (THREAT, THREATS)) for w in ws}
         self.weights = np.array([-3.0, *[1.5] * FEATURES]) if weights is None else weights
         self.known: dict[str, float] = {}
 
@@ -130,14 +138,14 @@ class Grammar:
             weight = 0.0
             for s, g in zip(compose(symbols), gains, strict=True):
                 if s & 7 in (INSULT, THREAT):
-                    p = _pattern(s)
-                    counts[p] += 1
-                    if not p & (NEGATED | REPORTED):
-                        weight += g if s & 7 == INSULT else (1.0 if p & AIMED else 0.0)
+                    mark = _mark(s)
+                    counts[s & 7 | mark] += 1
+                    # A threat is one by its clause: its verb alone weighs nothing.
+                    weight += STRENGTH[mark] * g if s & 7 == INSULT else STRENGTH[mark] * (mark != 0)
             total += weight
             largest = max(largest, weight)
         out[: len(PATTERNS)] = [math.log1p(counts[p]) for p in PATTERNS]
-        out[len(PATTERNS) :] = [float(total > 0), math.log1p(total), largest / 4, 20 * sum(counts.values()) / max(len(words), 20)]
+        out[len(PATTERNS) :] = [math.log1p(total), largest / 4, 20 * total / max(len(words), 20)]
         return out
 
     def score(self, text: str | None) -> float:
@@ -185,8 +193,11 @@ def _fold(id_col: str):
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Grammar:
     """The grammar learned from labelled rows outside the held-out fold. Without any, the fixed words under fixed weights."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~_fold(id_col)).groupBy(F.col(id_col).alias("_label_id")).agg(F.max(label_col).cast("int").alias("_label"))
-    chosen = [known.where(F.col("_label") == k).orderBy(F.xxhash64("_label_id"), "_label_id").limit(sample) for k in (1, 0)]
-    ids = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * sample rows at most
+    known = scratch.written(known, "toxic-labels")
+    numbers = {r["_label"]: r["n"] for r in known.groupBy("_label").agg(F.count("*").alias("n")).collect()}
+    part = F.pmod(F.xxhash64("_label_id"), F.lit(1 << 30))
+    share = lambda k: int(min(1.0, sample / max(numbers.get(k, 0), 1)) * (1 << 30))
+    ids = F.broadcast(known.where(part < F.when(F.col("_label") == 1, share(1)).otherwise(share(0))))  # about 2 * sample rows
     rows = docs.join(ids, F.col(id_col) == F.col("_label_id")).select(F.col(text_col).cast("string").alias("text"), F.col("_label").alias("toxic"))
     rows = scratch.written(rows.dropDuplicates(["text", "toxic"]), "toxic-sample")
     seen = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -195,11 +206,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Grammar(stems)
     counts = rows.mapInArrow(_beginnings, "stem string, toxic long, clean long").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     lift = ((F.col("toxic") + 0.1) / seen[1]) / ((F.col("clean") + 0.1) / seen[0])
-    useful = counts.withColumn("lift", lift).where((F.col("toxic") >= max(SUPPORT, SHARE * seen[1])) & (F.col("lift") >= LIFT)).orderBy(F.desc("toxic"), F.length("stem"), "stem").limit(LEXICON)
+    useful = counts.withColumn("lift", lift).where((F.col("toxic") >= max(SUPPORT, SHARE * seen[1])) & (F.col("lift") >= LIFT))
+    # A stem is in a hundredth of the toxic texts or more: there are at most a hundred times as many as a text has on average.
     for r in sorted(useful.collect(), key=lambda r: (len(r["stem"]), r["stem"])):
         if not any(r["stem"][:n] in stems for n in range(SHORTEST, len(r["stem"]))):
             stems[r["stem"]] = min(math.log(r["lift"]), 6.0)
-    data = rows.mapInArrow(_featured(stems), "x array<double>, toxic int").toPandas()  # 2 * sample rows at most
+    data = rows.mapInArrow(_featured(stems), "x array<double>, toxic int").toPandas()  # about 2 * sample rows
     y = data["toxic"].to_numpy(float)
     return Grammar(stems, _regression(np.stack(data["x"]), y))
 
@@ -218,8 +230,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     Only texts enter a score. A null or empty text has no clause and gets the score of a text without a match. Labels are
     learned from rows with crc32(identifier as text) mod 4 other than 2; null labels and labels of unknown documents
-    are left out, of several labels the largest counts, and one text counts once. Other columns are not read. An
-    empty table gives an empty one.
+    are left out, of several labels the largest counts, and one text counts once. Very long texts are read whole, clause by clause.
+    Other columns are not read. An empty table gives an empty one.
     """
     grammar = fit(docs, labels, id_col, text_col)
     base = docs.select(F.col(id_col).alias("id"), _fold(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))

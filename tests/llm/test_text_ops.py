@@ -139,6 +139,37 @@ def test_grammar_reads_clauses():
     assert X.compose([X.INSULT, X.OTHER, X.TARGET])[0] & X.AIMED
 
 
+def plain_patterns(symbols):
+    """Patterns of a clause by its words' distances, without transducers."""
+    out = []
+    for i, s in enumerate(symbols):
+        if s not in (X.INSULT, X.THREAT):
+            continue
+        close = lambda kind, reach, i=i: any(symbols[j] == kind for j in range(max(0, i - reach), i))
+        if close(X.NEGATION, 3):
+            mark = X.NEGATED
+        elif close(X.REPORT, len(symbols)):
+            mark = X.REPORTED
+        else:
+            led = close(X.MODAL, 3) if s == X.THREAT else close(X.COPULA, 3) or close(X.TARGET, 1)
+            aimed = close(X.TARGET, 4) or X.TARGET in symbols[i + 1 : i + 5]
+            mark = (X.LED if led else 0) | (X.AIMED if aimed else 0)
+        out.append(s | mark)
+    return out
+
+
+def test_grammar_against_distances():
+    rng = np.random.default_rng(8)
+    for _ in range(3_000):
+        symbols = rng.choice(8, rng.integers(1, 14), p=[0.4, 0.15, 0.15, 0.08, 0.06, 0.04, 0.06, 0.06]).tolist()
+        got = [s & 7 | X._mark(s) for s in X.compose(symbols) if s & 7 in (X.INSULT, X.THREAT)]
+        assert got == plain_patterns(symbols), symbols
+    assert set(X.PATTERNS) == {k | m for k in (X.INSULT, X.THREAT) for m in X.STRENGTH}
+    g = X.Grammar({w: 2.0 for w in X.INSULTS})
+    assert g.score("we will hurt them") > g.score("hurt") == g.score("a hurt knee")
+    assert g.score("you are such an idiot") > g.score("one idiot more")
+
+
 def test_toxicity(spark):
     words = [f"w{i}" for i in range(300)]
     rng = np.random.default_rng(3)
