@@ -8,7 +8,8 @@ have one rate, so that the sums run over a written table of (source, size, docum
 
 Rates are rounded into copies by sequential Poisson sampling: a document is taken floor(rate) times, and once more in the
 order of u / fraction, where u is a uniform number from a digest of its identifier, until the source's target is met; the last
-one is cut. The place where that order is cut is found in two steps, over 65,536 ranges and then within one, so that no task holds a source.
+one is cut. The place where that order is cut is found in three steps, over 256 ranges, over 256 parts of one and then within
+one of these, so that no task holds a source.
 Nothing about single sources or documents comes to the driver.
 """
 
@@ -135,6 +136,14 @@ def _range() -> Column:
     return F.least(F.floor(RANGES * F.col("place") / (1 + F.col("place"))), F.lit(RANGES - 1)).cast("int")
 
 
+def _reached(parts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(source, at, want): the part in which the words of a source, summed in order, reach ``want``, and what is left to take there."""
+    upto = parts.withColumn("upto", F.sum("words").over(Window.partitionBy("source").orderBy("at"))).alias("r")  # 256 rows at most
+    w = wanted.alias("w")
+    found = upto.join(w, F.col("r.source").eqNullSafe(F.col("w.source"))).where("w.want > r.upto - r.words and w.want <= r.upto")
+    return found.select("r.source", "r.at", (F.col("w.want") - F.col("r.upto") + F.col("r.words")).alias("want"))
+
+
 def mixing_plan(sized: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
     """One row for each source: its size and documents, target, multiplier, and where the order of one more copy is cut."""
     by_size = scratch.written(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-by-size")
@@ -149,10 +158,13 @@ def mixing_plan(sized: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: i
     full = ranges.groupBy("source").agg(F.sum("full").alias("full")).alias("f")
     more = plan.alias("p").join(full, F.col("p.source").eqNullSafe(F.col("f.source"))).select("p.*", F.greatest(F.lit(0), F.round("target").cast("long") - F.col("full")).alias("more"))
     more = scratch.written(more, "mix-more")
-    so_far = Window.partitionBy("source").orderBy("range")  # RANGES rows at most
-    cum = ranges.where("range is not null").withColumn("upto", F.sum("words").over(so_far)).alias("r")
-    here = cum.join(more.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source"))).where("p.more > r.upto - r.words and p.more <= r.upto")
-    here = scratch.written(here.select("p.source", "p.source_docs", F.col("range").alias("cut_range"), (F.col("p.more") - F.col("r.upto") + F.col("r.words")).alias("want")), "mix-cuts")
+    held = ranges.where("range is not null")
+    coarse = F.shiftright("range", 8)
+    first = _reached(held.groupBy("source", coarse.alias("at")).agg(F.sum("words").alias("words")), more.select("source", F.col("more").alias("want")))
+    first = scratch.written(first, "mix-coarse").alias("f")
+    inner = held.join(first.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")) & (coarse == F.col("at"))).select("source", F.col("range").alias("at"), "words")
+    here = _reached(inner, first.select("source", "want")).alias("h").join(more.alias("p"), F.col("h.source").eqNullSafe(F.col("p.source")))
+    here = scratch.written(here.select("p.source", "p.source_docs", F.col("h.at").alias("cut_range"), "h.want"), "mix-cuts")
     within = _planned(rated.where("range is not null"), here, total, ["cut_range", "want"]).where("range = cut_range")
     ties = within.groupBy("source", "want", "place", "key", "size").agg(F.count("*").alias("n"))
     order = Window.partitionBy("source").orderBy("place", "key", "size")
