@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bazaarspark.functions.columns import clamp, like_pattern, top_n
+from bazaarspark.streaming import events as E
 
 ROLES = ("user", "assistant")
 KEPT_CHARS, CONTEXT_CHARS, TERM_CHARS = 4000, 2000, 200
@@ -20,9 +21,8 @@ def turns_to_messages(turns: DataFrame) -> DataFrame:
 
 
 def short_id(col: Column, maximum: int = 64) -> Column:
-    """An identifier cut to its maximum; null if blank or with quotes, semicolons or line ends."""
-    cut = F.substring(F.trim(col), 1, maximum)
-    return F.when((F.length(cut) > 0) & ~cut.rlike("['\";\\r\\n]"), cut)
+    """An identifier cut to its maximum; null if blank or unsafe (see :func:`bazaarspark.streaming.events.short_id`)."""
+    return F.nullif(E.short_id(col, maximum), F.lit(""))
 
 
 def clean_feedback(feedback: DataFrame) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from bazaarspark.operators import ir_eval as I
 from bazaarspark.operators import search
 from bazaarspark.operators import tool_eval as T
+from bazaarspark.sources import ingest, scratch
 from bazaarspark.sources.tables import table, view, with_views
 
 
@@ -79,6 +82,14 @@ def _tool_cases(s, d):
     )
 
 
+def _failed_report(s, d):
+    """The failed cases of a written report, read back."""
+    folder = f"{scratch.shared_folder(s)}/report-{uuid.uuid4().hex}"
+    scored = T.score_tool_cases(_tool_cases(s, d))
+    ingest.write_report(scored.select(*FLAGS), T.tool_eval_rollup(scored), folder)
+    return s.read.json(f"{folder}/failed", schema="case_id long, passed boolean, reason string")
+
+
 PREDICTED = ["actual", "calls", "answer", "scoped_ids", "customer_id"]
 
 
@@ -128,6 +139,7 @@ QUERIES = {
     "latency_percentiles": lambda s, d: T.latency_percentiles(_tool_cases(s, d)),
     "suite_report": lambda s, d: T.suite_report(T.ordered_verdicts(_tool_cases(s, d))),
     "ordered_verdicts": lambda s, d: T.ordered_verdicts(_tool_cases(s, d)).select("case_id", "passed"),
+    "failed_report": _failed_report,
     "tool_accuracy": lambda s, d: T.tool_accuracy(T.ordered_verdicts(_tool_cases(s, d))),
     "rescore": lambda s, d: T.rescore(_tool_cases(s, d).drop(*PREDICTED), _tool_cases(s, d).where("case_id % 4 <> 1").select("case_id", *PREDICTED)).select(*FLAGS),
     "tool_set_compare": lambda s, d: T.tool_set_compare(_tool_cases(s, d)).select("case_id", "missing", "extra", "ordered", "correct"),
@@ -259,6 +271,7 @@ ORACLES = {
     "latency_percentiles": f"WITH {TOOLS}, l AS (SELECT suite, list_sort(list(latency_ms)) AS x FROM o GROUP BY 1) SELECT suite, len(x) AS n, round(list_avg(x), 2) AS mean, x[CAST(floor((len(x) - 1) * 0.5) AS INT) + 1] AS p50, x[CAST(floor((len(x) - 1) * 0.95) AS INT) + 1] AS p95, x[CAST(floor((len(x) - 1) * 0.99) AS INT) + 1] AS p99, list_min(x) AS least, list_max(x) AS most FROM l",
     "suite_report": f"WITH {TOOLS} SELECT suite, count(*) AS cases, count(*) FILTER (NOT ordered_ok) AS failed, CAST(sum(CAST(ordered_ok::INT AS DECIMAL(18, 6))) AS DOUBLE) / count(ordered_ok::INT) AS pass_rate FROM o GROUP BY 1",
     "ordered_verdicts": f"WITH {TOOLS} SELECT case_id, ordered_ok AS passed FROM o",
+    "failed_report": f"WITH {TOOLS} SELECT case_id, passed, reason FROM o WHERE NOT passed",
     "tool_accuracy": f"WITH {TOOLS}, x AS (SELECT 'category' AS kind, coalesce(nullif(category, ''), 'unknown') AS name, ordered_ok AS ok FROM o UNION ALL SELECT 'tool', tool, list_contains(actual, tool) FROM (SELECT unnest(list_distinct(expected)) AS tool, actual FROM o)) SELECT kind, name, count(*) FILTER (ok) AS passed, count(*) AS total, round(100 * count(*) FILTER (ok) / count(*), 2) AS accuracy FROM x GROUP BY 1, 2",
     "rescore": f"WITH {TOOLS} SELECT {', '.join(FLAGS)} FROM o WHERE case_id % 4 <> 1",
     "tool_set_compare": f"WITH {TOOLS} SELECT case_id, missing, extra, ordered, correct FROM o",

@@ -98,6 +98,12 @@ MESSAGE_REQUESTS = """asked AS (SELECT DISTINCT customer_id AS request_id, custo
 
 ORACLES = {
     "customer_profile": with_views("SELECT customer_code, city, customer_group FROM users", "users"),
+    "result_payload": with_views(
+        f"""WITH {ROLLUP}, h AS (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY created_at DESC NULLS LAST, order_id) AS rank FROM rollup QUALIFY rank <= 3)
+        SELECT customer_id, '{{"found":true,"results":[' || string_agg('{{"rank":' || rank || ',"order_id":"' || order_id || '","status":"' || status || '"' || CASE WHEN delivered_date IS NOT NULL THEN ',"delivered_date":"' || delivered_date || '"' ELSE '' END || '}}', ',' ORDER BY rank) || ']}}' AS payload
+        FROM h GROUP BY customer_id""",
+        "order_items",
+    ),
     "order_summary": with_views(
         f"""WITH s AS (SELECT customer_id, count(DISTINCT order_id) AS a, count(DISTINCT order_id) FILTER (lower(status) IN ('complete', 'completed', 'delivered')) AS b,
         count(DISTINCT order_id) FILTER (lower(status) IN ('cancelled', 'canceled')) AS c, count(*) AS n, {PRICE} AS m FROM order_items GROUP BY customer_id)

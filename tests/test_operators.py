@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 from collections import deque
 
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bazaarspark.functions import columns as C
 from bazaarspark.functions import text as X
-from bazaarspark.operators import conversations, ir_eval, orders, retrieval, tool_eval
+from bazaarspark.operators import conversations, ir_eval, metadata, orders, retrieval, tool_eval
 from bazaarspark.sources import ingest
 from bazaarspark.streaming import events as E
 
@@ -147,3 +148,68 @@ def test_cases_and_reports(spark, tmp_path):
     assert cases.count() == 2
     ingest.write_report(cases.withColumn("passed", F.col("id") == 1), cases.agg(F.count("*").alias("n")), str(tmp_path / "report"))
     assert spark.read.json(str(tmp_path / "report/failed")).first()["id"] == 2
+
+
+def test_cuts_are_greedy_and_whole():
+    rng = random.Random(2)
+    for _ in range(200):
+        text = "".join(rng.choice(["word", "a", " ", ". ", "\\n", "\\n\\n", "!", "x" * 30]) for _ in range(rng.randrange(1, 120))).replace("\\n", "\n")
+        places = retrieval._cut_places(text, 50, 10)
+        assert all(0 < j - i <= 50 for i, j in places) or not text
+        at = 0
+        for i, j in places:
+            assert i == at or (at - 10 <= i < at and "x" * 30 in text)  # only windows overlap
+            at = j
+        assert at == len(text)
+        for (i, j), (n, k) in zip(places, places[1:]):
+            assert n < j or k - i > 50 or any(text[:j].endswith(m) for m in retrieval.SEPARATORS)  # pieces part at a mark, or would not fit together
+
+
+def test_common_subsequence():
+    rng = random.Random(3)
+    for _ in range(200):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(0, 12))] for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        assert tool_eval._common_length(a, b) == table[-1][-1]
+
+
+def test_values_at_places(spark):
+    rng = random.Random(4)
+    values = {"a": [rng.gauss(0, 1) for _ in range(300)], "b": [5.0] * 40, None: [1.0, 2.0, 2.0, 1e9]}
+    rows = spark.createDataFrame([(k, x) for k, xs in values.items() for x in [*xs, None]], "k string, x double").repartition(3)
+    got = {(r["k"], r["name"]): r["x"] for r in C.values_at(rows, "k", "x", {"first": lambda n: F.lit(0), "mid": lambda n: F.floor(n / 2), "last": lambda n: n - 1}, 64).collect()}
+    assert got == {(k, p): sorted(xs)[{"first": 0, "mid": len(xs) // 2, "last": len(xs) - 1}[p]] for k, xs in values.items() for p in ("first", "mid", "last")}
+
+
+def test_argument_match_wants_equality_of_one_object(spark):
+    args = "map<string,string>"
+    rows = spark.createDataFrame(
+        [
+            (1, {"q": "x"}, None, [{"q": "x", "sql": "drop"}]), (2, {"q": "x"}, None, [{"q": "x"}]), (3, {"q": "x"}, None, [{"q": "x"}, {"q": "x"}]),
+            (4, None, [{"q": "x"}], [{"q": "x", "more": "y"}]), (5, None, [{"q": "<resolved_from_step_1>"}], [{"r": "x"}]), (6, None, [{"q": "<resolved_from_step_1>"}], [{"q": None}]), (7, None, None, []), (8, None, [], []),
+        ],
+        f"case_id int, expected_args {args}, expected_calls array<{args}>, actual_calls array<{args}>",
+    )
+    got = {r["case_id"]: r["matched"] for r in tool_eval.argument_match(rows).collect()}
+    assert got == {1: False, 2: True, 3: False, 4: True, 5: False, 6: True, 7: None, 8: True}
+
+
+def test_quality_ends_at_a_word(spark):
+    rows = spark.createDataFrame([("بهتر",), ("بهتری",)], "query string")
+    read = rows.withColumns({c: F.lit(None).cast(t) for c, t in (("brand", "string"), ("category", "string"), ("color", "string"), ("material", "string"), ("gender", "string"), ("price_min", "double"), ("price_max", "double"), ("availability", "boolean"))}).withColumns({"leftover": F.array().cast("array<string>"), "n": F.lit(2)})
+    got = {r["query"]: (r["needs_understanding"], r["needs_rerank"]) for r in metadata.gate_columns(read, candidates="n").collect()}
+    assert got == {"بهتر": (True, True), "بهتری": (False, False)}
+
+
+def test_messages_and_tools_on_a_stream(spark, tmp_path):
+    turns = spark.createDataFrame([("c", " hi ", "  "), ("d", None, "x" * 5000)], "customer_id string, user_message string, assistant_message string")
+    calls = spark.createDataFrame([("tool_execution", "a", 200), ("tool_execution", "a", 500), ("tool_execution", None, None), ("llm_call", "a", 200)], "event string, tool string, status int")
+    for name, batch, make in (("turns", turns, conversations.turns_to_messages), ("calls", calls, E.tool_metrics)):
+        batch.write.parquet(str(tmp_path / name))
+        mode = "append" if name == "turns" else "complete"
+        q = make(spark.readStream.schema(batch.schema).parquet(str(tmp_path / name))).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / f"{name}-c")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        assert sorted(map(tuple, spark.table(name).collect()), key=repr) == sorted(map(tuple, make(batch).collect()), key=repr)
