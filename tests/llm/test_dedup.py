@@ -251,3 +251,9 @@ def test_embeddings(spark, dim):
     assert all(got[9000 + i] == (0, 9000 + i, True) for i in range(6))
     assert got[9100] == (1, 9100, True) and got[9101] == (1, 9100, False) and got[None] == (0, None, True)
     assert embedding_dedup(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+
+
+def test_embeddings_with_clashing_columns(spark):
+    rows = [(1, [1.0, 0.0, 0.0], 7, "a", 1), (2, [1.0, 0.01, 0.0], 7, "b", 2), (3, [0.0, 1.0, 0.0], 7, "c", 3), (3, [0.0, 1.0, 0.0], 7, "c", 3)]
+    frame_ = spark.createDataFrame(rows, "vec_id long, embedding array<float>, node int, cell string, links int").withColumnRenamed("cell", "component")
+    assert sorted(map(tuple, embedding_dedup(frame_).collect())) == [(1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (3, 1, 3, True)]

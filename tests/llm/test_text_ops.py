@@ -202,6 +202,8 @@ def test_licences(spark):
     got = L.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert [(r["n_matched"], r["licenses"]) for r in got] == [(3, ["MIT"]), (1, ["CC-BY-NC-4.0"]), (2, []), (0, []), (0, []), (0, []), (1, ["CC-BY-NC-4.0"])]
     assert L.license_scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    clash = L.license_scan(spark.createDataFrame([(1, "Licensed under CC BY-NC 4.0.", 5, "x", None)], "doc_id long, text string, licenses int, n_matched string, sentences string")).collect()
+    assert [(r["doc_id"], r["n_matched"], r["licenses"]) for r in clash] == [(1, 1, ["CC-BY-NC-4.0"])]
 
 
 def test_wrapped_licences_and_tags(spark):
