@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 
 from bazaarspark.llm.exact_dedup import exact_dedup
@@ -12,6 +14,7 @@ from bazaarspark.llm.lm_scoring import lm_score
 from bazaarspark.llm.minhash import near_dedup
 from bazaarspark.llm.mixing import mix
 from bazaarspark.llm.packing import pack
+from bazaarspark.llm.periodic_runs import periodic_runs, run_digests
 from bazaarspark.llm.span_dedup import span_dedup
 from bazaarspark.llm.toxicity import toxicity
 
@@ -129,6 +132,22 @@ def op10_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def repeated_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """A tenth of the documents end in a repeated stretch, as the hash of the identifier has it. Without one a text stays as it is."""
+    if doc_id is None or not words:
+        return words
+    whole, digit = divmod(zlib.crc32(str(doc_id).encode()), 10)
+    if digit:
+        return words
+    n, start = len(words), whole % len(words)
+    period = 1 + (n - start) // (3 + whole % 8)
+    return words[:start] + (words[start : start + period] * ((n - start) // period + 1))[: n - start]
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs(_table(spark, sf_dir, "documents").select("doc_id", "text"), prepare=repeated_tail))
+
+
 QUERIES = {
     "op1_pack_cutting_stock": op1_pack_cutting_stock,
     "op2_mix_sources": op2_mix_sources,
@@ -140,5 +159,6 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_context_mixing_lm": op9_context_mixing_lm,
     "op10_sentence_span_dedup": op10_sentence_span_dedup,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLES = {"op2_mix_sources": OP2_SQL, "op4_lattice_embedding_dedup": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op6_minhash_near_dedup": OP6_SQL, "op8_license_scan": license_sql()}
