@@ -15,6 +15,7 @@ from bazaarspark.llm.minhash import near_dedup
 from bazaarspark.llm.mixing import mix
 from bazaarspark.llm.packing import pack
 from bazaarspark.llm.periodic_runs import periodic_runs, run_digests
+from bazaarspark.llm.repair import damaged, repair_conversations
 from bazaarspark.llm.span_dedup import span_dedup
 from bazaarspark.llm.toxicity import toxicity
 
@@ -132,6 +133,11 @@ def op10_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, copies = damaged(_table(spark, sf_dir, "conversations"))
+    return repair_conversations(rows, copies)
+
+
 def repeated_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
     """A tenth of the documents end in a repeated stretch, as the hash of the identifier has it. Without one a text stays as it is."""
     if doc_id is None or not words:
@@ -159,6 +165,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_context_mixing_lm": op9_context_mixing_lm,
     "op10_sentence_span_dedup": op10_sentence_span_dedup,
+    "op11_repair_conversations": op11_repair_conversations,
     "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLES = {"op2_mix_sources": OP2_SQL, "op4_lattice_embedding_dedup": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op6_minhash_near_dedup": OP6_SQL, "op8_license_scan": license_sql()}
