@@ -13,6 +13,7 @@ from bazaarspark.llm.line_dedup import line_dedup
 from bazaarspark.llm.lm_scoring import lm_score
 from bazaarspark.llm.minhash import near_dedup
 from bazaarspark.llm.mixing import mix
+from bazaarspark.llm.multi_index import nearest
 from bazaarspark.llm.packing import pack
 from bazaarspark.llm.periodic_runs import periodic_runs, run_digests
 from bazaarspark.llm.repair import damaged, repair_conversations
@@ -138,6 +139,19 @@ def op11_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(rows, copies)
 
 
+def op12_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+OP12_SQL = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * c.x[i]), lambda a, b: a + b) AS score
+      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 20
+"""
+
+
 def repeated_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
     """A tenth of the documents end in a repeated stretch, as the hash of the identifier has it. Without one a text stays as it is."""
     if doc_id is None or not words:
@@ -166,6 +180,7 @@ QUERIES = {
     "op9_context_mixing_lm": op9_context_mixing_lm,
     "op10_sentence_span_dedup": op10_sentence_span_dedup,
     "op11_repair_conversations": op11_repair_conversations,
+    "op12_inverted_multi_index": op12_inverted_multi_index,
     "op13_periodic_runs": op13_periodic_runs,
 }
-ORACLES = {"op2_mix_sources": OP2_SQL, "op4_lattice_embedding_dedup": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op6_minhash_near_dedup": OP6_SQL, "op8_license_scan": license_sql()}
+ORACLES = {"op2_mix_sources": OP2_SQL, "op4_lattice_embedding_dedup": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op6_minhash_near_dedup": OP6_SQL, "op8_license_scan": license_sql(), "op12_inverted_multi_index": OP12_SQL}
