@@ -184,40 +184,73 @@ def _walked(books: Codebooks, counts: np.ndarray, blocks: tuple[np.ndarray, np.n
     return run
 
 
+class _Firsts:
+    """The first ``k`` entries of each query met by a task. They are merged whenever ``room`` rows have gathered, so that what leaves the
+    task is ``k`` rows for each query and not for each block; queries beyond the room leave it before."""
+
+    def __init__(self, k: int, room: int = 1 << 18) -> None:
+        self.k, self.room, self.held, self.parts = k, room, 0, []
+
+    def merged(self) -> tuple[np.ndarray, ...]:
+        asker, score, found, own = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.lexsort((~own, found, -score, asker))
+        asker = asker[order]
+        nth = np.arange(len(asker)) - np.searchsorted(asker, asker)
+        order = order[nth < self.k]
+        return tuple(np.concatenate(x)[order] for x in zip(*self.parts, strict=True))
+
+    def add(self, *part: np.ndarray) -> tuple[np.ndarray, ...] | None:
+        self.parts.append(part)
+        self.held += len(part[0])
+        if self.held > self.room:
+            self.parts = [self.merged()]
+            self.held = len(self.parts[0][0])
+            if self.held > self.room // 2:
+                return self.rest()
+        return None
+
+    def rest(self) -> tuple[np.ndarray, ...] | None:
+        out, self.parts, self.held = self.merged() if self.parts else None, [], 0
+        return out
+
+
+def _rows(part: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.float64(), pa.int64(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(part, kinds, strict=True)], ["asker", "score", "id", "own"])
+
+
 def _scored(k: int):
-    """For each query of a pack the first ``k`` entries of a block, among the cells that it reaches. Scores are summed component by
-    component from the first, so that equal vectors have equal scores wherever they are met."""
+    """For each query of a pack the first ``k`` entries among the cells that it reaches. Scores are summed component by component from
+    the first, so that equal vectors have equal scores wherever they are met."""
+
+    def best(row: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        asking, q = row.column("nodes").flatten().to_numpy(), _matrix(row.column("asked_v").flatten())
+        entries = row.column("entries").flatten()
+        cell, node, v = entries.field("cell").to_numpy(), entries.field("node").to_numpy(), _matrix(entries.field("v"))
+        asks = np.zeros((len(q), len(v)), bool)
+        for visit in row.column("visits").flatten().to_pylist():
+            asks |= np.unpackbits(np.frombuffer(visit["asks"], np.uint8), count=len(q)).astype(bool)[:, None] & (cell == visit["cell"])
+        near = np.where(asks, q @ v.T, -np.inf)
+        if len(v) > k:
+            slack = 1e-12 * np.sqrt((q * q).sum(1)) * np.sqrt((v * v).sum(1).max()) * v.shape[1]
+            asks &= near >= (np.partition(near, -k, 1)[:, -k] - slack)[:, None]
+        r, c = np.nonzero(asks)
+        score = np.cumsum(q[r] * v[c], 1)[:, -1] if len(r) else np.zeros(0)
+        ids = entries.field("ids")
+        size = ids.value_lengths().to_numpy()
+        start = np.concatenate(([0], np.cumsum(size)))[:-1]
+        n = size[c]
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[c], n)
+        return np.repeat(asking[r], n), np.repeat(score, n), ids.flatten().to_numpy()[place], np.repeat(asking[r] == node[c], n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts = _Firsts(k)
         for batch in batches:
             for i in range(len(batch)):
-                row = batch.slice(i, 1)
-                asking, q = row.column("nodes").flatten().to_numpy(), _matrix(row.column("asked_v").flatten())
-                entries = row.column("entries").flatten()
-                cell, node, v = entries.field("cell").to_numpy(), entries.field("node").to_numpy(), _matrix(entries.field("v"))
-                asks = np.zeros((len(q), len(v)), bool)
-                for visit in row.column("visits").flatten().to_pylist():
-                    asks |= np.unpackbits(np.frombuffer(visit["asks"], np.uint8), count=len(q)).astype(bool)[:, None] & (cell == visit["cell"])
-                near = np.where(asks, q @ v.T, -np.inf)
-                if len(v) > k:
-                    slack = 1e-12 * np.sqrt((q * q).sum(1)) * np.sqrt((v * v).sum(1).max()) * v.shape[1]
-                    asks &= near >= (np.partition(near, -k, 1)[:, -k] - slack)[:, None]
-                r, c = np.nonzero(asks)
-                score = np.cumsum(q[r] * v[c], 1)[:, -1] if len(r) else np.zeros(0)
-                ids = entries.field("ids")
-                size = ids.value_lengths().to_numpy()
-                start = np.concatenate(([0], np.cumsum(size)))[:-1]
-                flat = ids.flatten().to_numpy()
-                n = size[c]
-                place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[c], n)
-                r, c, score, found = np.repeat(r, n), np.repeat(c, n), np.repeat(score, n), flat[place]
-                order = np.lexsort((found, -score, r))
-                r, c, score, found = r[order], c[order], score[order], found[order]
-                begins = np.searchsorted(r, np.arange(len(q)))
-                best = np.arange(len(r)) - begins[r] < k
-                r, c, score, found = r[best], c[best], score[best], found[best]
-                columns = [pa.array(asking[r], pa.int64()), pa.array(score, pa.float64()), pa.array(found, pa.int64()), pa.array(asking[r] == node[c], pa.bool_())]
-                yield pa.RecordBatch.from_arrays(columns, ["asker", "score", "id", "own"])
+                if (part := firsts.add(*best(batch.slice(i, 1)))) is not None:
+                    yield _rows(part)
+        if (part := firsts.rest()) is not None:
+            yield _rows(part)
 
     return run
 
@@ -279,6 +312,7 @@ def _found(nodes: DataFrame, entries: int, k: int, probe: float, least: int, sam
     placed = assigned.join(places, "cell")
     part = lambda n: F.pmod(F.xxhash64("v"), F.col(n))
     dealt = placed.groupBy((F.col("block") + part("blocks")).alias("block")).agg(F.collect_list(F.struct("cell", "node", "v", "ids")).alias("entries"))
-    asked = placed.where("asks").groupBy((F.col("pack") + part("packs")).alias("pack")).agg(F.collect_list(F.struct("node", "v")).alias("queries"))
+    tasks = min(int((packs[0] + packs[1])[asking > 0].max(initial=1)), 4 * spark.sparkContext.defaultParallelism)  # walks are long, their rows few
+    asked = placed.where("asks").select((F.col("pack") + part("packs")).alias("pack"), "node", "v").repartition(tasks, "pack").groupBy("pack").agg(F.collect_list(F.struct("node", "v")).alias("queries"))
     walked = asked.mapInArrow(_walked(books, counts, blocks, k + 1, probe, least), f"block long, nodes array<long>, asked_v array<{fields['v']}>, visits array<struct<cell:int,asks:binary>>")
     return walked.join(dealt, "block").drop("block").mapInArrow(_scored(k + 1), "asker long, score double, id long, own boolean")
