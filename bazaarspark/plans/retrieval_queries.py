@@ -26,9 +26,13 @@ def _bm25(spark, d):
     return R.bm25(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), _docs(spark, d))
 
 
+def _bm25_topk(spark, d):
+    return R.bm25_topk(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), _docs(spark, d))
+
+
 def _candidates(spark, d):
     """The ten documents of each benchmark item that are closest by vectors among its best hundred by words, with their texts."""
-    best = R.top_n(_bm25(spark, d), ["query_id"], [F.desc("score"), F.asc("doc_id")], 100, "lexical_rank").drop("score")
+    best = _bm25_topk(spark, d).select("query_id", "doc_id")
     v = _vectors(spark, d).select("id", R.l2_normalize(F.col("v")).alias("v"))
     side = lambda name: v.select(F.col("id").alias("_" + name), F.col("v").alias(name + "_v"))
     rows = best.join(side("q"), F.pmod(F.col("query_id") * 11, F.lit(500)) == F.col("_q")).join(side("d"), F.pmod(F.col("doc_id"), F.lit(500)) == F.col("_d"))
@@ -82,6 +86,7 @@ QUERIES = {
     "cosine_topk": lambda s, d: R.cosine_topk(_asked(s, d), _vectors(s, d)),
     "ann_topk": lambda s, d: R.ann_topk(_asked(s, d), _vectors(s, d)),
     "bm25": _bm25,
+    "bm25_topk": _bm25_topk,
     "bm25_local": lambda s, d: R.bm25_local(_candidates(s, d)).select("query_id", "doc_id", "lexical"),
     "hybrid_rerank": lambda s, d: R.hybrid_rerank(R.bm25_local(_candidates(s, d))).select("query_id", "doc_id", "score", "rank"),
     "align_chunks": lambda s, d: R.align_chunks(_lines(s, d), _lines(s, d, True)),
@@ -130,6 +135,7 @@ ORACLES = {
         s AS (SELECT a.id AS query_id, b.id, round(list_cosine_similarity(a.x, b.x), 6) AS score FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 20 = 0)
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 10""",
     "bm25": f"WITH {BM25} SELECT * FROM bm",
+    "bm25_topk": f"WITH {BM25} SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm QUALIFY rank <= 100",
     "bm25_local": f"WITH {BM25}, {LOCAL} SELECT query_id, doc_id, lexical FROM k",
     "hybrid_rerank": f"""WITH {BM25}, {LOCAL},
         f AS (SELECT query_id, doc_id, dense_rank, round(0.6 * CASE WHEN max(dense) OVER w > min(dense) OVER w THEN (dense - min(dense) OVER w) / (max(dense) OVER w - min(dense) OVER w) ELSE 1 END
