@@ -1,13 +1,14 @@
 """Product search: a log of read queries against a catalog, all at once.
 
-Queries meet products by a hash join: on the brand's key, or on a three-letter piece of a text that a product must hold. Of such
-pieces the one that fewest products hold is taken, so that frequent words never make the join. Queries that hold neither (a
-price range, say) are asked of every product, block by block.
+Queries with equal conditions are one condition. A condition meets products by keys that a product must have: its brand, pieces of three
+letters of the texts it must hold, or, where there is neither, a range of prices. The rarest key of a condition is looked up; where that
+is frequent, what it brings must also have the second rarest. Keys of many products or conditions are cut on both sides, so that no task
+holds a brand with a third of the catalog.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bazaarspark.functions import dictionaries as D
@@ -17,8 +18,10 @@ from bazaarspark.operators import metadata as M
 from bazaarspark.sources import scratch
 
 FILTERS = [*M.POSITIVE, "exclude_brands"]
-#: Products of a block that queries without brand or text meet.
-CATALOG_BLOCK = 20_000
+#: Products and conditions of a key that one task holds, and from how many products on the second key is asked for.
+PRODUCTS, CONDITIONS, FREQUENT = 4_096, 256, 256
+#: Ranges of prices, of about as many products each.
+PRICES = 64
 # Products that hybrid search scores classically, the weights of its two scores, and those of BM25.
 CANDIDATES, DENSE, LEXICAL, K1, B = 50, 0.6, 0.4, 1.5, 0.75
 
@@ -46,8 +49,10 @@ def _holds(text: Column, part: Column) -> Column:
     return F.contains(F.lower(F.coalesce(text, F.lit(""))), F.lower(part))
 
 
-def _trigrams(c: Column) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3))))
+def _pieces(c: Column, size: int = 3) -> Column:
+    """The distinct pieces of ``size`` letters."""
+    starts = F.when(F.length(c) >= size, F.sequence(F.lit(1), F.length(c) - (size - 1))).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(c, i, F.lit(size))))
 
 
 def _matches() -> Column:
@@ -70,6 +75,71 @@ def _matches() -> Column:
     )
 
 
+CONDITION = [*FILTERS[:-1], "brand_keys", "exclude_keys", "positive", "terms"]
+
+
+def price_range(price: Column, cuts: list[float]) -> Column:
+    """How many of the cuts a price has reached."""
+    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= price)) if cuts else F.lit(0)
+
+
+def _range_key(enabled: Column, place: Column) -> Column:
+    return F.concat(F.lit("r"), enabled.cast("string"), F.lit(":"), place.cast("string"))
+
+
+def asked_keys(conditions: DataFrame, cuts: list[float]) -> DataFrame:
+    """(cond, alternative, key): a product meets a condition only if it has all keys of one of its alternatives, which are the spellings
+    of a brand, and the ranges of prices that a condition without brand or text covers."""
+    texts = F.when(F.col("q_positive"), F.array("q_category", "q_color", "q_material")).otherwise(F.col("q_terms"))
+    texts = F.filter(F.transform(F.array_compact(texts), F.lower), lambda t: F.length(t) > 0)
+    pieces = F.array_distinct(F.flatten(F.transform(texts, lambda t: F.when(F.length(t) >= 3, _pieces(t)).otherwise(F.array(t)))))
+    c = conditions.withColumn("_pieces", F.transform(pieces, lambda p: F.concat(F.lit("t"), p)))
+    branded = c.where("q_brand is not null").select("cond", F.explode(F.array_distinct("q_brand_keys")).alias("alternative"), "_pieces")
+    branded = branded.select("cond", "alternative", F.explode(F.concat(F.array(F.concat(F.lit("b"), "alternative")), "_pieces")).alias("key"))
+    texted = c.where("q_brand is null").select("cond", F.lit("").alias("alternative"), F.explode("_pieces").alias("key"))
+    low = F.when(F.col("q_price_min").isNull(), 0).otherwise(price_range(F.col("q_price_min"), cuts))
+    high = F.when(F.col("q_price_max").isNull(), len(cuts)).otherwise(price_range(F.col("q_price_max"), cuts))
+    places = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+    # Products without a price have a range of their own, which only conditions without one cover.
+    places = F.when(F.col("q_price_min").isNull() & F.col("q_price_max").isNull(), F.array_append(places, F.lit(-1))).otherwise(places)
+    stock = F.when(F.col("q_availability").isNull(), F.array(F.lit(True), F.lit(False))).otherwise(F.array("q_availability"))
+    bare = c.where("q_brand is null and size(_pieces) = 0").select("cond", F.explode(places).alias("place"), stock.alias("stock"))
+    bare = bare.select("cond", "place", F.explode("stock").alias("enabled")).withColumn("key", _range_key(F.col("enabled"), F.col("place")))
+    return branded.unionByName(texted).unionByName(bare.select("cond", F.col("key").alias("alternative"), "key"))
+
+
+def _postings(catalog: DataFrame, keys: DataFrame, cuts: list[float]) -> DataFrame:
+    """(code, key) of the keys that are asked for."""
+    text = F.concat_ws(" ", "searchable", F.lower("color"))
+    listed = lambda letter, values: F.transform(values, lambda v: F.concat(F.lit(letter), v))
+    place = F.when(F.col("price").isNull(), -1).otherwise(price_range(F.col("price").cast("double"), cuts))
+    own = F.array_compact(F.array(F.concat(F.lit("b"), "brand_key"), _range_key(F.col("enabled"), place)))
+    rows = catalog.select(F.col("product_code").alias("code"), F.explode(F.concat(own, listed("t", _pieces(text)))).alias("key"))
+    wanted = keys.select("key").distinct()
+    short = wanted.where("key LIKE 't%' and length(key) < 4")
+    for size in (1, 2):
+        rows = rows.unionByName(catalog.select(F.col("product_code").alias("code"), F.explode(listed("t", _pieces(text, size))).alias("key")).join(short, "key", "left_semi").select("code", "key"))
+    return rows.join(wanted, "key", "left_semi").distinct().select("code", "key")
+
+
+def rarest_keys(keys: DataFrame, postings: DataFrame) -> DataFrame:
+    """(cond, alternative, key, n, second) for each alternative of which all keys have products: its rarest key, the number of its products and, where
+    these are many, the second rarest."""
+    sizes = postings.groupBy("key").agg(F.count("*").alias("n"))
+    found = keys.join(sizes, "key", "left").groupBy("cond", "alternative").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("found"), F.count_if(F.col("n").isNull()).alias("missing"))
+    first, second = F.get("found", F.lit(0)), F.get("found", F.lit(1))
+    return found.where("missing = 0").select("cond", "alternative", first["key"].alias("key"), first["n"].alias("n"), F.when(first["n"] > FREQUENT, second["key"]).alias("second"))
+
+
+def dealt(asked: DataFrame, postings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the join by key, cut: a cell (key, part, share) has about ``PRODUCTS`` products and ``CONDITIONS`` conditions at most."""
+    shares = asked.groupBy("key").agg(F.max(F.ceil(F.col("n") / PRODUCTS)).alias("parts"), F.ceil(F.count("*") / CONDITIONS).alias("shares"))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    asks = asked.join(shares, "key").withColumn("share", F.pmod(F.xxhash64("cond"), F.col("shares"))).withColumn("part", F.explode(upto("parts")))
+    posts = postings.join(shares, "key").withColumn("part", F.pmod(F.xxhash64("code"), F.col("parts"))).withColumn("share", F.explode(upto("shares")))
+    return asks.drop("n", "parts", "shares"), posts.select("key", "part", "share", "code")
+
+
 def hard_filters(queries: DataFrame, catalog: DataFrame) -> DataFrame:
     """Pairs of a query and a product that meets all its conditions. Query columns get the prefix ``q_``.
 
@@ -77,22 +147,20 @@ def hard_filters(queries: DataFrame, catalog: DataFrame) -> DataFrame:
     """
     asked = drop_empty_queries(queries).withColumn("positive", _positive())
     q = asked.select(*[F.col(c).alias("q_" + c) for c in asked.columns])
-    by_brand = q.where("q_brand is not null").withColumn("_key", F.explode(F.array_distinct("q_brand_keys"))).join(catalog, F.col("_key") == F.col("brand_key")).drop("_key")
-
-    held = F.when(F.col("q_positive"), F.concat(F.array("q_category"), F.array("q_color"), F.array("q_material"))).otherwise(F.col("q_terms"))
-    held = F.filter(F.array_compact(held), lambda t: F.length(t) >= 3)
-    rest = q.where("q_brand is null").withColumn("_held", held)
-    pieces = rest.where("size(_held) > 0").select("q_query_id", F.explode(F.array_distinct(F.flatten(F.transform("_held", lambda t: _trigrams(F.lower(t)))))).alias("piece"))
-    postings = catalog.select(F.col("product_code").alias("_code"), F.explode(_trigrams(F.concat_ws(" ", "searchable", F.lower("color")))).alias("piece"))
-    frequency = postings.groupBy("piece").agg(F.count("*").alias("df"))
-    rarest = pieces.join(frequency, "piece").groupBy("q_query_id").agg(F.min_by("piece", F.struct("df", "piece")).alias("piece"), F.count("*").alias("found"))
-    wanted = pieces.groupBy("q_query_id").agg(F.count("*").alias("all"))
-    rarest = rarest.join(wanted, "q_query_id").where("found = all").select("q_query_id", "piece")  # else no product holds it
-    by_text = rest.drop("_held").join(rarest, "q_query_id").join(postings, "piece").join(catalog, F.col("_code") == F.col("product_code")).drop("piece", "_code")
-    blocks = max(1, -(-catalog.count() // CATALOG_BLOCK))
-    bare = rest.where("size(_held) = 0").drop("_held").withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    bare = bare.join(catalog.withColumn("_block", F.pmod(F.xxhash64("product_code"), F.lit(blocks)).cast("int")), "_block").drop("_block")
-    return by_brand.unionByName(by_text).unionByName(bare).where(_matches())
+    condition = F.struct(*["q_" + c for c in CONDITION if c != "terms"], F.when(~F.col("q_positive"), F.col("q_terms")).alias("terms"))
+    q = q.withColumn("cond", F.sha2(F.to_json(condition), 256))
+    conditions = scratch.written(q.select("cond", *["q_" + c for c in CONDITION]).dropDuplicates(["cond"]), "search-conditions")
+    cuts = catalog.agg(F.percentile_approx(F.col("price").cast("double"), [i / PRICES for i in range(1, PRICES)])).first()[0]
+    cuts = sorted(set(cuts or []))
+    keys = scratch.written(asked_keys(conditions, cuts), "search-keys")
+    postings = scratch.written(_postings(catalog, keys, cuts), "search-postings")
+    asks, posts = dealt(rarest_keys(keys, postings), postings)
+    met = asks.join(posts, ["key", "part", "share"]).select("cond", "alternative", "code", "second")
+    second = postings.withColumnRenamed("key", "second")
+    met = met.where("second is null").unionByName(met.join(second, ["second", "code"], "left_semi").select(*met.columns)).drop("second")
+    once = F.col("q_brand").isNull() | (F.col("brand_key") == F.col("alternative"))  # rare texts bring a product to all spellings of a brand
+    pairs = met.join(catalog, F.col("code") == F.col("product_code")).join(conditions, "cond").where(_matches() & once)
+    return pairs.drop("code", "alternative", *conditions.columns[1:]).join(q, "cond").drop("cond")
 
 
 def _each(tokens: Column, points: list[tuple[int, object]]) -> Column:
@@ -196,8 +264,9 @@ def named_search(queries: DataFrame, catalog: DataFrame, limit: int = 10, candid
     """The most relevant products of each query by both scores. Queries that restrict their pool (:func:`restricts_pool`) rank the
     ``candidate_limit`` best by name only."""
     pool = hard_filters(queries, catalog).withColumn("name_score", name_match_score())
-    nth = F.row_number().over(Window.partitionBy("q_query_id").orderBy(*_best("name_score")))
-    pool = pool.withColumn("pool_rank", nth.cast("long")).where(~restricts_pool() | (F.col("pool_rank") <= clamp(candidate_limit, 10, 200)))
+    # Only queries that restrict their pool are ranked twice, each time with a bound that Spark prunes partitions by before it shuffles.
+    first = top_n(pool.where(restricts_pool()), ["q_query_id"], _best("name_score"), clamp(candidate_limit, 10, 200), "pool_rank").drop("pool_rank")
+    pool = pool.where(~restricts_pool()).unionByName(first)
     return top_n(pool.withColumn("score", relevance_score() + F.col("name_score")), ["q_query_id"], _best("score"), clamp(limit, 1, 20))
 
 
@@ -235,18 +304,22 @@ def hybrid_search(queries: DataFrame, catalog: DataFrame, query_vectors: DataFra
 
     Vectors are (query_id, v) and (product_code, v), of one length and length 1.
     """
-    stock = catalog.withColumn("words", X.fold_tokens("searchable"))
+    words = X.fold_tokens("searchable")
+    counts = F.map_from_entries(F.transform(F.array_distinct("words"), lambda w: F.struct(w, F.size(F.filter("words", lambda x: x == w)).cast("double"))))
+    stock = catalog.withColumn("words", words).withColumns({"word_counts": counts, "n_words": F.greatest(F.size("words"), F.lit(1))})
     asked = _with_idf(queries, stock.select("words")).join(query_vectors.withColumnRenamed("v", "vector"), "query_id")
-    pool = hard_filters(asked, stock).join(vectors, "product_code")
+    pool = hard_filters(asked, stock.drop("words")).join(vectors, "product_code")
     dense = F.aggregate(F.zip_with("q_vector", "v", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    tf = lambda t: F.size(F.filter("words", lambda w: w == t)).cast("double")
-    norm = K1 * (1 - B + B * F.greatest(F.size("words"), F.lit(1)) / F.col("q_avgdl"))
-    gain = lambda e: F.when(F.array_contains("words", e["term"]), e["idf"] * tf(e["term"]) * (K1 + 1) / (tf(e["term"]) + norm)).otherwise(0.0)
+    norm = K1 * (1 - B + B * F.col("n_words") / F.col("q_avgdl"))
+    tf = lambda t: F.try_element_at("word_counts", t)
+    gain = lambda e: F.coalesce(e["idf"] * tf(e["term"]) * (K1 + 1) / (tf(e["term"]) + norm), F.lit(0.0))
     lexical = F.coalesce(F.aggregate("q_idf", F.lit(0.0), lambda a, e: a + gain(e)), F.lit(0.0))
     scored = pool.withColumns({"dense": F.round(dense, 6), "lexical": F.round(lexical, 6)})
-    every = Window.partitionBy("q_query_id")
-    scaled = lambda c: F.when(F.max(c).over(every) > F.min(c).over(every), (F.col(c) - F.min(c).over(every)) / (F.max(c).over(every) - F.min(c).over(every))).otherwise(1.0)
-    fused = scored.withColumn("fused", F.round(DENSE * scaled("dense") + LEXICAL * scaled("lexical"), 6))
+    scored = scratch.written(scored.drop("v", "word_counts", "n_words", "q_vector", "q_idf", "q_avgdl"), "hybrid-pool")
+    # What a query's scores range over is summed up in each partition first; no task sorts or holds a whole pool.
+    ends = scored.groupBy("q_query_id").agg(*[f(c).alias(f"{c}_{name}") for c in ("dense", "lexical") for name, f in (("low", F.min), ("high", F.max))])
+    scaled = lambda c: F.when(F.col(f"{c}_high") > F.col(f"{c}_low"), (F.col(c) - F.col(f"{c}_low")) / (F.col(f"{c}_high") - F.col(f"{c}_low"))).otherwise(1.0)
+    fused = scored.join(ends, "q_query_id").withColumn("fused", F.round(DENSE * scaled("dense") + LEXICAL * scaled("lexical"), 6))
     best = top_n(fused, ["q_query_id"], [F.desc("fused"), F.asc("product_code")], CANDIDATES, "fused_rank")
     return top_n(best.withColumn("score", classical_score()), ["q_query_id"], [F.desc("score"), F.asc("fused_rank")], clamp(limit, 1, 50))
 
@@ -291,7 +364,8 @@ def search_pipeline(raw: DataFrame, products: DataFrame, limit: int = 10, payloa
 def search_diag(queries: DataFrame, catalog: DataFrame, qrels: DataFrame, ranked_limit: int = 500) -> DataFrame:
     """For each query: products that pass its conditions, the gold products that pass, the first gold's rank within the limit, and
     what comes first: the codes of the best ten and a preview of the best three."""
-    scored = hard_filters(queries, catalog).withColumn("score", relevance_score())
+    scored = hard_filters(queries, catalog).select("q_query_id", "product_code", "product_name", "enabled", relevance_score().alias("score"))
+    scored = scratch.written(scored, "search-scored")  # read four times
     counts = scored.groupBy("q_query_id").agg(F.count("*").alias("filtered"))
     ranked = top_n(scored, ["q_query_id"], _best("score"), ranked_limit)
     gold = qrels.withColumnRenamed("query_id", "q_query_id").join(scored.select("q_query_id", "product_code"), ["q_query_id", "product_code"]).groupBy("q_query_id").agg(F.count("*").alias("gold_filtered"), F.array_sort(F.collect_set("product_code")).alias("gold_codes"))
