@@ -3,7 +3,8 @@
 Words of a page have one order, the rarest first. Two sets whose Jaccard similarity reaches a threshold share one of the first words of
 either, the fewer the higher the threshold, and have sizes of that ratio; so chunks meet by these words only. A text that holds another
 one also holds its rarest piece of three letters, by which the two meet. Pairs that meet are scored, so that their number grows with the
-matches, not with the square of a page. Chunks of one text are one chunk until the end.
+matches, not with the square of a page. Pages of so few texts that all their pairs are a bounded number need no index; their pairs are
+scored as they are. Chunks of one text are one chunk until the end.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from bazaarspark.sources import scratch
 #: Scores are rounded to six places.
 SLACK = 1e-6
 PIECE = 3
+#: Pairs of a page that are scored without an index.
+FEW = 1 << 14
 
 
 def _pieces(c: Column, size: int) -> Column:
@@ -67,6 +70,18 @@ def _inside(part: DataFrame, whole: DataFrame, key: str, other: str) -> DataFram
 
 def candidate_pairs(old: DataFrame, new: DataFrame, threshold: float) -> DataFrame:
     """(page, old, new) of different texts (page, text, old or new) that are worth scoring."""
+    count = lambda rows, name: rows.groupBy("page").agg(F.count("*").alias(name))
+    pages = scratch.written(count(old, "a").join(count(new, "b"), "page"), "align-pages")
+    large = pages.where(F.col("a") * F.col("b") > FEW).select("page")
+    small = pages.where(F.col("a") * F.col("b") <= FEW).select("page")
+    few = old.join(small, "page", "left_semi").select("page", "old").join(new.select("page", "new"), "page")
+    if large.isEmpty():
+        return few
+    return few.unionByName(indexed_pairs(old.join(large, "page", "left_semi"), new.join(large, "page", "left_semi"), threshold))
+
+
+def indexed_pairs(old: DataFrame, new: DataFrame, threshold: float) -> DataFrame:
+    """The pairs that share a word of their prefixes, or a piece where one may lie in the other."""
     inside = _inside(old, new, "old", "new").unionByName(_inside(new, old, "new", "old").select("page", "old", "new"))
     return similar_pairs(old, new, threshold).unionByName(inside).distinct()
 

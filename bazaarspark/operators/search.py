@@ -28,8 +28,10 @@ CANDIDATES, DENSE, LEXICAL, K1, B = 50, 0.6, 0.4, 1.5, 0.75
 
 def catalog_view(products: DataFrame) -> DataFrame:
     """The catalog with the columns that a search reads; products without a code are left out."""
+    low = {f"low_{name}": F.lower(F.coalesce(c, F.lit(""))) for name, c in (("name", "product_name"), ("sku", "sku"), ("brand", "brand"), ("type", "type"), ("level1", "category_level1"), ("level2", "category_level2"))}
     return products.where("product_code is not null").withColumns(
-        {"brand_key": F.lower(F.trim("brand")), "searchable": F.lower(X.searchable_text()), "norm_name": X.normalized_name("product_name"), "low_name": F.lower(F.coalesce("product_name", F.lit(""))), "low_sku": F.lower(F.coalesce("sku", F.lit(""))), "price": X.parse_price("sum_of_price"), "enabled": F.coalesce(F.col("last_status") == "Enable", F.lit(False))}
+        low
+        | {"brand_key": F.lower(F.trim("brand")), "searchable": F.lower(X.searchable_text()), "norm_name": X.normalized_name("product_name"), "price": X.parse_price("sum_of_price"), "enabled": F.coalesce(F.col("last_status") == "Enable", F.lit(False))}
     )
 
 
@@ -45,8 +47,9 @@ def _positive() -> Column:
     return found
 
 
-def _holds(text: Column, part: Column) -> Column:
-    return F.contains(F.lower(F.coalesce(text, F.lit(""))), F.lower(part))
+def _typed(word: Column) -> Column:
+    """Whether a type or category of a product holds a word in lower case."""
+    return F.contains("low_type", word) | F.contains("low_level1", word) | F.contains("low_level2", word)
 
 
 def _pieces(c: Column, size: int = 3) -> Column:
@@ -59,7 +62,7 @@ def _matches() -> Column:
     """The conjunction of a query's conditions; prefixed columns are the query's."""
     q = lambda c: F.col("q_" + c)
     either = lambda col, cond: q(col).isNull() | F.coalesce(cond, F.lit(False))
-    category = (F.lower(F.trim("type")) == F.lower(q("category"))) | _holds(F.col("type"), q("category")) | _holds(F.col("category_level1"), q("category")) | _holds(F.col("category_level2"), q("category"))
+    category = (F.lower(F.trim("type")) == F.lower(q("category"))) | _typed(F.lower(q("category")))
     free = F.when(q("positive"), True).otherwise(F.forall(q("terms"), lambda t: F.contains(F.col("searchable"), F.lower(t))))
     return (
         either("brand", F.array_contains(q("brand_keys"), F.col("brand_key")))
@@ -111,15 +114,17 @@ def asked_keys(conditions: DataFrame, cuts: list[float]) -> DataFrame:
 def _postings(catalog: DataFrame, keys: DataFrame, cuts: list[float]) -> DataFrame:
     """(code, key) of the keys that are asked for."""
     text = F.concat_ws(" ", "searchable", F.lower("color"))
-    listed = lambda letter, values: F.transform(values, lambda v: F.concat(F.lit(letter), v))
+    # As a list of one, so that the text isn't put together anew for each of its pieces.
+    listed = lambda size: F.flatten(F.transform(F.array(text), lambda t: F.transform(_pieces(t, size), lambda p: F.concat(F.lit("t"), p))))
     place = F.when(F.col("price").isNull(), -1).otherwise(price_range(F.col("price").cast("double"), cuts))
-    own = F.array_compact(F.array(F.concat(F.lit("b"), "brand_key"), _range_key(F.col("enabled"), place)))
-    rows = catalog.select(F.col("product_code").alias("code"), F.explode(F.concat(own, listed("t", _pieces(text)))).alias("key"))
-    wanted = keys.select("key").distinct()
+    own = [F.concat(F.lit("b"), "brand_key"), _range_key(F.col("enabled"), place)]
+    wanted = scratch.written(keys.select("key").distinct(), "search-wanted")
+    rows = catalog.select(F.col("product_code").alias("code"), F.explode(F.concat(F.array_compact(F.array(*own)), listed(3))).alias("key"))
     short = wanted.where("key LIKE 't%' and length(key) < 4")
-    for size in (1, 2):
-        rows = rows.unionByName(catalog.select(F.col("product_code").alias("code"), F.explode(listed("t", _pieces(text, size))).alias("key")).join(short, "key", "left_semi").select("code", "key"))
-    return rows.join(wanted, "key", "left_semi").distinct().select("code", "key")
+    if not short.isEmpty():
+        for size in (1, 2):
+            rows = rows.unionByName(catalog.select(F.col("product_code").alias("code"), F.explode(listed(size)).alias("key")).join(short, "key", "left_semi").select("code", "key"))
+    return rows.join(wanted, "key", "left_semi").select("code", "key")
 
 
 def rarest_keys(keys: DataFrame, postings: DataFrame) -> DataFrame:
@@ -150,8 +155,10 @@ def hard_filters(queries: DataFrame, catalog: DataFrame) -> DataFrame:
     condition = F.struct(*["q_" + c for c in CONDITION if c != "terms"], F.when(~F.col("q_positive"), F.col("q_terms")).alias("terms"))
     q = q.withColumn("cond", F.sha2(F.to_json(condition), 256))
     conditions = scratch.written(q.select("cond", *["q_" + c for c in CONDITION]).dropDuplicates(["cond"]), "search-conditions")
-    cuts = catalog.agg(F.percentile_approx(F.col("price").cast("double"), [i / PRICES for i in range(1, PRICES)])).first()[0]
-    cuts = sorted(set(cuts or []))
+    cuts: list[float] = []
+    if not conditions.where("q_price_min is not null or q_price_max is not null").isEmpty():
+        found = catalog.agg(F.percentile_approx(F.col("price").cast("double"), [i / PRICES for i in range(1, PRICES)])).first()[0]
+        cuts = sorted(set(found or []))
     keys = scratch.written(asked_keys(conditions, cuts), "search-keys")
     postings = scratch.written(_postings(catalog, keys, cuts), "search-postings")
     asks, posts = dealt(rarest_keys(keys, postings), postings)
@@ -177,11 +184,9 @@ def _each(tokens: Column, points: list[tuple[int, object]]) -> Column:
 def relevance_score() -> Column:
     """Points of a product for a query, over the columns that :func:`hard_filters` gives."""
     name, sku = F.col("low_name"), F.col("low_sku")
-    query, tokens = F.lower(F.trim("q_rank_query")), F.slice(F.col("q_tokens"), 1, 12)
-    low = lambda t: F.lower(t)
+    query, tokens = F.lower(F.trim("q_rank_query")), F.transform(F.slice(F.col("q_tokens"), 1, 12), F.lower)
     points = lambda n, cond: F.when(F.coalesce(cond, F.lit(False)), n).otherwise(0)
     numbered = F.slice(F.filter(tokens, lambda t: t.rlike("[0-9۰-۹]")), 1, 4)
-    typed = lambda t: (F.lower(F.trim("type")) == low(t)) | _holds(F.col("type"), t) | _holds(F.col("category_level1"), t) | _holds(F.col("category_level2"), t)
     any_token = F.size(tokens) > 0
     return (
         points(100, (F.length(query) > 0) & (F.trim(name) == query))
@@ -189,10 +194,10 @@ def relevance_score() -> Column:
         + points(40, F.lower(F.trim("type")) == F.lower("q_category"))
         + points(18, (F.length(query) > 0) & F.startswith(name, query))
         + points(12, (F.length(query) > 0) & F.contains(name, query))
-        + _each(numbered, [(25, lambda t: F.contains(name, low(t)) | F.contains(sku, low(t)))])
-        + points(30, any_token & F.forall(tokens, lambda t: F.contains(F.col("searchable"), low(t))))
-        + points(20, any_token & F.forall(tokens, lambda t: F.contains(name, low(t))))
-        + _each(tokens, [(6, lambda t: F.contains(name, low(t))), (5, lambda t: _holds(F.col("brand"), t)), (4, typed), (1, lambda t: F.contains(F.col("searchable"), low(t)))])
+        + _each(numbered, [(25, lambda t: F.contains(name, t) | F.contains(sku, t))])
+        + points(30, any_token & F.forall(tokens, lambda t: F.contains(F.col("searchable"), t)))
+        + points(20, any_token & F.forall(tokens, lambda t: F.contains(name, t)))
+        + _each(tokens, [(6, lambda t: F.contains(name, t)), (5, lambda t: F.contains("low_brand", t)), (4, _typed), (1, lambda t: F.contains(F.col("searchable"), t))])
     )
 
 

@@ -68,8 +68,9 @@ def chunks(rng, n, spoil):
     return rows
 
 
-@pytest.mark.parametrize("threshold", [0.45, 0.8, 1.0])
-def test_alignment_equals_all_pairs(spark, threshold):
+@pytest.mark.parametrize("threshold,few", [(0.45, 0), (0.8, 0), (1.0, 0), (0.45, 3_000), (0.45, 1 << 14)])
+def test_alignment_equals_all_pairs(spark, monkeypatch, threshold, few):
+    monkeypatch.setattr(A, "FEW", few)
     rng = random.Random(4)
     old = chunks(rng, 150, False)
     new = [(p, i + 1_000, rng.choice([t, t[2:], t[:-1], t + " more", t.replace("t1", "u1"), "the", ""])) for p, i, t in old] + chunks(rng, 60, True) + [(9, 5_000, "alone"), (0, 5_001, "a")]
