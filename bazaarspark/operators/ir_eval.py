@@ -69,19 +69,29 @@ def relevance_grades(cases: DataFrame) -> DataFrame:
     return cases.select("query_id", F.inline(entries))
 
 
-# Query types and how they are judged.
+# Query types and how they are judged, the types that comparisons of runs look at, and notes of a review.
 BROAD = ["BRAND", "CATEGORY", "GENDER_FILTER", "PRICE_FILTER", "AVAILABILITY_FILTER", "MULTI_ATTRIBUTE"]
+NARROW = ["DIRECT_PRODUCT", "BRAND_CATEGORY", "ATTRIBUTE", "PARTIAL_PRODUCT_NAME", "COLLOQUIAL", "PERSIAN_VARIATION"]
 SPECIAL = ["AMBIGUOUS", "NO_RESULT", "OUT_OF_SCOPE", "NEGATIVE_CONSTRAINT"]
-#: Gold documents from which any query counts as broad.
+FOCUS = ["BRAND_CATEGORY", "PERSIAN_VARIATION", "COLLOQUIAL", "PARTIAL_PRODUCT_NAME"]
+MISSPELLED = "تریا|دیفاکتو"
+LARGE_NOTE = "large gold set treated as judged relevance, not exhaustive recall"
+DIFFER_NOTE = "relevance keys and expected_product_codes differ; relevance used as judged set"
+#: Gold documents from which a query counts as broad.
 MANY = 20
 
 
 def annotate_cases(cases: DataFrame) -> DataFrame:
-    """Adds evaluation_type (special, broad, narrow) and whether gold and grades disagree."""
-    kind = F.when(F.col("query_type").isin(*SPECIAL), "special").when(F.col("query_type").isin(*BROAD) | (F.size("gold") >= MANY), "broad").otherwise("narrow")
-    graded = F.map_keys(F.map_filter("grades", lambda _, g: g > 0))
-    differ = (F.size(F.array_except("gold", graded)) + F.size(F.array_except(graded, "gold")) > 0) & (F.size(graded) > 0)
-    return cases.withColumns({"evaluation_type": kind, "mismatch": F.coalesce(differ, F.lit(False))})
+    """Adds evaluation_type (special, broad, narrow), whether gold and grades name different documents (``mismatch``), and what a reviewer
+    should look at: needs_review and review_notes, null without any."""
+    kind = F.col("query_type")
+    large = F.size("gold") >= MANY
+    judged = F.when(kind.isin(*SPECIAL), "special").when(kind.isin(*BROAD) | large, "broad").when(kind.isin(*NARROW), "narrow").when(F.size("gold") > 0, "broad").otherwise("special")
+    named = F.coalesce(F.map_keys("grades"), F.array().cast(cases.schema["gold"].dataType))
+    differ = (F.size("gold") > 0) & (F.size(named) > 0) & (F.size(F.array_except("gold", named)) + F.size(F.array_except(named, "gold")) > 0)
+    notes = F.array_compact(F.array(F.when(kind.isin(*NARROW) & large, F.lit(LARGE_NOTE)), F.when(differ, F.lit(DIFFER_NOTE))))
+    asked = F.coalesce(F.col("needs_review"), F.lit(False)) if "needs_review" in cases.columns else F.lit(False)
+    return cases.withColumns({"evaluation_type": judged, "mismatch": differ, "needs_review": (F.size(notes) > 0) | asked, "review_notes": F.nullif(F.array_join(notes, "; "), F.lit(""))})
 
 
 #: Expected filters of a case; columns that a table of expectations lacks set none.
@@ -134,52 +144,132 @@ def filter_compliance(run: DataFrame, expected: DataFrame, items: DataFrame, ks:
     return per.select("config", "query_id", *[F.when(F.col("f"), F.round(F.col(f"n{k}") / k, 6)).alias(f"compliance_{k}") for k in ks])
 
 
-def metadata_accuracy(extracted: DataFrame, expected: DataFrame, fields: tuple[str, ...] = ("brand", "category", "price_max")) -> DataFrame:
-    """(field, checked, correct): extracted values where one is expected."""
-    both = expected.select("query_id", *[F.col(f).cast("string").alias("e_" + f) for f in fields]).join(extracted.select("query_id", *[F.col(f).cast("string").alias("x_" + f) for f in fields]), "query_id", "left")
-    sums = both.agg(*[x for f in fields for x in (F.count("e_" + f).alias("n_" + f), F.count_if(F.lower("e_" + f) == F.lower("x_" + f)).alias("c_" + f))])
+def metadata_checks() -> dict[str, tuple[Column, Column]]:
+    """By field: whether an expected filter (prefix ``_``) asks for it, and whether what was extracted (prefix ``x_``) is right: any spelling
+    of a brand, a category that holds the other, a gender that holds the expected one, prices less than 1 apart."""
+    want, got = (lambda f: F.col("_" + f)), (lambda f: F.col("x_" + f))
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    near = lambda f: F.abs(got(f).cast("double") - want(f)) < 1
+    either = (F.length(got("category")) > 0) & (F.contains(low(got("category")), low(want("category"))) | F.contains(low(want("category")), low(got("category"))))
+    excluded = F.exists(F.coalesce(got("exclude_brands"), F.array().cast("array<string>")), lambda b: F.coalesce(M.same_brand(b, want("exclude_brand")), F.lit(False)))
+    given = lambda f: want(f).isNotNull()
+    return {
+        "brand": (given("brand"), M.same_brand(got("brand"), want("brand"))),
+        "category": (given("category"), either),
+        "gender": (given("gender"), F.contains(low(got("gender")), low(want("gender")))),
+        "color": (given("color"), low(got("color")) == low(want("color"))),
+        "price_max": (given("price_max"), near("price_max")),
+        "price_min": (given("price_min"), near("price_min")),
+        "availability": (F.coalesce(want("available"), F.lit(False)), got("availability")),
+        "exclude_brand": (given("exclude_brand"), excluded),
+    }
+
+
+EXTRACTED = ["brand", "category", "gender", "color", "price_max", "price_min", "availability", "exclude_brands"]
+
+
+def _checked(extracted: DataFrame, expected: DataFrame) -> DataFrame:
+    """One row a query: (checked, correct) of each field as ``n_`` and ``c_`` columns of 0 and 1."""
+    both = expected_filters(expected).join(extracted.select("query_id", *[F.col(f).alias("x_" + f) for f in EXTRACTED]), "query_id", "left")
+    as_int = lambda c: F.coalesce(c, F.lit(False)).cast("long")
+    return both.select("query_id", *[x for f, (asked, right) in metadata_checks().items() for x in (as_int(asked).alias("n_" + f), as_int(asked & right).alias("c_" + f))])
+
+
+def metadata_hits(extracted: DataFrame, expected: DataFrame) -> DataFrame:
+    """(query_id, metadata_checked, metadata_hits): fields that are expected, and how many of them were extracted right."""
+    sums = lambda p: sum((F.col(p + f) for f in metadata_checks()), F.lit(0).cast("long"))
+    return _checked(extracted, expected).select("query_id", sums("n_").alias("metadata_checked"), sums("c_").alias("metadata_hits"))
+
+
+def metadata_accuracy(extracted: DataFrame, expected: DataFrame) -> DataFrame:
+    """(field, checked, correct) over all queries; extracted metadata as :func:`metadata_checks` takes it."""
+    fields = list(metadata_checks())
+    sums = _checked(extracted, expected).agg(*[F.coalesce(F.sum(p + f), F.lit(0)).alias(p + f) for f in fields for p in ("n_", "c_")])
     return sums.select(F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col("n_" + f).alias("checked"), F.col("c_" + f).alias("correct")) for f in fields])))
 
 
 def family_hit(run: DataFrame, qrels: DataFrame, items: DataFrame, ks: tuple[int, ...] = (3, 10)) -> DataFrame:
-    """Whether a product of a gold product's family (brand and type) is among the first k."""
-    family = items.select("doc_id", F.lower("brand").alias("b"), F.lower("type").alias("t"))
+    """Whether a product of a gold product's family (canonical brand and type) is among the first k; null if no gold product has one.
+    A product without brand or type has no family."""
+    family = items.select("doc_id", M.canonical_brand(F.coalesce("brand", F.lit(""))).alias("b"), F.trim(F.lower("type")).alias("t")).where("b <> '' and t <> ''")
     gold = qrels.where("grade > 0").join(family, "doc_id").select("query_id", "b", "t").distinct()
     first = run.join(family, "doc_id").join(gold, ["query_id", "b", "t"], "left_semi").groupBy("config", "query_id").agg(F.min("rank").alias("first"))
-    every = run.select("config", "query_id").distinct()
-    return every.join(first, ["config", "query_id"], "left").select("config", "query_id", *[F.coalesce(F.col("first") <= k, F.lit(False)).cast("double").alias(f"family_hit_{k}") for k in ks])
+    every = run.select("config", "query_id").distinct().join(gold.select("query_id", F.lit(True).alias("has")).distinct(), "query_id", "left")
+    hit = lambda k: F.when(F.col("has"), F.coalesce(F.col("first") <= k, F.lit(False)).cast("double"))
+    return every.join(first, ["config", "query_id"], "left").select("config", "query_id", *[hit(k).alias(f"family_hit_{k}") for k in ks])
+
+
+KS = (3, 5, 10)
 
 
-def score_cases(run: DataFrame, qrels: DataFrame, cases: DataFrame, expected: DataFrame, items: DataFrame) -> DataFrame:
-    """One wide row for each configuration and case, with verdict and failure reason."""
-    m = rank_metrics(run, qrels, (3, 10)).join(filter_compliance(run, expected, items, (10,)), ["config", "query_id"], "left").join(family_hit(run, qrels, items, (10,)), ["config", "query_id"], "left")
-    rows = cases.join(m, "query_id")
-    filtered = F.col("compliance_10").isNotNull()
+def score_cases(run: DataFrame, qrels: DataFrame, cases: DataFrame, expected: DataFrame, items: DataFrame, extracted: DataFrame | None = None) -> DataFrame:
+    """One wide row for each configuration and case, found or not, with verdict and failure reason.
+
+    Ranking is judged where there are relevant documents and the case isn't special, recall only where these are all that is relevant
+    (narrow, less than ``MANY``). ``extracted`` is the metadata read from the queries. Cases may tell by ``query`` what was asked and by
+    ``understanding_used`` and ``rerank_used`` whether a model read or ranked it.
+    """
+    found = rank_metrics(run, qrels, KS).drop("relevant")
+    relevant = qrels.where("grade > 0").groupBy("query_id").agg(F.count("*").alias("relevant"))
+    met = filter_compliance(run, expected, items, KS).withColumnsRenamed({f"compliance_{k}": f"_c{k}" for k in KS})
+    filtered = expected_filters(expected).select("query_id", has_filters().alias("filtered"))
+    hits = expected_filters(expected).select("query_id", F.lit(0).cast("long").alias("metadata_checked"), F.lit(0).cast("long").alias("metadata_hits")) if extracted is None else metadata_hits(extracted, expected)
+    every = cases.crossJoin(F.broadcast(run.select("config").distinct()))  # a few configurations
+    key = ["config", "query_id"]
+    rows = every.join(found, key, "left").join(met, key, "left").join(family_hit(run, qrels, items, KS), key, "left")
+    rows = rows.join(relevant, "query_id", "left").join(filtered, "query_id", "left").join(hits, "query_id", "left")
+    rows = rows.fillna(0, ["retrieved", "relevant", "metadata_checked", "metadata_hits"]).fillna(False, ["filtered"])
+    judged = (F.col("relevant") > 0) & (F.col("evaluation_type") != "special")
+    all_known = judged & (F.col("evaluation_type") == "narrow") & (F.col("relevant") < MANY)
+    nothing = F.lit(0.0)
+    rows = rows.withColumn("found", F.col("mrr") > 0)
+    rows = rows.withColumns(
+        {"mrr": F.when(judged, F.coalesce("mrr", nothing))}
+        | {f"hit_{k}": F.when(judged, F.coalesce(f"hit_{k}", nothing)) for k in KS}
+        | {f"recall_{k}": F.when(all_known, F.coalesce(f"recall_{k}", nothing)) for k in KS}
+        | {f"{c}_{k}": F.when(judged, F.col(f"{c}_{k}")) for c in ("precision", "judged_precision", "ndcg", "family_hit") for k in KS}
+        | {f"compliance_{k}": F.when(F.col("filtered"), F.coalesce(f"_c{k}", nothing)) for k in KS}
+        | {"metadata_correct": F.when(F.col("metadata_checked") > 0, F.col("metadata_checked") == F.col("metadata_hits"))}
+    ).drop(*[f"_c{k}" for k in KS])
     empty = F.col("expected_behavior").isin("NO_RESULTS", "OUT_OF_SCOPE")
     passed = (
-        F.when((F.col("evaluation_type") == "broad") & filtered, F.col("compliance_10") >= 1)
+        F.when((F.col("evaluation_type") == "broad") & F.col("filtered"), F.col("compliance_10") >= 1)
         .when((F.col("evaluation_type") == "narrow") & (F.col("relevant") > 0), F.col("hit_10") >= 1)
         .when(empty, F.col("retrieved") == 0)
         .when(F.col("expected_behavior") == "RETURN_RESULTS", F.col("retrieved") > 0)
         .otherwise(True)
     )
+    used = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in cases.columns else F.lit(False)
+    asked = F.col("query") if "query" in cases.columns else F.lit("")
     reason = (
         F.when(passed, F.lit(None))
         .when(F.col("query_type") == "NEGATIVE_CONSTRAINT", "NEGATIVE_CONSTRAINT")
+        .when((F.col("query_type") == "PERSIAN_VARIATION") & F.coalesce(asked.rlike(MISSPELLED), F.lit(False)), "TYPO_VARIATION")
         .when(F.col("query_type").isin("NO_RESULT", "OUT_OF_SCOPE"), F.when(F.col("retrieved") > 0, "NO_CATALOG_MATCH").otherwise("NO_RESULT"))
-        .when(filtered & (F.col("compliance_10") < 1), "FILTER_MISS")
+        .when(~F.coalesce("metadata_correct", F.lit(True)), F.when(used("understanding_used"), "QUERY_UNDERSTANDING_MISS").otherwise("METADATA_MISS"))
+        .when(F.col("filtered") & (F.col("compliance_10") < 1), "FILTER_MISS")
         .when(F.col("retrieved") == 0, "NO_CATALOG_MATCH")
-        .when((F.col("evaluation_type") == "narrow") | (F.col("relevant") > 0), "RANKING_MISS")
-        .when(filtered, "METADATA_MISS")
+        .when(F.coalesce("found", F.lit(False)), "RANKING_MISS")
+        .when((F.col("evaluation_type") == "narrow") | (F.col("relevant") > 0), F.when(used("rerank_used"), "LLM_RANKING_MISS").otherwise("RANKING_MISS"))
+        .when(F.col("filtered"), "METADATA_MISS")
         .otherwise("OTHER")
     )
-    return rows.withColumns({"passed": passed, "failure_reason": reason})
+    return rows.withColumns({"passed": passed, "failure_reason": reason}).drop("found", "filtered")
+
+
+MEANS = ["mrr", *[f"{c}_{k}" for c in ("hit", "judged_precision", "recall", "ndcg", "family_hit", "compliance") for k in KS]]
 
 
 def aggregate_cases(scored: DataFrame) -> DataFrame:
-    """Means by query type, by evaluation type and over all; null in a key column means all of it."""
-    grouped = scored.groupingSets([["config", "query_type"], ["config", "evaluation_type"], ["config"]], "config", "query_type", "evaluation_type")
-    return grouped.agg(F.count("*").alias("cases"), *[mean(c).alias(c) for c in ("hit_10", "mrr", "ndcg_10", "compliance_10")], mean(F.col("passed").cast("double")).alias("pass_rate"))
+    """(config, slice, name): means over all cases, by query type, by evaluation type and over the types in focus, among which are the
+    cases that failed by METADATA_MISS. ``metadata_accuracy`` is over fields and not over cases."""
+    part = lambda kind, name: F.struct(F.lit(kind).alias("slice"), name.alias("name"))
+    kind = F.coalesce("query_type", F.lit("unknown"))
+    parts = F.array(part("all", F.lit("")), part("query_type", kind), part("evaluation_type", F.col("evaluation_type")), F.when(kind.isin(*FOCUS), part("focus", kind)), F.when(F.col("failure_reason") == "METADATA_MISS", part("focus", F.lit("METADATA_MISS"))))
+    rows = scored.select("config", F.explode(F.array_compact(parts)).alias("_p"), "passed", "metadata_hits", "metadata_checked", *MEANS)
+    return rows.groupBy("config", F.col("_p.slice").alias("slice"), F.col("_p.name").alias("name")).agg(
+        F.count("*").alias("cases"), *[mean(c).alias(c) for c in MEANS], mean(F.col("passed").cast("double")).alias("pass_rate"), (F.sum("metadata_hits") / F.nullif(F.sum("metadata_checked"), F.lit(0))).alias("metadata_accuracy")
+    )
 
 
 def operational_metrics(scored: DataFrame, price_in: float = 0.30, price_out: float = 2.50) -> DataFrame:
@@ -208,17 +298,27 @@ def config_comparison(scored: DataFrame, baseline: str) -> DataFrame:
 
 
 def run_diff(base: DataFrame, other: DataFrame) -> DataFrame:
-    """Queries of two scored runs as improved, regressed or unchanged by hit, then reciprocal rank."""
-    b = base.select("query_id", F.col("hit_10").alias("h0"), F.col("mrr").alias("m0"))
-    o = other.select("query_id", F.col("hit_10").alias("h1"), F.col("mrr").alias("m1"))
-    change = F.when((F.col("h1") > F.col("h0")) | (F.col("h1") == F.col("h0")) & (F.col("m1") > F.col("m0")), "improved").when((F.col("h1") < F.col("h0")) | (F.col("m1") < F.col("m0")), "regressed").otherwise("unchanged")
-    return b.join(o, "query_id").select("query_id", "m0", "m1", change.alias("change"))
-
-
-def candidate_recall(run: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = (20, 50, 100, 500)) -> DataFrame:
-    """By configuration: share of judged queries with a gold document among the first k."""
-    first = run.join(qrels.where("grade > 0"), ["query_id", "doc_id"]).groupBy("config", "query_id").agg(F.min("rank").alias("first"))
-    every = run.select("config").distinct().crossJoin(qrels.where("grade > 0").select("query_id").distinct())
+    """Cases in focus of two scored runs as improved, regressed or unchanged. In focus are the types of ``FOCUS`` in either run and cases
+    that failed by METADATA_MISS in the first. Improved: a hit more, or the same hit at a better rank, and nothing worse. Regressed: a hit
+    less, or filters met less often without a hit more. Missing values count as 0, a missing compliance as no change."""
+    columns = ["query_type", "failure_reason", "hit_10", "mrr", "compliance_10"]
+    side = lambda df, n: df.select("query_id", *[F.col(c).alias(c + n) for c in columns])
+    rows = side(base, "_0").join(side(other, "_1"), "query_id")
+    rows = rows.where(F.col("query_type_0").isin(*FOCUS) | (F.coalesce("failure_reason_0", F.lit("")) == "METADATA_MISS") | F.col("query_type_1").isin(*FOCUS))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    more, same = zero("hit_10_1") > zero("hit_10_0"), zero("hit_10_1") == zero("hit_10_0")
+    better = more | same & (zero("mrr_1") > zero("mrr_0"))
+    worse = ~more & ~same | F.coalesce(F.col("compliance_10_1") + 1e-9 < F.col("compliance_10_0"), F.lit(False)) & ~more
+    change = F.when(better & ~worse, "improved").when(worse, "regressed").otherwise("unchanged")
+    return rows.select("query_id", F.col("query_type_0").alias("query_type"), F.col("mrr_0").alias("m0"), F.col("mrr_1").alias("m1"), F.col("compliance_10_0").alias("c0"), F.col("compliance_10_1").alias("c1"), change.alias("change"))
+
+
+def candidate_recall(run: DataFrame, qrels: DataFrame, narrow: DataFrame | None = None, ks: tuple[int, ...] = (20, 50, 100, 500)) -> DataFrame:
+    """By configuration: share of judged queries, of ``narrow`` (query_id) only if given, with a gold document among the first k."""
+    gold = qrels.where("grade > 0")
+    gold = gold if narrow is None else gold.join(narrow.select("query_id").distinct(), "query_id", "left_semi")
+    first = run.join(gold, ["query_id", "doc_id"]).groupBy("config", "query_id").agg(F.min("rank").alias("first"))
+    every = run.select("config").distinct().crossJoin(gold.select("query_id").distinct())
     rows = every.join(first, ["config", "query_id"], "left")
     return rows.groupBy("config").agg(F.count("*").alias("queries"), *[mean(F.coalesce(F.col("first") <= k, F.lit(False)).cast("double")).alias(f"recall_{k}") for k in ks])
 
@@ -248,7 +348,7 @@ def filter_exclusions(pairs: DataFrame) -> DataFrame:
 
 def narrow_facts(cases: DataFrame, gold: DataFrame, catalog: DataFrame, filtered: DataFrame) -> DataFrame:
     """What :func:`classify_narrow` asks of each case: gold products in the catalog, meeting the expected filters, found by the
-    query's conditions, and failing its extracted filters, with the best rank of a gold product.
+    query's conditions, failing its extracted filters, and ranked, with the best rank of a gold product.
 
     ``cases`` hold query_id, the extracted metadata (prefix ``q_``) and the expected filters (prefix ``_``); ``gold`` is (query_id,
     product_code); ``filtered`` is (query_id, product_code, rank) of what passes a query's conditions, rank null beyond the list.
@@ -263,8 +363,10 @@ def narrow_facts(cases: DataFrame, gold: DataFrame, catalog: DataFrame, filtered
         F.count_if(F.coalesce("passes", F.lit(False))).alias("gold_filtered"),
         F.count_if(F.col("known") & meets & (F.size("exclusions") > 0)).alias("gold_excluded"),
         F.min("rank").alias("best_rank"),
+        F.count("*").alias("gold"),
+        F.count("rank").alias("gold_ranked"),
     )
-    zeros = {c: F.coalesce(c, F.lit(0)) for c in ("gold_in_catalog", "gold_meets_filters", "gold_filtered", "gold_excluded")}
+    zeros = {c: F.coalesce(c, F.lit(0)) for c in ("gold_in_catalog", "gold_meets_filters", "gold_filtered", "gold_excluded", "gold", "gold_ranked")}
     return cases.select("query_id").join(sums, "query_id", "left").withColumns(zeros)
 
 
@@ -281,10 +383,33 @@ def classify_narrow(facts: DataFrame) -> DataFrame:
 
 
 def diagnostic_rollup(diag: DataFrame) -> DataFrame:
-    """By query type: cases, mean best rank and the most frequent failure; ties go to the first in order of name."""
-    counts = diag.where("failure_class is not null").groupBy("query_type", "failure_class").agg(F.count("*").alias("n"))
-    top = counts.groupBy("query_type").agg(F.min(F.struct((-F.col("n")).alias("n"), "failure_class")).alias("t")).select("query_type", F.col("t.failure_class").alias("top_failure"), (-F.col("t.n")).alias("top_n"))
-    return diag.groupBy("query_type").agg(F.count("*").alias("cases"), mean("best_rank").alias("mean_best_rank")).join(top, "query_type", "left")
+    """Over all cases with gold products (query_type null) and by query type: how often some gold product passed the conditions, came among
+    the first 20 to 500 and 3 to 10, the mean reciprocal rank and NDCG of the first ten that are judged, failed cases and those of them
+    whose gold had passed, and failures by class with the most frequent one (ties: the first by name). A failed case without a class is
+    UNCLASSIFIED_FAIL over all, and no class by type."""
+    hit = lambda k: F.coalesce(F.col("best_rank") <= k, F.lit(False)).cast("double")
+    gain = lambda c: F.aggregate(F.sequence(F.lit(1), F.least(c, F.lit(10)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1.0))
+    # Gold documents have one grade, so that gains cancel out.
+    ndcg = F.when(F.col("gold_ranked") > 0, gain(F.col("gold_ranked")) / gain(F.col("gold")))
+    failed = F.coalesce(F.col("best_rank") > 10, F.lit(True))
+    rows = diag.where("gold > 0").withColumns({"failed": failed, "passed_conditions": F.col("gold_filtered") > 0, "ndcg_10": F.when(F.col("gold_ranked") > 0, ndcg)})
+    rows = rows.select("*", F.explode(F.array(F.lit(None).cast("string"), F.coalesce("query_type", F.lit("unknown")))).alias("by"))
+    named = F.when(F.col("failure_class").isNotNull(), F.col("failure_class")).when(F.col("by").isNull() & F.col("failed"), "UNCLASSIFIED_FAIL")
+    counts = rows.withColumn("class", named).where("class is not null").groupBy("by", "class").agg(F.count("*").alias("n"))
+    top = counts.groupBy(F.col("by").alias("_by")).agg(F.min(F.struct((-F.col("n")).alias("n"), "class")).alias("t"), F.array_sort(F.collect_list(F.struct("class", "n"))).alias("classes"))
+    sums = rows.groupBy("by").agg(
+        F.count("*").alias("cases"),
+        mean(F.col("passed_conditions").cast("double")).alias("gold_passed"),
+        *[mean(hit(k)).alias(f"candidate_recall_{k}") for k in (20, 50, 100, 500)],
+        *[mean(hit(k)).alias(f"hit_{k}") for k in KS],
+        mean(F.coalesce(1 / F.col("best_rank"), F.lit(0.0))).alias("mrr"),
+        mean("ndcg_10").alias("ndcg_10"),
+        F.count_if("failed").alias("failed"),
+        F.count_if(F.col("failed") & F.col("passed_conditions")).alias("failed_gold_passed"),
+    )
+    listed = F.array_join(F.transform("classes", lambda c: F.concat(c["class"], F.lit("="), c["n"])), ",")
+    out = sums.join(top, F.col("by").eqNullSafe(F.col("_by")), "left").withColumns({"top_failure": F.col("t.class"), "top_n": -F.col("t.n"), "classes": listed, "failed_gold_share": F.round(F.col("failed_gold_passed") / F.nullif(F.col("failed"), F.lit(0)), 6)})
+    return out.withColumnRenamed("by", "query_type").drop("t", "_by")
 
 
 def rank_shift(base: DataFrame, other: DataFrame) -> DataFrame:

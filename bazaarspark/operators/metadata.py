@@ -45,11 +45,15 @@ def brand_keys(brand: Column) -> Column:
     return F.try_element_at(F.create_map(*[x for k, ws in keys.items() for x in (F.lit(k), F.array(*map(F.lit, sorted(ws))))]), brand)
 
 
+def canonical_brand(c: Column) -> Column:
+    """The canonical name of a spelling in lower case; other names as they are, trimmed and in lower case."""
+    names = F.create_map(*[F.lit(x) for alias, canonical in D.brand_aliases() for x in (alias, canonical)])
+    return F.trim(F.lower(F.coalesce(F.try_element_at(names, F.lower(X.normalize_text(c))), c)))
+
+
 def same_brand(a: Column, b: Column) -> Column:
     """Whether two names are of one brand: equal, or spellings of one canonical name."""
-    names = F.create_map(*[F.lit(x) for alias, canonical in D.brand_aliases() for x in (alias, canonical)])
-    known = lambda c: F.lower(F.coalesce(F.try_element_at(names, F.lower(X.normalize_text(c))), c))
-    return F.when((F.length(a) > 0) & (F.length(b) > 0), (F.lower(F.trim(a)) == F.lower(F.trim(b))) | (known(a) == known(b))).otherwise(False)
+    return F.when((F.length(a) > 0) & (F.length(b) > 0), (F.lower(F.trim(a)) == F.lower(F.trim(b))) | (canonical_brand(a) == canonical_brand(b))).otherwise(False)
 
 
 def excluded_brands(c: Column | str) -> Column:

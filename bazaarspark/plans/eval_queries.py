@@ -31,28 +31,43 @@ def _expected(s, d):
     kind, n = F.split_part("query_id", F.lit("|"), F.lit(1)), F.length("query_id")
     some = lambda cond, v: F.when(cond, F.lit(v))
     return q.select(
-        "query_id", F.split_part("query_id", F.lit("|"), F.lit(2)).alias("brand"), F.when(n % 3 == 0, F.lower(kind)).alias("category"), some(n % 11 == 0, "a").alias("color"), some(n % 4 == 1, "MEN").alias("gender"), some(F.length(kind) % 2 == 0, 1500.0).alias("price_max"),
+        "query_id", F.when(n % 13 == 0, "Xiaomi").otherwise(F.split_part("query_id", F.lit("|"), F.lit(2))).alias("brand"), F.when(n % 3 == 0, F.lower(kind)).alias("category"), some(n % 11 == 0, "a").alias("color"), some(n % 4 == 1, "MEN").alias("gender"), some(F.length(kind) % 2 == 0, 1500.0).alias("price_max"),
         some(F.length(kind) % 5 == 0, 950.0).alias("price_min"), (n % 7 == 0).alias("available"), some(n % 5 == 0, "Brand#13").alias("exclude_brand"), some(n % 6 == 0, "E").alias("product_name_contains"),
     )
 
 
+def _digit():
+    """The last digit of a query's brand."""
+    return F.right("query_id", F.lit(1)).cast("int")
+
+
 def _extracted(s, d):
-    e = _expected(s, d)
-    return e.withColumn("brand", F.when(F.length("query_id") % 3 == 0, "other").otherwise(F.lower("brand"))).withColumn("category", F.lit("x"))
+    """What was read from each query, right in some fields and wrong in others."""
+    n, digit = F.length("query_id"), _digit()
+    kind, even = F.split_part("query_id", F.lit("|"), F.lit(1)), _digit() % 2 == 0
+    none = F.array().cast("array<string>")
+    return _expected(s, d).select(
+        "query_id", F.when(F.col("brand") == "Xiaomi", "شیائومی").when(n % 3 == 0, "other").otherwise(F.lower("brand")).alias("brand"),
+        F.when(n % 6 == 0, F.concat(kind, F.lit(" more"))).when(even, F.substring(kind, 1, 3)).otherwise("").alias("category"), F.when(n % 2 == 0, "A").otherwise("b").alias("color"), F.when(even, "Women").alias("gender"),
+        F.when(even, 1500.9).otherwise(1501.0).alias("price_max"), F.when(digit % 3 > 0, 949.5).alias("price_min"), F.when(even, True).alias("availability"), F.when(even, none).otherwise(F.array(F.lit("x"), F.lit("brand#13"))).alias("exclude_brands"),
+    )
+
+
+TYPES = ["BRAND", "DIRECT_PRODUCT", "NO_RESULT", "BRAND_CATEGORY", "PERSIAN_VARIATION", "NEGATIVE_CONSTRAINT", "PARTIAL_PRODUCT_NAME", "OTHER"]
 
 
 def _cases(s, d):
     n = F.length("query_id")
-    kind = F.when(n % 4 == 0, "BRAND").when(n % 4 == 1, "DIRECT_PRODUCT").when(n % 4 == 2, "NO_RESULT").otherwise("ATTRIBUTE")
+    kind = F.get(F.array(*map(F.lit, TYPES)), (n + _digit()) % 8)
     gold = _qrels(s, d).where("grade = 3").groupBy("query_id").agg(F.array_sort(F.collect_set("doc_id")).alias("gold"))
     graded = _qrels(s, d).groupBy("query_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("doc_id", "grade")))).alias("grades"))
-    q = _run(s, d).select("query_id").distinct().withColumns({"query_type": kind, "expected_behavior": F.when(n % 4 == 2, "NO_RESULTS").otherwise("RETURN_RESULTS")})
+    q = _run(s, d).select("query_id").distinct().withColumns({"query_type": kind, "expected_behavior": F.when(kind == "NO_RESULT", "NO_RESULTS").otherwise("RETURN_RESULTS"), "query": F.when(n % 2 == 0, F.concat(F.lit("رژ تریا "), "query_id")).otherwise(F.col("query_id")), "understanding_used": n % 3 == 0, "rerank_used": n % 2 == 0})
     q = q.join(gold, "query_id", "left").join(graded, "query_id", "left").withColumn("gold", F.coalesce("gold", F.array().cast("array<long>")))
     return I.annotate_cases(q)
 
 
 def _scored(s, d):
-    return I.score_cases(_run(s, d), _qrels(s, d), _cases(s, d).drop("gold", "grades"), _expected(s, d), _items(s, d))
+    return I.score_cases(_run(s, d), _qrels(s, d), _cases(s, d).drop("gold", "grades"), _expected(s, d), _items(s, d), _extracted(s, d))
 
 
 def _ops(s, d):
@@ -115,7 +130,7 @@ QUERIES = {
     "rank_metrics": lambda s, d: I.rank_metrics(_run(s, d), _qrels(s, d)),
     "retrieval_metrics": lambda s, d: I.retrieval_metrics(_run(s, d), _qrels(s, d)),
     "relevance_grades": lambda s, d: I.relevance_grades(_cases(s, d)),
-    "annotate_cases": lambda s, d: _cases(s, d).select("query_id", "query_type", "evaluation_type", "mismatch"),
+    "annotate_cases": lambda s, d: _cases(s, d).select("query_id", "query_type", "evaluation_type", "mismatch", "needs_review", "review_notes"),
     "filter_compliance": lambda s, d: I.filter_compliance(_run(s, d), _expected(s, d), _items(s, d)),
     "metadata_accuracy": lambda s, d: I.metadata_accuracy(_extracted(s, d), _expected(s, d)),
     "family_hit": lambda s, d: I.family_hit(_run(s, d), _qrels(s, d), _items(s, d)),
@@ -126,7 +141,7 @@ QUERIES = {
     "filter_violations": lambda s, d: I.filter_violations(_scored(s, d)),
     "config_comparison": lambda s, d: I.config_comparison(_scored(s, d), "a"),
     "run_diff": lambda s, d: I.run_diff(_scored(s, d).where("config = 'a'"), _scored(s, d).where("config = 'b'")),
-    "candidate_recall": lambda s, d: I.candidate_recall(_run(s, d), _qrels(s, d)),
+    "candidate_recall": lambda s, d: I.candidate_recall(view(s, d, "deep_runs"), view(s, d, "deep_qrels"), view(s, d, "deep_runs").select("query_id").where("length(query_id) % 2 = 0")),
     "rank_shift": lambda s, d: I.rank_shift(_best(s, d, "a"), _best(s, d, "b")),
     "text_scores": lambda s, d: T.text_scores(_pairs(s, d)),
     "summarize_scores": lambda s, d: T.summarize_scores(T.text_scores(T.valid_predictions(_pairs(s, d))), ["exact_match", "rouge_l"]),
@@ -167,28 +182,50 @@ def _per(ks, where="true"):
 m AS (SELECT config, query_id, retrieved, coalesce(relevant, 0) AS relevant, coalesce(round(1 / first, 6), 0.0::DOUBLE) AS mrr, {out} FROM p LEFT JOIN rel USING (query_id) LEFT JOIN b USING (query_id))"""
 
 
-EXPECTED = """e AS (SELECT query_id, split_part(query_id, '|', 2) AS brand, CASE WHEN n % 3 = 0 THEN lower(kind) END AS category, CASE WHEN n % 11 = 0 THEN 'a' END AS color, CASE WHEN n % 4 = 1 THEN 'MEN' END AS gender, CASE WHEN length(kind) % 2 = 0 THEN 1500.0 END AS price_max,
+EXPECTED = """e AS (SELECT query_id, CASE WHEN n % 13 = 0 THEN 'Xiaomi' ELSE split_part(query_id, '|', 2) END AS brand, CASE WHEN n % 3 = 0 THEN lower(kind) END AS category, CASE WHEN n % 11 = 0 THEN 'a' END AS color, CASE WHEN n % 4 = 1 THEN 'MEN' END AS gender, CASE WHEN length(kind) % 2 = 0 THEN 1500.0 END AS price_max,
  CASE WHEN length(kind) % 5 = 0 THEN 950.0 END AS price_min, n % 7 = 0 AS available, CASE WHEN n % 5 = 0 THEN 'Brand#13' END AS exclude_brand, CASE WHEN n % 6 = 0 THEN 'E' END AS name_part FROM (SELECT DISTINCT query_id, split_part(query_id, '|', 1) AS kind, length(query_id) AS n FROM runs)),
 it AS (SELECT CAST(product_code AS BIGINT) AS doc_id, product_name, brand, type, category_level1, category_level2, color, gender, last_status, TRY_CAST(nullif(regexp_replace(coalesce(sum_of_price, ''), '[^0-9.]+', '', 'g'), '') AS DOUBLE) AS price FROM products)"""
-CASES = """c AS (SELECT query_id, CASE length(query_id) % 4 WHEN 0 THEN 'BRAND' WHEN 1 THEN 'DIRECT_PRODUCT' WHEN 2 THEN 'NO_RESULT' ELSE 'ATTRIBUTE' END AS query_type, CASE WHEN length(query_id) % 4 = 2 THEN 'NO_RESULTS' ELSE 'RETURN_RESULTS' END AS expected_behavior,
- coalesce(gold, 0) AS gold, coalesce(graded, 0) AS graded FROM (SELECT DISTINCT query_id FROM runs) LEFT JOIN (SELECT query_id, count(*) FILTER (grade = 3) AS gold, count(*) FILTER (grade > 0) AS graded FROM qrels GROUP BY 1) USING (query_id)),
-ann AS (SELECT query_id, query_type, expected_behavior, CASE WHEN query_type = 'NO_RESULT' THEN 'special' WHEN query_type = 'BRAND' OR gold >= 20 THEN 'broad' ELSE 'narrow' END AS evaluation_type, graded > 0 AND gold <> graded AS mismatch FROM c)"""
+CASES = f"""c AS (SELECT query_id, {TYPES}[(n + digit) % 8 + 1] AS query_type, CASE WHEN n % 2 = 0 THEN 'رژ تریا ' || query_id ELSE query_id END AS query, n % 3 = 0 AS understanding_used, n % 2 = 0 AS rerank_used, coalesce(gold, 0) AS gold, coalesce(named, 0) AS named
+ FROM (SELECT DISTINCT query_id, length(query_id) AS n, CAST(right(query_id, 1) AS INT) AS digit FROM runs) LEFT JOIN (SELECT query_id, count(*) FILTER (grade = 3) AS gold, count(*) AS named FROM qrels GROUP BY 1) USING (query_id)),
+an AS (SELECT *, CASE WHEN query_type = 'NO_RESULT' THEN 'NO_RESULTS' ELSE 'RETURN_RESULTS' END AS expected_behavior, CASE WHEN query_type IN ('NO_RESULT', 'NEGATIVE_CONSTRAINT') THEN 'special' WHEN query_type = 'BRAND' OR gold >= 20 THEN 'broad' WHEN query_type <> 'OTHER' THEN 'narrow' WHEN gold > 0 THEN 'broad' ELSE 'special' END AS evaluation_type,
+ gold > 0 AND gold < named AS mismatch, query_type IN ('DIRECT_PRODUCT', 'BRAND_CATEGORY', 'PERSIAN_VARIATION', 'PARTIAL_PRODUCT_NAME') AND gold >= 20 AS large FROM c),
+ann AS (SELECT * EXCLUDE (gold, named, large), mismatch OR large AS needs_review, nullif(concat_ws('; ', CASE WHEN large THEN '{I.LARGE_NOTE}' END, CASE WHEN mismatch THEN '{I.DIFFER_NOTE}' END), '') AS review_notes FROM an)"""
+# Each field by its rule: a brand by any spelling, a category that holds the other, a gender that holds the expected one, prices less than 1 apart.
+META = """xm AS (SELECT query_id, CASE WHEN brand = 'Xiaomi' THEN 'شیائومی' WHEN n % 3 = 0 THEN 'other' ELSE lower(brand) END AS brand, CASE WHEN n % 6 = 0 THEN kind || ' more' WHEN digit % 2 = 0 THEN substr(kind, 1, 3) ELSE '' END AS category, CASE WHEN n % 2 = 0 THEN 'A' ELSE 'b' END AS color, CASE WHEN digit % 2 = 0 THEN 'Women' END AS gender,
+ CASE WHEN digit % 2 = 0 THEN 1500.9 ELSE 1501.0 END AS price_max, CASE WHEN digit % 3 > 0 THEN 949.5 END AS price_min, CASE WHEN digit % 2 = 0 THEN true END AS available, CASE WHEN digit % 2 = 0 THEN [] ELSE ['x', 'brand#13'] END AS excluded FROM (SELECT *, split_part(query_id, '|', 1) AS kind, length(query_id) AS n, CAST(right(query_id, 1) AS INT) AS digit FROM e)),
+mc AS (SELECT e.query_id, (e.brand IS NOT NULL)::INT AS n_brand, (lower(x.brand) = lower(e.brand) OR x.brand = 'شیائومی' AND e.brand = 'Xiaomi')::INT AS c_brand, (e.category IS NOT NULL)::INT AS n_category, (x.category <> '' AND (contains(lower(x.category), lower(e.category)) OR contains(lower(e.category), lower(x.category))))::INT AS c_category,
+ (e.gender IS NOT NULL)::INT AS n_gender, contains(lower(x.gender), lower(e.gender))::INT AS c_gender, (e.color IS NOT NULL)::INT AS n_color, (lower(x.color) = lower(e.color))::INT AS c_color, (e.price_max IS NOT NULL)::INT AS n_price_max, (abs(x.price_max - e.price_max) < 1)::INT AS c_price_max, (e.price_min IS NOT NULL)::INT AS n_price_min, (abs(x.price_min - e.price_min) < 1)::INT AS c_price_min,
+ e.available::INT AS n_availability, (e.available AND x.available)::INT AS c_availability, (e.exclude_brand IS NOT NULL)::INT AS n_exclude_brand, list_contains(x.excluded, lower(e.exclude_brand))::INT AS c_exclude_brand FROM e JOIN xm x USING (query_id))"""
+META_FIELDS = ["brand", "category", "gender", "color", "price_max", "price_min", "availability", "exclude_brand"]
+HITS = "mh AS (SELECT query_id, CAST(" + " + ".join(f"n_{f}" for f in META_FIELDS) + " AS BIGINT) AS metadata_checked, CAST(" + " + ".join(f"n_{f} * coalesce(c_{f}, 0)" for f in META_FIELDS) + " AS BIGINT) AS metadata_hits FROM mc)"
 COMPLY = f"""{EXPECTED}, cm AS (SELECT config, query_id, {{c}} FROM runs JOIN it USING (doc_id) JOIN e USING (query_id) GROUP BY 1, 2)"""
 MEETS = """lower(it.brand) = lower(e.brand) AND (e.category IS NULL OR contains(lower(concat_ws('|', it.type, it.category_level1, it.category_level2, it.product_name)), lower(e.category))) AND (e.color IS NULL OR coalesce(contains(lower(it.color), lower(e.color)), false))
  AND (e.gender IS NULL OR coalesce(contains(lower(it.gender), lower(e.gender)), false)) AND (e.price_max IS NULL OR coalesce(it.price <= e.price_max, false)) AND (e.price_min IS NULL OR coalesce(it.price >= e.price_min, false)) AND (NOT e.available OR it.last_status = 'Enable')
  AND (e.exclude_brand IS NULL OR lower(it.brand) <> lower(e.exclude_brand)) AND (e.name_part IS NULL OR contains(lower(it.product_name), lower(e.name_part)))"""
-FAMILY = "fam AS (SELECT config, query_id, {c} FROM (SELECT DISTINCT config, query_id FROM runs) LEFT JOIN (SELECT config, query_id, min(rank) AS first FROM runs JOIN part p ON p.p_partkey = doc_id WHERE EXISTS (SELECT 1 FROM qrels g JOIN part q ON q.p_partkey = g.doc_id WHERE g.query_id = runs.query_id AND g.grade > 0 AND q.p_brand = p.p_brand AND q.p_type = p.p_type) GROUP BY 1, 2) USING (config, query_id))"
+FAMILY = "gf AS (SELECT DISTINCT query_id, p_brand, p_type FROM qrels JOIN part ON p_partkey = doc_id WHERE grade > 0 AND trim(p_brand) <> '' AND trim(p_type) <> ''), fam AS (SELECT config, query_id, {c} FROM (SELECT DISTINCT config, query_id FROM runs) LEFT JOIN (SELECT config, query_id, min(rank) AS first FROM runs JOIN part p ON p.p_partkey = doc_id WHERE EXISTS (SELECT 1 FROM gf WHERE gf.query_id = runs.query_id AND gf.p_brand = p.p_brand AND gf.p_type = p.p_type) GROUP BY 1, 2) USING (config, query_id))"
+FAMILY_AT = "CASE WHEN query_id IN (SELECT query_id FROM gf) THEN CAST(coalesce(first <= {k}, false) AS INT)::DOUBLE END AS family_hit_{k}"
+JUDGED_ONLY = ["mrr", *[f"{c}_{k}" for c in ("hit", "precision", "judged_precision", "ndcg", "family_hit") for k in I.KS]]
 SCORED = (
-    _per((3, 10))
+    _per(I.KS)
     + ", "
-    + COMPLY.replace("{c}", f"round(count(*) FILTER ({MEETS} AND rank <= 10) / 10, 6) AS compliance_10")
+    + COMPLY.replace("{c}", ", ".join(f"round(count(*) FILTER ({MEETS} AND rank <= {k}) / {k}, 6) AS compliance_{k}" for k in I.KS))
     + ", "
-    + FAMILY.replace("{c}", "CAST(coalesce(first <= 10, false) AS INT)::DOUBLE AS family_hit_10")
-    + f""", {CASES}, v AS (SELECT ann.*, m.* EXCLUDE (query_id), compliance_10, family_hit_10,
- CASE WHEN evaluation_type = 'broad' THEN compliance_10 >= 1 WHEN evaluation_type = 'narrow' AND relevant > 0 THEN hit_10 >= 1 WHEN expected_behavior = 'NO_RESULTS' THEN retrieved = 0 ELSE retrieved > 0 END AS passed
- FROM ann JOIN m USING (query_id) JOIN cm USING (config, query_id) JOIN fam USING (config, query_id)),
-sc AS (SELECT *, CASE WHEN passed THEN NULL WHEN query_type = 'NO_RESULT' THEN 'NO_CATALOG_MATCH' WHEN compliance_10 < 1 THEN 'FILTER_MISS' WHEN evaluation_type = 'narrow' OR relevant > 0 THEN 'RANKING_MISS' ELSE 'METADATA_MISS' END AS failure_reason FROM v)"""
+    + FAMILY.replace("{c}", ", ".join(FAMILY_AT.replace("{k}", str(k)) for k in I.KS))
+    + f""", {CASES}, {META}, {HITS},
+v AS (SELECT ann.*, config, retrieved, relevant, {', '.join(f"CASE WHEN relevant > 0 AND evaluation_type <> 'special' THEN {c} END AS {c}" for c in JUDGED_ONLY)}, {', '.join(f"CASE WHEN evaluation_type = 'narrow' AND relevant > 0 AND relevant < 20 THEN recall_{k} END AS recall_{k}" for k in I.KS)},
+ {', '.join(f'compliance_{k}' for k in I.KS)}, metadata_checked, metadata_hits, CASE WHEN metadata_checked > 0 THEN metadata_checked = metadata_hits END AS metadata_correct, hit_10 AS hit_ten, mrr > 0 AS found
+ FROM ann JOIN m USING (query_id) JOIN cm USING (config, query_id) JOIN fam USING (config, query_id) JOIN mh USING (query_id)),
+w AS (SELECT * EXCLUDE (hit_ten), CASE WHEN evaluation_type = 'broad' THEN compliance_10 >= 1 WHEN evaluation_type = 'narrow' AND relevant > 0 THEN hit_ten >= 1 WHEN expected_behavior = 'NO_RESULTS' THEN retrieved = 0 ELSE retrieved > 0 END AS passed FROM v),
+sc AS (SELECT * EXCLUDE (found), CASE WHEN passed THEN NULL WHEN query_type = 'NEGATIVE_CONSTRAINT' THEN 'NEGATIVE_CONSTRAINT' WHEN query_type = 'PERSIAN_VARIATION' AND contains(query, 'تریا') THEN 'TYPO_VARIATION' WHEN query_type = 'NO_RESULT' THEN 'NO_CATALOG_MATCH'
+ WHEN NOT metadata_correct THEN CASE WHEN understanding_used THEN 'QUERY_UNDERSTANDING_MISS' ELSE 'METADATA_MISS' END WHEN compliance_10 < 1 THEN 'FILTER_MISS' WHEN found THEN 'RANKING_MISS' WHEN evaluation_type = 'narrow' OR relevant > 0 THEN CASE WHEN rerank_used THEN 'LLM_RANKING_MISS' ELSE 'RANKING_MISS' END ELSE 'METADATA_MISS' END AS failure_reason FROM w)"""
 )
+SLICES = "sl AS (SELECT 'all' AS slice, '' AS name, * FROM sc UNION ALL SELECT 'query_type', query_type, * FROM sc UNION ALL SELECT 'evaluation_type', evaluation_type, * FROM sc UNION ALL SELECT 'focus', query_type, * FROM sc WHERE query_type IN ('BRAND_CATEGORY', 'PERSIAN_VARIATION', 'COLLOQUIAL', 'PARTIAL_PRODUCT_NAME') UNION ALL SELECT 'focus', 'METADATA_MISS', * FROM sc WHERE failure_reason = 'METADATA_MISS')"
+
+
+def _mean(c, name):
+    return f"CAST(sum(CAST({c} AS DECIMAL(18, 6))) AS DOUBLE) / count({c}) AS {name}"
+
+
 BEST = "best AS (SELECT config, query_id, min(rank) AS best_rank FROM runs JOIN qrels USING (query_id, doc_id) WHERE grade > 0 GROUP BY 1, 2)"
 
 def _kinds(cond):
@@ -242,18 +279,24 @@ ORACLES = {
     "rank_metrics": with_views(f"WITH {_per((3, 5, 10))} SELECT * FROM m", *RUNS),
     "retrieval_metrics": with_views(f"WITH {_per((3,), 'rank <= 3')} SELECT config, count(*) AS queries, CAST(sum(CAST(hit_3 AS DECIMAL(18, 6))) AS DOUBLE) / count(hit_3) AS hit, CAST(sum(CAST(mrr AS DECIMAL(18, 6))) AS DOUBLE) / count(mrr) AS mrr, CAST(sum(CAST(precision_3 AS DECIMAL(18, 6))) AS DOUBLE) / count(precision_3) AS precision, CAST(sum(CAST(recall_3 AS DECIMAL(18, 6))) AS DOUBLE) / count(recall_3) AS recall FROM m GROUP BY config", *RUNS),
     "relevance_grades": with_views("SELECT query_id, doc_id, grade FROM qrels WHERE grade > 0", "qrels"),
-    "annotate_cases": with_views(f"WITH {CASES} SELECT query_id, query_type, evaluation_type, mismatch FROM ann", *RUNS),
+    "annotate_cases": with_views(f"WITH {CASES} SELECT query_id, query_type, evaluation_type, mismatch, needs_review, review_notes FROM ann", *RUNS),
     "filter_compliance": with_views("WITH " + COMPLY.replace("{c}", ", ".join(f"round(count(*) FILTER ({MEETS} AND rank <= {k}) / {k}, 6) AS compliance_{k}" for k in (3, 5, 10))) + " SELECT * FROM cm", *RUNS),
-    "metadata_accuracy": with_views(f"WITH {EXPECTED} SELECT 'brand' AS field, count(*) AS checked, count(*) FILTER (length(query_id) % 3 <> 0) AS correct FROM e UNION ALL SELECT 'category', count(category), 0 FROM e UNION ALL SELECT 'price_max', count(price_max), count(price_max) FROM e", "runs", "products"),
-    "family_hit": with_views("WITH " + FAMILY.replace("{c}", "CAST(coalesce(first <= 3, false) AS INT)::DOUBLE AS family_hit_3, CAST(coalesce(first <= 10, false) AS INT)::DOUBLE AS family_hit_10") + " SELECT * FROM fam", *RUNS),
+    "metadata_accuracy": with_views(f"WITH {EXPECTED}, {META} " + " UNION ALL ".join(f"SELECT '{f}' AS field, CAST(coalesce(sum(n_{f}), 0) AS BIGINT) AS checked, CAST(coalesce(sum(n_{f} * coalesce(c_{f}, 0)), 0) AS BIGINT) AS correct FROM mc" for f in META_FIELDS), "runs", "products"),
+    "family_hit": with_views("WITH " + FAMILY.replace("{c}", ", ".join(FAMILY_AT.replace("{k}", str(k)) for k in (3, 10))) + " SELECT * FROM fam", *RUNS),
     "score_cases": with_views(f"WITH {SCORED} SELECT * FROM sc", *RUNS),
-    "aggregate_cases": with_views(f"WITH {SCORED} SELECT config, query_type, evaluation_type, count(*) AS cases, CAST(sum(CAST(hit_10 AS DECIMAL(18, 6))) AS DOUBLE) / count(hit_10) AS hit_10, CAST(sum(CAST(mrr AS DECIMAL(18, 6))) AS DOUBLE) / count(mrr) AS mrr, CAST(sum(CAST(ndcg_10 AS DECIMAL(18, 6))) AS DOUBLE) / count(ndcg_10) AS ndcg_10, CAST(sum(CAST(compliance_10 AS DECIMAL(18, 6))) AS DOUBLE) / count(compliance_10) AS compliance_10, CAST(sum(CAST(passed::INT AS DECIMAL(18, 6))) AS DOUBLE) / count(passed::INT) AS pass_rate FROM sc GROUP BY GROUPING SETS ((config, query_type), (config, evaluation_type), (config))", *RUNS),
+    "aggregate_cases": with_views(f"WITH {SCORED}, {SLICES} SELECT config, slice, name, count(*) AS cases, {', '.join(_mean(c, c) for c in I.MEANS)}, {_mean('passed::INT', 'pass_rate')}, CAST(sum(metadata_hits) AS DOUBLE) / nullif(sum(metadata_checked), 0) AS metadata_accuracy FROM sl GROUP BY 1, 2, 3", *RUNS),
     "operational_metrics": with_views("SELECT event AS config, CAST(sum(CAST((event_id % 3 = 0)::INT AS DECIMAL(18, 6))) AS DOUBLE) / count((event_id % 3 = 0)::INT) AS call_rate, CAST(sum(CAST(latency_ms AS DECIMAL(18, 6))) AS DOUBLE) / count(latency_ms) AS mean_ms, round(median(latency_ms), 6) AS median_ms, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, round((sum(input_tokens) * 30 + sum(output_tokens) * 250) / 100000000, 6) AS cost_usd FROM log_events GROUP BY event", "log_events"),
     "failure_counts": with_views(f"WITH {SCORED} SELECT config, failure_reason, count(*) AS n FROM sc WHERE failure_reason IS NOT NULL GROUP BY 1, 2", *RUNS),
     "filter_violations": with_views(f"WITH {SCORED} SELECT config, count(*) FILTER (compliance_10 < 1) AS violations FROM sc GROUP BY 1", *RUNS),
     "config_comparison": with_views(f"WITH {SCORED}, a AS (SELECT config, CAST(sum(CAST(hit_10 AS DECIMAL(18, 6))) AS DOUBLE) / count(hit_10) AS hit_10, CAST(sum(CAST(mrr AS DECIMAL(18, 6))) AS DOUBLE) / count(mrr) AS mrr, CAST(sum(CAST(ndcg_10 AS DECIMAL(18, 6))) AS DOUBLE) / count(ndcg_10) AS ndcg_10 FROM sc GROUP BY 1) SELECT a.*, a.hit_10 < b.hit_10 OR a.mrr < b.mrr OR a.ndcg_10 < b.ndcg_10 AS regressed FROM a, a b WHERE b.config = 'a'", *RUNS),
-    "run_diff": with_views(f"WITH {SCORED} SELECT query_id, x.mrr AS m0, y.mrr AS m1, CASE WHEN y.hit_10 > x.hit_10 OR y.hit_10 = x.hit_10 AND y.mrr > x.mrr THEN 'improved' WHEN y.hit_10 < x.hit_10 OR y.mrr < x.mrr THEN 'regressed' ELSE 'unchanged' END AS change FROM (SELECT * FROM sc WHERE config = 'a') x JOIN (SELECT * FROM sc WHERE config = 'b') y USING (query_id)", *RUNS),
-    "candidate_recall": with_views(f"WITH {BEST}, q AS (SELECT DISTINCT query_id FROM qrels WHERE grade > 0), x AS (SELECT DISTINCT config FROM runs) SELECT config, count(*) AS queries, " + ", ".join(f"CAST(sum(CAST(coalesce(best_rank <= {k}, false)::INT AS DECIMAL(18, 6))) AS DOUBLE) / count(coalesce(best_rank <= {k}, false)::INT) AS recall_{k}" for k in (20, 50, 100, 500)) + " FROM x CROSS JOIN q LEFT JOIN best USING (config, query_id) GROUP BY config", *RUNS),
+    "run_diff": with_views(
+        f"""WITH {SCORED}, df AS (SELECT query_id, x.query_type, x.mrr AS m0, y.mrr AS m1, x.compliance_10 AS c0, y.compliance_10 AS c1, coalesce(x.hit_10, 0) AS h0, coalesce(y.hit_10, 0) AS h1, coalesce(y.mrr, 0) > coalesce(x.mrr, 0) AS nearer FROM (SELECT * FROM sc WHERE config = 'a') x JOIN (SELECT * FROM sc WHERE config = 'b') y USING (query_id)
+          WHERE x.query_type IN ('BRAND_CATEGORY', 'PERSIAN_VARIATION', 'COLLOQUIAL', 'PARTIAL_PRODUCT_NAME') OR x.failure_reason = 'METADATA_MISS'),
+        z AS (SELECT *, h1 < h0 OR c1 + 1e-9 < c0 AND h1 <= h0 AS worse, h1 > h0 OR h1 = h0 AND nearer AS better FROM df)
+        SELECT query_id, query_type, m0, m1, c0, c1, CASE WHEN worse THEN 'regressed' WHEN better THEN 'improved' ELSE 'unchanged' END AS change FROM z""",
+        *RUNS,
+    ),
+    "candidate_recall": with_views("WITH g AS (SELECT * FROM deep_qrels WHERE grade > 0 AND length(query_id) % 2 = 0 AND query_id IN (SELECT query_id FROM deep_runs)), b AS (SELECT config, query_id, min(rank) AS best_rank FROM deep_runs JOIN g USING (query_id, doc_id) GROUP BY 1, 2), x AS (SELECT DISTINCT config FROM deep_runs), q AS (SELECT DISTINCT query_id FROM g) SELECT config, count(*) AS queries, " + ", ".join(_mean(f"coalesce(best_rank <= {k}, false)::INT", f"recall_{k}") for k in (20, 50, 100, 500)) + " FROM x CROSS JOIN q LEFT JOIN b USING (config, query_id) GROUP BY config", "deep_runs", "deep_qrels"),
     "rank_shift": with_views(f"WITH {BEST} SELECT query_id, a.best_rank, b.best_rank AS new_rank, CASE WHEN b.best_rank > a.best_rank THEN 'pushed_down' WHEN b.best_rank < a.best_rank THEN 'improved' ELSE 'unchanged' END AS shift FROM (SELECT * FROM best WHERE config = 'a') a JOIN (SELECT * FROM best WHERE config = 'b') b USING (query_id)", *RUNS),
     "text_scores": f"WITH RECURSIVE {PAIRS}, {SCORES} SELECT p_partkey, prediction, ground_truth, error, exact_match, bleu, rouge_l FROM ts",
     "summarize_scores": f"WITH RECURSIVE {PAIRS}, {SCORES} SELECT count(*) AS rows, CAST(sum(CAST(exact_match AS DECIMAL(18, 6))) AS DOUBLE) / count(exact_match) AS exact_match, CAST(sum(CAST(rouge_l AS DECIMAL(18, 6))) AS DOUBLE) / count(rouge_l) AS rouge_l FROM ts WHERE ground_truth <> '' AND error IS NULL",

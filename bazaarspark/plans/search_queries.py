@@ -207,12 +207,16 @@ DIAG = f"""gd AS (SELECT query_id, product_code FROM qrels WHERE (length(query_i
 rk AS (SELECT query_id, product_code, row_number() OVER ({BEST.format(s='score')}) AS rank FROM scored),
 fx AS (SELECT q.query_id, c.product_code IS NOT NULL AS known, (length(q.query_id) % 5 <> 0 OR lower(c.brand) = 'brand#1') AND (length(q.query_id) % 3 <> 0 OR coalesce(c.price <= 1100, false)) AS meets, rk.rank, {EXCLUDED} AS ex
  FROM gd JOIN search_cases q USING (query_id) LEFT JOIN catalog c ON c.product_code = gd.product_code LEFT JOIN rk ON rk.query_id = gd.query_id AND rk.product_code = gd.product_code),
-fa AS (SELECT query_id, count(*) FILTER (known) AS gold_in_catalog, count(*) FILTER (known AND meets) AS gold_meets_filters, count(rank) AS gold_filtered, count(*) FILTER (known AND meets AND len(ex) > 0) AS gold_excluded, min(CASE WHEN rank <= 500 THEN rank END) AS best_rank FROM fx GROUP BY 1),
-f AS (SELECT query_id, coalesce(gold_in_catalog, 0) AS gold_in_catalog, coalesce(gold_meets_filters, 0) AS gold_meets_filters, coalesce(gold_filtered, 0) AS gold_filtered, coalesce(gold_excluded, 0) AS gold_excluded, best_rank FROM search_cases LEFT JOIN fa USING (query_id)),
+fa AS (SELECT query_id, count(*) FILTER (known) AS gold_in_catalog, count(*) FILTER (known AND meets) AS gold_meets_filters, count(rank) AS gold_filtered, count(*) FILTER (known AND meets AND len(ex) > 0) AS gold_excluded, min(CASE WHEN rank <= 500 THEN rank END) AS best_rank, count(*) AS gold, count(CASE WHEN rank <= 500 THEN rank END) AS gold_ranked FROM fx GROUP BY 1),
+f AS (SELECT query_id, coalesce(gold_in_catalog, 0) AS gold_in_catalog, coalesce(gold_meets_filters, 0) AS gold_meets_filters, coalesce(gold_filtered, 0) AS gold_filtered, coalesce(gold_excluded, 0) AS gold_excluded, best_rank, coalesce(gold, 0) AS gold, coalesce(gold_ranked, 0) AS gold_ranked FROM search_cases LEFT JOIN fa USING (query_id)),
 k AS (SELECT *, CASE WHEN gold_in_catalog = 0 THEN 'NO_CATALOG_MATCH' WHEN gold_meets_filters = 0 THEN 'DATA/GOLD_ISSUE' WHEN gold_filtered = 0 AND gold_excluded > 0 THEN 'FILTER_FAILURE' WHEN gold_filtered = 0 THEN 'CANDIDATE_GENERATION_FAILURE' WHEN best_rank IS NULL OR best_rank > 10 THEN 'RANKING_FAILURE' END AS failure_class,
  split_part(query_id, '|', 1) AS query_type FROM f)"""
 
 
+def _mean(c, name):
+    return f"CAST(sum(CAST({c} AS DECIMAL(18, 6))) AS DOUBLE) / count({c}) AS {name}"
+
+
 def _map(entries):
     return "MAP {" + ", ".join(f"'{k}': {_list(ws)}" for k, ws in entries.items()) + "}"
 
@@ -417,7 +421,16 @@ ORACLES = {
     ),
     "filter_exclusions": with_views(f"WITH {CATALOG}, {QRELS} SELECT query_id, product_code, {EXCLUDED} AS exclusions FROM qrels JOIN catalog c USING (product_code) JOIN search_cases q USING (query_id)", "products", "search_cases"),
     "classify_narrow": with_views(f"WITH {SCORED}, {QRELS}, {DIAG} SELECT * FROM k", "products", "search_cases"),
-    "diagnostic_rollup": with_views(f"WITH {SCORED}, {QRELS}, {DIAG}, n AS (SELECT query_type, failure_class, count(*) AS n FROM k WHERE failure_class IS NOT NULL GROUP BY 1, 2), t AS (SELECT query_type, failure_class AS top_failure, n AS top_n FROM n QUALIFY row_number() OVER (PARTITION BY query_type ORDER BY n DESC, failure_class) = 1) SELECT query_type, cases, mean_best_rank, top_failure, top_n FROM (SELECT query_type, count(*) AS cases, CAST(sum(CAST(best_rank AS DECIMAL(18, 6))) AS DOUBLE) / count(best_rank) AS mean_best_rank FROM k GROUP BY 1) LEFT JOIN t USING (query_type)", "products", "search_cases"),
+    "diagnostic_rollup": with_views(
+        f"""WITH {SCORED}, {QRELS}, {DIAG}, r AS (SELECT NULL AS grp, *, best_rank IS NULL OR best_rank > 10 AS failed FROM k WHERE gold > 0 UNION ALL SELECT query_type, *, best_rank IS NULL OR best_rank > 10 FROM k WHERE gold > 0),
+        n AS (SELECT grp, class, count(*) AS n FROM (SELECT grp, CASE WHEN failure_class IS NOT NULL THEN failure_class WHEN grp IS NULL AND failed THEN 'UNCLASSIFIED_FAIL' END AS class FROM r) WHERE class IS NOT NULL GROUP BY 1, 2),
+        t AS (SELECT grp, arg_min(class, (-n, class)) AS top_failure, max(n) AS top_n, string_agg(class || '=' || n, ',' ORDER BY class) AS classes FROM n GROUP BY 1),
+        s AS (SELECT grp, count(*) AS cases, {_mean('(gold_filtered > 0)::INT', 'gold_passed')}, {', '.join(_mean(f'coalesce(best_rank <= {k}, false)::INT', f'candidate_recall_{k}') for k in (20, 50, 100, 500))}, {', '.join(_mean(f'coalesce(best_rank <= {k}, false)::INT', f'hit_{k}') for k in (3, 5, 10))}, {_mean('coalesce(1 / best_rank, 0)', 'mrr')},
+          {_mean('CASE WHEN gold_ranked > 0 THEN list_sum(list_transform(range(1, least(gold_ranked, 10) + 1), lambda i: 1 / log2(i + 1))) / list_sum(list_transform(range(1, least(gold, 10) + 1), lambda i: 1 / log2(i + 1))) END', 'ndcg_10')}, count(*) FILTER (failed) AS failed, count(*) FILTER (failed AND gold_filtered > 0) AS failed_gold_passed FROM r GROUP BY 1)
+        SELECT s.grp AS query_type, s.* EXCLUDE (grp), top_failure, top_n, classes, round(failed_gold_passed / nullif(failed, 0), 6) AS failed_gold_share FROM s LEFT JOIN t ON s.grp IS NOT DISTINCT FROM t.grp""",
+        "products",
+        "search_cases",
+    ),
     "apply_model_order": with_views(f"WITH {TOP}, {QRELS} SELECT query_id, product_code, rank, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN q.product_code IS NOT NULL THEN md5(best.product_code) END NULLS LAST, rank) AS new_rank FROM best LEFT JOIN (SELECT DISTINCT * FROM qrels) q USING (query_id, product_code)", "products", "search_cases"),
     "candidate_payload": with_views(f"WITH {TOP} SELECT query_id, rank, product_code, product_name, brand, type AS category, coalesce(special_price, sum_of_price) AS price FROM best", "products", "search_cases"),
 }

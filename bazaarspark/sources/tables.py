@@ -117,3 +117,14 @@ VIEWS["runs"] = (
        WHERE rank <= 20""",
 )
 VIEWS["qrels"] = (["part"], "SELECT concat(p_type, '|', p_brand) AS query_id, p_partkey AS doc_id, CAST(p_size % 4 AS DOUBLE) AS grade FROM {part} WHERE p_size % 5 < 3")
+
+# Long runs, with few gold products far down.
+VIEWS["deep_runs"] = (
+    ["part"],
+    """SELECT * FROM (
+         SELECT 'a' AS config, concat(p_type, '|', CAST(p_size % 3 AS STRING)) AS query_id, p_partkey AS doc_id, row_number() OVER (PARTITION BY p_type, p_size % 3 ORDER BY p_retailprice DESC, p_partkey) AS rank FROM {part}
+         UNION ALL
+         SELECT 'b' AS config, concat(p_type, '|', CAST(p_size % 3 AS STRING)) AS query_id, p_partkey AS doc_id, row_number() OVER (PARTITION BY p_type, p_size % 3 ORDER BY p_name, p_partkey) AS rank FROM {part}) r
+       WHERE rank <= 500""",
+)
+VIEWS["deep_qrels"] = (["part"], "SELECT concat(p_type, '|', CAST(p_size % 3 AS STRING)) AS query_id, p_partkey AS doc_id, CAST(CASE WHEN p_partkey % 97 = 0 THEN 3 ELSE 0 END AS DOUBLE) AS grade FROM {part} WHERE p_partkey % 13 < 9")
