@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -135,46 +134,57 @@ def latency_histogram(events: DataFrame, by: str = "event", value: str = "latenc
 
 
 def metric_series(events: DataFrame) -> DataFrame:
-    """All counters and histograms as (metric, labels, value); labels are pairs in order of name, in one text."""
-    label = lambda *cs: F.array_join(F.array(*[F.concat(F.lit(c + "="), F.col(c).cast("string")) for c in sorted(cs)]), ",")
-    llm, search, agent = llm_metrics(events), search_metrics(events), agent_metrics(events)
-
-    def series(df: DataFrame, name: str, value: str, *keys: str) -> DataFrame:
-        sums = df.groupBy(*keys).agg(F.sum(value).cast("double").alias("value"))
-        return sums.select(F.lit(name).alias("metric"), (label(*keys) if keys else F.lit("")).alias("labels"), "value")
-
-    parts = [
-        series(api_metrics(events), "requests_total", "requests", "endpoint", "method", "status"),
-        series(api_metrics(events).where("errors > 0"), "errors_total", "errors", "endpoint", "status"),
-        series(agent, "agent_requests_total", "runs"),
-        series(selection_errors(events), "agent_tool_selection_errors_total", "errors", "tool"),
-        series(tool_metrics(events), "tool_calls_total", "calls", "tool", "status"),
-        series(llm, "llm_calls_total", "calls", "purpose", "status"),
-        series(llm.where("failures > 0"), "llm_failures_total", "failures", "purpose"),
-        series(llm.where("timeouts > 0"), "llm_timeouts_total", "timeouts", "purpose"),
-        series(llm.select("input_tokens", F.lit("input").alias("direction")), "llm_tokens_total", "input_tokens", "direction"),
-        series(llm.select("output_tokens", F.lit("output").alias("direction")), "llm_tokens_total", "output_tokens", "direction"),
-        series(llm.select(F.col("cost_usd").cast("decimal(20,8)").alias("cost")), "llm_estimated_cost_usd_total", "cost"),
-        series(search, "product_search_total", "searches"),
-        series(search, "product_search_empty_total", "empty_results"),
-        series(search, "product_search_llm_fallback_total", "fallbacks"),
-        series(search, "product_search_llm_fallback_failures_total", "fallback_failures"),
-        series(rating_metrics(events), "feedback_total", "n", "rating"),
-    ]
-    requests = events.where((F.col("event") == "request_completed") & ~F.col("endpoint").isin(*OPS_PATHS))
-    timed = [("api_request", requests, "endpoint"), ("agent", events.where("event = 'agent_completed'"), None), ("product_search", events.where("event = 'product_search_completed'"), None), ("llm", events.where("event = 'llm_call'"), "purpose")]
-    for name, rows, key in timed:
-        own = F.concat(F.lit(f"{key}="), F.col(key)) if key else F.lit("")
-        h = latency_histogram(rows.withColumn("labels", own), "labels")
-        metric = f"{name}_latency_milliseconds"
-        every = h.where("le = '+Inf'")
-        bucket = F.concat(F.when(F.col("labels") != "", F.concat("labels", F.lit(","))).otherwise(""), F.lit("le="), F.col("le"))
-        parts += [
-            every.select(F.lit(metric + "_count").alias("metric"), "labels", F.col("n").cast("double").alias("value")),
-            every.select(F.lit(metric + "_sum").alias("metric"), "labels", F.col("total").alias("value")),
-            h.select(F.lit(metric + "_bucket").alias("metric"), bucket.alias("labels"), F.col("cumulative").cast("double").alias("value")),
-        ]
-    return reduce(DataFrame.unionByName, parts)
+    """All counters and histograms as (metric, labels, value); labels are pairs in order of name, in one text.
+
+    One scan and one aggregate: an event adds to a few series, and is summed up with those of its series before anything is shuffled. A
+    series that no event adds to isn't there.
+    """
+    pair = lambda name, c: F.concat(F.lit(f"{name}="), c.cast("string"))
+    label = lambda **cs: F.array_join(F.array(*[pair(n, cs[n]) for n in sorted(cs)]), ",") if cs else F.lit("")
+    amount, time = "decimal(28,8)", "decimal(28,6)"
+
+    def counted(cond: Column, metric: str, labels: Column, value: Column) -> Column:
+        return F.when(cond, F.struct(F.lit(metric).alias("metric"), labels.alias("labels"), value.cast(amount).alias("value"), F.lit(None).cast("double").alias("ms")))
+
+    def timed(cond: Column, metric: str, labels: Column) -> Column:
+        return F.when(cond, F.struct(F.lit(f"{metric}_latency_milliseconds").alias("metric"), labels.alias("labels"), F.lit(None).cast(amount).alias("value"), F.coalesce(F.col("latency_ms").cast("double"), F.lit(float("nan"))).alias("ms")))
+
+    is_a = lambda name: F.col("event") == name
+    request = is_a("request_completed") & ~F.col("endpoint").isin(*OPS_PATHS)
+    agent, call, search = is_a("agent_completed"), is_a("llm_call"), is_a("product_search_completed")
+    known = lambda c, other: F.coalesce(F.col(c).cast("string"), F.lit(other))
+    tool, purpose, one = known("tool", "unknown"), known("purpose", "unknown"), F.lit(1)
+    failed, yes = F.coalesce(F.col("status") >= 400, F.lit(False)), lambda c: F.coalesce(F.col(c), F.lit(False))
+    ends = {"endpoint": F.col("endpoint"), "status": F.col("status")}
+    added = F.array(
+        counted(request, "requests_total", label(**ends, method=F.col("method")), one),
+        counted(request & failed, "errors_total", label(**ends), one),
+        counted(agent, "agent_requests_total", label(), one),
+        counted(is_a("agent_tool_selection_error"), "agent_tool_selection_errors_total", label(tool=tool), one),
+        counted(is_a("tool_execution"), "tool_calls_total", label(tool=tool, status=known("status", "unknown")), one),
+        counted(call, "llm_calls_total", label(purpose=purpose, status=known("status", "success")), one),
+        counted(call & failed, "llm_failures_total", label(purpose=purpose), one),
+        counted(call & yes("timeout"), "llm_timeouts_total", label(purpose=purpose), one),
+        counted(call, "llm_tokens_total", F.lit("direction=input"), F.col("input_tokens")),
+        counted(call, "llm_tokens_total", F.lit("direction=output"), F.col("output_tokens")),
+        counted(call, "llm_estimated_cost_usd_total", label(), cost_estimate()),
+        counted(search, "product_search_total", label(), one),
+        *[counted(search, f"product_search_{name}_total", label(), yes(c).cast("int")) for name, c in (("empty", "empty"), ("llm_fallback", "llm_fallback_triggered"), ("llm_fallback_failures", "llm_failure"))],
+        counted(is_a("feedback_recorded"), "feedback_total", label(rating=F.col("rating")), one),
+        timed(request, "api_request", label(endpoint=F.col("endpoint"))),
+        timed(agent, "agent", label()),
+        timed(search, "product_search", label()),
+        timed(call, "llm", label(purpose=purpose)),
+    )
+    rows = events.select(F.explode(F.array_compact(added)).alias("s")).select("s.metric", "s.labels", "s.value", "s.ms")
+    is_time = F.col("ms").isNotNull()
+    ms = F.when(~F.isnan("ms"), F.col("ms"))
+    sums = rows.groupBy("metric", "labels").agg(F.max(is_time).alias("timed"), F.sum("value").alias("value"), F.count(ms).alias("n"), F.sum(ms.cast(time)).alias("total"), *[F.count_if(ms <= b).alias(f"b{i}") for i, b in enumerate(BOUNDS)])
+    under = F.concat(F.when(F.col("labels") != "", F.concat("labels", F.lit(","))).otherwise(F.lit("")), F.lit("le="))
+    line = lambda end, labels, value: F.struct(F.concat("metric", F.lit(end)).alias("metric"), labels.alias("labels"), value.cast("double").alias("value"))
+    buckets = [line("_bucket", F.concat(under, F.lit(f"{b:g}")), F.col(f"b{i}")) for i, b in enumerate(BOUNDS)]
+    histogram = F.array(line("_count", F.col("labels"), F.col("n")), line("_sum", F.col("labels"), F.col("total")), *buckets, line("_bucket", F.concat(under, F.lit("+Inf")), F.col("n")))
+    return sums.select(F.inline(F.when(F.col("timed"), histogram).otherwise(F.array(line("", F.col("labels"), F.col("value"))))))
 
 
 def _verdicts(times: list[float], held: deque, max_requests: int, window_s: float) -> list[bool]:
