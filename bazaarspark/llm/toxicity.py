@@ -6,9 +6,14 @@ after the other: negation marks what follows it closely, reported speech marks t
 ("will ... hurt") and a copula or an address leads an insult ("you are ... a"), and a target marks insults and threats near it, before
 or after. What the composition writes for a match is a pattern of several words: bare, aimed, led, led and aimed, negated, reported.
 
-Patterns are counted over the clauses and weighed; a bare word is only the weakest of them. The lexicon's insults are word beginnings
-whose documents are labelled toxic far more often than others, besides a few fixed words. Pattern weights are a logistic regression.
-Both are fitted on a bounded sample of labelled rows and are small; scoring is one pass over the texts, without an exchange.
+A text is judged by its patterns: whether an insult stands unmarked, how many are aimed or led, how many both, how many different
+insults meet, and the same of threats, whose verbs alone mean nothing. Each of these adds to the ones before it with a weight of 0 or more,
+so that an aimed insult never weighs less than a bare one, nor a negated one anything. A single bare word of the fixed list, which is
+plain language as often as not, stays under the threshold by rule.
+
+The lexicon's other insults are whole words or stems of five letters and more whose documents are labelled toxic far more often than others;
+a stem is taken as far as nearly all its toxic words agree. Weights are a logistic regression with a prior, for the patterns that labelled
+texts lack. Both are fitted on a bounded sample of labelled rows and are small; scoring is one pass over the texts, without an exchange.
 """
 
 from __future__ import annotations
@@ -28,15 +33,18 @@ from bazaarspark.llm import scratch
 
 #: Labelled rows of either label that are learned from, about: all up to so many, beyond that a share of them by a hash of their identifier.
 SAMPLE = 10_000
-#: Lengths of word beginnings.
-SHORTEST, LONGEST = 3, 12
-#: A word beginning is learned if so many toxic texts, and this share of them, hold it and its odds are raised this much.
-SUPPORT, SHARE, LIFT = 4, 0.01, 20.0
+#: Lengths of learned stems, and letters that a word may have beyond its stem.
+SHORTEST, LONGEST, ENDING = 5, 12, 6
+#: A stem is learned if so many toxic texts, and this share of them, hold it and its odds are raised this much; it goes on while one letter
+#: follows in this share of them.
+SUPPORT, SHARE, LIFT, AGREE = 4, 0.01, 20.0, 0.9
+#: A text whose only match is one bare word of the fixed list has this score at most.
+ALONE = 0.25
 
 # Words of the grammar.
 INSULTS = "idiot moron stupid loser scum trash worthless pathetic disgusting clown imbecile jerk dumbass bastard asshole bitch cretin pig vermin".split()
 THREATS = "kill hurt destroy murder shoot stab strangle burn punch tuer frapper töten umbringen schlagen matar golpear".split()
-TARGETS = "you your yours they them their he him his she her this these those tu te toi vous ils elles du dich dir ihr sie euch ellos ellas usted ustedes".split()
+TARGETS = "you your yours they them their he him his she her tu te toi vous ils elles du dich dir ihr sie euch ellos ellas usted ustedes".split()
 NEGATIONS = "not no never none nobody isn aren wasn don doesn didn without pas jamais aucun nicht kein keine nie nunca ningún tampoco".split()
 REPORTS = "said says say wrote writes claimed called quoted quote reported according dit écrit sagte schrieb laut dijo escribió según".split()
 
@@ -50,9 +58,11 @@ OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, MODAL, COPULA = range(8)
 NEGATED, REPORTED, AIMED, LED = 8, 16, 32, 64
 #: Patterns that the grammar writes, in the order of their weights.
 PATTERNS = [kind | mark for kind in (INSULT, THREAT) for mark in (0, AIMED, LED, LED | AIMED, NEGATED, REPORTED)]
-#: Besides: the sum and the largest of the clauses' weights, and their sum by words.
-FEATURES = len(PATTERNS) + 3
-#: What a pattern adds to its clause's weight, times the word's own.
+#: An unmarked insult; insults aimed or led, and both; different insults beyond the first; threats aimed or led, and both.
+FEATURES = 6
+#: Weights where labelled texts say nothing.
+PRIOR = np.array([-3.5, 0.8, 0.8, 2.4, 3.0, 1.5, 3.0])
+#: How strong a pattern is: nothing, bare, aimed or led, both.
 STRENGTH = {0: 1.0, AIMED: 1.25, LED: 1.25, LED | AIMED: 1.5, NEGATED: 0.0, REPORTED: 0.0}
 
 
@@ -102,54 +112,64 @@ def _mark(s: int) -> int:
     return NEGATED if s & NEGATED else REPORTED if s & REPORTED else s & (LED | AIMED)
 
 
+def _has_object(symbols: list[int], i: int) -> bool:
+    """Whether a verb has a target after it or right before it ("kill you", "dich töten"); one further before is who acts."""
+    return TARGET in symbols[i + 1 : i + 5] or symbols[i - 1 : i] == [TARGET]
+
+
 class Grammar:
     def __init__(self, stems: dict[str, float], weights: np.ndarray | None = None):
-        self.stems = stems
-        self.short = {s[:SHORTEST] for s in stems}
+        self.stems = {s: g for s, g in stems.items() if s not in INSULTS}
+        self.plain = {w + end for w in INSULTS if w in stems for end in ("", "s", "es")}
+        self.short = {s[:SHORTEST] for s in self.stems}
         self.fixed = {w: k for k, ws in ((COPULA, COPULAS), (MODAL, MODALS), (REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS), (THREAT, THREATS)) for w in ws}
-        self.weights = np.array([-3.0, *[1.5] * FEATURES]) if weights is None else weights
-        self.known: dict[str, float] = {}
+        self.weights = PRIOR if weights is None else weights
+        self.known: dict[str, bool] = {}
 
-    def insult(self, word: str) -> float:
+    def insult(self, word: str) -> bool:
+        if word in self.plain:
+            return True
         if word[:SHORTEST] not in self.short:
-            return 0.0
-        weight = self.known.get(word)
-        if weight is None:
+            return False
+        found = self.known.get(word)
+        if found is None:
             if len(self.known) > 100_000:
                 self.known.clear()
-            weight = self.known[word] = max((self.stems.get(word[:n], 0.0) for n in range(SHORTEST, LONGEST + 1)), default=0.0)
-        return weight
+            found = self.known[word] = any(word[:n] in self.stems for n in range(max(SHORTEST, len(word) - ENDING), min(len(word), LONGEST) + 1))
+        return found
 
-    def features(self, text: str | None) -> np.ndarray:
+    def read(self, text: str | None) -> tuple[np.ndarray, bool]:
+        """The features of a text, and whether all it has is one bare word of the fixed list."""
         out = np.zeros(FEATURES)
         low = (text or "").lower()
-        words = _word.findall(low)
-        short, fixed = self.short, self.fixed
-        if not any((w[:SHORTEST] in short and self.insult(w)) or fixed.get(w) == THREAT for w in words):
-            return out
+        plain, short, fixed = self.plain, self.short, self.fixed
+        if not any(w in plain or (w[:SHORTEST] in short and self.insult(w)) or fixed.get(w) == THREAT for w in _word.findall(low)):
+            return out, False
         counts: Counter = Counter()
-        total = largest = 0.0
+        insults: set[str] = set()
         for clause in _clause.split(low):
             tokens = _word.findall(clause)
-            gains = [self.insult(w) for w in tokens]
-            symbols = [INSULT if g else fixed.get(w, OTHER) for w, g in zip(tokens, gains, strict=True)]
+            symbols = [INSULT if self.insult(w) else fixed.get(w, OTHER) for w in tokens]
             if not any(s in (INSULT, THREAT) for s in symbols):
                 continue
-            weight = 0.0
-            for s, g in zip(compose(symbols), gains, strict=True):
-                if s & 7 in (INSULT, THREAT):
-                    mark = _mark(s)
-                    counts[s & 7 | mark] += 1
-                    # A threat is one by its clause: its verb alone weighs nothing.
-                    weight += STRENGTH[mark] * g if s & 7 == INSULT else STRENGTH[mark] * (mark != 0)
-            total += weight
-            largest = max(largest, weight)
-        out[: len(PATTERNS)] = [math.log1p(counts[p]) for p in PATTERNS]
-        out[len(PATTERNS) :] = [math.log1p(total), largest / 4, 20 * total / max(len(words), 20)]
-        return out
+            for i, (s, w) in enumerate(zip(compose(symbols), tokens, strict=True)):
+                kind = s & 7
+                if kind in (INSULT, THREAT):
+                    strength = STRENGTH[_mark(s)]
+                    counts[kind, 1] += strength > 1
+                    counts[kind, 2] += strength > 1.25 and (kind == INSULT or _has_object(symbols, i))
+                    if kind == INSULT and strength:
+                        insults.add(w)
+        out[:] = [bool(insults), math.log1p(counts[INSULT, 1]), math.log1p(counts[INSULT, 2]), math.log1p(max(len(insults) - 1, 0)), math.log1p(counts[THREAT, 1]), math.log1p(counts[THREAT, 2])]
+        return out, len(insults) == 1 and insults <= plain and not any(counts.values())
+
+    def features(self, text: str | None) -> np.ndarray:
+        return self.read(text)[0]
 
     def score(self, text: str | None) -> float:
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, float(self.weights[0] + self.weights[1:] @ self.features(text))))))
+        found, alone = self.read(text)
+        score = 1 / (1 + math.exp(-max(-30.0, min(30.0, float(self.weights[0] + self.weights[1:] @ found)))))
+        return min(score, ALONE) if alone else score
 
 
 def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,14 +194,21 @@ def _featured(stems: dict[str, float]):
 
 
 def _regression(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
-    """Logistic regression with an intercept, by Newton steps."""
+    """Logistic regression with weights of 0 or more and a prior, by Newton steps along one weight after the other."""
     x = np.hstack([np.ones((len(x), 1)), x])
-    w, penalty = np.zeros(x.shape[1]), np.diag([1e-6, *[ridge] * (x.shape[1] - 1)])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + penalty, x.T @ (y - p) - penalty @ w)
-        w += step
-        if np.abs(step).max() < 1e-8:
+    w = PRIOR.copy()
+    penalty = np.array([1e-3, *[ridge] * (x.shape[1] - 1)])
+    z = x @ w
+    for _ in range(200):
+        moved = 0.0
+        for j in range(len(w)):
+            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            slope = x[:, j] @ (y - p) - penalty[j] * (w[j] - PRIOR[j])
+            new = w[j] + np.clip(slope / (x[:, j] ** 2 @ (p * (1 - p)) + penalty[j]), -2, 2)
+            new = new if j == 0 else max(new, 0.0)
+            z += x[:, j] * (new - w[j])
+            moved, w[j] = max(moved, abs(new - w[j])), new
+        if moved < 1e-7:
             break
     return w
 
@@ -208,9 +235,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     lift = ((F.col("toxic") + 0.1) / seen[1]) / ((F.col("clean") + 0.1) / seen[0])
     useful = counts.withColumn("lift", lift).where((F.col("toxic") >= max(SUPPORT, SHARE * seen[1])) & (F.col("lift") >= LIFT))
     # A stem is in a hundredth of the toxic texts or more: there are at most a hundred times as many as a text has on average.
-    for r in sorted(useful.collect(), key=lambda r: (len(r["stem"]), r["stem"])):
-        if not any(r["stem"][:n] in stems for n in range(SHORTEST, len(r["stem"]))):
-            stems[r["stem"]] = min(math.log(r["lift"]), 6.0)
+    found = {r["stem"]: r for r in useful.collect()}
+    for stem in sorted(found, key=lambda x: (len(x), x)):
+        if any(stem[:n] in stems for n in range(SHORTEST, len(stem) + 1)) or any(stem.startswith(w) for w in INSULTS):
+            continue
+        while True:
+            longer = [x for x in found if len(x) == len(stem) + 1 and x.startswith(stem) and found[x]["toxic"] >= AGREE * found[stem]["toxic"]]
+            if not longer:
+                break
+            stem = max(longer, key=lambda x: (found[x]["toxic"], x))
+        if stem not in INSULTS:
+            stems[stem] = min(math.log(found[stem]["lift"]), 6.0)
     data = rows.mapInArrow(_featured(stems), "x array<double>, toxic int").toPandas()  # about 2 * sample rows
     y = data["toxic"].to_numpy(float)
     return Grammar(stems, _regression(np.stack(data["x"]), y))
@@ -225,7 +260,7 @@ def _scores(stems: dict[str, float], weights: np.ndarray):
     return run
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
     """One row per document: ``id_col``, ``held_out``, ``score``, ``predicted``.
 
     Only texts enter a score. A null or empty text has no clause and gets the score of a text without a match. Labels are
@@ -233,16 +268,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     are left out, of several labels the largest counts, and one text counts once. Very long texts are read whole, clause by clause.
     Other columns are not read. An empty table gives an empty one.
     """
-    grammar = fit(docs, labels, id_col, text_col)
+    grammar = fit(docs, labels, id_col, text_col, sample=sample)
     base = docs.select(F.col(id_col).alias("id"), _fold(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     id_type = base.schema["id"].dataType.simpleString()
     scored = base.mapInArrow(_scores(grammar.stems, grammar.weights), f"id {id_type}, held_out boolean, score double")
     return scored.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The documents, with all their columns, that are not predicted to be toxic."""
-    grammar = fit(docs, labels, id_col, text_col)
+def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
+    """The documents, with all their columns, that are not predicted to be toxic. Null, empty and blank texts stay, and repeated rows stay
+    or go alike; labels are taken as by :func:`toxicity`, and very long texts are read whole. An empty table gives an empty one."""
+    grammar = fit(docs, labels, id_col, text_col, sample=sample)
     stems, weights = grammar.stems, grammar.weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

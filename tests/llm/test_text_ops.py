@@ -170,6 +170,30 @@ def test_grammar_against_distances():
     assert g.score("you are such an idiot") > g.score("one idiot more")
 
 
+PLAIN = """The morning train to work is more pleasant than traffic. The pig ate the corn in the field. Close the path before the class is lost.
+This trash is full, so take it out. The clown at the circus made everyone laugh. They will shoot the film in May. Please kill the process and restart it.
+Le train du matin est plus agréable que la voiture. Nous allons tuer le temps avant le départ. Der Zug zur Arbeit ist angenehmer als der Verkehr.
+Die Klasse schlägt ein neues Buch auf. El tren de la mañana es más agradable que el tráfico. Vamos a golpear la masa con las manos. idiot. Moron. loser"""
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_plain_language_stays_and_weights_follow_the_grammar(spark, sf):
+    read = lambda name: spark.read.parquet(f"/root/testdata/sf{sf}/{name}.parquet")
+    g = X.fit(read("documents"), read("labels"))
+    for line in PLAIN.split("\n"):
+        for text in re.findall(r"[^.]+\.?", line):
+            assert g.score(text) < 0.3, text
+    bare, aimed, led, more, threat, meant = g.weights[1:]
+    assert min(bare, aimed, led, more, threat, meant) >= 0
+    assert g.score("You are such a worthless idiot.") > 0.3 and g.score("We will kill you.") > g.score("We will kill time.")
+    assert g.score("You are not an idiot.") == g.score("A calm text.") == g.score("He said: fine.")
+    docs = {r["doc_id"]: r["text"] for r in read("documents").collect()}
+    held = [(g.score(docs[r["doc_id"]]) >= 0.3, r["toxic"]) for r in read("labels").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
+    found, toxic = sum(p and t for p, t in held), sum(t for _, t in held)
+    clean, kept = sum(1 - t for _, t in held), sum(not p and not t for p, t in held)
+    assert found >= {"0.01": 9, "0.1": 110}[sf] and kept >= 0.99 * clean, (found, toxic, kept, clean)
+
+
 def test_toxicity(spark):
     words = [f"w{i}" for i in range(300)]
     rng = np.random.default_rng(3)
