@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bazaarspark.functions.columns import clamp, like_pattern, top_n
+from bazaarspark.functions.columns import any_holds, clamp, like_pattern, top_n
 from bazaarspark.streaming import events as E
 
 ROLES = ("user", "assistant")
@@ -51,7 +51,7 @@ def search_messages(messages: DataFrame, requests: DataFrame, limit: int = 10) -
     """Requests are (request_id, customer_id, term); a blank term finds nothing."""
     term = F.substring(F.trim("term"), 1, TERM_CHARS)
     asked = requests.withColumn("term", term).where(F.length("term") > 0).withColumn("pattern", like_pattern(F.col("term")))
-    found = messages.join(asked, "customer_id").where("content ILIKE pattern")
+    found = messages.join(asked, "customer_id").where(any_holds(["content"], "term", "pattern"))
     return _newest(found, ["request_id"], limit).where(_usable()).select("request_id", "customer_id", "id", "role", "content")
 
 

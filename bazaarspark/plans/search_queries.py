@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from bazaarspark.functions import dictionaries as D
 from bazaarspark.functions import text as X
-from bazaarspark.operators import ir_eval, metadata, retrieval, search
+from bazaarspark.operators import ir_eval, metadata, phrases, retrieval, search
 from bazaarspark.sources.tables import table, view, with_views
 
 
@@ -90,6 +90,24 @@ def _top(spark, d):
     return search.product_search(_cases(spark, d), _catalog(spark, d))
 
 
+def _names(spark, d):
+    """Dictionaries of the catalog's words beside the brands: first words and whole names, with the smallest brand that has them."""
+    part = table(spark, d, "part")
+    rows = part.select(F.lower(F.substring_index("p_name", " ", 1)).alias("alias"), "p_brand").unionByName(part.select(F.lower("p_name").alias("alias"), "p_brand"))
+    rows = rows.groupBy("alias").agg(F.min("p_brand").alias("canonical"))
+    own = rows.select("alias", "canonical", (F.length("alias") + 100).cast("int").alias("ord"))
+    brands = phrases.brand_table(spark)
+    return brands.unionByName(own.join(brands, "alias", "left_anti"))
+
+
+def _spoiled(spark, d):
+    """The words of product names, one in three with a letter lost, changed or added."""
+    w = F.split("p_name", " ")
+    n = F.col("p_partkey")
+    bad = F.transform(w, lambda x: F.when(n % 3 == 0, F.concat(F.substring(x, 1, 2), F.substring(x, 4, 99))).when(n % 3 == 1, F.concat(x, F.lit("q"))).otherwise(x))
+    return table(spark, d, "part").select(n.alias("query_id"), bad.alias("tokens"))
+
+
 def _payloads(spark, d):
     k = F.col("query_id")
     payload = F.to_json(F.struct(F.lit("merida").alias("brand"), F.when(k % 2 == 0, "کرم ضد آفتاب").otherwise("رنگ مو").alias("category_or_type"), F.lit("قرمز").alias("color"), F.lit(5000).alias("price_min"), F.lit("budget").alias("price_intent"), ((k % 10) / 10).alias("confidence")))
@@ -111,6 +129,8 @@ QUERIES = {
         X.extract_availability("query").alias("availability"),
         X.all_phrases("query", D.CATEGORIES).alias("categories"),
     ),
+    "dictionary_phrases": lambda s, d: phrases.first_phrases(_log(s, d), _names(s, d)),
+    "near_misses": lambda s, d: phrases.near_misses(_spoiled(s, d), _names(s, d).select("alias").where("instr(alias, ' ') = 0")),
     "extract_excluded_brands": lambda s, d: _log(s, d).select("query_id", metadata.excluded_brands("query").alias("n")).select("query_id", "n.excluded", "n.remaining"),
     "metadata_extract": _read,
     "metadata_confidence": lambda s, d: metadata.metadata_confidence(_read(s, d)),
@@ -330,7 +350,25 @@ for _alias, _name in D.longest_first(D.CATEGORIES):
 CANON = _map_text(_NAMES)
 PRICED = f"WITH {_prices('query_log', 'query')} SELECT * FROM p_query"
 
+DICTIONARY = (
+    "br AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{c}', {i})" for i, (a, c) in enumerate(D.brand_aliases())) + """) AS v(alias, canonical, ord)),
+nm AS (SELECT alias, min(p_brand) AS canonical FROM (SELECT lower(split_part(p_name, ' ', 1)) AS alias, p_brand FROM part UNION ALL SELECT lower(p_name), p_brand FROM part) GROUP BY 1),
+dc AS (SELECT alias, canonical, ord FROM br UNION ALL SELECT alias, canonical, length(alias) + 100 FROM nm WHERE alias NOT IN (SELECT alias FROM br))"""
+)
+
 ORACLES = {
+    "dictionary_phrases": with_views(
+        f"""WITH {DICTIONARY}, tx AS (SELECT query_id, ' ' || lower({NORM}) || ' ' AS t FROM query_log), h AS (SELECT query_id, alias, canonical, ord FROM tx JOIN dc ON contains(t, ' ' || alias || ' ')),
+        c AS (SELECT query_id, canonical, min(ord) AS ord FROM h GROUP BY 1, 2), l AS (SELECT query_id, list(canonical ORDER BY ord, canonical) AS canonicals FROM c GROUP BY 1),
+        b AS (SELECT query_id, canonical FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY length(alias) DESC, ord, alias) = 1)
+        SELECT query_id, canonical, canonicals FROM b JOIN l USING (query_id)""",
+        "query_log",
+    ),
+    "near_misses": f"""WITH {DICTIONARY}, kn AS (SELECT alias FROM dc WHERE NOT contains(alias, ' ')), w AS (SELECT p_partkey AS query_id, unnest(string_split(p_name, ' ')) AS x, unnest(range(len(string_split(p_name, ' ')))) AS pos FROM part),
+        t AS (SELECT query_id, pos, CASE query_id % 3 WHEN 0 THEN substr(x, 1, 2) || substr(x, 4, 99) WHEN 1 THEN x || 'q' ELSE x END AS token FROM w),
+        r AS (SELECT query_id, pos, token, lower(token) AS word FROM t WHERE NOT list_contains({_list(D.SOFT_TOKENS)}, lower(token)) AND length(token) >= 4 AND lower(token) NOT IN (SELECT alias FROM kn)),
+        m AS (SELECT query_id, pos, token, min(alias) AS alias FROM r JOIN kn ON length(alias) >= 4 AND abs(length(alias) - length(word)) <= 1 AND levenshtein(word, alias) <= 1 GROUP BY 1, 2, 3)
+        SELECT query_id, token, alias FROM m QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY pos) = 1""",
     "extract_excluded_brands": with_views(f"{META} SELECT query_id, excluded, remaining FROM nx", "query_log"),
     "metadata_extract": with_views(f"{META} SELECT {KEEP} FROM md", "query_log"),
     "metadata_confidence": with_views(f"{META}, {CONFIDENT} SELECT {KEEP}, near_miss, reasons, confidence AS score, locked_fields, confidence < 0.75 AND len(reasons) > 0 AS needs_llm FROM cf", "query_log"),
