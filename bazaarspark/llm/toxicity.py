@@ -60,6 +60,8 @@ NEGATED, REPORTED, AIMED, LED = 8, 16, 32, 64
 PATTERNS = [kind | mark for kind in (INSULT, THREAT) for mark in (0, AIMED, LED, LED | AIMED, NEGATED, REPORTED)]
 #: An unmarked insult; insults aimed or led, and both; different insults beyond the first; threats aimed or led, and both.
 FEATURES = 6
+#: The weights of insults and of threats that are both led and aimed.
+CALLED, MEANT = 3, 6
 #: Weights where labelled texts say nothing.
 PRIOR = np.array([-3.5, 0.8, 0.8, 2.4, 3.0, 1.5, 3.0])
 #: How strong a pattern is: nothing, bare, aimed or led, both.
@@ -248,7 +250,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             stems[stem] = min(math.log(found[stem]["lift"]), 6.0)
     data = rows.mapInArrow(_featured(stems), "x array<double>, toxic int").toPandas()  # about 2 * sample rows
     y = data["toxic"].to_numpy(float)
-    return Grammar(stems, _regression(np.stack(data["x"]), y))
+    x = np.stack(data["x"])
+    weights = _regression(x, y)
+    for last in (CALLED, MEANT):
+        if not x[:, last - 1].any():  # no labelled text has the pattern: one of it is as likely as not
+            rest = weights[0] + weights[1] * (last == CALLED) + math.log(2) * weights[last - 1]
+            weights[last] = max(weights[last], -rest / math.log(2))
+    return Grammar(stems, weights)
 
 
 def _scores(stems: dict[str, float], weights: np.ndarray):

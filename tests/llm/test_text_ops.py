@@ -185,7 +185,7 @@ def test_plain_language_stays_and_weights_follow_the_grammar(spark, sf):
             assert g.score(text) < 0.3, text
     bare, aimed, led, more, threat, meant = g.weights[1:]
     assert min(bare, aimed, led, more, threat, meant) >= 0
-    assert g.score("You are such a worthless idiot.") > 0.3 and g.score("We will kill you.") > g.score("We will kill time.")
+    assert g.score("You are such a worthless idiot.") > 0.3 and g.score("We will kill you.") > 0.3 > g.score("We will kill time.")
     assert g.score("You are not an idiot.") == g.score("A calm text.") == g.score("He said: fine.")
     docs = {r["doc_id"]: r["text"] for r in read("documents").collect()}
     held = [(g.score(docs[r["doc_id"]]) >= 0.3, r["toxic"]) for r in read("labels").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
