@@ -139,6 +139,39 @@ def op11_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(rows, copies)
 
 
+# Rows one by one: first what remains to be paid from each row on, from the last row back, then the edits, a letter at a time. States are 1 to 4
+# (nothing yet, after s, after u, after a); the third of each list is what an inserted or reroled row makes of them.
+OP11_SQL = r"""
+WITH RECURSIVE
+d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+        lambda a, b: list_reduce(list_prepend(xor(a, b), CAST([0, 1, 2, 3, 4, 5, 6, 7] AS BIGINT[])), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 AS code FROM conversations),
+w AS (SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE code WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM d),
+x AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM w),
+y AS (SELECT conv_id, turn, role, text, i, substr(role, 1, 1) AS c, CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+        lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM x),
+z AS (SELECT *, fault NOT IN ('blank', 'duplicate') AS live, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS more,
+        [CASE c WHEN 's' THEN 2 WHEN 'u' THEN 3 END, CASE c WHEN 'u' THEN 3 END, CASE c WHEN 'a' THEN 4 END, CASE c WHEN 'u' THEN 3 END] AS kept FROM y),
+b AS (SELECT conv_id, max(i) + 1 AS i, [0, 10, 5, 0] AS v FROM z GROUP BY conv_id
+      UNION ALL
+      SELECT conv_id, i, [least(s[1], 5 + s[3], 10 + s[4]), least(s[2], 5 + s[3], 10 + s[4]), least(s[3], 5 + s[4]), least(s[4], 5 + s[3])]
+      FROM (SELECT z.conv_id, z.i, list_transform([1, 2, 3, 4], lambda k: least(2 + v[k], CASE WHEN live THEN 1 + more + v[[3, 3, 4, 3][k]] ELSE 99999999 END, CASE WHEN live AND kept[k] IS NOT NULL THEN more + v[kept[k]] ELSE 99999999 END)) AS s
+            FROM b JOIN z ON z.conv_id IS NOT DISTINCT FROM b.conv_id AND z.i = b.i - 1)),
+p AS (SELECT b.conv_id, b.i, b.v, n.v AS after, z.role, z.text, z.live, z.more, z.kept, z.i IS NULL AS over FROM b LEFT JOIN b n ON n.conv_id IS NOT DISTINCT FROM b.conv_id AND n.i = b.i + 1 LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM b.conv_id AND z.i = b.i),
+f AS (SELECT conv_id, CAST(1 AS BIGINT) AS i, 1 AS s, '' AS audit, CAST([] AS VARCHAR[]) AS lines FROM z GROUP BY conv_id
+      UNION ALL
+      SELECT conv_id, CASE WHEN e = 'I' THEN i ELSE i + 1 END, CASE e WHEN 'D' THEN s WHEN 'K' THEN kept[s] ELSE [3, 3, 4, 3][s] END, audit || e,
+             CASE e WHEN 'D' THEN lines WHEN 'K' THEN list_append(lines, role || ':' || text) ELSE list_append(lines, ['user', 'user', 'assistant', 'user'][s] || ':' || CASE WHEN e = 'I' THEN '' ELSE text END) END
+      FROM (SELECT f.*, p.role, p.text, p.kept, CASE WHEN NOT over AND 2 + after[s] = v[s] THEN 'D' WHEN 5 + v[[3, 3, 4, 3][s]] = v[s] THEN 'I' WHEN live AND kept[s] IS NOT NULL AND more + after[kept[s]] = v[s] THEN 'K' ELSE 'R' END AS e
+            FROM f JOIN p ON p.conv_id IS NOT DISTINCT FROM f.conv_id AND p.i = f.i WHERE NOT (over AND v[s] = 0))),
+r AS (SELECT f.conv_id, audit, lines FROM f JOIN p ON p.conv_id IS NOT DISTINCT FROM f.conv_id AND p.i = f.i WHERE over AND v[s] = 0),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+        count(*) FILTER (i > 1 AND before || c NOT IN ('su', 'ua', 'au')) AS illegal FROM z GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(p.v[1], 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit,
+       sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN p ON p.conv_id IS NOT DISTINCT FROM o.conv_id AND p.i = 1
+"""
+
+
 def op12_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
@@ -183,4 +216,4 @@ QUERIES = {
     "op12_inverted_multi_index": op12_inverted_multi_index,
     "op13_periodic_runs": op13_periodic_runs,
 }
-ORACLES = {"op2_mix_sources": OP2_SQL, "op4_lattice_embedding_dedup": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op6_minhash_near_dedup": OP6_SQL, "op8_license_scan": license_sql(), "op12_inverted_multi_index": OP12_SQL}
+ORACLES = {"op2_mix_sources": OP2_SQL, "op4_lattice_embedding_dedup": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op6_minhash_near_dedup": OP6_SQL, "op8_license_scan": license_sql(), "op11_repair_conversations": OP11_SQL, "op12_inverted_multi_index": OP12_SQL}

@@ -164,3 +164,16 @@ def test_query_against_trying_all_edits(spark):
     convs, left = with_faults(rows)
     by = plain(left)
     assert rows_of(got) == sorted(repr(repaired(c, by.get(c, []))) for c in convs)
+
+
+def test_query_against_sql(spark):
+    import duckdb
+
+    import __spark_entry__
+
+    con = duckdb.connect()
+    con.sql("create view conversations as select * from '/root/testdata/sf0.1/conversations.parquet' where conv_id < 300")
+    want = con.sql(__spark_entry__.oracle_sql()["op11_repair_conversations"])
+    rows = [dict(zip(want.columns, r)) for r in want.fetchall()]
+    frame = spark.read.parquet("/root/testdata/sf0.1/conversations.parquet").where("conv_id < 300")
+    assert rows_of(repair_conversations(*damaged(frame))) == sorted(repr(tuple(r[c] for c in COLUMNS)) for r in rows)
