@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from bazaarspark.operators import ir_eval as I
@@ -99,12 +97,22 @@ def _tool_cases(s, d):
 
 def _failed_report(s, d):
     """The failed cases of a written report, read back."""
-    folder = f"{scratch.shared_folder(s)}/report-{uuid.uuid4().hex}"
+    folder = scratch.folder(s, "report")
     scored = T.score_tool_cases(_tool_cases(s, d))
     ingest.write_report(scored.select(*FLAGS), T.tool_eval_rollup(scored), folder)
     return s.read.json(f"{folder}/failed", schema="case_id long, passed boolean, reason string")
 
 
+def _listed_cases(s, d):
+    """Conversations written as JSON lists, some thousand turns each, and read back."""
+    rows = table(s, d, "conversations")
+    lists = max(2, rows.count() // 4_000)
+    folder = scratch.folder(s, "cases")
+    case = F.struct("conv_id", "turn", "role", "text", F.array(F.struct((F.col("turn") % 3).alias("n"), F.lit('} ], "\\').alias("mark"))).alias("more"))
+    rows.groupBy(F.pmod(F.xxhash64("conv_id", "turn"), F.lit(lists)).alias("k")).agg(F.to_json(F.collect_list(case)).alias("value")).write.partitionBy("k").text(folder)
+    return ingest.read_cases(s, folder, "conv_id long, turn long, role string, text string, more array<struct<n:long,mark:string>>").select("conv_id", "turn", "role", "text", F.col("more")[0]["n"].alias("n"), F.col("more")[0]["mark"].alias("mark"))
+
+
 PREDICTED = ["actual", "calls", "answer", "scoped_ids", "customer_id"]
 
 
@@ -127,6 +135,7 @@ def _args(s, d):
 FLAGS = ["case_id", "selection_ok", "arguments_ok", "security_ok", "context_ok", "clarification_ok", "no_tool_ok", "violations", "passed", "reason"]
 
 QUERIES = {
+    "read_cases": _listed_cases,
     "rank_metrics": lambda s, d: I.rank_metrics(_run(s, d), _qrels(s, d)),
     "retrieval_metrics": lambda s, d: I.retrieval_metrics(_run(s, d), _qrels(s, d)),
     "relevance_grades": lambda s, d: I.relevance_grades(_cases(s, d)),
@@ -276,6 +285,7 @@ ts AS (SELECT *, (replace(replace(lower(trim(prediction)), chr(10), ' '), '  ',
  CASE WHEN coalesce(n, 0) > 0 THEN round(2.0 * n / (len(pl) + len(gl)), 6) ELSE 0.0 END::DOUBLE AS rouge_l FROM bl)"""
 RUNS = ("runs", "qrels", "products")
 ORACLES = {
+    "read_cases": """SELECT conv_id, turn, role, text, turn % 3 AS n, '} ], "\\' AS mark FROM conversations""",
     "rank_metrics": with_views(f"WITH {_per((3, 5, 10))} SELECT * FROM m", *RUNS),
     "retrieval_metrics": with_views(f"WITH {_per((3,), 'rank <= 3')} SELECT config, count(*) AS queries, CAST(sum(CAST(hit_3 AS DECIMAL(18, 6))) AS DOUBLE) / count(hit_3) AS hit, CAST(sum(CAST(mrr AS DECIMAL(18, 6))) AS DOUBLE) / count(mrr) AS mrr, CAST(sum(CAST(precision_3 AS DECIMAL(18, 6))) AS DOUBLE) / count(precision_3) AS precision, CAST(sum(CAST(recall_3 AS DECIMAL(18, 6))) AS DOUBLE) / count(recall_3) AS recall FROM m GROUP BY config", *RUNS),
     "relevance_grades": with_views("SELECT query_id, doc_id, grade FROM qrels WHERE grade > 0", "qrels"),

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from bazaarspark.sources.json_lists import read_json_list
+
 
 def import_users(sheets: list[DataFrame], mapping: dict[str, str], key: str = "customer_code", order: str = "row_order") -> DataFrame:
     """Sheets one after the other under new column names, as text; the first row of each key stays.
@@ -31,8 +33,8 @@ def import_audit(sheets: list[DataFrame], imported: DataFrame) -> DataFrame:
 
 
 def read_cases(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON list of cases, with a fixed schema."""
-    return spark.read.json(path, schema=schema, multiLine=True)
+    """JSON lists of cases, with a fixed schema; anything but a list is an error. One file is read by many tasks."""
+    return read_json_list(spark, path, schema)
 
 
 def parse_labels(df: DataFrame, col: str, signed: bool = True) -> DataFrame:

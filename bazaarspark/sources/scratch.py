@@ -25,14 +25,20 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: its lineage ends there."""
-    spark = df.sparkSession
+def folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder there, which is deleted when the process ends."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     if not _written:
         atexit.register(_drop_all)
     _written.append((spark, path))
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: its lineage ends there."""
+    spark = df.sparkSession
+    path = folder(spark, name)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
