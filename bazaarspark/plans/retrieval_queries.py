@@ -82,7 +82,7 @@ QUERIES = {
     "assign_chunk_ids": lambda s, d: _numbered(s, d).select("page", "pos", "chunk_id"),
     "fixed_windows": lambda s, d: _docs(s, d).select("doc_id", F.posexplode(R.fixed_windows("text")).alias("pos", "piece")),
     "l2_normalize": lambda s, d: _vectors(s, d).select("id", F.transform(R.l2_normalize(F.transform("v", lambda x: x * 3)), lambda x: F.round(x, 6)).alias("v")),
-    "embedding_batches": lambda s, d: R.embedding_batches(_docs(s, d), "doc_id", "text").select("doc_id", "lot", "batch", "nth"),
+    "embedding_batches": lambda s, d: R.embedding_batches(_docs(s, d), "doc_id", "text", kind="passage").select("doc_id", "lot", "batch", "nth", "input"),
     "cosine_topk": lambda s, d: R.cosine_topk(_asked(s, d), _vectors(s, d)),
     "ann_topk": lambda s, d: R.ann_topk(_asked(s, d), _vectors(s, d)),
     "bm25": _bm25,
@@ -141,8 +141,8 @@ ORACLES = {
         f AS (SELECT query_id, doc_id, dense_rank, round(0.6 * CASE WHEN max(dense) OVER w > min(dense) OVER w THEN (dense - min(dense) OVER w) / (max(dense) OVER w - min(dense) OVER w) ELSE 1 END
               + 0.4 * CASE WHEN max(lexical) OVER w > min(lexical) OVER w THEN (lexical - min(lexical) OVER w) / (max(lexical) OVER w - min(lexical) OVER w) ELSE 1 END, 6) AS score FROM k WINDOW w AS (PARTITION BY query_id))
         SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dense_rank) AS rank FROM f QUALIFY rank <= 3""",
-    "embedding_batches": """WITH t AS (SELECT doc_id, ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT % greatest(64, (SELECT count(*) FROM documents WHERE trim(text) <> '') // 50000) AS lot FROM documents WHERE trim(text) <> ''),
-        n AS (SELECT *, row_number() OVER (PARTITION BY lot ORDER BY doc_id) - 1 AS i FROM t) SELECT doc_id, lot, i // 16 AS batch, i % 16 AS nth FROM n""",
+    "embedding_batches": """WITH t AS (SELECT doc_id, 'passage: ' || text AS input, ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT % greatest(64, (SELECT count(*) FROM documents WHERE trim(text) <> '') // 50000) AS lot FROM documents WHERE trim(text) <> ''),
+        n AS (SELECT *, row_number() OVER (PARTITION BY lot ORDER BY doc_id) - 1 AS i FROM t) SELECT doc_id, lot, i // 16 AS batch, i % 16 AS nth, input FROM n""",
     "rate_limit_verdicts": with_views(
         """WITH RECURSIVE e AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM log_events),
         v AS (SELECT event_id, user_id, ts, i, true AS allowed, [ts] AS held FROM e WHERE i = 1
