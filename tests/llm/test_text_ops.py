@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 
 from bazaarspark.llm import license_scan as L
+from bazaarspark.llm import lm_context
 from bazaarspark.llm import toxicity as X
 from bazaarspark.llm.lm_context import END, UNSEEN, Decisions, Tokens, Tree
 from bazaarspark.llm.lm_scoring import DEPTHS, SLOTS, TABLES, Bits, Mixer, fit, fit_contexts, lm_score, packed, sizes
@@ -382,6 +383,17 @@ def test_beginnings_of_running_text(spark):
     assert total == pytest.approx(1, abs=1e-6)
 
 
+def test_beginnings_are_fitted_on_all_training_texts(spark):
+    texts = [f"{'th' if i % 3 else 'an'} in{i % 7} on" for i in range(6_000)]
+    tokens = Tokens(pa.array(texts))
+    seen = Counter(tokens.begin.tolist())
+    tree = Tree(seen)
+    bits = int(sum(tree.length[k] * n for k, n in seen.items()))
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(5)
+    _, fitted = fit_contexts(docs, spark.sparkContext.broadcast(pickle.dumps(tree)), 9, len(tokens.begin), len(texts))
+    assert (pickle.loads(fitted.value).hits - Mixer(DEPTHS, lm_context.TABLES).hits).sum() == pytest.approx(bits)
+
+
 def test_lm(spark):
     rng = np.random.default_rng(4)
     vocabulary = ["".join(rng.choice(["th", "an", "er", "in", "on"], rng.integers(1, 5))) for _ in range(400)]
