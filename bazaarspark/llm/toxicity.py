@@ -121,6 +121,8 @@ def _has_object(symbols: list[int], i: int) -> bool:
 
 class Grammar:
     def __init__(self, stems: dict[str, float], weights: np.ndarray | None = None):
+        #: All that another grammar is made of: the learned stems and the words of the fixed list.
+        self.lexicon = stems
         self.stems = {s: g for s, g in stems.items() if s not in INSULTS}
         self.plain = {w + end for w in INSULTS if w in stems for end in ("", "s", "es")}
         self.short = {s[:SHORTEST] for s in self.stems}
@@ -279,7 +281,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     grammar = fit(docs, labels, id_col, text_col, sample=sample)
     base = docs.select(F.col(id_col).alias("id"), _fold(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     id_type = base.schema["id"].dataType.simpleString()
-    scored = base.mapInArrow(_scores(grammar.stems, grammar.weights), f"id {id_type}, held_out boolean, score double")
+    scored = base.mapInArrow(_scores(grammar.lexicon, grammar.weights), f"id {id_type}, held_out boolean, score double")
     return scored.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -287,7 +289,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """The documents, with all their columns, that are not predicted to be toxic. Null, empty and blank texts stay, and repeated rows stay
     or go alike; labels are taken as by :func:`toxicity`, and very long texts are read whole. An empty table gives an empty one."""
     grammar = fit(docs, labels, id_col, text_col, sample=sample)
-    stems, weights = grammar.stems, grammar.weights
+    stems, weights = grammar.lexicon, grammar.weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Grammar(stems, weights)

@@ -195,6 +195,28 @@ def test_plain_language_stays_and_weights_follow_the_grammar(spark, sf):
     assert found >= {"0.01": 9, "0.1": 110}[sf] and kept >= 0.99 * clean, (found, toxic, kept, clean)
 
 
+@pytest.mark.parametrize("learned", [True, False])
+def test_tasks_know_the_fixed_words(spark, learned):
+    rng = np.random.default_rng(11)
+    words = ["".join(rng.choice(["th", "an", "er", "in", "ou", "sh"], 3)) for _ in range(200)]
+    rows, labels = [], []
+    for i in range(900):
+        ws = list(rng.choice(words, 40))
+        if i % 5 == 0:
+            for k, w in zip(rng.choice(40, 2, replace=False), rng.choice(["idiot", "moron", "scum"], 2, replace=False), strict=True):
+                ws[int(k)] = w
+        rows.append((i, " ".join(ws) + ".", "s"))
+        labels.append((i, int(i % 5 == 0)))
+    rows.append((1000, "You are such a worthless idiot.", "s"))
+    docs, y = frame(spark, rows), spark.createDataFrame(labels if learned else [], "doc_id long, toxic int")
+    g = X.fit(docs, y)
+    got = {r["doc_id"]: r for r in X.toxicity(docs, y).collect()}
+    assert all(got[i]["score"] == pytest.approx(g.score(text)) for i, text, _ in rows) and got[1000]["predicted"] == 1
+    if learned:
+        assert [i for i, toxic in labels if got[i]["predicted"] != toxic] == []
+    assert {r["doc_id"] for r in X.without_toxic(docs, y).collect()} == {i for i, r in got.items() if not r["predicted"]}
+
+
 def test_toxicity(spark):
     words = [f"w{i}" for i in range(300)]
     rng = np.random.default_rng(3)
