@@ -38,6 +38,8 @@ SHORTEST, LONGEST, ENDING = 5, 12, 6
 #: A stem is learned if so many toxic texts, and this share of them, hold it and its odds are raised this much; it goes on while one letter
 #: follows in this share of them.
 SUPPORT, SHARE, LIFT, AGREE = 4, 0.01, 20.0, 0.9
+#: Stems that a task holds at once, about.
+COUNTED = 200_000
 #: A text whose only match is one bare word of the fixed list has this score at most.
 ALONE = 0.25
 
@@ -179,19 +181,27 @@ class Grammar:
 def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     toxic: Counter = Counter()
     clean: Counter = Counter()
+
+    def out() -> pa.RecordBatch:
+        every = list(toxic.keys() | clean.keys())
+        return pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([toxic[w] for w in every], pa.int64()), pa.array([clean[w] for w in every], pa.int64())], ["stem", "toxic", "clean"])
+
     for batch in batches:
-        for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            held = {w[:n] for w in set(_word.findall((text or "").lower())) for n in range(SHORTEST, min(len(w), LONGEST) + 1)}
+        for text, label in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
+            held = {w[:n] for w in set(_word.findall((text.as_py() or "").lower())) for n in range(SHORTEST, min(len(w), LONGEST) + 1)}
             (toxic if label else clean).update(held)
-    every = list(toxic.keys() | clean.keys())
-    yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([toxic[w] for w in every], pa.int64()), pa.array([clean[w] for w in every], pa.int64())], ["stem", "toxic", "clean"])
+            if len(toxic) + len(clean) > COUNTED:
+                yield out()
+                toxic.clear()
+                clean.clear()
+    yield out()
 
 
 def _featured(stems: dict[str, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar(stems)
         for batch in batches:
-            rows = [grammar.features(t).tolist() for t in batch.column("text").to_pylist()]
+            rows = [grammar.features(t.as_py()).tolist() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column("toxic")], ["x", "toxic"])
 
     return run

@@ -217,6 +217,16 @@ def test_tasks_know_the_fixed_words(spark, learned):
     assert {r["doc_id"] for r in X.without_toxic(docs, y).collect()} == {i for i, r in got.items() if not r["predicted"]}
 
 
+def test_stems_are_counted_in_bounded_parts(monkeypatch):
+    texts = [f"{chr(97 + i % 26) * 4}{chr(97 + i // 26) * 5}" for i in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([i % 2 for i in range(300)])], ["text", "toxic"])
+    total = lambda: sum((Counter({(r["stem"], x): r[x] for x in ("toxic", "clean")}) for b in X._beginnings(iter([batch])) for r in b.to_pylist()), Counter())
+    whole = total()
+    monkeypatch.setattr(X, "COUNTED", 100)
+    parts = [len(b) for b in X._beginnings(iter([batch]))]
+    assert max(parts) < 120 and total() == whole
+
+
 def test_toxicity(spark):
     words = [f"w{i}" for i in range(300)]
     rng = np.random.default_rng(3)
