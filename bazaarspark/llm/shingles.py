@@ -8,22 +8,11 @@ import xxhash
 from bazaarspark.llm.text import words
 
 _M = np.uint64(0x9E3779B97F4A7C15)
-_KEPT = 1 << 20
-_known: dict[bytes, int] = {}
 
 
 def word_hashes(ws: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words. A bounded dictionary keeps those seen; it only saves time."""
-    known, digest = _known, xxhash.xxh3_64_intdigest
-    if len(known) > _KEPT:
-        known.clear()
-    out = np.empty(len(ws), np.uint64)
-    for i, w in enumerate(ws):
-        h = known.get(w)
-        if h is None:
-            h = known[w] = digest(w)
-        out[i] = h
-    return out
+    """64-bit hashes of words. None is kept: looking one up takes longer than hashing, and a worker lives as long as its executor."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, ws), np.uint64, len(ws))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

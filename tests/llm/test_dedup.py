@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -12,6 +13,7 @@ from bazaarspark.llm.exact_dedup import exact_dedup
 from bazaarspark.llm.lattice import decode_e8, embedding_dedup, neighbours
 from bazaarspark.llm.line_dedup import line_dedup
 from bazaarspark.llm.minhash import near_dedup
+from bazaarspark.llm.shingles import shingle_set
 from bazaarspark.llm.span_dedup import _sentence, runs, span_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, rank int, removed int"
@@ -257,3 +259,14 @@ def test_embeddings_with_clashing_columns(spark):
     rows = [(1, [1.0, 0.0, 0.0], 7, "a", 1), (2, [1.0, 0.01, 0.0], 7, "b", 2), (3, [0.0, 1.0, 0.0], 7, "c", 3), (3, [0.0, 1.0, 0.0], 7, "c", 3)]
     frame_ = spark.createDataFrame(rows, "vec_id long, embedding array<float>, node int, cell string, links int").withColumnRenamed("cell", "component")
     assert sorted(map(tuple, embedding_dedup(frame_).collect())) == [(1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (3, 1, 3, True)]
+
+
+def test_shingles_leave_no_words_in_a_worker():
+    shingle_set("one two three four five six")
+    tracemalloc.start()
+    try:
+        for i in range(100):
+            assert len(shingle_set(" ".join(f"w{i}x{j}" for j in range(1_000)))) == 996
+        assert tracemalloc.get_traced_memory()[0] < 1_000_000
+    finally:
+        tracemalloc.stop()
