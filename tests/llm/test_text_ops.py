@@ -15,7 +15,7 @@ from bazaarspark.llm import license_scan as L
 from bazaarspark.llm import lm_context
 from bazaarspark.llm import toxicity as X
 from bazaarspark.llm.lm_context import END, UNSEEN, Decisions, Tokens, Tree
-from bazaarspark.llm.lm_scoring import DEPTHS, SLOTS, TABLES, Bits, Mixer, fit, fit_contexts, lm_score, packed, sizes
+from bazaarspark.llm.lm_scoring import DEPTHS, SLOTS, TABLES, Bits, Mixer, _count_words, fit, fit_contexts, lm_score, packed, sizes
 from bazaarspark.llm.mixing import mix, mixed_documents
 from bazaarspark.llm.packing import CAPACITY, _cost, pack, solve
 
@@ -426,6 +426,30 @@ def test_beginnings_are_fitted_on_all_training_texts(spark):
     assert (pickle.loads(fitted.value).hits - Mixer(DEPTHS, lm_context.TABLES).hits).sum() == pytest.approx(bits)
 
 
+def test_words_are_counted_as_a_column():
+    texts = ["The the\x0bCAT é", None, "", " \t", "cat dog", "x" * 5_000_000, "dog The\x85 cat"]
+    held = [False, True, False, False, True, False, False]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(held)], ["text", "held_out"])
+    c, n = Counter(), Counter()
+    for out in _count_words(iter([batch.slice(0, 0), batch, batch.slice(2)])):
+        assert len(set(out.column("word").to_pylist())) == len(out)
+        for w, a, b in zip(*(out.column(x).to_pylist() for x in ("word", "c", "n")), strict=True):
+            c[w] += a
+            n[w] += b
+    every = [(h, w) for h, t in [*zip(held, texts, strict=True), *zip(held[2:], texts[2:], strict=True)] for w in [*(t or "").encode().lower().split(), b""]]
+    assert n == Counter(w for _, w in every) and +c == Counter(w for h, w in every if not h)
+
+
+def test_folded_weights_cost_the_same():
+    rng = np.random.default_rng(5)
+    mixer = Mixer(DEPTHS, lm_context.TABLES)
+    mixer.w = rng.normal(size=mixer.w.shape)
+    where, gate, bit = rng.integers(0, 1 << 16, (lm_context.TABLES, 5_000)), rng.integers(0, DEPTHS, 5_000), rng.integers(0, 2, 5_000)
+    refined = rng.normal(size=DEPTHS * Mixer.STEPS)
+    plain = mixer._cost(where, bit, gate, refined)
+    assert mixer.fold()._cost(where.astype(np.uint16), bit, gate, refined) == pytest.approx(plain, abs=1e-12)
+
+
 def test_lm(spark):
     rng = np.random.default_rng(4)
     vocabulary = ["".join(rng.choice(["th", "an", "er", "in", "on"], rng.integers(1, 5))) for _ in range(400)]
