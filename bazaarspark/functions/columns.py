@@ -19,6 +19,11 @@ def guarded(col: str) -> Column:
     return F.when(F.col(col).rlike(r"^[0-9]+(\.[0-9]+)?\z"), F.col(col).cast("decimal(38,10)")).otherwise(F.lit(0).cast("decimal(38,10)"))
 
 
+def rounded(c: Column, places: int) -> Column:
+    """A double rounded half up that keeps its sign, also that of a zero (:func:`round` makes every zero positive)."""
+    return F.round(F.abs(c), places) * F.signum(c)
+
+
 def total(col: str) -> Column:
     """Exact sum of guarded numbers, as a double at the very end."""
     return F.sum(guarded(col)).cast("double")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from bazaarspark.functions.columns import rounded
 from bazaarspark.operators import retrieval as R
 from bazaarspark.sources.tables import table, view, with_views
 from bazaarspark.streaming import events as E
@@ -81,7 +82,7 @@ QUERIES = {
     "chunk_documents": lambda s, d: R.chunk_documents(_docs(s, d)),
     "assign_chunk_ids": lambda s, d: _numbered(s, d).select("page", "pos", "chunk_id"),
     "fixed_windows": lambda s, d: _docs(s, d).select("doc_id", F.posexplode(R.fixed_windows("text")).alias("pos", "piece")),
-    "l2_normalize": lambda s, d: _vectors(s, d).select("id", F.transform(R.l2_normalize(F.transform("v", lambda x: x * 3)), lambda x: F.round(x, 6)).alias("v")),
+    "l2_normalize": lambda s, d: _vectors(s, d).select("id", F.transform(R.l2_normalize(F.transform("v", lambda x: x * 3)), lambda x: rounded(x, 6)).alias("v")),
     "embedding_batches": lambda s, d: R.embedding_batches(_docs(s, d), "doc_id", "text", kind="passage").select("doc_id", "lot", "batch", "nth", "input"),
     "cosine_topk": lambda s, d: R.cosine_topk(_asked(s, d), _vectors(s, d)),
     "ann_topk": lambda s, d: R.ann_topk(_asked(s, d), _vectors(s, d)),
