@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -20,6 +21,12 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` or a function inside it reads it: Spark would put the whole
+    expression in each of these places, and work it out anew for every element of a list."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def text(c: Column | str) -> Column:
     return F.coalesce(_col(c).cast("string"), F.lit(""))
 
@@ -45,8 +52,8 @@ def normalize_text(c: Column | str) -> Column:
 
 def keep_first(tokens: Column) -> Column:
     """Tokens in order, each but once whatever its case."""
-    low = F.transform(tokens, lambda t: F.lower(t))
-    return F.filter(tokens, lambda t, i: F.array_position(low, F.lower(t)) == i + 1)
+    first = lambda ts, low: F.filter(ts, lambda t, i: F.array_position(low, F.get(low, i)) == i + 1)
+    return once(tokens, lambda ts: once(F.transform(ts, lambda t: F.lower(t)), lambda low: first(ts, low)))
 
 
 def keep_order_unique(tokens: Column) -> Column:
@@ -75,8 +82,8 @@ def soft(t: Column) -> Column:
 
 def catalog_tokens(tokens: Column) -> Column:
     """Search tokens without constraint words and numbers; all of them if nothing else is left."""
-    left = F.filter(tokens, lambda t: ~_constraint(t))
-    return F.when(F.size(left) > 0, left).otherwise(tokens)
+    left = lambda ts: F.filter(ts, lambda t: ~_constraint(t))
+    return once(tokens, lambda ts: once(left(ts), lambda kept: F.when(F.size(kept) > 0, kept).otherwise(ts)))
 
 
 def hard_tokens(tokens: Column) -> Column:
@@ -90,7 +97,7 @@ def ascii_digits(c: Column) -> Column:
 
 def is_price_token(t: Column) -> Column:
     compact = F.replace(ascii_digits(F.replace(t, F.lit(ZWNJ), F.lit(""))), F.lit(" "), F.lit(""))
-    return _among(compact, D.PRICE_TOKENS) | compact.rlike(r"^[0-9]+(هزارتومان|هزارتومن|هزار|میلیون|تومان|تومن)?\z")
+    return once(compact, lambda x: _among(x, D.PRICE_TOKENS) | x.rlike(r"^[0-9]+(هزارتومان|هزارتومن|هزار|میلیون|تومان|تومن)?\z"))
 
 
 def bm25_tokens(c: Column | str) -> Column:
@@ -133,18 +140,20 @@ def has_phrase(folded: Column, alias: Column) -> Column:
     return F.contains(F.concat(F.lit(" "), folded, F.lit(" ")), F.concat(F.lit(" "), alias, F.lit(" ")))
 
 
+def _held(c: Column | str, pairs: list[tuple[str, str]]) -> Column:
+    """The entries whose alias stands in a text, in their order."""
+    entries = F.array(*[F.struct(F.lit(f" {a} ").alias("alias"), F.lit(n).alias("name")) for a, n in pairs])
+    return once(F.concat(F.lit(" "), F.lower(normalize_text(c)), F.lit(" ")), lambda low: F.filter(entries, lambda e: F.contains(low, e["alias"])))
+
+
 def first_phrase(c: Column | str, pairs: list[tuple[str, str]]) -> Column:
     """The canonical name of the longest alias in a text; ties go by the dictionary's order."""
-    low = F.lower(normalize_text(c))
-    entries = F.array(*[F.struct(F.lit(a).alias("alias"), F.lit(n).alias("name")) for a, n in D.longest_first(pairs)])
-    return F.get(F.filter(entries, lambda e: has_phrase(low, e["alias"])), F.lit(0))["name"]
+    return F.get(_held(c, D.longest_first(pairs)), F.lit(0))["name"]
 
 
 def all_phrases(c: Column | str, pairs: list[tuple[str, str]]) -> Column:
     """The distinct canonical names in a text, in the dictionary's order."""
-    low = F.lower(normalize_text(c))
-    entries = F.array(*[F.struct(F.lit(a).alias("alias"), F.lit(n).alias("name")) for a, n in pairs])
-    return F.array_distinct(F.transform(F.filter(entries, lambda e: has_phrase(low, e["alias"])), lambda e: e["name"]))
+    return F.array_distinct(F.transform(_held(c, pairs), lambda e: e["name"]))
 
 
 _NUMBER = "([0-9]+|یک|دو|سه|ده|بیست|صد)"
@@ -166,7 +175,10 @@ def extract_price(c: Column | str) -> Column:
     The scale of one end of a range holds for the other if that has none. A bound and number with a space between
     come before those without.
     """
-    spaced = ascii_digits(normalize_text(c))
+    return once(ascii_digits(normalize_text(c)), _price_of)
+
+
+def _price_of(spaced: Column) -> Column:
     compact = F.replace(spaced, F.lit(" "), F.lit(""))
     low, s1, high, s2 = (F.regexp_extract(spaced, _BETWEEN, i) for i in (1, 2, 3, 4))
     lo, hi = _amount(low, F.when(s1 != "", s1).otherwise(s2)), _amount(high, F.when(s2 != "", s2).otherwise(s1))

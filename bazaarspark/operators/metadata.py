@@ -60,8 +60,6 @@ def excluded_brands(c: Column | str) -> Column:
     """struct(remaining, excluded): brands that a query rules out, longest alias first, and the text without them."""
     prefix = "|".join(D.NEGATIVE_PREFIXES)
     entries = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(a).alias("alias"), F.lit(rf"(?i)(^|\s)(?:{prefix})\s+{a}(\s|$)").alias("before"), F.lit(rf"(?i)(^|\s)از\s+(?:برند\s+)?{a}\s+نه(\s|$)").alias("around")) for a, n in D.longest_first(D.brand_aliases())])
-    folded = X.fold_text(c)
-    start = F.struct(folded.alias("remaining"), F.array().cast("array<string>").alias("excluded"))
 
     def step(acc: Column, e: Column) -> Column:
         pattern = F.when(F.regexp_like(acc["remaining"], e["before"]), e["before"]).when(F.regexp_like(acc["remaining"], e["around"]), e["around"])
@@ -69,7 +67,9 @@ def excluded_brands(c: Column | str) -> Column:
         left = F.trim(F.regexp_replace(F.regexp_replace(acc["remaining"], F.coalesce(pattern, F.lit("(^)($)")), F.lit("$1$2")), r"(?U)\s+", " "))
         return F.struct(F.when(hit, left).otherwise(acc["remaining"]).alias("remaining"), F.when(hit, F.array_append(acc["excluded"], e["name"])).otherwise(acc["excluded"]).alias("excluded"))
 
-    return F.when(folded.rlike("بدون|به\\s+جز|غیر\\s+از|نه"), F.aggregate(F.filter(entries, lambda e: F.contains(F.lower(folded), e["alias"])), start, step)).otherwise(start)
+    start = lambda f: F.struct(f.alias("remaining"), F.array().cast("array<string>").alias("excluded"))
+    named = lambda f: X.once(F.lower(f), lambda low: F.filter(entries, lambda e: F.contains(low, e["alias"])))
+    return X.once(X.fold_text(c), lambda f: F.when(f.rlike("بدون|به\\s+جز|غیر\\s+از|نه"), F.aggregate(named(f), start(f), step)).otherwise(start(f)))
 
 
 def has_positive(prefix: str = "") -> Column:
@@ -86,14 +86,15 @@ def leftover_tokens(tokens: Column, category: Column | None = None) -> Column:
     plain = [F.coalesce(F.array_append(F.split(F.lower(c), " "), F.lower(F.col(c))), empty) for c in ("color", "material", "gender")]
     used = F.concat(F.coalesce(F.try_element_at(_word_map(D.brand_aliases()), F.col("brand")), empty), F.coalesce(F.try_element_at(_word_map(D.CATEGORIES), category), empty), *plain)
     priced = F.col("price_min").isNotNull() | F.col("price_max").isNotNull()
-    return F.filter(tokens, lambda t: ~F.array_contains(used, F.lower(t)) & ~(priced & X.is_price_token(t)))
+    return X.once(used, lambda words: F.filter(tokens, lambda t: ~F.array_contains(words, F.lower(t)) & ~(priced & X.is_price_token(t))))
 
 
 def _embedded(c: Column, category: Column, leftover: Column) -> Column:
     """Whether the category is only part of another product's name."""
     folded, name = X.fold_text(c), X.fold_text(category)
     extended = F.arrays_overlap(F.transform(leftover, lambda t: F.lower(X.fold_text(t))), F.array(*map(F.lit, D.PHRASE_EXTENDERS)))
-    joined = F.regexp_like(folded, F.concat(name, F.lit(r"\s+و\s+\S+")))
+    # Compiling a pattern for a row costs more than finding out that it can't match.
+    joined = F.contains(folded, F.lit("و")) & F.regexp_like(folded, F.concat(name, F.lit(r"\s+و\s+\S+")))
     mask = (name == "رنگ مو") & X.has_phrase(folded, F.lit("ماسک"))
     return category.isNotNull() & (extended | joined | mask)
 
@@ -132,9 +133,8 @@ def near_miss_brand(tokens: Column) -> Column:
     """The first token that is one edit away from a brand's alias without being one; both of four letters at least."""
     keys = [a for a, _ in D.brand_aliases()]
     long = F.array(*[F.lit(a) for a in keys if len(a) >= 4])
-    low = lambda t: F.lower(X.fold_text(t))
-    close = lambda t: F.exists(long, lambda a: F.levenshtein(low(t), a, 1) >= 0)
-    return F.get(F.filter(tokens, lambda t: (F.length(low(t)) >= 4) & ~X.soft(t) & ~F.lower(t).isin(*keys) & close(t)), F.lit(0))
+    close = lambda t: X.once(F.lower(X.fold_text(t)), lambda low: (F.length(low) >= 4) & F.exists(long, lambda a: F.levenshtein(low, a, 1) >= 0))
+    return F.get(F.filter(tokens, lambda t: ~X.soft(t) & ~F.lower(t).isin(*keys) & close(t)), F.lit(0))
 
 
 def metadata_confidence(read: DataFrame, col: str = "query", threshold: float = 0.75) -> DataFrame:

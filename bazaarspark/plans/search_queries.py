@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from bazaarspark.functions import dictionaries as D
 from bazaarspark.functions import text as X
 from bazaarspark.operators import ir_eval, metadata, phrases, retrieval, search
-from bazaarspark.sources.tables import table, view, with_views
+from bazaarspark.sources.tables import spread, table, view, with_views
 
 
 def _log(spark, d):
-    return view(spark, d, "query_log")
+    return spread(view(spark, d, "query_log"), "query_id")
 
 
 def _read(spark, d):

@@ -72,6 +72,13 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql, **{s: table(spark, sf_dir, s) for s in sources})
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt over all cores: a small file may hold millions of short rows, which Spark would read in a task or two. A number of
+    partitions is given, as the adaptive planner would join partitions of so few bytes again."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), key)
+
+
 def with_views(sql: str, *names: str) -> str:
     """DuckDB SQL that starts with the named views."""
     parts = ", ".join(f"{n} AS ({VIEWS[n][1].format(**{s: s for s in VIEWS[n][0]})})" for n in names)
