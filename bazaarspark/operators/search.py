@@ -208,11 +208,10 @@ def name_variants(queries: DataFrame) -> DataFrame:
     for alias, canonical in D.brand_aliases():
         keys.setdefault(canonical, []).append(alias)
     swaps = F.array(*[F.struct(F.lit(a).alias("alias"), F.array(*map(F.lit, list(dict.fromkeys([c.lower(), *sorted(keys[c])]))[:3])).alias("to")) for a, c in pairs])
-    folded = X.fold_text("name_phrase")
-    low = F.concat(F.lit(" "), F.lower(folded), F.lit(" "))
-    hits = F.filter(swaps, lambda e: F.contains(low, F.concat(F.lit(" "), e["alias"], F.lit(" "))))
-    spelled = F.flatten(F.transform(hits, lambda e: F.transform(e["to"], lambda r: F.trim(F.replace(low, F.concat(F.lit(" "), e["alias"], F.lit(" ")), F.concat(F.lit(" "), r, F.lit(" ")))))))
-    phrases = F.slice(X.keep_order_unique(F.concat(F.array(folded), spelled)), 1, 6)
+    hits = lambda low: F.filter(swaps, lambda e: F.contains(low, F.concat(F.lit(" "), e["alias"], F.lit(" "))))
+    swapped = lambda low: F.flatten(F.transform(hits(low), lambda e: F.transform(e["to"], lambda r: F.trim(F.replace(low, F.concat(F.lit(" "), e["alias"], F.lit(" ")), F.concat(F.lit(" "), r, F.lit(" ")))))))
+    spelled = lambda folded: X.once(F.concat(F.lit(" "), F.lower(folded), F.lit(" ")), swapped)
+    phrases = F.slice(X.once(X.fold_text("name_phrase"), lambda folded: X.keep_order_unique(F.concat(F.array(folded), spelled(folded)))), 1, 6)
     brands = F.create_map(*[F.lit(x) for a, c in D.brand_aliases() for x in (a, c)])
     variants = lambda t: F.slice(X.keep_order_unique(F.concat(F.array(t), F.coalesce(M.brand_keys(F.try_element_at(brands, F.lower(t))), F.array().cast("array<string>")))), 1, 6)
     return queries.withColumns({"phrases": phrases, "token_variants": F.transform("name_tokens", variants)})
