@@ -5,11 +5,15 @@ lattice, which is its cell. A vector lies in its own cell and probes the neighbo
 to. Two vectors meet where one's own cell is the other's own or probed cell, and every pair that meets is verified by its
 cosine in double precision. Large cells are cut into random blocks that meet in pairs, so that a task holds two blocks at most.
 A pair counts in the first cell in which it meets; blocks give each node's number of links and the least node reached there.
+
+Vectors are copied to the cells they meet others in, a hundred times and more. This is done in rounds, each for some of the tables or some
+of the cells of one, so that the copies on disk at a time have a fixed number. Joins are hinted, as Spark takes exploded rows for few.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations, product
 
 import numpy as np
@@ -27,6 +31,8 @@ PROBES = 12
 #: Lattice points per unit of a projected vector. Larger: smaller cells.
 SCALE = 2.4
 BLOCK = 256
+#: Memberships in cells that are dealt out in one round, about.
+ROUND = 4_000_000
 #: Up to this length of vectors, coordinates of lattice points (times two) fit into one byte.
 SMALL = 4096
 
@@ -88,8 +94,7 @@ def _matrix(vectors: pa.ListArray) -> np.ndarray:
 
 
 def _hashed(tables: int, probes: int):
-    """(node, width, cells, home, probed): for each table the own cell and then the probed ones, the own point, and which of its
-    neighbours are probed. The last two are what tells where two vectors meet, in a fourth of the cells' room."""
+    """(node, width, home, probed): for each table the own point, and which of its neighbours are probed."""
     around = neighbours()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,20 +103,40 @@ def _hashed(tables: int, probes: int):
             for width in np.unique(lengths):
                 rows = np.flatnonzero(lengths == width)
                 x = _matrix(batch.column("v").take(pa.array(rows)))
-                cells = np.empty((len(x), tables * (probes + 1)), np.int64)
                 homes, probed = np.empty((len(x), tables, 8), np.int8 if width <= SMALL else np.int16), np.empty((len(x), tables, probes), np.uint8)
                 for t, p in enumerate(_projections(int(width), tables)):
                     y = x @ p
                     homes[:, t] = home = decode_e8(y)
                     lean = (y - home / 2) @ around.T
-                    for k in range(probes + 1):
-                        if k:
-                            probed[:, t, k - 1] = best = lean.argmax(1)
-                            lean[np.arange(len(x)), best] = -np.inf
-                        cells[:, t * (probes + 1) + k] = _cells(home + around[best] if k else home, t)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, cells.size + 1, cells.shape[1]), pa.int32()), pa.array(cells.ravel()))
+                    for k in range(probes):
+                        probed[:, t, k] = best = lean.argmax(1)
+                        lean[np.arange(len(x)), best] = -np.inf
                 raw = [pa.array([r.tobytes() for r in a], pa.binary()) for a in (homes, probed)]
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[rows]), pa.array(np.full(len(x), width, np.int32)), lists, *raw], ["node", "width", "cells", "home", "probed"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[rows]), pa.array(np.full(len(x), width, np.int32)), *raw], ["node", "width", "home", "probed"])
+
+    return run
+
+
+def _placed(tables: int, probes: int, some: range):
+    """(node, width, table, cell, own): the cells of the nodes in some tables, the own one and those probed."""
+    around = neighbours()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            widths, probed = batch.column("width").to_numpy(), batch.column("probed").to_pylist()
+            homes = batch.column("home").to_pylist()
+            for small in (True, False):
+                rows = np.flatnonzero((widths <= SMALL) == small)
+                if not len(rows):
+                    continue
+                home = np.frombuffer(b"".join([homes[i] for i in rows]), np.int8 if small else np.int16).reshape(len(rows), tables, 8)
+                step = np.frombuffer(b"".join([probed[i] for i in rows]), np.uint8).reshape(len(rows), tables, probes)
+                for t in some:
+                    own = home[:, t].astype(np.int64)
+                    points = np.concatenate([own[:, None], own[:, None] + around[step[:, t]]], 1).reshape(-1, 8)
+                    at = np.repeat(rows, probes + 1)
+                    columns = [batch.column("node").take(pa.array(at)), batch.column("width").take(pa.array(at)), pa.array(np.full(len(at), t, np.int32)), pa.array(_cells(points, t), pa.int64()), pa.array(np.arange(len(at)) % (probes + 1) == 0)]
+                    yield pa.RecordBatch.from_arrays(columns, ["node", "width", "table", "cell", "own"])
 
     return run
 
@@ -202,6 +227,30 @@ def _verified(threshold: float, tables: int):
     return run
 
 
+def _rounds(hashed: DataFrame, tables: int, probes: int, size: int | None = None) -> Iterator[DataFrame]:
+    """Where nodes lie (node, width, table, cell, own), about ``size`` (``ROUND``) rows at a time."""
+    size, a_table = size or ROUND, max(1, hashed.count() * (probes + 1))
+    at_once, parts = max(1, min(tables, size // a_table)), -(-a_table // size)
+    for first in range(0, tables, at_once):
+        placed = hashed.select("node", "width", "home", "probed").mapInArrow(_placed(tables, probes, range(first, min(first + at_once, tables))), "node long, width int, table int, cell long, own boolean")
+        for part in range(parts):
+            yield placed.where(F.pmod(F.xxhash64("cell"), F.lit(parts)) == part) if parts > 1 else placed
+
+
+def _links(placed: DataFrame, carried: DataFrame, threshold: float, tables: int) -> DataFrame:
+    """(node, least, links) from the cells that are placed."""
+    key = ["table", "cell", "width"]
+    sizes = placed.groupBy(*key).agg(F.count("*").alias("n"), F.count_if("own").alias("owned")).where("owned > 0 and n > 1")
+    members = placed.join(sizes.hint("merge"), key).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node", "cell"), F.col("blocks")).cast("int"))
+    # An own member meets the members of every block; a probing member meets the own members of every block.
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    as_left = members.where("own").select("node", *key, "own", "block", F.col("block").alias("i"), F.explode(every).alias("j"))
+    as_right = members.select("node", *key, "own", "block", F.explode(every).alias("i"), F.col("block").alias("j"))
+    dealt = as_left.unionByName(as_right).distinct().join(carried.hint("merge"), "node")
+    groups = dealt.groupBy(*key, "i", "j").agg(F.collect_list(F.struct("node", "own", "block", "copies", "v", "home", "probed")).alias("members")).select("table", "i", "j", "members")
+    return groups.mapInArrow(_verified(threshold, tables), "node long, links long, least long").groupBy("node", "least").agg(F.sum("links").alias("links"))
+
+
 def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
     """One row per vector: ``id_col``, ``n_links``, ``component_id``, ``kept``.
 
@@ -217,26 +266,18 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     usable = F.col("id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("v", F.when(F.coalesce(usable, F.lit(False)), F.transform("v", lambda x: x + 0.0)).cast("array<float>" if single else "array<double>"))  # floats are carried as such, which loses nothing
     nodes = scratch.written(rows.where("v is not null").groupBy("v").agg(F.min("id").cast("long").alias("node"), F.count("*").alias("copies")), "lattice-nodes")
-    hashed = scratch.written(nodes.select("node", "v").mapInArrow(_hashed(tables, probes), "node long, width int, cells array<long>, home binary, probed binary"), "lattice-cells")
-    placed = hashed.select("node", "width", F.posexplode("cells").alias("pos", "cell"))
-    placed = placed.select("node", "width", F.expr(f"pos div {probes + 1}").cast("int").alias("table"), "cell", (F.col("pos") % (probes + 1) == 0).alias("own"))
-    key = ["table", "cell", "width"]
-    sizes = placed.groupBy(*key).agg(F.count("*").alias("n"), F.count_if("own").alias("owned")).where("owned > 0 and n > 1")
-    members = placed.join(sizes, key).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node", "cell"), F.col("blocks")).cast("int"))
-    # An own member meets the members of every block; a probing member meets the own members of every block.
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    as_left = members.where("own").select("node", *key, "own", "block", F.col("block").alias("i"), F.explode(every).alias("j"))
-    as_right = members.select("node", *key, "own", "block", F.explode(every).alias("i"), F.col("block").alias("j"))
-    carried = nodes.select("node", "v", "copies").join(hashed.select("node", "home", "probed"), "node")
-    dealt = as_left.unionByName(as_right).distinct().join(carried, "node")
-    groups = dealt.groupBy(*key, "i", "j").agg(F.collect_list(F.struct("node", "own", "block", "copies", "v", "home", "probed")).alias("members")).select("table", "i", "j", "members")
-    found_links = groups.mapInArrow(_verified(threshold, tables), "node long, links long, least long")
-    links = scratch.written(found_links.groupBy("node", "least").agg(F.sum("links").alias("links")), "lattice-links")
+    hashed = scratch.written(nodes.select("node", "v").mapInArrow(_hashed(tables, probes), "node long, width int, home binary, probed binary"), "lattice-points")
+    carried = scratch.written(nodes.select("node", "v", "copies").join(hashed.hint("merge"), "node").drop("width"), "lattice-carried")
+    found_links = [scratch.written(_links(placed, carried, threshold, tables), "lattice-round") for placed in _rounds(hashed, tables, probes)]
+    links = reduce(DataFrame.unionByName, found_links)
+    links = scratch.written(links.groupBy("node", "least").agg(F.sum("links").alias("links")), "lattice-links")
+    for done in (carried, hashed, *found_links):
+        scratch.drop(done)
 
     parts = connected_components(links.select(F.col("node").alias("a"), F.col("least").alias("b")))
     more = links.groupBy("node").agg(F.sum("links").alias("more"))
-    known = nodes.join(more, "node", "left").join(parts, "node", "left")
+    known = nodes.join(more.hint("merge"), "node", "left").join(parts.hint("merge"), "node", "left")
     known = known.select("v", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n"), F.coalesce("component", "node").alias("component"))
-    found = rows.join(known, "v", "left")
+    found = rows.join(known.hint("merge"), "v", "left")
     component = F.coalesce(F.when(F.col("v").isNotNull(), F.col("component")), F.col("id"))
     return found.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
