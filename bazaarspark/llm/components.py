@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star.
 
 Kiveris et al., "Connected Components in MapReduce and Beyond" (2014). Every step is a partial minimum per node
-and a join, so a hub with a third of all edges is pre-aggregated and its join is split by the adaptive planner.
+and a join, so a hub with a third of all edges is pre-aggregated and its join is split by the adaptive planner. Joins are hinted:
+sizes of files of edges, which compress well, would let Spark broadcast millions of them.
 """
 
 from __future__ import annotations
@@ -20,14 +21,14 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Each neighbour above ``u`` is linked to the smallest of ``u`` and its neighbours."""
     around = _both_ways(edges)
     least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return around.join(least, "u").where("v > u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
+    return around.join(least.hint("merge"), "u").where("v > u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """``u`` and its neighbours below it are linked to the smallest of these. Edges come as (small u, large v)."""
     down = edges.select(F.col("v").alias("x"), F.col("u").alias("y"))
     least = down.groupBy("x").agg(F.min("y").alias("m"))
-    linked = down.join(least, "x").select(F.col("m").alias("u"), F.col("y").alias("v"))
+    linked = down.join(least.hint("merge"), "x").select(F.col("m").alias("u"), F.col("y").alias("v"))
     return linked.unionByName(least.select(F.col("m").alias("u"), F.col("x").alias("v"))).where("u <> v").distinct()
 
 
