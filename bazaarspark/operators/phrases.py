@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bazaarspark.functions import text as X
+from bazaarspark.functions.columns import side
 from bazaarspark.operators import metadata as M
+from bazaarspark.sources import scratch
 
 #: Letters that a word must have to be compared by edits.
 LONG = 4
@@ -33,16 +35,16 @@ def phrase_matches(texts: DataFrame, dictionary: DataFrame, key: str = "query_id
 
     runs = [runs_of(n) for n in lengths]
     found = words.select(key, F.explode(F.array_distinct(F.flatten(F.array(*runs)))).alias("alias")) if runs else words.select(key, F.lit(None).cast("string").alias("alias")).limit(0)
-    return found.join(dictionary, "alias").select(key, "alias", "canonical", "ord")
+    return found.join(side(dictionary), "alias").select(key, "alias", "canonical", "ord")
 
 
 def first_phrases(texts: DataFrame, dictionary: DataFrame, key: str = "query_id", col: str = "query") -> DataFrame:
     """(key, canonical, canonicals): of the aliases in each text the longest one's name (ties: the dictionary's order), and all names in
     that order. Texts without one are left out."""
-    hits = phrase_matches(texts, dictionary, key, col)
-    best = F.min_by("canonical", F.struct((-F.length("alias")).alias("n"), F.col("ord"), F.col("alias")))
-    every = hits.groupBy(key, "canonical").agg(F.min("ord").alias("ord")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ord", "canonical"))).alias("all"))
-    return hits.groupBy(key).agg(best.alias("canonical")).join(every, key).select(key, "canonical", F.transform("all", lambda x: x["canonical"]).alias("canonicals"))
+    hits = phrase_matches(texts, scratch.written(dictionary, "phrases"), key, col)  # the dictionary is read more than once
+    names = hits.groupBy(key, "canonical").agg(F.min("ord").alias("ord"), F.min(F.struct((-F.length("alias")).alias("n"), F.col("ord"), F.col("alias"))).alias("best"))
+    found = names.groupBy(key).agg(F.min_by("canonical", "best").alias("first"), F.array_sort(F.collect_list(F.struct("ord", "canonical"))).alias("all"))
+    return found.select(key, F.col("first").alias("canonical"), F.transform("all", lambda x: x["canonical"]).alias("canonicals"))
 
 
 def _shortened(word: Column) -> Column:
